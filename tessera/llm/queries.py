@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, exact_dedup, license_scan, mixing, sharding, simhash, warc
+from tessera.llm import embedding_dedup, exact_dedup, license_scan, mixing, sharding, simhash, toxicity, warc
 from tessera.llm.common import fresh_path
 
 
@@ -38,6 +38,13 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tagger = toxicity.fit_tagger(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score_toxicity(docs, tagger)
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_license_scan, op3_warc, op4_simhash, op5_mixing, op6_embedding_dedup, op9_exact_dedup, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_license_scan, op3_warc, op4_simhash, op5_mixing, op6_embedding_dedup, op7_toxicity, op9_exact_dedup, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
