@@ -22,6 +22,10 @@ FIT_FEATURES = 20_000
 FOLDS = 5
 PREFIXES = (3, 4, 5, 6, 7)
 WINDOW = 12
+#: Clean documents that may hold a candidate feature, for each toxic one.
+MOST_CLEAN = 0.1
+#: Toxic documents that a clean one offsets when features are chosen.
+CLEAN_COST = 10
 WORD = re.compile(r"\w+")
 
 
@@ -173,8 +177,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float =
     return theta
 
 
-def choose_features(documents: list[tuple[int, list[str]]], least: int) -> list[str]:
-    """Greedy cover of the toxic documents by candidate features, best supported first, whole words and long prefixes before short ones."""
+def choose_features(documents: list[tuple[int, list[str]]], clean: dict[str, int], least: int) -> list[str]:
+    """Greedy cover of the toxic documents by candidate features.
+
+    Those with most toxic documents come first, less CLEAN_COST for each clean one; of equal
+    ones whole words and long prefixes come before short ones.
+    """
     support = Counter(f for _, fs in documents for f in fs)
     holders: dict[str, list[int]] = {}
     for i, fs in documents:
@@ -182,7 +190,7 @@ def choose_features(documents: list[tuple[int, list[str]]], least: int) -> list[
             holders.setdefault(f, []).append(i)
     covered: set[int] = set()
     chosen = []
-    for f in sorted(support, key=lambda f: (-support[f], f[0] != "=", -len(f), f)):
+    for f in sorted(support, key=lambda f: (CLEAN_COST * clean[f] - support[f], f[0] != "=", -len(f), f)):
         if support[f] >= least and len(new := set(holders[f]) - covered) >= least:
             chosen.append(f)
             covered |= new
@@ -227,16 +235,16 @@ def fit_tagger(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     least = max(3, math.ceil(0.003 * toxic))
     counts = sample.mapInPandas(_feature_counts, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(clean + 1.0))
-    marked = counts.where((F.col("pos") >= least) & (odds > 3) & (F.col("neg") <= 0.02 * F.col("pos")))
-    candidates = {r["feature"] for r in marked.orderBy(F.desc("pos"), "feature").limit(FIT_FEATURES).collect()}
+    marked = counts.where((F.col("pos") >= least) & (odds > 3) & (F.col("neg") <= MOST_CLEAN * F.col("pos")))
+    candidates = {r["feature"]: r["neg"] for r in marked.orderBy(F.desc("pos"), "feature").limit(FIT_FEATURES).collect()}
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "found": [sorted({f for w in set(WORD.findall(t)) for f in word_features(w)} & candidates) for t in b["_text"]]})
+            yield pd.DataFrame({"_id": b["_id"], "found": [sorted({f for w in set(WORD.findall(t)) for f in word_features(w)} & candidates.keys()) for t in b["_text"]]})
 
     kind = sample.schema["_id"].dataType.simpleString()
     holding = sample.where("_toxic = 1").select("_id", "_text").mapInPandas(present, f"_id {kind}, found array<string>").collect()
-    features = {f: i + 1 for i, f in enumerate(choose_features([(i, list(r["found"])) for i, r in enumerate(holding)], least))}
+    features = {f: i + 1 for i, f in enumerate(choose_features([(i, list(r["found"])) for i, r in enumerate(holding)], candidates, least))}
     if not features:
         return unknown
 
