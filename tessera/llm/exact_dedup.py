@@ -53,10 +53,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Keepers are found without moving texts twice; whole rows then move once, by id. Of rows
     that repeat id and text, the one first by their other columns stays.
     """
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.struct(F.col(id_col).alias("id")).alias("_key"), F.col("text_sha256").alias("_sha"))
     own = docs.columns
-    rows = docs.withColumn("_mine", F.sha2(plain_text(text_col), 256))
-    joined = rows.join(kept, rows[id_col].eqNullSafe(kept["_id"]) & (rows["_mine"] == kept["_sha"]), "left_semi")
+    rows = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"))).withColumn("_sha", F.sha2(plain_text(text_col), 256))
+    joined = rows.join(kept, ["_key", "_sha"], "left_semi")
     orderable = [c for c, t in docs.dtypes if c != text_col and not t.startswith(("map", "variant"))]
-    first = Window.partitionBy(id_col, "_mine").orderBy(*orderable)
+    first = Window.partitionBy("_key", "_sha").orderBy(*orderable)
     return joined.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*own)

@@ -45,7 +45,7 @@ def mix_sources(
     seed: int = 42,
     rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
-    """One row per document: ``id_col, size, source_size, target, taken, passes, finish``.
+    """One row per document: ``id_col, size, source_size, target, taken, passes, finish, source``.
 
     Each source is a queue of its documents in a keyed random order, gone through twice at
     most. A document's virtual finish time is the source's words up to and with it, divided by
@@ -112,13 +112,18 @@ def mix_sources(
     return (
         queued.crossJoin(F.broadcast(edge))  # one row
         .withColumn("passes", within(1) + within(2))
-        .select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes", "finish")
+        .select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes", "finish", F.when(F.col("_named"), F.col("_source")).alias("source"))
     )
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, all their columns, as often as the mix takes them."""
-    plan = mix_sources(docs, id_col, **options).where("passes > 0").select(F.col(id_col).alias("_id"), "passes", F.col("size").alias("_size"))
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, all their columns, as often as the mix takes them; rows that share an id are taken in the mix's order."""
+    plan = mix_sources(docs, id_col, text_col, source_col, **options)
+    key = F.struct(F.col(id_col).alias("id")).alias("_key")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_source", "_size"))
+    # Whole rows move once, by id; the number within an id tells repeated rows apart.
+    taken = plan.select(key, "passes", F.col("source").alias("_source"), F.col("size").alias("_size")).withColumn("_nth", nth).select("_key", "_nth", "passes")
     own = docs.columns
-    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"]))
+    numbered = docs.select("*", key, F.col(source_col).cast("string").alias("_source"), n_spaced_words(plain_text(text_col)).alias("_size")).withColumn("_nth", nth)
+    joined = numbered.join(taken.where("passes > 0"), ["_key", "_nth"])
     return joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*own)

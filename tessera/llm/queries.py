@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, sharding, simhash, toxicity, warc
+from tessera.llm import embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, packing, sharding, simhash, toxicity, warc
 from tessera.llm.common import fresh_path
 
 
@@ -49,6 +49,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_warc, op4_simhash, op5_mixing, op6_embedding_dedup, op7_toxicity, op9_exact_dedup, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_warc, op4_simhash, op5_mixing, op6_embedding_dedup, op7_toxicity, op8_packing, op9_exact_dedup, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
