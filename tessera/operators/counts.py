@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.sequences import pack, reverse_complement, windows
+from tessera.functions.sequences import flanked, pack, reverse_complement, unpack, windows
 from tessera.operators.filters import barcode_match, kmer_verdict, valid_bases, variable_region
 from tessera.sources.readers import skip_invalid
 
@@ -81,13 +81,17 @@ def merge_counts(*tables: DataFrame) -> DataFrame:
     return stacked.groupBy("kmer").agg(F.sum("n").cast("bigint").alias("n"))
 
 
+def _unpacker(k: int):
+    return lambda code: unpack(code, k)
+
+
 def ngram_features(df: DataFrame, order: int, id_col: str, seq: str = "seq") -> DataFrame:
     """``id_col, gram, n``: counts of all words of 1 to ``order + 1`` letters in each row, zeros included.
 
     Every row's grid is filled inside the row, by counting matches in its own window array.
     """
     sizes = range(1, order + 2)
-    grid = F.concat(*[F.transform(F.sequence(F.lit(0), F.lit(4**k - 1)), lambda c, k=k: F.translate(F.lpad(F.conv(c.cast("string"), 10, 4), k, "0"), "0123", "ACGT")) for k in sizes])
+    grid = F.concat(*[F.transform(F.sequence(F.lit(0), F.lit(4**k - 1)), _unpacker(k)) for k in sizes])
     seen = F.concat(*[windows(seq, k) for k in sizes])
     filled = df.select(id_col, seen.alias("_seen"), F.explode(grid).alias("gram"))
     return filled.select(id_col, "gram", F.size(F.filter("_seen", lambda g: g == F.col("gram"))).cast("bigint").alias("n"))
@@ -95,6 +99,4 @@ def ngram_features(df: DataFrame, order: int, id_col: str, seq: str = "seq") ->
 
 def feature_sums(probes: DataFrame, k: int, left: str, right: str, width: int, seq: str = "seq", n: str = "n") -> DataFrame:
     """``kmer, n``: count-weighted words over flank, probe and flank."""
-    from tessera.functions.sequences import flanked
-
     return count_kmers(probes.select(flanked(seq, left, right, width).alias("seq"), n), k, weight=n)

@@ -55,10 +55,10 @@ def model_probability(words: DataFrame, model: DataFrame, m: int, key: str = "se
     them below its size threshold.
     """
     text = F.col(key) if left_flank is None else F.concat(F.lit(left_flank[len(left_flank) - (m - 1) :] if m > 1 else ""), F.col(key))
-    rows = words.select(key, *keep, F.posexplode(windows(text, m)).alias("_at", "kmer"))
+    rows = words.select(key, *keep, F.posexplode(windows(text, m)).alias("_at", "_window"))
     whole = F.lit(m == 1) if left_flank is None else F.lit(False)
     chance = F.when((F.col("_at") == 0) & F.lit(left_flank is None) | whole, F.col("share")).otherwise(F.col("p"))
-    joined = rows.join(model.select("kmer", "p", "share"), "kmer", "left")
+    joined = rows.join(model.select(F.col("kmer").alias("_window"), "p", "share"), "_window", "left")
     log = F.sum(F.ln(chance))
     return joined.groupBy(key, *keep).agg(F.when(F.count_if(F.coalesce(chance, F.lit(0.0)) <= 0) > 0, F.lit(0.0)).otherwise(F.exp(log)).alias("p"))
 

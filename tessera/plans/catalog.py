@@ -1,10 +1,8 @@
-"""Registered queries over the supplied tables and their SQL twins."""
+"""All registered queries over the supplied tables and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import counting, filtering, fitting, joining, sampling, scoring  # noqa: F401  they register their queries
+from tessera.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
