@@ -1 +1,188 @@
-"""Queries."""
+"""Queries of affinity scores and profiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import affinity
+from tessera.operators.affinity import background, probe_score
+from tessera.plans import fixtures as X
+from tessera.plans.counting import Z0, sql_background
+from tessera.plans.fixtures import sql_list, sql_probe_score, sql_window_log, sql_window_score, sql_windows, with_tables
+from tessera.plans.fixtures import sql_reverse_complement as rc
+from tessera.plans.registry import query
+from tessera.sources.readers import chunked
+
+NARROW = sql_probe_score("seq", X.NARROW)
+
+
+def sql_bin(x: str, low: float, width: float) -> str:
+    return f"CAST(floor((log10({x}) - ({low!r}::DOUBLE)) / {width!r}::DOUBLE) + 1 AS BIGINT)"
+
+
+@query("i1_mono_score", with_tables("probes", f"SELECT seq, round({NARROW}, 6) AS score FROM probes"))
+def i1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.probes(spark, sf_dir).select("seq", F.round(probe_score("seq", [X.NARROW]), 6).alias("score"))
+
+
+@query("i2_di_score", with_tables("probes", f"SELECT seq, round({sql_probe_score('seq', X.PAIRED, nonspecific=-1.0)}, 6) AS score FROM probes"))
+def i2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.probes(spark, sf_dir).select("seq", F.round(probe_score("seq", [X.PAIRED], -1.0), 6).alias("score"))
+
+
+SHAPED = f"""s AS (SELECT pentamer, max(value) FILTER (feature = 'f0') AS f0, max(value) FILTER (feature = 'f1') AS f1 FROM shape GROUP BY pentamer),
+    w AS (SELECT seq, i, st, CASE st WHEN 0 THEN substr('GC' || seq || 'GA', i, 7) ELSE {rc("substr('GC' || seq || 'GA', i, 7)")} END AS part FROM (SELECT seq, unnest(range(1, 7)) AS i FROM probes), (SELECT unnest([0, 1]) AS st)),
+    e AS (SELECT seq, i, st, part, unnest(range(1, 4)) AS p FROM w),
+    j AS (SELECT seq, i, st, any_value(part) AS part, sum(list_extract({sql_list(X.SHAPE_WEIGHTS["f0"])}, p) * f0 + list_extract({sql_list(X.SHAPE_WEIGHTS["f1"])}, p) * f1) AS extra FROM e JOIN s ON substr(part, p, 5) = pentamer GROUP BY seq, i, st)
+    SELECT seq, round(sum(exp(extra + {sql_window_log("substr(part, 3, 3)", X.NARROW)})), 6) AS score FROM j GROUP BY seq"""
+
+
+@query("i3_shape_score", with_tables("probes shape", SHAPED))
+def i3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = affinity.shape_log_scores(X.probes(spark, sf_dir), X.SHAPED, X.shape(spark, sf_dir), X.LEFT_FLANK, X.RIGHT_FLANK)
+    return logs.groupBy("seq").agg(F.round(F.sum(F.exp("log")), 6).alias("score"))
+
+
+@query("i4_multi_mode", with_tables("probes", f"SELECT seq, round({sql_probe_score('seq', X.PAIRED, X.WIDE, nonspecific=-1.0)}, 6) AS score FROM probes"))
+def i4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.probes(spark, sf_dir).select("seq", F.round(probe_score("seq", [X.PAIRED, X.WIDE], -1.0), 6).alias("score"))
+
+
+@query("i5_window_scores", with_tables("probes", f"w AS (SELECT seq, unnest(range(1, 7)) AS i FROM probes) SELECT seq, CAST(i - 1 AS INTEGER) AS pos, st AS strand, round(exp(CASE st WHEN '+' THEN {sql_window_log('substr(seq, i, 3)', X.NARROW)} ELSE {sql_window_log(rc('substr(seq, i, 3)'), X.NARROW)} END), 6) AS score FROM w, (SELECT unnest(['+', '-']) AS st)"))
+def i5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return affinity.scored_windows(X.probes(spark, sf_dir), [X.NARROW]).select("seq", "pos", "strand", F.round("score", 6).alias("score"))
+
+
+GENOME = f"""p AS (SELECT chrom, unnest(range(1, length(seq) - 3 + 2)) AS i, seq FROM genome), w AS (SELECT chrom, i - 1 AS pos, substr(seq, i, 3) AS raw FROM p),
+    q AS (SELECT *, upper(raw) AS u, CASE WHEN contains(upper(raw), 'N') THEN -1 WHEN raw <> upper(raw) THEN 1 ELSE 0 END AS flag FROM w)
+    SELECT chrom, count(*) AS windows, round(max(CASE WHEN flag = -1 THEN 0 ELSE exp({sql_window_log("u", X.NARROW)}) END), 6) AS forward, round(max(CASE WHEN flag = -1 THEN 0 ELSE exp({sql_window_log(rc("u"), X.NARROW)}) END), 6) AS reverse,
+           count(*) FILTER (flag = -1) AS unknown FROM q GROUP BY chrom"""
+
+
+@query("i6_genome_scan", with_tables("genome", GENOME))
+def i6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scan = affinity.genome_scan(chunked(X.genome(spark, sf_dir), "seq", 3, 5000), X.NARROW)
+    return scan.groupBy("chrom").agg(F.count(F.lit(1)).alias("windows"), F.round(F.max("forward"), 6).alias("forward"), F.round(F.max("reverse"), 6).alias("reverse"), F.count_if(F.col("flag") == -1).alias("unknown"))
+
+
+@query("i7_long_probe", with_tables("contigs", f"SELECT doc_id, round(ln(list_sum(list_transform({sql_windows('seq', 3)}, lambda w: {sql_window_score('w', X.NARROW)})) + (length(seq) - 2) * exp(-1.0::DOUBLE)), 6) AS score FROM contigs WHERE length(seq) >= 3"))
+def i7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.contigs(spark, sf_dir).where("length(seq) >= 3").select("doc_id", F.round(affinity.long_probe_score("seq", X.NARROW, -1.0), 6).alias("score"))
+
+
+ERRORS = tuple(0.01 * (i % 4 + 1) for i in range(12))
+LIBRARY = f"""k AS (SELECT DISTINCT substr(seq, 3, 4) AS kmer FROM probes), f AS (SELECT kmer, 'AGC' || kmer || 'GAT' AS seq FROM k),
+    w AS (SELECT kmer, unnest(list_concat({sql_windows("seq", 3)}, list_transform({sql_windows("seq", 3)}, lambda w: {rc("w")}))) AS w FROM f),
+    g AS (SELECT kmer, p * 4 + strpos('ACGT', substr(w, p + 1, 1)) AS feature, sum(exp({sql_window_log("w", X.NARROW)})) AS g FROM w, (SELECT unnest(range(0, 3)) AS p) GROUP BY 1, 2),
+    e AS (SELECT kmer, sqrt(sum(pow(g * list_extract({sql_list(ERRORS)}, feature::INT), 2))) AS error FROM g GROUP BY kmer)
+    SELECT kmer, round({NARROW}, 6) AS score, round(error, 6) AS error FROM f JOIN e USING (kmer)"""
+
+
+@query("i8_library_scan", with_tables("probes", LIBRARY))
+def i8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = X.probes(spark, sf_dir).select(F.substring("seq", 3, 4).alias("kmer")).distinct()
+    return affinity.library_scan(words, X.NARROW, "AGC", "GAT", ERRORS).select("kmer", F.round("score", 6).alias("score"), F.round("error", 6).alias("error"))
+
+
+@query("i9_universe_scan", with_tables("probes universe", f"SELECT u.code, round({sql_probe_score('u.seq', X.NARROW)}, 6) AS score, coalesce(p.n, 0) AS n FROM universe u LEFT JOIN probes p USING (code)"))
+def i9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = affinity.universe(spark, X.PROBE_LENGTH).join(X.probes(spark, sf_dir).select("code", "n"), "code", "left")
+    return every.select("code", F.round(probe_score("seq", [X.NARROW]), 6).alias("score"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+P0Z = f"{Z0}, big AS (SELECT sum(exp({sql_background('seq')}) * {NARROW}) AS zz FROM universe)"
+
+
+def weights(spark: SparkSession) -> DataFrame:
+    """One row: the background's and the model's sums over the universe."""
+    p0 = F.exp(background("seq", X.BACKGROUND))
+    return affinity.universe(spark, X.PROBE_LENGTH).agg(F.sum(p0).alias("z0"), F.sum(p0 * probe_score("seq", [X.NARROW])).alias("z"))
+
+
+@query("i10_probe_weight", with_tables("probes universe", f"{P0Z} SELECT seq, round(1e6::DOUBLE * exp({sql_background('seq')}) * {NARROW} / zz, 6) AS weight FROM probes, big"))
+def i10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = X.probes(spark, sf_dir).crossJoin(F.broadcast(weights(spark)))
+    weight = F.exp(background("seq", X.BACKGROUND)) / F.col("z0") * probe_score("seq", [X.NARROW]) / (F.col("z") / F.col("z0"))
+    return joined.select("seq", F.round(weight * 1e6, 6).alias("weight"))
+
+
+LOW, WIDTH = -1.013, 0.2511  # away from the scores that occur, so no score lies on a border
+
+
+def sql_histogram(weight: str, low: float, width: float) -> str:
+    return f"SELECT {sql_bin(weight, low, width)} AS bin, coalesce(n, 0) AS n, count(*) AS words FROM universe u LEFT JOIN (SELECT code, n FROM probes) USING (code) GROUP BY 1, 2"
+
+
+@query("i11_weight_histogram", with_tables("probes universe", sql_histogram(NARROW, LOW, WIDTH)))
+def i11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return affinity.weight_histogram(affinity.universe(spark, X.PROBE_LENGTH), X.probes(spark, sf_dir), probe_score("seq", [X.NARROW]), LOW, WIDTH)
+
+
+@query("i12_mode_attribution", with_tables("probes", f"s AS (SELECT n, {NARROW} AS a, {sql_probe_score('seq', X.WIDE)} AS b FROM probes), u AS (SELECT n, a + b AS t, 0 AS mode, a AS own FROM s UNION ALL SELECT n, a + b, 1, b FROM s) SELECT {sql_bin('t', LOW, WIDTH)} AS bin, mode, round(sum(n * own / t), 4) AS reads FROM u GROUP BY 1, 2"))
+def i12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return affinity.mode_attribution(X.probes(spark, sf_dir), [X.NARROW, X.WIDE], LOW, WIDTH).withColumn("reads", F.round("reads", 4))
+
+
+STRANDS = f"list_concat(list_transform({sql_windows('seq', 3)}, lambda w: exp({sql_window_log('w', X.NARROW)})), list_transform({sql_windows('seq', 3)}, lambda w: exp({sql_window_log(rc('w'), X.NARROW)})))"
+
+
+@query("i13_position_bias", with_tables("probes", f"s AS (SELECT n, {STRANDS} AS s FROM probes) SELECT {sql_bin('list_sum(s)', LOW, WIDTH)} AS bin, CAST(floor(list_max(s) / list_sum(s) / 0.01::DOUBLE + 1e-9::DOUBLE) AS INTEGER) AS share, CAST(sum(n) AS BIGINT) AS reads FROM s GROUP BY 1, 2"))
+def i13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return affinity.position_bias(X.probes(spark, sf_dir), X.NARROW, LOW, WIDTH)
+
+
+@query("i14_divergence", with_tables("probes universe", f"a AS (SELECT {sql_bin(NARROW, LOW, WIDTH)} AS bin, sum({NARROW}) AS m FROM universe GROUP BY 1), b AS (SELECT {sql_bin(NARROW, LOW, WIDTH)} AS bin, sum(n) AS r FROM probes GROUP BY 1) SELECT bin, round(coalesce(m, 0) / (SELECT sum(m) FROM a), 9) AS mass, round(coalesce(r, 0) / (SELECT sum(r) FROM b), 9) AS reads FROM a FULL JOIN b USING (bin)"))
+def i14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = affinity.divergence(affinity.universe(spark, X.PROBE_LENGTH), X.probes(spark, sf_dir), probe_score("seq", [X.NARROW]), LOW, WIDTH)
+    return found.select("bin", F.round("mass", 9).alias("mass"), F.round("reads", 9).alias("reads"))
+
+
+@query("i15_expected_kmers", with_tables("probes", f"k AS (SELECT DISTINCT substr(seq, 1, 5) AS kmer FROM probes), f AS (SELECT kmer, substr(fill, 1, o) || kmer || substr(fill, o + 1) AS seq FROM k, (SELECT unnest(range(0, 3)) AS o), (SELECT a || b AS fill FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS a), (SELECT unnest(['A', 'C', 'G', 'T']) AS b))) SELECT kmer, round(sum(exp({sql_background('seq')}) * {NARROW}), 5) AS expected FROM f GROUP BY kmer"))
+def i15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def weight(seq: Column) -> Column:
+        return F.exp(background(seq, X.BACKGROUND)) * probe_score(seq, [X.NARROW])
+
+    kmers = X.probes(spark, sf_dir).select(F.substring("seq", 1, 5).alias("kmer")).distinct()
+    return affinity.expected_kmers(kmers, 5, 7, weight).withColumn("expected", F.round("expected", 5))
+
+
+@query("i16_background_histogram", with_tables("probes universe", sql_histogram(f"exp({sql_background('seq')})", -3.0123, 0.05117)))
+def i16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return affinity.weight_histogram(affinity.universe(spark, X.PROBE_LENGTH), X.probes(spark, sf_dir), F.exp(background("seq", X.BACKGROUND)), -3.0123, 0.05117)
+
+
+@query("i17_partition_function", with_tables("probes universe", f"{Z0} SELECT round((SELECT sum(exp({sql_background('seq')}) * {NARROW}) FROM universe) / z, 6) AS z, CAST((SELECT sum(n) FROM probes) AS BIGINT) AS n_reads FROM z"))
+def i17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = X.probes(spark, sf_dir).agg(F.sum("n").alias("n_reads"))
+    return weights(spark).crossJoin(reads).select(F.round(F.col("z") / F.col("z0"), 6).alias("z"), "n_reads")
+
+
+@query("i17_sampled_partition")
+def i17_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance estimate of Z with the probes as the background's sample."""
+    from tessera.operators.splits import unrolled
+
+    return affinity.sampled_partition(unrolled(X.probes(spark, sf_dir)), probe_score("seq", [X.NARROW]))
+
+
+SIMPLEX = f"s AS (SELECT {NARROW} AS a, {sql_probe_score('seq', X.WIDE)} AS b, {sql_probe_score('seq', X.PAIRED)} AS c FROM probes)"
+
+
+@query("i18_simplex_bins", with_tables("probes", f"{SIMPLEX} SELECT CAST(floor((b / (a + b + c) + c / (a + b + c) / 2) * 20 + 1e-9::DOUBLE) AS INTEGER) AS xbin, CAST(floor(c / (a + b + c) * 20 + 1e-9::DOUBLE) AS INTEGER) AS ybin, count(*) AS words, round(avg(greatest(a, b, c)), 6) AS top FROM s GROUP BY 1, 2"))
+def i18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = X.probes(spark, sf_dir).select(*[probe_score("seq", [m]).alias(n) for n, m in (("a", X.NARROW), ("b", X.WIDE), ("c", X.PAIRED))])
+    return affinity.simplex_bins(scores, "a", "b", "c", 20).withColumn("top", F.round("top", 6))
+
+
+@query("i19_shape_profile")
+def i19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean shape along the best window by score bin; equal windows make an SQL twin depend on rounding, so a test checks it."""
+    found = affinity.shape_profile(X.probes(spark, sf_dir), X.NARROW, X.shape(spark, sf_dir), X.LEFT_FLANK, X.RIGHT_FLANK, LOW, WIDTH, 10)
+    return found.select("bin", "offset", "feature", F.round("value", 6).alias("value"))
+
+
+@query("i20_reads_by_density", with_tables("probes", f"SELECT CAST(ceil((ln({NARROW}) + 5.003) / 0.2507::DOUBLE) AS BIGINT) AS bin, CAST(sum(n) AS BIGINT) AS reads FROM probes GROUP BY 1"))
+def i20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return affinity.reads_by_density(X.probes(spark, sf_dir), F.ln(probe_score("seq", [X.NARROW])), 5.003, 0.2507)
+
