@@ -37,7 +37,7 @@ class Bundle:
     grad_sq: np.ndarray
 
     def mean(self, theta: np.ndarray, ridge: float = 0.0) -> tuple[float, np.ndarray]:
-        return self.loss / self.n + ridge * float(theta @ theta) / 2, self.grad / self.n + ridge * theta
+        return float(self.loss / self.n + ridge * float(theta @ theta) / 2), self.grad / self.n + ridge * theta
 
     def variances(self) -> tuple[float, np.ndarray]:
         """Variance of the mean loss and of each entry of the mean gradient."""
@@ -72,7 +72,7 @@ def evaluate(df: DataFrame, objective: Objective, thetas: Sequence[np.ndarray],
     for key, values in out.items():
         v = np.array([values[i] for i in range(len(values))])
         d = (len(v) - 3) // 2
-        made[key] = Bundle(v[0], v[1], v[2], v[3 : 3 + d], v[3 + d :])
+        made[key] = Bundle(float(v[0]), float(v[1]), float(v[2]), v[3 : 3 + d], v[3 + d :])
     return made
 
 

@@ -1 +1,266 @@
-"""Queries."""
+"""Queries of finite-sum objectives and fits."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.sequences import array_sum
+from tessera.operators import affinity, fit, objectives
+from tessera.operators.affinity import background, window_scores
+from tessera.operators.fit import FiniteSum, Fit
+from tessera.operators.objectives import AffinityModel, Objective, SquaredHinge, evaluate
+from tessera.operators.splits import keyed
+from tessera.plans import fixtures as X
+from tessera.plans.counting import sql_background
+from tessera.plans.fixtures import sql_keyed, sql_list, sql_probe_score, sql_window_log, sql_windows, with_tables
+from tessera.plans.fixtures import sql_reverse_complement as rc
+from tessera.plans.registry import query
+from tessera.sources.shared import written
+
+RIDGE = 0.001
+THETA = np.array([0.1 * (-1) ** j for j in range(64)])
+SLACK = "s AS (SELECT id, y, features, greatest(0, 1 - y * list_sum(list_transform(range(1, 65), lambda j: features[j] * (CASE WHEN j % 2 = 1 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END)))) AS m FROM {source})"
+
+
+def hinge_sql(source: str) -> str:
+    return SLACK.replace("{source}", source)
+
+
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _summary(spark: SparkSession, name: str, found: Fit) -> DataFrame:
+    return _rows(spark, [(name, round(found.loss, 5), round(found.norm, 4), found.steps, round(float(found.passes), 3))], "method string, loss double, gradient_norm double, steps int, passes double")
+
+
+def problem(spark: SparkSession, sf_dir: str) -> FiniteSum:
+    """The labelled examples with the squared hinge, written once as every step reads them again."""
+    return FiniteSum(written(X.examples(spark, sf_dir), "examples"), SquaredHinge(), RIDGE)
+
+
+def _loss_and_gradient(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    loss, grad = evaluate(rows, SquaredHinge(), [THETA])[0].mean(THETA, RIDGE)
+    return _rows(spark, [(j, round(float(v), 7)) for j, v in enumerate([loss, *grad])], "entry int, value double")
+
+
+def gradient_sql(where: str = "") -> str:
+    """Loss as entry 0, then the gradient's entries."""
+    theta = sql_list(THETA)
+    source = f"part AS (SELECT * FROM examples {where})"
+    return f"""{source}, {hinge_sql("part")},
+        g AS (SELECT j, sum(-m * y * features[j]) / count(*) + {RIDGE} * {theta}[j] AS v FROM (SELECT *, unnest(range(1, 65)) AS j FROM s) GROUP BY j)
+        SELECT 0 AS entry, round(sum(m * m) / 2 / count(*) + {RIDGE} * 64 * 0.01 / 2, 7) AS value FROM s UNION ALL SELECT CAST(j AS INTEGER), round(v, 7) FROM g"""
+
+
+@query("j1_hinge_gradient", with_tables("examples", gradient_sql()))
+def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loss_and_gradient(spark, X.examples(spark, sf_dir))
+
+
+BATCH = f"WHERE {sql_keyed('id', 1)} < 500001.5"
+
+
+@query(
+    "j2_minibatch_variances",
+    with_tables(
+        "examples",
+        f"""part AS (SELECT * FROM examples {BATCH}), {hinge_sql("part")},
+        e AS (SELECT -m * y * features[j] AS g, j FROM (SELECT *, unnest(range(1, 65)) AS j FROM s)), v AS (SELECT j, var_samp(g) / count(*) AS v FROM e GROUP BY j)
+        SELECT CAST(count(*) AS BIGINT) AS rows, round(avg(m * m / 2), 7) AS loss, round(var_samp(m * m / 2) / count(*), 9) AS loss_variance, (SELECT round(sum(v), 9) FROM v) AS gradient_variance FROM s""",
+    ),
+)
+def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.examples(spark, sf_dir).where(keyed("id", 1) < 0.5 * 1_000_003)
+    found = evaluate(rows, SquaredHinge(), [THETA])[0]
+    loss, grads = found.variances()
+    return _rows(spark, [(int(found.n), round(found.loss / found.n, 7), round(float(loss), 9), round(float(grads.sum()), 9))], "rows long, loss double, loss_variance double, gradient_variance double")
+
+
+@query("j3_id_set", with_tables("examples", gradient_sql("WHERE id % 7 = 3")))
+def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.examples(spark, sf_dir)
+    ids = X.table(spark, sf_dir, "embeddings").where("vec_id % 7 = 3").select(F.col("vec_id").alias("id"))
+    return _loss_and_gradient(spark, rows.join(ids, "id", "left_semi"))
+
+
+@query("j4_lbfgs")
+def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(spark, "lbfgs", fit.lbfgs(problem(spark, sf_dir).full, np.zeros(64), steps=12))
+
+
+@query("j5_sgd")
+def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(spark, "sgd", fit.sgd(problem(spark, sf_dir), np.zeros(64), share=0.34, epochs=3))
+
+
+@query("j6_adam")
+def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(spark, "adam", fit.sgd(problem(spark, sf_dir), np.zeros(64), rate=0.1, share=0.34, epochs=3, adam=True))
+
+
+@query("j7_svrg")
+def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(spark, "svrg", fit.svrg(problem(spark, sf_dir), np.zeros(64), share=0.34, epochs=3, per_epoch=3))
+
+
+@query("j8_ksvrg")
+def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(spark, "k-svrg", fit.ksvrg(problem(spark, sf_dir), np.zeros(64), share=0.34, sub_epochs=3, per_epoch=2))
+
+
+@query("j9_k2svrg")
+def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(spark, "k2-svrg", fit.ksvrg(problem(spark, sf_dir), np.zeros(64), sub_epochs=3, per_epoch=2, k=3))
+
+
+@query("j10_slbfgs")
+def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(spark, "stochastic lbfgs", fit.slbfgs(problem(spark, sf_dir), np.zeros(64), share=0.34, epochs=2, per_epoch=4))
+
+
+@query("j11_slbfgs_k2svrg")
+def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(spark, "stochastic lbfgs on k2-svrg", fit.slbfgs_ksvrg(problem(spark, sf_dir), np.zeros(64), k=2, sub_epochs=2, per_epoch=3))
+
+
+def table_and_universe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Probes and all words of their length with background weights, written once for the fits."""
+    p0 = F.exp(background("seq", X.BACKGROUND)).alias("p0")
+    probes = written(X.probes(spark, sf_dir).select("code", "seq", "n", p0), "probes")
+    return probes, written(affinity.universe(spark, X.PROBE_LENGTH).select("seq", p0), "universe")
+
+
+@query("j12_background_fit")
+def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit on the even half, likelihood of the odd half, then a fit on all."""
+    probes, every = table_and_universe(spark, sf_dir)
+    counts = [F.sum(F.col("n") * (F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit(""))))).alias(b) for b in "ACGT"]
+    halves = {r["half"]: r for r in probes.groupBy((F.col("code") % 2).alias("half")).agg(F.sum("n").alias("reads"), *counts).collect()}
+    sums = {h: np.array([float(r[b]) for b in "ACGT"]) for h, r in halves.items()}
+    train = fit.fit_background(probes, every, sums[0], halves[0]["reads"], steps=6)
+    log_z = np.log(evaluate(every, objectives.LogLinear(), [train.theta])[0].loss)
+    test = float(log_z - train.theta @ sums[1] / halves[1]["reads"])
+    final = fit.fit_background(probes, every, sums[0] + sums[1], halves[0]["reads"] + halves[1]["reads"], train.theta, steps=4)
+    return _rows(spark, [("train", round(train.loss, 6)), ("test", round(test, 6)), ("all", round(final.loss, 6))], "part string, loss double")
+
+
+NS = -1.0
+AFFINITY = f"""score AS (SELECT seq, n, exp({sql_background("seq")}) AS p0, {sql_probe_score("seq", X.NARROW, nonspecific=NS)} AS s FROM probes),
+    every AS (SELECT seq, exp({sql_background("seq")}) AS p0, {sql_probe_score("seq", X.NARROW, nonspecific=NS)} AS s FROM universe),
+    z AS (SELECT sum(p0 * s) AS z FROM every), t AS (SELECT sum(n) AS n FROM probes),
+    rows AS (SELECT seq, -n / s AS w, 'own' AS part FROM score UNION ALL SELECT seq, p0, 'every' FROM every),
+    words AS (SELECT w, part, unnest(list_concat({sql_windows("seq", 3)}, list_transform({sql_windows("seq", 3)}, lambda x: {rc("x")}))) AS x FROM rows),
+    kappa AS (SELECT part, x, sum(w) AS w, exp({sql_window_log("x", X.NARROW)}) AS k FROM words GROUP BY part, x),
+    g AS (SELECT part, p * 4 + strpos('ACGT', substr(x, p + 1, 1)) AS entry, sum(w * k) AS g FROM kappa, (SELECT unnest(range(0, 3)) AS p) GROUP BY 1, 2),
+    ns AS (SELECT part, sum(w) * exp({NS}::DOUBLE) AS g FROM rows GROUP BY part)
+    SELECT 0 AS entry, round(ln(z) + (SELECT sum(-n * ln(p0 * s)) FROM score) / t.n, 6) AS value FROM z, t
+    UNION ALL SELECT CAST(entry AS INTEGER), round(sum(CASE part WHEN 'own' THEN g / t.n ELSE g / z END), 6) FROM g, z, t GROUP BY 1
+    UNION ALL SELECT 13, round(sum(CASE part WHEN 'own' THEN g / t.n ELSE g / z END), 6) FROM ns, z, t"""
+
+
+@query("j13_affinity_likelihood", with_tables("probes universe", AFFINITY))
+def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes, every = table_and_universe(spark, sf_dir)
+    loss, grad = objectives.affinity_likelihood(probes, every, AffinityModel((3,)), [np.array([*X.MONO, NS])])[0]
+    return _rows(spark, [(i, round(float(v), 6)) for i, v in enumerate([loss, *grad])], "entry int, value double")
+
+
+@query("j14_candidates", with_tables("examples", "c AS (SELECT unnest(range(0, 5)) AS c), s AS (SELECT c, greatest(0, 1 - y * list_sum(list_transform(range(1, 65), lambda j: features[j] * (CASE WHEN j % 2 = 1 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END) * c))) AS m FROM examples, c) SELECT CAST(c AS INTEGER) AS candidate, round(avg(m * m) / 2 + 0.001 * 64 * 0.01 * c * c / 2, 7) AS loss FROM s GROUP BY c"))
+def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five multiples of one vector in one pass."""
+    tried = [c * THETA for c in range(5)]
+    found = evaluate(X.examples(spark, sf_dir), SquaredHinge(), tried)
+    return _rows(spark, [(c, round(found[c].mean(t, RIDGE)[0], 7)) for c, t in enumerate(tried)], "candidate int, loss double")
+
+
+@query("j15_error_bars")
+def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second derivatives two ways: sums of outer products for the hinge, differences of gradients for the affinity model."""
+    rows = written(X.examples(spark, sf_dir), "examples")
+    n = rows.count()
+    hinge = objectives.error_bars(objectives.hinge_curvature(rows, THETA, RIDGE), n)
+    probes, every = table_and_universe(spark, sf_dir)
+    theta = np.array([*X.MONO, NS])
+
+    def gradients(thetas):
+        return [g for _, g in objectives.affinity_likelihood(probes, every, AffinityModel((3,)), thetas, 1e-3)]
+
+    reads = probes.agg(F.sum("n")).first()[0]
+    bars = objectives.error_bars(objectives.information_by_differences(gradients, theta), reads)
+    return _rows(spark, [(name, i, round(float(v), 5)) for name, b in (("hinge", hinge), ("affinity", bars)) for i, v in enumerate(b)], "model string, parameter int, error double")
+
+
+@query("j16_mode_weights")
+def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scale per mode with each mode's probe sums made once."""
+    modes = [X.NARROW, X.WIDE]
+    kappas = F.array(*[array_sum(window_scores("seq", m)) for m in modes])
+    probes = written(X.probes(spark, sf_dir).select("n", kappas.alias("kappas")), "kappas")
+    every = affinity.universe(spark, X.PROBE_LENGTH).select(kappas.alias("k"))
+    z = every.agg(*[F.sum(F.col("k")[i]).alias(f"z{i}") for i in range(len(modes))]).first()
+    return _summary(spark, "mode weights", fit.fit_mode_weights(probes, np.array([float(v) for v in z]), steps=5))
+
+
+@query("j17_cross_validated")
+def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Background refits on the training part of three folds; the folds' sums come from one pass."""
+    probes, every = table_and_universe(spark, sf_dir)
+    fold = (F.floor(keyed("code") * 3 / 1_000_003)).cast("int")
+    counts = [F.sum(F.col("n") * (F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit(""))))).alias(b) for b in "ACGT"]
+    parts = {r["fold"]: (float(r["reads"]), np.array([float(r[b]) for b in "ACGT"])) for r in probes.groupBy(fold.alias("fold")).agg(F.sum("n").alias("reads"), *counts).collect()}
+
+    def fit_on(f: int) -> Fit:
+        rest = [v for k, v in parts.items() if k != f]
+        return fit.fit_background(probes, every, sum(x for _, x in rest), sum(n for n, _ in rest), steps=4)
+
+    def test_on(f: int, theta: np.ndarray) -> float:
+        return float(np.log(evaluate(every, objectives.LogLinear(), [theta])[0].loss) - theta @ parts[f][1] / parts[f][0])
+
+    found = fit.cross_validated(3, fit_on, test_on)
+    return _rows(spark, [(f, round(a, 6), round(b, 6)) for f, a, b in found], "fold int, train double, test double")
+
+
+@query("j18_model_sweep")
+def j18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short fits of several lengths, each from shifted starts of which one pass tells the best; the lowest likelihood wins."""
+    probes, every = table_and_universe(spark, sf_dir)
+    rows = []
+    for k in (2, 3):
+        model = AffinityModel((k,))
+        starts = [np.append(np.roll(0.2 * np.cos(np.arange(4 * k)), 4 * s), NS) for s in range(k)]
+        losses = [v for v, _ in objectives.affinity_likelihood(probes, every, model, starts, 1e-3)]
+        best = int(np.argmin(losses))
+        found = fit.fit_affinity(probes, every, model, starts[best], steps=2)
+        rows.append((k, best, round(found.loss, 6)))
+    table = _rows(spark, rows, "k int, shift int, loss double")
+    least = table.agg(F.min_by("k", "loss").alias("_k"))
+    return table.crossJoin(least).select("k", "shift", "loss", (F.col("k") == F.col("_k")).alias("chosen"))
+
+
+@query("j19_progressive_modes")
+def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes, every = table_and_universe(spark, sf_dir)
+    found = fit.progressive_modes(probes, every, (2, 3), steps=2)
+    return _rows(spark, [(name, round(f.loss, 6), f.steps) for name, f in found], "stage string, loss double, steps int")
+
+
+class LeastSquares(Objective):
+    """A user's own objective: squared error of a linear fit."""
+
+    columns = ("features", "y")
+
+    def partial(self, rows, theta):
+        x, y = np.stack(rows["features"].to_numpy()).astype(float), rows["y"].to_numpy(dtype=float)
+        error = x @ theta - y
+        each = error[:, None] * x
+        return float(len(y)), (error**2 / 2).sum(), (error**4 / 4).sum(), each.sum(axis=0), (each**2).sum(axis=0)
+
+
+@query("k1_user_objective", with_tables("examples", "s AS (SELECT list_sum(list_transform(range(1, 65), lambda j: features[j] * (CASE WHEN j % 2 = 1 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END))) - y AS e FROM examples) SELECT CAST(count(*) AS BIGINT) AS rows, round(avg(e * e) / 2, 7) AS loss FROM s"))
+def k1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate(X.examples(spark, sf_dir), LeastSquares(), [THETA])[0]
+    return _rows(spark, [(int(found.n), round(found.loss / found.n, 7))], "rows long, loss double")
+
