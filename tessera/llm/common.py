@@ -84,6 +84,11 @@ def plain_text(column: str | Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+def orderable(row: str, docs: DataFrame, text_col: str) -> list[Column]:
+    """The fields of a nested row that can be ordered, without the text."""
+    return [F.col(row)[c] for c, kind in docs.dtypes if c != text_col and "map<" not in kind and "variant" not in kind] or [F.lit(0)]
+
+
 def n_spaced_words(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text without nulls.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import plain_text
+from tessera.llm.common import orderable, plain_text
 
 
 def text_classes(docs: DataFrame, id_col: str, text_col: str, content_hash: Callable[[Column], Column] = F.md5) -> tuple[DataFrame, DataFrame]:
@@ -54,9 +54,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     that repeat id and text, the one first by their other columns stays.
     """
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.struct(F.col(id_col).alias("id")).alias("_key"), F.col("text_sha256").alias("_sha"))
-    own = docs.columns
-    rows = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"))).withColumn("_sha", F.sha2(plain_text(text_col), 256))
-    joined = rows.join(kept, ["_key", "_sha"], "left_semi")
-    orderable = [c for c, t in docs.dtypes if c != text_col and not t.startswith(("map", "variant"))]
-    first = Window.partitionBy("_key", "_sha").orderBy(*orderable)
-    return joined.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*own)
+    row = F.struct(*docs.columns).alias("_row")  # nested, so no name can clash
+    rows = docs.select(row, F.struct(F.col(id_col).alias("id")).alias("_key"), F.sha2(plain_text(text_col), 256).alias("_sha"))
+    first = Window.partitionBy("_key", "_sha").orderBy(*orderable("_row", docs, text_col))
+    return rows.join(kept, ["_key", "_sha"], "left_semi").withColumn("_first", F.row_number().over(first)).where("_first = 1").select("_row.*")

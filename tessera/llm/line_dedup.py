@@ -192,6 +192,9 @@ def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns and its text without the lines that :func:`mark_lines` drops; blank lines stay."""
     gone = mark_lines(docs, id_col, text_col).where("fate <> 'kept'").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_gone"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_doc"]), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"))  # nested, so no name can clash
+    joined = rows.join(gone, F.col("_id").eqNullSafe(F.col("_doc")), "left")
+    text = F.col("_row")[text_col]
+    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
+    clean = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return joined.select(F.col("_row").withField(text_col, clean).alias("_row")).select("_row.*")

@@ -123,7 +123,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nth = F.row_number().over(Window.partitionBy("_key").orderBy("_source", "_size"))
     # Whole rows move once, by id; the number within an id tells repeated rows apart.
     taken = plan.select(key, "passes", F.col("source").alias("_source"), F.col("size").alias("_size")).withColumn("_nth", nth).select("_key", "_nth", "passes")
-    own = docs.columns
-    numbered = docs.select("*", key, F.col(source_col).cast("string").alias("_source"), n_spaced_words(plain_text(text_col)).alias("_size")).withColumn("_nth", nth)
+    row = F.struct(*docs.columns).alias("_row")  # nested, so no name can clash
+    numbered = docs.select(row, key, F.col(source_col).cast("string").alias("_source"), n_spaced_words(plain_text(text_col)).alias("_size")).withColumn("_nth", nth)
     joined = numbered.join(taken.where("passes > 0"), ["_key", "_nth"])
-    return joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*own)
+    return joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("_row.*")

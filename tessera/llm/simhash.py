@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import plain_text, written
+from tessera.llm.common import orderable, plain_text, written
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -36,14 +36,14 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``_id, _print`` for each document; a null text is empty."""
+    """``_id, _key, _print`` for each document, ``_key`` being a hash of the text; a null text is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "_print": np.fromiter((fingerprint(t, shingle, seed) for t in b["_text"]), dtype=np.int64, count=len(b))})
+            yield pd.DataFrame({"_id": b["_id"], "_key": b["_key"], "_print": np.fromiter((fingerprint(t, shingle, seed) for t in b["_text"]), dtype=np.int64, count=len(b))})
 
-    rows = docs.select(F.col(id_col).alias("_id"), plain_text(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"_id {docs.schema[id_col].dataType.simpleString()}, _print long")
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(plain_text(text_col)).alias("_key"), plain_text(text_col).alias("_text"))
+    return rows.mapInPandas(run, f"_id {docs.schema[id_col].dataType.simpleString()}, _key long, _print long")
 
 
 def one_wildcard_variants(value: Column, segments: int = 2) -> list[Column]:
@@ -71,6 +71,16 @@ def linked_prints(prints: DataFrame, most_bits: int = 3) -> DataFrame:
     return left.join(right, "_key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits)).select("a", "b").distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, most_bits: int, shingle: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Documents' fingerprints, and per fingerprint ``component_id`` and ``_group``, a fingerprint that names its component."""
+    prints = written(fingerprints(docs, id_col, text_col, shingle, seed), "prints")
+    classes = written(prints.groupBy("_print").agg(F.min("_id").alias("_first")), "classes")
+    found = connected_components(linked_prints(classes, most_bits))
+    linked = classes.join(found, F.col("_print") == F.col("node")).select("_print", "component", "_first")
+    named = linked.join(linked.groupBy("component").agg(F.min("_first").alias("_least")), "component").select("_print", "component", "_least")
+    return prints, classes.join(named, "_print", "left").select("_print", F.coalesce("_least", "_first").alias("component_id"), F.coalesce("component", "_print").alias("_group"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
     """One row per document: ``id_col, fingerprint, component_id``.
 
@@ -80,16 +90,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     zero and are linked like any others. Null ids don't count as smallest; a component of null
     ids alone has a null id. Repeated rows are returned each; an empty table gives no rows.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle, seed), "prints")
-    classes = written(prints.groupBy("_print").agg(F.min("_id").alias("_first")), "classes")
-    found = connected_components(linked_prints(classes, most_bits))
-    linked = classes.join(found, F.col("_print") == F.col("node")).select("_print", "component", "_first")
-    named = linked.join(linked.groupBy("component").agg(F.min("_first").alias("_least")), "component").select("_print", "_least")
-    classed = classes.join(named, "_print", "left").select("_print", F.coalesce("_least", "_first").alias("component_id"))
+    prints, classed = _grouped(docs, id_col, text_col, most_bits, shingle, seed)
     return prints.join(classed, "_print").select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all their columns, that stand for their component: those with its smallest id."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, all their columns, that stand for their component: one each, that of the smallest id.
+
+    Null ids come after all others; of rows that share the smallest id, or repeat, the first by
+    a hash of the text and then by their other columns stays.
+    """
+    prints, classed = _grouped(docs, id_col, text_col, most_bits, shingle, seed)
+    mine = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))
+    stays = prints.join(classed, "_print").groupBy("_group").agg(F.min(mine).alias("_mine")).select("_mine")
+    mine = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(plain_text(text_col)).alias("key"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), mine.alias("_mine"))  # nested, so no name can clash
+    first = F.row_number().over(Window.partitionBy("_mine").orderBy(*orderable("_row", docs, text_col)))
+    return keyed.join(stays, "_mine", "left_semi").withColumn("_nth", first).where("_nth = 1").select("_row.*")

@@ -26,6 +26,8 @@ WINDOW = 12
 MOST_CLEAN = 0.1
 #: Toxic documents that a clean one offsets when features are chosen.
 CLEAN_COST = 10
+#: Chosen features that each toxic document should hold.
+COVERS = 4
 WORD = re.compile(r"\w+")
 
 
@@ -178,22 +180,29 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float =
 
 
 def choose_features(documents: list[tuple[int, list[str]]], clean: dict[str, int], least: int) -> list[str]:
-    """Greedy cover of the toxic documents by candidate features.
+    """Greedy cover of the toxic documents by candidate features, each document COVERS times.
 
     Those with most toxic documents come first, less CLEAN_COST for each clean one; of equal
-    ones whole words and long prefixes come before short ones.
+    ones whole words and long prefixes come before short ones. A feature is taken if ``least``
+    documents still want one and it isn't the same word's as one already taken.
     """
-    support = Counter(f for _, fs in documents for f in fs)
-    holders: dict[str, list[int]] = {}
+    holders: dict[str, set[int]] = {}
     for i, fs in documents:
         for f in fs:
-            holders.setdefault(f, []).append(i)
-    covered: set[int] = set()
-    chosen = []
-    for f in sorted(support, key=lambda f: (CLEAN_COST * clean[f] - support[f], f[0] != "=", -len(f), f)):
-        if support[f] >= least and len(new := set(holders[f]) - covered) >= least:
-            chosen.append(f)
-            covered |= new
+            holders.setdefault(f, set()).add(i)
+    covers: Counter = Counter()
+    chosen: list[str] = []
+    stems: dict[str, list[str]] = {}  # by first letters, to compare related features only
+    for f in sorted(holders, key=lambda f: (CLEAN_COST * clean[f] - len(holders[f]), f[0] != "=", -len(f), f)):
+        own, stem = holders[f], f.strip("=-")
+        if sum(covers[i] < COVERS for i in own) < least:
+            continue
+        near = stems.setdefault(stem[: min(PREFIXES)], [])
+        if any((o.startswith(stem) or stem.startswith(o)) and len(own - (holders.get("=" + o, set()) | holders.get(o + "-", set()))) < least for o in near):
+            continue
+        chosen.append(f)
+        near.append(stem)
+        covers.update(own)
     return chosen
 
 
