@@ -29,14 +29,31 @@ def reverse_complement(seq: str | Column) -> Column:
     return F.reverse(F.translate(_col(seq), "ACGTacgt", "TGCAtgca"))
 
 
+#: Window starts that are cut from one piece: positions in a text are found from its start, so long texts are cut first.
+PIECE = 512
+
+
 def windows(seq: str | Column, k: int, offset: int = 0) -> Column:
-    """All words of length ``k`` from ``offset`` on; an empty array if there is no room for one."""
+    """All words of length ``k`` from ``offset`` on; an empty array if there is no room for one.
+
+    Texts are cut in pieces of PIECE window starts and words are cut from these, so the cost is
+    linear in the text.
+    """
     s = _col(seq)
     n = F.length(s) - k - offset + 1
-    every = F.transform(F.sequence(F.lit(1 + offset), F.length(s) - k + 1), lambda i: F.substr(s, i, F.lit(k)))
+    pieces = F.transform(F.sequence(F.lit(1 + offset), F.length(s) - k + 1, F.lit(PIECE)), lambda i: F.substr(s, i, F.lit(PIECE + k - 1)))
+    every = F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - k + 1), lambda i: F.substr(p, i, F.lit(k)))))
     return F.when(n >= 1, every).otherwise(F.array().cast("array<string>"))
 
 
+def word_code(word: Column, k: int) -> Column:
+    """Base-4 number of a short word over ACGT."""
+    code = F.lit(0)
+    for p in range(k):
+        code = code * 4 + F.instr(F.lit(BASES), F.substr(word, F.lit(p + 1), F.lit(1))) - 1
+    return code
+
+
 def flanked(seq: str | Column, left: str, right: str, width: int) -> Column:
     """The last ``width`` bases of the left flank, the word, the first ``width`` bases of the right one."""
     return F.concat(F.lit(left[len(left) - width :]), _col(seq), F.lit(right[:width]))
@@ -58,7 +75,7 @@ def count_of(seq: str | Column, letter: str) -> Column:
 
 def floats(values: Sequence[float]) -> Column:
     """A literal array of doubles."""
-    return F.array(*[F.lit(float(v)) for v in values])
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
 def dot(a: str | Column, b: str | Column) -> Column:

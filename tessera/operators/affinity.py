@@ -6,13 +6,14 @@ windows, both strands and modes, plus exp of the non-specific weight.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.sequences import BASES, array_sum, floats, log10_bin, reverse_complement, reversed_di, reversed_mono, unpack, windows
+from tessera.functions.sequences import BASES, array_sum, floats, log10_bin, reverse_complement, reversed_di, reversed_mono, unpack, windows, word_code
 from tessera.operators.filters import region_quality
 from tessera.operators.joins import fill_ins
 
@@ -48,22 +49,51 @@ def strand_logs(seq: Column, i: Column, mode: Mode) -> tuple[Column, Column]:
     return forward, _window_log(seq, i, mode.k, reversed_mono(mode.mono), reversed_di(mode.di) if mode.di else ())
 
 
+#: Modes up to this length score windows by a table of all their words.
+TABLE_LENGTH = 6
+
+
+def word_tables(mode: Mode) -> tuple[list[float], list[float]]:
+    """Forward and reverse scores of all 4**k words of a mode, by code."""
+    k, forward = mode.k, []
+    for code in range(4**k):
+        digits = [code >> 2 * (k - 1 - p) & 3 for p in range(k)]
+        total = sum(mode.mono[4 * p + d] for p, d in enumerate(digits))
+        total += sum(mode.di[16 * p + 4 * digits[p] + digits[p + 1]] for p in range(k - 1)) if mode.di else 0.0
+        forward.append(math.exp(total))
+    turned = [sum((3 - (code >> 2 * p & 3)) << 2 * (k - 1 - p) for p in range(k)) for code in range(4**k)]
+    return forward, [forward[t] for t in turned]
+
+
+def _codes(seq: str | Column, k: int) -> Column:
+    return F.transform(windows(seq, k), lambda w: word_code(w, k))
+
+
 def window_scores(seq: str | Column, mode: Mode) -> Column:
     """Scores of all windows, forward and reverse in turn, as one array."""
     s = F.col(seq) if isinstance(seq, str) else seq
-    n = F.length(s) - mode.k + 1
-    both = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.array(*[F.exp(x) for x in strand_logs(s, i, mode)])))
-    return F.when(n >= 1, both).otherwise(F.array().cast("array<double>"))
+    if mode.k <= TABLE_LENGTH:
+        forward, reverse = (floats(t) for t in word_tables(mode))
+        return F.flatten(F.transform(_codes(s, mode.k), lambda c: F.array(F.get(forward, c), F.get(reverse, c))))
+    return F.flatten(F.transform(windows(s, mode.k), lambda w: F.array(*[F.exp(x) for x in strand_logs(w, F.lit(1), mode)])))
 
 
 def probe_score(seq: str | Column, modes: Sequence[Mode], nonspecific: float | None = None) -> Column:
     """Score of a probe, without a shuffle."""
     total = F.lit(0.0) if nonspecific is None else F.exp(F.lit(float(nonspecific)))
     for m in modes:
-        total = total + array_sum(window_scores(seq, m))
+        if m.k <= TABLE_LENGTH:
+            both = floats([a + b for a, b in zip(*word_tables(m), strict=True)])
+            total = total + _table_sum(seq, m.k, both)
+        else:
+            total = total + array_sum(window_scores(seq, m))
     return total
 
 
+def _table_sum(seq: str | Column, k: int, table: Column) -> Column:
+    return F.aggregate(windows(seq, k), F.lit(0.0), lambda t, w: t + F.get(table, word_code(w, k)))
+
+
 def scored_windows(probes: DataFrame, modes: Sequence[Mode], key: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
     """``key, *keep, mode, pos, strand, score``: every window of every probe under every mode; ``mode`` counts from 0."""
     arrays = F.array(*[window_scores(key, m) for m in modes])
@@ -100,8 +130,11 @@ def genome_scan(contigs: DataFrame, mode: Mode, chrom: str = "chrom", start: str
     upper = F.upper("_w")
     flag = region_quality("_w")
     clean = words.select(F.col(chrom).alias("chrom"), (F.col(start) + F.col("_i")).alias("pos"), upper.alias("_u"), flag.alias("flag"))
-    forward, reverse = strand_logs(F.col("_u"), F.lit(1), mode)
-    return clean.select("chrom", "pos", *[F.when(F.col("flag") == -1, 0.0).otherwise(F.exp(x)).alias(n) for x, n in ((forward, "forward"), (reverse, "reverse"))], "flag")
+    if mode.k <= TABLE_LENGTH:
+        forward, reverse = (F.get(floats(t), word_code(F.col("_u"), mode.k)) for t in word_tables(mode))
+    else:
+        forward, reverse = (F.exp(x) for x in strand_logs(F.col("_u"), F.lit(1), mode))
+    return clean.select("chrom", "pos", *[F.when(F.col("flag") == -1, 0.0).otherwise(x).alias(n) for x, n in ((forward, "forward"), (reverse, "reverse"))], "flag")
 
 
 def long_probe_score(seq: str | Column, mode: Mode, nonspecific: float) -> Column:
@@ -193,11 +226,14 @@ def expected_kmers(kmers: DataFrame, k: int, length: int, weight, total: float =
 
 
 def simplex_bins(scores: DataFrame, a: str, b: str, c: str, steps: int) -> DataFrame:
-    """``xbin, ybin, words, top``: three scores normalised to a triangle, counted on a grid with the mean of the largest score."""
+    """``xbin, ybin, words, top``: three scores normalised to a triangle, counted on a grid with the mean of the largest score.
+
+    Three zeros have null bins.
+    """
     total = F.col(a) + F.col(b) + F.col(c)
-    x = F.floor((F.col(b) / total + F.col(c) / total / 2) * steps + F.lit(1e-9)).cast("int")
-    y = F.floor(F.col(c) / total * steps + F.lit(1e-9)).cast("int")
-    return scores.where(total > 0).groupBy(x.alias("xbin"), y.alias("ybin")).agg(F.count(F.lit(1)).alias("words"), F.avg(F.greatest(a, b, c)).alias("top"))
+    x = F.floor((F.try_divide(F.col(b), total) + F.try_divide(F.col(c), total) / 2) * steps + F.lit(1e-9)).cast("int")
+    y = F.floor(F.try_divide(F.col(c), total) * steps + F.lit(1e-9)).cast("int")
+    return scores.groupBy(x.alias("xbin"), y.alias("ybin")).agg(F.count(F.lit(1)).alias("words"), F.avg(F.greatest(a, b, c)).alias("top"))
 
 
 def shape_profile(probes: DataFrame, mode: Mode, shape: DataFrame, left: str, right: str, low: float, width: float, last_bin: int, key: str = "seq") -> DataFrame:

@@ -194,9 +194,9 @@ def d21(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRAMS = "grid AS (SELECT a AS gram FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS a) UNION ALL SELECT a || b FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS a), (SELECT unnest(['A', 'C', 'G', 'T']) AS b))"
 
 
-@query("d22_ngram_features", with_tables("probes", f"{GRAMS} SELECT code, gram, CAST(len(list_filter(range(1, 9), lambda i: substr(seq, i, length(gram)) = gram)) AS BIGINT) AS n FROM probes, grid WHERE n > 3"))
+@query("d22_ngram_features", with_tables("probes", f"{GRAMS} SELECT code, gram, CAST(len(list_filter(range(1, 9), lambda i: substr(seq, i, length(gram)) = gram)) AS BIGINT) AS n FROM probes, grid"))
 def d22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.ngram_features(X.probes(spark, sf_dir).where("n > 3"), 1, "code")
+    return counts.ngram_features(X.probes(spark, sf_dir), 1, "code")
 
 
 @query("d23_merge_counts", with_tables("probes", f"{sql_counts('k', 'probes', 4, 'n')} SELECT * FROM k"))

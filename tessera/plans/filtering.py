@@ -68,10 +68,10 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_counts(spark, path, "all", 4).select("sample", "k", "kmer", "n")
 
 
-@query("a5_delimited_sink", with_tables("probes", "SELECT seq, n FROM probes WHERE n > 1"))
+@query("a5_delimited_sink", with_tables("probes", "SELECT seq, n FROM probes"))
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "delimited")
-    writers.write_delimited(X.probes(spark, sf_dir).where("n > 1").select("seq", "n"), path)
+    writers.write_delimited(X.probes(spark, sf_dir).select("seq", "n"), path)
     return spark.read.csv(path, sep="\t", header=True, schema="seq string, n bigint")
 
 
@@ -187,9 +187,9 @@ def b8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.without_motifs(X.probes(spark, sf_dir), "seq", ["ACG", "TT.A"]).select("seq", "n")
 
 
-@query("b9_region_quality", with_tables("genome", "SELECT chrom, CASE WHEN contains(upper(seq[1:12]), 'N') THEN -1 WHEN seq[1:12] <> upper(seq[1:12]) THEN 1 ELSE 0 END AS flag FROM genome"))
+@query("b9_region_quality", with_tables("genome", "SELECT chrom, CASE WHEN contains(upper(seq), 'N') THEN -1 WHEN seq <> upper(seq) THEN 1 ELSE 0 END AS flag FROM genome"))
 def b9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.genome(spark, sf_dir).withColumn("seq", F.substring("seq", 1, 12)).select("chrom", filters.region_quality("seq").alias("flag"))
+    return X.genome(spark, sf_dir).select("chrom", filters.region_quality("seq").alias("flag"))
 
 
 @query("h1_pack_unpack", with_tables("probes", "SELECT seq, code, seq AS back FROM probes"))

@@ -79,10 +79,11 @@ def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [(int(found.n), round(found.loss / found.n, 7), round(float(loss), 9), round(float(grads.sum()), 9))], "rows long, loss double, loss_variance double, gradient_variance double")
 
 
-@query("j3_id_set", with_tables("examples", gradient_sql("WHERE id % 7 = 3")))
+@query("j3_id_set", with_tables("examples", gradient_sql("WHERE id IN (SELECT doc_id FROM labels)")))
 def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and gradient on the ids that another table lists."""
     rows = X.examples(spark, sf_dir)
-    ids = X.table(spark, sf_dir, "embeddings").where("vec_id % 7 = 3").select(F.col("vec_id").alias("id"))
+    ids = X.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     return _loss_and_gradient(spark, rows.join(ids, "id", "left_semi"))
 
 

@@ -108,8 +108,8 @@ FILLED = """filled AS (SELECT kmer, o AS "offset", substr(fill, 1, o) || kmer ||
     FROM k, (SELECT unnest(range(0, 3)) AS o), (SELECT a || b AS fill FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS a), (SELECT unnest(['A', 'C', 'G', 'T']) AS b)))"""
 
 
-@query("c11_fill_ins", with_tables("probes", f"k AS (SELECT DISTINCT substr(seq, 1, 5) AS kmer FROM probes WHERE n > 2), {FILLED} SELECT kmer, \"offset\", count(*) AS words, min(seq) AS least, max(seq) AS greatest FROM filled GROUP BY kmer, \"offset\""))
+@query("c11_fill_ins", with_tables("probes", f"k AS (SELECT DISTINCT unnest({sql_windows('seq', 5)}) AS kmer FROM probes), {FILLED} SELECT kmer, \"offset\", count(*) AS words, min(seq) AS least, max(seq) AS greatest FROM filled GROUP BY kmer, \"offset\""))
 def c11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kmers = X.probes(spark, sf_dir).where("n > 2").select(F.substring("seq", 1, 5).alias("kmer")).distinct()
+    kmers = counts.count_kmers(X.probes(spark, sf_dir), 5).select("kmer")
     made = joins.fill_ins(kmers, 7, k=5).withColumn("offset", F.col("offset").cast("bigint"))
     return made.groupBy("kmer", "offset").agg(F.count(F.lit(1)).alias("words"), F.min("seq").alias("least"), F.max("seq").alias("greatest"))

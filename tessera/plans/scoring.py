@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import affinity
 from tessera.operators.affinity import background, probe_score
+from tessera.operators.counts import count_kmers
 from tessera.plans import fixtures as X
 from tessera.plans.counting import Z0, sql_background
 from tessera.plans.fixtures import sql_list, sql_probe_score, sql_window_log, sql_window_score, sql_windows, with_tables
@@ -72,7 +73,7 @@ def i7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ERRORS = tuple(0.01 * (i % 4 + 1) for i in range(12))
-LIBRARY = f"""k AS (SELECT DISTINCT substr(seq, 3, 4) AS kmer FROM probes), f AS (SELECT kmer, 'AGC' || kmer || 'GAT' AS seq FROM k),
+LIBRARY = f"""k AS (SELECT DISTINCT unnest({sql_windows("seq", 4)}) AS kmer FROM probes), f AS (SELECT kmer, 'AGC' || kmer || 'GAT' AS seq FROM k),
     w AS (SELECT kmer, unnest(list_concat({sql_windows("seq", 3)}, list_transform({sql_windows("seq", 3)}, lambda w: {rc("w")}))) AS w FROM f),
     g AS (SELECT kmer, p * 4 + strpos('ACGT', substr(w, p + 1, 1)) AS feature, sum(exp({sql_window_log("w", X.NARROW)})) AS g FROM w, (SELECT unnest(range(0, 3)) AS p) GROUP BY 1, 2),
     e AS (SELECT kmer, sqrt(sum(pow(g * list_extract({sql_list(ERRORS)}, feature::INT), 2))) AS error FROM g GROUP BY kmer)
@@ -81,7 +82,7 @@ LIBRARY = f"""k AS (SELECT DISTINCT substr(seq, 3, 4) AS kmer FROM probes), f AS
 
 @query("i8_library_scan", with_tables("probes", LIBRARY))
 def i8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = X.probes(spark, sf_dir).select(F.substring("seq", 3, 4).alias("kmer")).distinct()
+    words = count_kmers(X.probes(spark, sf_dir), 4).select("kmer")
     return affinity.library_scan(words, X.NARROW, "AGC", "GAT", ERRORS).select("kmer", F.round("score", 6).alias("score"), F.round("error", 6).alias("error"))
 
 
@@ -138,12 +139,12 @@ def i14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("bin", F.round("mass", 9).alias("mass"), F.round("reads", 9).alias("reads"))
 
 
-@query("i15_expected_kmers", with_tables("probes", f"k AS (SELECT DISTINCT substr(seq, 1, 5) AS kmer FROM probes), f AS (SELECT kmer, substr(fill, 1, o) || kmer || substr(fill, o + 1) AS seq FROM k, (SELECT unnest(range(0, 3)) AS o), (SELECT a || b AS fill FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS a), (SELECT unnest(['A', 'C', 'G', 'T']) AS b))) SELECT kmer, round(sum(exp({sql_background('seq')}) * {NARROW}), 5) AS expected FROM f GROUP BY kmer"))
+@query("i15_expected_kmers", with_tables("probes", f"k AS (SELECT DISTINCT unnest({sql_windows('seq', 5)}) AS kmer FROM probes), f AS (SELECT kmer, substr(fill, 1, o) || kmer || substr(fill, o + 1) AS seq FROM k, (SELECT unnest(range(0, 3)) AS o), (SELECT a || b AS fill FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS a), (SELECT unnest(['A', 'C', 'G', 'T']) AS b))) SELECT kmer, round(sum(exp({sql_background('seq')}) * {NARROW}), 5) AS expected FROM f GROUP BY kmer"))
 def i15(spark: SparkSession, sf_dir: str) -> DataFrame:
     def weight(seq: Column) -> Column:
         return F.exp(background(seq, X.BACKGROUND)) * probe_score(seq, [X.NARROW])
 
-    kmers = X.probes(spark, sf_dir).select(F.substring("seq", 1, 5).alias("kmer")).distinct()
+    kmers = count_kmers(X.probes(spark, sf_dir), 5).select("kmer")
     return affinity.expected_kmers(kmers, 5, 7, weight).withColumn("expected", F.round("expected", 5))
 
 
