@@ -1,14 +1,16 @@
-"""Shared helpers: tables in the shared folder, distributed running totals, sizing rules."""
+"""Shared helpers: distributed running totals, sizing rules, whole-text expressions."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import fresh_path, shared_folder, written
+
+__all__ = ["cell_bits", "fresh_path", "n_spaced_words", "orderable", "plain_text", "running_total", "shared_folder", "top_bits", "written"]
+
 #: Rows that one cell of a range-cut order holds on average; a cell is the unit that one task sorts.
 ROWS_PER_CELL = 4096
 
@@ -17,34 +19,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset and the session is one local process (tests), a fresh temporary folder
-    is used; on a cluster that is an error, as executors would not see each other's files.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = getattr(spark, "_tessera_folder", None)
-    if made is None:
-        made = spark._tessera_folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return made
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def cell_bits(rows: int, per_cell: int = ROWS_PER_CELL) -> int:
     """Bits of a power-of-two number of cells that hold ``per_cell`` rows each on average."""
     return max(0, math.ceil(math.log2(max(1, rows / per_cell))))
