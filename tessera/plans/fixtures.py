@@ -30,19 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the input has fewer pieces than that, as with one small file; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, lang, seq``: the A, C, G and T of each document."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", skip_invalid(F.col("text")).alias("seq"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", skip_invalid(F.col("text")).alias("seq")))
 
 
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``chrom, seq`` with N and lower case kept."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chrom"), F.regexp_replace("text", "[^ACGTNacgtn]", "").alias("seq"))
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chrom"), F.regexp_replace("text", "[^ACGTNacgtn]", "").alias("seq")))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``read_id, run, seq``: barcode, 8-mer, right barcode; some with N, some with a wrong right barcode."""
-    items = table(spark, sf_dir, "lineitem")
+    items = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"))
     left = F.when(F.col("l_returnflag") == "A", "TGG").when(F.col("l_returnflag") == "N", "CCA").otherwise("GAT")
     word = unpack(F.expr(CODE), PROBE_LENGTH)
     word = F.when(F.col("l_orderkey") % 17 == 0, F.concat(F.lit("N"), F.substring(word, 2, 7))).otherwise(word)
