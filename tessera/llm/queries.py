@@ -16,7 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_counts(table(spark, sf_dir, "documents"))
+    found = line_dedup.line_counts(table(spark, sf_dir, "documents"))
+    places = F.aggregate("kept_lines", F.lit(0).cast("long"), lambda a, n: a + n)
+    return found.select("doc_id", "n_lines", "n_exact", "n_near", "n_kept", places.alias("kept_places"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,29 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_warc, op4_simhash, op5_mixing, op6_embedding_dedup, op7_toxicity, op8_packing, op9_exact_dedup, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+        WITH d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
+             w AS (SELECT doc_id, line, list_filter(regexp_split_to_array(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+             l AS (SELECT doc_id, line, doc_id * 1000000 + line AS pos, ws, array_to_string(ws, ' ') AS words FROM w WHERE len(ws) > 0),
+             f AS (SELECT words, any_value(ws) AS ws, min(pos) AS pos FROM l GROUP BY words),
+             v AS (SELECT pos, i, array_to_string(list_concat(ws[:i - 1], ws[i + 1:]), ' ') AS rest FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM f WHERE len(ws) >= 5)),
+             replaced AS (SELECT v.pos FROM v JOIN (SELECT rest, i, min(pos) AS least FROM v GROUP BY rest, i) g USING (rest, i) WHERE g.least < v.pos),
+             inserted AS (SELECT v.pos AS a, f.pos AS b FROM v JOIN f ON v.rest = f.words),
+             near AS (SELECT pos FROM replaced UNION SELECT a FROM inserted WHERE b < a UNION SELECT b FROM inserted WHERE a < b),
+             fates AS (SELECT l.doc_id, l.line, CASE WHEN l.pos <> f.pos THEN 'exact' WHEN f.pos IN (SELECT pos FROM near) THEN 'near' ELSE 'kept' END AS fate FROM l JOIN f USING (words))
+        SELECT doc_id, count(fate) AS n_lines, count(*) FILTER (fate = 'exact') AS n_exact, count(*) FILTER (fate = 'near') AS n_near,
+               count(*) FILTER (fate = 'kept') AS n_kept, CAST(coalesce(sum(line) FILTER (fate = 'kept'), 0) AS BIGINT) AS kept_places
+        FROM documents LEFT JOIN fates USING (doc_id) GROUP BY doc_id""",
+    "op6_embedding_dedup": """
+        WITH RECURSIVE v AS (
+                SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+                WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+             r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+             c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+             n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
              q AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS r, strlen(h) >= 1000 AS large FROM p)
