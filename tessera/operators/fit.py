@@ -246,7 +246,7 @@ def slbfgs_ksvrg(problem: FiniteSum, start: np.ndarray, rate: float = 0.3, k: in
     return fit
 
 
-def fit_background(probes: DataFrame, universe: DataFrame, sums: Sequence[float], reads: float, start: np.ndarray | None = None, epsilon: float = 1e-5, steps: int = 20) -> Fit:
+def fit_background(universe: DataFrame, sums: Sequence[float], reads: float, start: np.ndarray | None = None, epsilon: float = 1e-5, steps: int = 20) -> Fit:
     """Log-linear background over base counts: mean of ln Z - theta . X / N. ``sums`` X come from one pass over the probes."""
     x = np.asarray(sums, dtype=np.float64) / reads
 

@@ -141,10 +141,10 @@ def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.sum(F.col("n") * (F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit(""))))).alias(b) for b in "ACGT"]
     halves = {r["half"]: r for r in probes.groupBy((F.col("code") % 2).alias("half")).agg(F.sum("n").alias("reads"), *counts).collect()}
     sums = {h: np.array([float(r[b]) for b in "ACGT"]) for h, r in halves.items()}
-    train = fit.fit_background(probes, every, sums[0], halves[0]["reads"], steps=6)
+    train = fit.fit_background(every, sums[0], halves[0]["reads"], steps=6)
     log_z = np.log(evaluate(every, objectives.LogLinear(), [train.theta])[0].loss)
     test = float(log_z - train.theta @ sums[1] / halves[1]["reads"])
-    final = fit.fit_background(probes, every, sums[0] + sums[1], halves[0]["reads"] + halves[1]["reads"], train.theta, steps=4)
+    final = fit.fit_background(every, sums[0] + sums[1], halves[0]["reads"] + halves[1]["reads"], train.theta, steps=4)
     return _rows(spark, [("train", round(train.loss, 6)), ("test", round(test, 6)), ("all", round(final.loss, 6))], "part string, loss double")
 
 
@@ -215,7 +215,7 @@ def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def fit_on(f: int) -> Fit:
         rest = [v for k, v in parts.items() if k != f]
-        return fit.fit_background(probes, every, sum(x for _, x in rest), sum(n for n, _ in rest), steps=4)
+        return fit.fit_background(every, sum(x for _, x in rest), sum(n for n, _ in rest), steps=4)
 
     def test_on(f: int, theta: np.ndarray) -> float:
         return float(np.log(evaluate(every, objectives.LogLinear(), [theta])[0].loss) - theta @ parts[f][1] / parts[f][0])
