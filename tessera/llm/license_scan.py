@@ -169,7 +169,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the remaining ``start, end, label, priority`` in characters, in order.
 
     A null or empty text has no words, empty labels, no spans and score 0. Repeated rows each
-    come back. An empty table gives no rows; further columns are ignored. Only one small row
+    come back. An empty table gives no rows; further columns are ignored. Rows are numbered as
+    they are scanned, so give it a table read from files. Only one small row
     per document and one per detection are shuffled.
     """
     raw = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), plain_text(text_col).alias("_text"))
