@@ -19,6 +19,8 @@ from tessera.llm.common import plain_text, written
 FIT_TOXIC, FIT_CLEAN = 4_000, 8_000
 #: Most candidate word features that are looked at, best supported first.
 FIT_FEATURES = 20_000
+#: Most distinct windows that the CRF is fitted on, the most frequent ones first.
+FIT_WINDOWS = 24_000
 FOLDS = 5
 PREFIXES = (3, 4, 5, 6, 7)
 WINDOW = 12
@@ -115,61 +117,68 @@ def document_features(marginals: list[tuple[int, float]]) -> list[float]:
     return [1.0, max(probabilities, default=0.0), math.log1p(sum(probabilities))]
 
 
-def fit_crf(windows: list[list[int]], tags: list[list[int]], n_features: int, rounds: int = 200, rate: float = 0.2, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, move and emission weights that maximise the windows' conditional likelihood (Adam on exact gradients)."""
+def fit_crf(
+    windows: list[list[int]], tags: list[list[int]], n_features: int, weights: list[float] | None = None, rounds: int = 200, rate: float = 0.2, ridge: float = 1e-3
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, move and emission weights that maximise the windows' conditional likelihood (Adam on exact gradients).
+
+    ``weights`` say how often each window counts.
+    """
     longest = max(map(len, windows))
     x = np.zeros((len(windows), longest), dtype=np.int64)
     y = np.zeros_like(x)
     on = np.zeros((len(windows), longest), dtype=bool)
     for i, (w, t) in enumerate(zip(windows, tags, strict=True)):
         x[i, : len(w)], y[i, : len(w)], on[i, : len(w)] = w, t, True
-    size = 2 + 4 + 2 * (n_features + 1)
+    often = np.ones(len(windows)) if weights is None else np.asarray(weights, dtype=np.float64)
+    cells = n_features + 1
+    size = 2 + 4 + 2 * cells
     theta, first, second = np.zeros(size), np.zeros(size), np.zeros(size)
 
     def parts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return v[:2], v[2:6].reshape(2, 2), v[6:].reshape(n_features + 1, 2)
+        return v[:2], v[2:6].reshape(2, 2), v[6:].reshape(cells, 2)
 
-    seen = np.zeros(size)
-    s0, m0, e0 = parts(seen)
-    np.add.at(s0, y[:, 0], 1)
+    every = np.broadcast_to(often[:, None], x.shape)
     both = on[:, 1:]
-    np.add.at(m0, (y[:, :-1][both], y[:, 1:][both]), 1)
-    np.add.at(e0, (x[on], y[on]), 1)
+    seen = np.concatenate(
+        (
+            np.bincount(y[:, 0], weights=often, minlength=2),
+            np.bincount((2 * y[:, :-1] + y[:, 1:])[both], weights=every[:, 1:][both], minlength=4),
+            np.bincount((2 * x + y)[on], weights=every[on], minlength=2 * cells),
+        )
+    )
     for r in range(1, rounds + 1):
         s, m, e = parts(theta)
         psi = np.exp(e)[x]
         step = np.exp(m)
-        alpha, scale = np.zeros((*x.shape, 2)), np.ones(x.shape)
+        alpha = np.zeros((*x.shape, 2))
         for t in range(longest):
             a = np.exp(s)[None, :] * psi[:, 0] if t == 0 else (alpha[:, t - 1] @ step) * psi[:, t]
             a = np.where(on[:, t, None], a, alpha[:, t - 1] if t else 1)
-            scale[:, t] = np.where(on[:, t], a.sum(axis=1), 1)
             alpha[:, t] = a / a.sum(axis=1, keepdims=True)
         beta = np.ones((*x.shape, 2))
-        expected = np.zeros(size)
-        s1, m1, e1 = parts(expected)
-        for t in range(longest - 1, -1, -1):
-            p = alpha[:, t] * beta[:, t]
-            p = p / p.sum(axis=1, keepdims=True)
-            np.add.at(e1, x[on[:, t], t], p[on[:, t]])
-            if t == 0:
-                s1 += p.sum(axis=0)
-            else:
-                right = psi[:, t] * beta[:, t]
-                pair = alpha[:, t - 1][:, :, None] * step[None] * right[:, None, :]
-                pair = pair / pair.sum(axis=(1, 2), keepdims=True)
-                m1 += pair[on[:, t]].sum(axis=0)
-                b = right @ step.T
-                beta[:, t - 1] = np.where(on[:, t, None], b / b.sum(axis=1, keepdims=True), beta[:, t])
-        gradient = (seen - expected) / len(windows) - ridge * theta
+        moved = np.zeros((2, 2))
+        for t in range(longest - 1, 0, -1):
+            right = psi[:, t] * beta[:, t]
+            pair = alpha[:, t - 1][:, :, None] * step[None] * right[:, None, :]
+            pair = pair * (often * on[:, t] / pair.sum(axis=(1, 2)))[:, None, None]
+            moved += pair.sum(axis=0)
+            b = right @ step.T
+            beta[:, t - 1] = np.where(on[:, t, None], b / b.sum(axis=1, keepdims=True), beta[:, t])
+        p = alpha * beta
+        p = p / p.sum(axis=2, keepdims=True) * every[:, :, None]
+        emitted = [np.bincount(x[on], weights=p[:, :, tag][on], minlength=cells) for tag in (0, 1)]
+        expected = np.concatenate((p[:, 0].sum(axis=0), moved.ravel(), np.stack(emitted, axis=1).ravel()))
+        gradient = (seen - expected) / often.sum() - ridge * theta
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         theta = theta + rate * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.999**r)) + 1e-8)
     return parts(theta)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
-    """Newton steps on the ridge logistic likelihood, the classes weighing the same."""
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+def fit_logistic(x: np.ndarray, y: np.ndarray, often: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
+    """Newton steps on the ridge logistic likelihood; ``often`` counts equal rows, and the classes weigh the same."""
+    total = often.sum()
+    weight = often * np.where(y == 1, 0.5 / max(1, often[y == 1].sum()), 0.5 / max(1, often[y == 0].sum())) * total
     theta = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
@@ -232,7 +241,7 @@ def fit_tagger(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     document counts mark toxic texts, reduced to a greedy cover, tag the words of toxic texts.
     The CRF is fitted on windows around tagged words and on as many of clean texts; then the
     logistic weights on the documents' marginals. Counting and scoring run on executors, the
-    fits on the driver over a sample bounded by FIT_TOXIC, FIT_CLEAN and FIT_FEATURES. Without
+    fits on the driver over a sample bounded by FIT_TOXIC, FIT_CLEAN, FIT_FEATURES and FIT_WINDOWS. Without
     labels of both classes the tagger knows no feature and scores every text alike.
     """
     sample = written(training_sample(docs, labels, id_col, text_col, label_col, seed), "sample")
@@ -245,15 +254,18 @@ def fit_tagger(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     counts = sample.mapInPandas(_feature_counts, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(clean + 1.0))
     marked = counts.where((F.col("pos") >= least) & (odds > 3) & (F.col("neg") <= MOST_CLEAN * F.col("pos")))
-    candidates = {r["feature"]: r["neg"] for r in marked.orderBy(F.desc("pos"), "feature").limit(FIT_FEATURES).collect()}
+    clean_counts = {r["feature"]: r["neg"] for r in marked.orderBy(F.desc("pos"), "feature").limit(FIT_FEATURES).collect()}
+    names = list(clean_counts)
+    candidates = {f: i for i, f in enumerate(names)}
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "found": [sorted({f for w in set(WORD.findall(t)) for f in word_features(w)} & candidates.keys()) for t in b["_text"]]})
+            yield pd.DataFrame({"_id": b["_id"], "found": [sorted({candidates[f] for w in set(WORD.findall(t)) for f in word_features(w) if f in candidates}) for t in b["_text"]]})
 
     kind = sample.schema["_id"].dataType.simpleString()
-    holding = sample.where("_toxic = 1").select("_id", "_text").mapInPandas(present, f"_id {kind}, found array<string>").collect()
-    features = {f: i + 1 for i, f in enumerate(choose_features([(i, list(r["found"])) for i, r in enumerate(holding)], candidates, least))}
+    holding = sample.where("_toxic = 1").select("_id", "_text").mapInPandas(present, f"_id {kind}, found array<int>").select("found").collect()
+    holders = [(i, [names[n] for n in r["found"]]) for i, r in enumerate(holding)]
+    features = {f: i + 1 for i, f in enumerate(choose_features(holders, clean_counts, least))}
     if not features:
         return unknown
 
@@ -271,8 +283,10 @@ def fit_tagger(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                         out.append((part, [int(bool(k) and bool(label)) for k in part]))
             yield pd.DataFrame(out, columns=["x", "y"])
 
-    pieces = sample.select("_text", "_toxic").mapInPandas(cut, "x array<int>, y array<int>").orderBy(F.xxhash64("x"), "x", "y").limit(2 * (FIT_TOXIC + FIT_CLEAN)).collect()
-    start, moves, emit = fit_crf([list(r["x"]) for r in pieces], [list(r["y"]) for r in pieces], len(features))
+    # Most windows of clean texts are alike, so distinct ones with their numbers are few.
+    pieces = sample.select("_text", "_toxic").mapInPandas(cut, "x array<int>, y array<int>").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    pieces = pieces.orderBy(F.desc("n"), "x", "y").limit(FIT_WINDOWS).collect()
+    start, moves, emit = fit_crf([list(r["x"]) for r in pieces], [list(r["y"]) for r in pieces], len(features), [r["n"] for r in pieces])
     tagger = Tagger(features, start, moves, emit, np.zeros(3))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,9 +295,10 @@ def fit_tagger(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             rows = [document_features(crf_marginals([known[w] for w in WORD.findall(t)], start, moves, emit)) for t in b["_text"]]
             yield pd.DataFrame({"x": rows, "y": b["_toxic"]})
 
-    points = sample.select("_text", "_toxic").mapInPandas(measure, "x array<double>, y int").collect()
-    order = sorted((tuple(r["x"]), r["y"]) for r in points)
-    return Tagger(features, start, moves, emit, fit_logistic(np.array([x for x, _ in order]), np.array([y for _, y in order])))
+    points = sample.select("_text", "_toxic").mapInPandas(measure, "x array<double>, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    order = sorted((tuple(r["x"]), r["y"], r["n"]) for r in points)
+    x, y, often = (np.array(c, dtype=np.float64) for c in zip(*order, strict=True))
+    return Tagger(features, start, moves, emit, fit_logistic(x, y, often))
 
 
 def toxicity_of(tagger: Tagger, text: Column) -> Column:
