@@ -12,7 +12,7 @@ from tessera.sources.shared import fresh_path, shared_folder, written
 __all__ = ["cell_bits", "fresh_path", "n_spaced_words", "orderable", "plain_text", "running_total", "shared_folder", "top_bits", "written"]
 
 #: Rows that one cell of a range-cut order holds on average; a cell is the unit that one task sorts.
-ROWS_PER_CELL = 4096
+ROWS_PER_CELL = 1024
 
 #: Fixed values of the operators' contracts: A-Z, and the word classes as Java and Python regexes.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
