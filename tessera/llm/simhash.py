@@ -101,8 +101,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     a hash of the text and then by their other columns stays.
     """
     prints, classed = _grouped(docs, id_col, text_col, most_bits, shingle, seed)
+    return first_of_groups(docs, prints.join(classed, "_print"), id_col, text_col)
+
+
+def first_of_groups(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each ``_group``; ``grouped`` has ``_id, _key, _group`` for each, ``_key`` as in :func:`fingerprints`."""
     mine = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))
-    stays = prints.join(classed, "_print").groupBy("_group").agg(F.min(mine).alias("_mine")).select("_mine")
+    stays = grouped.groupBy("_group").agg(F.min(mine).alias("_mine")).select("_mine")
     mine = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(plain_text(text_col)).alias("key"))
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), mine.alias("_mine"))  # nested, so no name can clash
     first = F.row_number().over(Window.partitionBy("_mine").orderBy(*orderable("_row", docs, text_col)))
