@@ -35,7 +35,7 @@ class Rule:
 #: Hand-written families: label, identifier, full name, literal that the name contains, address and its literal.
 FAMILIES = (
     ("mit", r"mit", r"mit\s+licen[sc]e", "mit", r"opensource\.org/licenses?/mit(?![\w-])", "opensource.org/license"),
-    ("mit-0", r"mit-0", r"mit\s+no\s+attribution(?:\s+licen[sc]e)?", "no attribution", r"opensource\.org/licenses?/mit-0", "mit-0"),
+    ("mit-0", r"mit-0", r"mit\s+no\s+attribution(?:\s+licen[sc]e)?", "attribution", r"opensource\.org/licenses?/mit-0", "mit-0"),
     ("apache-2.0", r"apache-2\.0", r"apache\s+(?:software\s+)?licen[sc]e,?\s*(?:version\s*|v\.?\s*)?2(?:\.0)?", "apache", r"apache\.org/licenses/license-2\.0", "apache.org/licenses"),
     ("apache-1.1", r"apache-1\.1", r"apache\s+(?:software\s+)?licen[sc]e,?\s*(?:version\s*|v\.?\s*)?1\.1", "apache", r"apache\.org/licenses/license-1\.1", "apache.org/licenses"),
     ("apache-1.0", r"apache-1\.0", r"apache\s+(?:software\s+)?licen[sc]e,?\s*(?:version\s*|v\.?\s*)?1\.0", "apache", r"apache\.org/licenses/license-1\.0", "apache.org/licenses"),
@@ -46,7 +46,7 @@ FAMILIES = (
     ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"(?:gnu\s+)?lesser\s+general\s+public\s+licen[sc]e,?\s*(?:version\s*|v\.?\s*)2\.1", "lesser", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1", "gnu.org/licenses"),
     ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"(?:gnu\s+)?lesser\s+general\s+public\s+licen[sc]e,?\s*(?:version\s*|v\.?\s*)3(?:\.0)?", "lesser", r"gnu\.org/licenses/lgpl-3\.0", "gnu.org/licenses"),
     ("agpl-3.0", r"agpl-3\.0(?:-only|-or-later|\+)?", r"(?:gnu\s+)?affero\s+general\s+public\s+licen[sc]e(?:,?\s*(?:version\s*|v\.?\s*)3(?:\.0)?)?", "affero", r"gnu\.org/licenses/agpl-3\.0", "gnu.org/licenses"),
-    ("gfdl", r"gfdl-1\.[123](?:-only|-or-later)?", r"(?:gnu\s+)?free\s+documentation\s+licen[sc]e", "free documentation", r"gnu\.org/licenses/fdl", "gnu.org/licenses"),
+    ("gfdl", r"gfdl-1\.[123](?:-only|-or-later)?", r"(?:gnu\s+)?free\s+documentation\s+licen[sc]e", "documentation", r"gnu\.org/licenses/fdl", "gnu.org/licenses"),
     ("bsd-2-clause", r"bsd-2-clause", r"(?:bsd\s+2-clause|2-clause\s+bsd|simplified\s+bsd|freebsd)\s+licen[sc]e", "bsd", r"opensource\.org/licenses?/bsd-2-clause", "bsd-2"),
     ("bsd-3-clause", r"bsd-3-clause", r"(?:bsd\s+3-clause|3-clause\s+bsd|new\s+bsd|modified\s+bsd|revised\s+bsd)\s+licen[sc]e", "bsd", r"opensource\.org/licenses?/bsd-3-clause", "bsd-3"),
     ("bsd-4-clause", r"bsd-4-clause", r"(?:bsd\s+4-clause|4-clause\s+bsd|original\s+bsd|old\s+bsd)\s+licen[sc]e", "bsd", r"spdx\.org/licenses/bsd-4-clause", "bsd-4"),
@@ -56,16 +56,16 @@ FAMILIES = (
     ("mpl-2.0", r"mpl-2\.0", r"mozilla\s+public\s+licen[sc]e,?\s*(?:version\s*|v\.?\s*)?2(?:\.0)?", "mozilla", r"mozilla\.org/mpl/2\.0", "mozilla.org/mpl"),
     ("epl-1.0", r"epl-1\.0", r"eclipse\s+public\s+licen[sc]e,?\s*(?:-\s*)?(?:version\s*|v\.?\s*)?1(?:\.0)?", "eclipse", r"eclipse\.org/legal/epl-v10", "eclipse.org/legal"),
     ("epl-2.0", r"epl-2\.0", r"eclipse\s+public\s+licen[sc]e,?\s*(?:-\s*)?(?:version\s*|v\.?\s*)?2(?:\.0)?", "eclipse", r"eclipse\.org/legal/epl-(?:v20|2\.0)", "eclipse.org/legal"),
-    ("cddl-1.0", r"cddl-1\.0", r"common\s+development\s+and\s+distribution\s+licen[sc]e", "common development", r"opensource\.org/licenses?/cddl-1", "cddl"),
-    ("cpl-1.0", r"cpl-1\.0", r"common\s+public\s+licen[sc]e", "common public", r"opensource\.org/licenses?/cpl1\.0", "cpl1.0"),
-    ("eupl-1.2", r"eupl-1\.[12]", r"european\s+union\s+public\s+licen[sc]e", "european union", r"joinup\.ec\.europa\.eu/[\w/.-]*eupl", "eupl"),
+    ("cddl-1.0", r"cddl-1\.0", r"common\s+development\s+and\s+distribution\s+licen[sc]e", "distribution", r"opensource\.org/licenses?/cddl-1", "cddl"),
+    ("cpl-1.0", r"cpl-1\.0", r"common\s+public\s+licen[sc]e", "common", r"opensource\.org/licenses?/cpl1\.0", "cpl1.0"),
+    ("eupl-1.2", r"eupl-1\.[12]", r"european\s+union\s+public\s+licen[sc]e", "european", r"joinup\.ec\.europa\.eu/[\w/.-]*eupl", "eupl"),
     ("artistic-2.0", r"artistic-2\.0", r"artistic\s+licen[sc]e,?\s*(?:version\s*|v\.?\s*)?2(?:\.0)?", "artistic", r"opensource\.org/licenses?/artistic-2\.0", "artistic"),
     ("artistic-1.0", r"artistic-1\.0", r"artistic\s+licen[sc]e,?\s*(?:version\s*|v\.?\s*)?1(?:\.0)?", "artistic", r"opensource\.org/licenses?/artistic-1\.0", "artistic"),
     ("bsl-1.0", r"bsl-1\.0", r"boost\s+software\s+licen[sc]e", "boost", r"boost\.org/license_1_0", "boost.org/license"),
     ("zlib", r"zlib", r"zlib(?:/libpng)?\s+licen[sc]e", "zlib", r"opensource\.org/licenses?/zlib", "zlib"),
     ("libpng", r"libpng(?:-2\.0)?", r"libpng\s+licen[sc]e", "libpng", r"libpng\.org/pub/png/[\w/]*license", "libpng.org"),
     ("unlicense", r"unlicense", r"(?:the\s+)?unlicense", "unlicense", r"unlicense\.org", "unlicense.org"),
-    ("wtfpl", r"wtfpl", r"do\s+what\s+the\s+f\w+\s+you\s+want\s+to\s+public\s+licen[sc]e", "do what the", r"wtfpl\.net", "wtfpl.net"),
+    ("wtfpl", r"wtfpl", r"do\s+what\s+the\s+f\w+\s+you\s+want\s+to\s+public\s+licen[sc]e", "what", r"wtfpl\.net", "wtfpl.net"),
     ("cc0-1.0", r"cc0-1\.0", r"(?:cc0(?:[\s-]+1\.0)?|creative\s+commons\s+zero)", "c", r"creativecommons\.org/publicdomain/zero", "creativecommons.org"),
     ("cc-by-4.0", r"cc-by-4\.0", r"(?:cc[\s-]by|creative\s+commons\s+attribution)[\s-]+(?:international\s+)?4\.0", "c", r"creativecommons\.org/licenses/by/4\.0", "creativecommons.org"),
     ("cc-by-3.0", r"cc-by-3\.0", r"(?:cc[\s-]by|creative\s+commons\s+attribution)[\s-]+(?:unported\s+)?3\.0", "c", r"creativecommons\.org/licenses/by/3\.0", "creativecommons.org"),
@@ -76,12 +76,12 @@ FAMILIES = (
     ("cc-by-nd-4.0", r"cc-by-nd-4\.0", r"(?:cc[\s-]by-nd|creative\s+commons\s+attribution-noderivatives)[\s-]+4\.0", "-n", r"creativecommons\.org/licenses/by-nd/4\.0", "creativecommons.org"),
     ("cc-by-nc-nd-4.0", r"cc-by-nc-nd-4\.0", r"(?:cc[\s-]by-nc-nd|creative\s+commons\s+attribution-noncommercial-noderivatives)[\s-]+4\.0", "-n", r"creativecommons\.org/licenses/by-nc-nd/4\.0", "creativecommons.org"),
     ("odbl-1.0", r"odbl-1\.0", r"open\s+(?:data(?:base)?\s+commons\s+open\s+)?database\s+licen[sc]e", "database", r"opendatacommons\.org/licenses/odbl", "opendatacommons.org"),
-    ("ofl-1.1", r"ofl-1\.1", r"(?:sil\s+)?open\s+font\s+licen[sc]e", "open font", r"scripts\.sil\.org/ofl", "scripts.sil.org"),
+    ("ofl-1.1", r"ofl-1\.1", r"(?:sil\s+)?open\s+font\s+licen[sc]e", "font", r"scripts\.sil\.org/ofl", "scripts.sil.org"),
     ("python-2.0", r"(?:python|psf)-2\.0", r"(?:python\s+software\s+foundation|psf)\s+licen[sc]e", "licen", r"docs\.python\.org/[\w./]*license", "docs.python.org"),
     ("postgresql", r"postgresql", r"postgresql\s+licen[sc]e", "postgresql", r"postgresql\.org/about/licen[sc]e", "postgresql.org"),
     ("ms-pl", r"ms-pl", r"microsoft\s+public\s+licen[sc]e", "microsoft", r"opensource\.org/licenses?/ms-pl", "ms-pl"),
-    ("busl-1.1", r"busl-1\.1", r"business\s+source\s+licen[sc]e", "business source", r"mariadb\.com/bsl", "mariadb.com"),
-    ("sspl-1.0", r"sspl-1\.0", r"server\s+side\s+public\s+licen[sc]e", "server side", r"mongodb\.com/licensing/server-side", "mongodb.com"),
+    ("busl-1.1", r"busl-1\.1", r"business\s+source\s+licen[sc]e", "business", r"mariadb\.com/bsl", "mariadb.com"),
+    ("sspl-1.0", r"sspl-1\.0", r"server\s+side\s+public\s+licen[sc]e", "server", r"mongodb\.com/licensing/server-side", "mongodb.com"),
 )
 
 #: Weaker signs: label, keyword, pattern.
@@ -93,14 +93,15 @@ CLUES = (
     ("mpl", "mozilla", r"mozilla\s+public\s+licen[sc]e"),
     ("epl", "eclipse", r"eclipse\s+public\s+licen[sc]e"),
     ("artistic", "artistic", r"artistic\s+licen[sc]e"),
-    ("creative-commons", "creative commons", r"creative\s+commons"),
-    ("public-domain", "public domain", r"(?:released|dedicated|placed)\s+(?:in)?to\s+the\s+public\s+domain"),
-    ("proprietary", "rights reserved", r"all\s+rights\s+reserved"),
+    ("creative-commons", "commons", r"creative\s+commons"),
+    ("public-domain", "domain", r"(?:released|dedicated|placed)\s+(?:in)?to\s+the\s+public\s+domain"),
+    ("proprietary", "reserved", r"all\s+rights\s+reserved"),
     ("proprietary", "proprietary", r"proprietary\s+and\s+confidential"),
 )
 
-#: Texts with none of these are not matched at all; each rule's matches hold one of them.
-GATES = ("licen", "spdx", "rights", "creative", "cc0", "cc by", "cc-by", "public domain", "proprietary", "opensource.org", "apache.org", "gnu.org", "mozilla.org", "eclipse.org", "joinup.ec", "boost.org", "libpng.org", "wtfpl", "postgresql.org", "mariadb.com", "mongodb.com", "scripts.sil.org", "spdx.org", "opendatacommons.org", "no attribution")
+#: Texts with none of these are not matched at all; each rule's matches hold one of them. Patterns take any white space
+#: between words, so gates and keywords are single words, or name each character that may stand between.
+GATES = ("licen", "spdx", "rights", "creative", "cc0", *(f"cc{c}by" for c in " \t\n\x0b\f\r-"), "domain", "proprietary", "opensource.org", "apache.org", "gnu.org", "mozilla.org", "eclipse.org", "joinup.ec", "boost.org", "libpng.org", "wtfpl", "postgresql.org", "mariadb.com", "mongodb.com", "scripts.sil.org", "spdx.org", "opendatacommons.org", "attribution")
 
 #: Score of the best detection by its priority.
 SCORES = {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.8, 5: 0.4}
