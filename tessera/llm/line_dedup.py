@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import plain_text, written
 
-#: Lines are near copies at one word inserted, deleted or replaced, if the longer has this many words (similarity 0.8).
+#: Lines are near copies at one word inserted, deleted or replaced, whatever their length, if the longer has this many words.
 LEAST_WORDS = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -154,6 +154,7 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines, also in one document, the earliest by (id, line number) stays. It goes too if an
     earlier line is within one word inserted, deleted or replaced and the longer of both has
     LEAST_WORDS words; that line may itself have gone for a still earlier one.
+    The bound doesn't grow with the line: two words changed in twenty are not near.
 
     Variants are hashes of a line without one word, emitted only for lines that share a half
     with another and only for words of the other half, which loses no pair. Partners come from
