@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.shared import fresh_path, shared_folder, written
 
-__all__ = ["cell_bits", "fresh_path", "n_spaced_words", "orderable", "plain_text", "running_total", "shared_folder", "top_bits", "written"]
+__all__ = ["cell_bits", "first_of_groups", "fresh_path", "n_spaced_words", "orderable", "plain_text", "running_total", "shared_folder", "top_bits", "written"]
 
 #: Rows that one cell of a range-cut order holds on average; a cell is the unit that one task sorts.
 ROWS_PER_CELL = 1024
@@ -69,3 +69,13 @@ def n_spaced_words(text: Column) -> Column:
     Every other character is dropped first, so the count is that of the starts of words.
     """
     return F.regexp_count(text, F.lit(SPACED_WORD)).cast("long")
+
+
+def first_of_groups(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each ``_group``; ``grouped`` has ``_id, _key, _group`` for each, ``_key`` being the xxhash64 of its text."""
+    mine = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))
+    stays = grouped.groupBy("_group").agg(F.min(mine).alias("_mine")).select("_mine")
+    mine = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(plain_text(text_col)).alias("key"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), mine.alias("_mine"))  # nested, so no name can clash
+    first = F.row_number().over(Window.partitionBy("_mine").orderBy(*orderable("_row", docs, text_col)))
+    return keyed.join(stays, "_mine", "left_semi").withColumn("_nth", first).where("_nth = 1").select("_row.*")

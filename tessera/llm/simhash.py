@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import orderable, plain_text, written
+from tessera.llm import shingle_dedup
+from tessera.llm.common import first_of_groups, plain_text, written
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -94,21 +95,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classed, "_print").select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 3, shingle: int = 3, seed: int = 42, similarity: float | None = None
+) -> DataFrame:
     """The rows of ``docs``, all their columns, that stand for their component: one each, that of the smallest id.
 
-    Null ids come after all others; of rows that share the smallest id, or repeat, the first by
-    a hash of the text and then by their other columns stays.
+    With a ``similarity``, texts link if the Jaccard similarity of their shingles reaches it, over
+    the signature of :mod:`tessera.llm.shingle_dedup`; else at ``most_bits`` bits of their
+    fingerprints. Null ids come after all others; of rows that share the smallest id, or repeat,
+    the first by a hash of the text and then by their other columns stays.
     """
+    if similarity is not None:
+        return shingle_dedup.drop_similar(docs, id_col, text_col, similarity, shingle, seed)
     prints, classed = _grouped(docs, id_col, text_col, most_bits, shingle, seed)
     return first_of_groups(docs, prints.join(classed, "_print"), id_col, text_col)
-
-
-def first_of_groups(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The row of ``docs`` with the smallest id of each ``_group``; ``grouped`` has ``_id, _key, _group`` for each, ``_key`` as in :func:`fingerprints`."""
-    mine = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))
-    stays = grouped.groupBy("_group").agg(F.min(mine).alias("_mine")).select("_mine")
-    mine = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(plain_text(text_col)).alias("key"))
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), mine.alias("_mine"))  # nested, so no name can clash
-    first = F.row_number().over(Window.partitionBy("_mine").orderBy(*orderable("_row", docs, text_col)))
-    return keyed.join(stays, "_mine", "left_semi").withColumn("_nth", first).where("_nth = 1").select("_row.*")

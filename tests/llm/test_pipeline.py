@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 from small import ODD, documents
-from test_simhash import components, plain_print
+from test_shingle_dedup import survivors
 
 from tessera.llm import mixing, packing, toxicity
 
@@ -50,8 +50,9 @@ def test_stages_match_plain_loops(spark, tmp_path):
     assert exact.columns == docs.columns and sorted(r.doc_id for r in exact.collect()) == sorted(largest.values())
 
     near = stages["near_dedup"](spark, exact, folder)
-    roots = components({i: plain_print(texts[i]) for i in largest.values()})
-    assert near.columns == docs.columns and sorted(r.doc_id for r in near.collect()) == sorted(set(roots.values()))
+    left = sorted(largest.values())
+    stays = [left[i] for i in survivors([texts[i] for i in left])]
+    assert near.columns == docs.columns and sorted(r.doc_id for r in near.collect()) == stays
 
     mixed = stages["mixing"](spark, near, folder)
     passes = {r.doc_id: r.passes for r in mixing.mix_sources(near).collect()}
