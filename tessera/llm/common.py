@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.shared import fresh_path, shared_folder, written
 
-__all__ = ["cell_bits", "first_of_groups", "fresh_path", "n_spaced_words", "orderable", "plain_text", "running_total", "shared_folder", "top_bits", "written"]
+__all__ = ["cell_bits", "first_of_groups", "fresh_path", "n_spaced_words", "orderable", "plain_text", "repeated", "running_total", "shared_folder", "top_bits", "written"]
 
 #: Rows that one cell of a range-cut order holds on average; a cell is the unit that one task sorts.
 ROWS_PER_CELL = 1024
@@ -58,6 +58,14 @@ def plain_text(column: str | Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` says, without that column; no array is longer than the root of the largest number."""
+    most = 1 << 16
+    pieces = df.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col(times) - 1, 16)))).where(F.col(times) > 0)
+    left = F.least(F.col(times) - F.col("_piece") * most, F.lit(most))
+    return pieces.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), left))).drop("_piece", "_copy", times)
+
+
 def orderable(row: str, docs: DataFrame, text_col: str) -> list[Column]:
     """The fields of a nested row that can be ordered, without the text."""
     return [F.col(row)[c] for c, kind in docs.dtypes if c != text_col and "map<" not in kind and "variant" not in kind] or [F.lit(0)]

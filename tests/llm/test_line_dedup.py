@@ -69,7 +69,7 @@ def test_matches_all_pairs(spark, vocabulary):
             lines.append(" ".join(line))
         texts.append("\n".join(lines))
     texts += ODD
-    got = {(r.doc, r.line): r.fate for r in mark_lines(documents(spark, texts)).collect()}
+    got = {(r.doc.id, r.line): r.fate for r in mark_lines(documents(spark, texts)).collect()}
     want = brute(list(enumerate(texts)))
     assert got == want and {"exact", "near", "kept"} <= set(want.values())
 
@@ -85,6 +85,43 @@ def test_cleaned_texts_and_counts(spark):
 
 def test_null_ids_and_empty_table(spark):
     docs = documents(spark, ["a b c d e", "a b c d x", "a b c d e"], ids=[None, 3, 3])
-    got = sorted((r.doc or -1, r.fate) for r in mark_lines(docs).collect())
+    got = sorted((r.doc.id or -1, r.fate) for r in mark_lines(docs).collect())
     assert got == [(-1, "kept"), (3, "exact"), (3, "near")]
     assert line_counts(docs.limit(0)).count() == 0 and line_counts(docs).count() == 3
+
+
+def test_rows_that_share_an_id_keep_what_only_they_have(spark):
+    texts = ["dup line alpha beta gamma", "unique one two three four", "dup line alpha beta gamma"]
+    docs = documents(spark, texts, ids=[1, 2, 2])
+    assert sorted((r.doc_id, r.text) for r in drop_repeated_lines(docs).collect()) == [(1, texts[0]), (2, ""), (2, texts[1])]
+    assert sorted((r.doc_id, r.n_exact, r.n_kept) for r in line_counts(docs).collect()) == [(1, 0, 1), (2, 0, 1), (2, 1, 0)]
+
+
+@pytest.mark.parametrize("own", [5, None])
+def test_repeated_rows_keep_their_lines_once(spark, own):
+    texts = ["same line here\n\nother", "same line here\n\nother", "same line here\n\nother", "  "]
+    docs = documents(spark, texts, sources=["b", "a", "c", "d"], ids=[own] * 4)
+    assert sorted((r.source, r.text) for r in drop_repeated_lines(docs).collect()) == [("a", texts[0]), ("b", ""), ("c", ""), ("d", "  ")]
+    assert sorted((r.n_lines, r.n_exact, r.n_kept, r.kept_lines) for r in line_counts(docs).collect()) == [(0, 0, 0, []), (2, 0, 2, [0, 2]), (2, 2, 0, []), (2, 2, 0, [])]
+
+
+def test_many_null_ids_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("line number "), F.col("id") % 3000).alias("text"), F.lit(1).alias("doc"), F.lit(2).alias("_row"), F.col("id").alias("line"))
+    clean = drop_repeated_lines(docs)
+    assert clean.columns == docs.columns and clean.where("text <> ''").count() == 3000
+    counts = line_counts(docs)
+    assert counts.count() == 9000 and counts.agg(F.sum("n_kept"), F.sum("n_exact")).first()[:] == (3000, 6000)
+
+
+def test_query_equals_its_sql(spark, duck, sf_dir):
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+    from compare import assert_same
+
+    from tessera.llm import queries
+
+    assert_same(queries.op1_line_dedup(spark, sf_dir), duck.execute(queries.ORACLE_SQL["op1_line_dedup"]))
