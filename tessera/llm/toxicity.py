@@ -1,36 +1,45 @@
-"""Toxicity: a linear-chain CRF tags toxic words; its marginals give document scores and offending offsets."""
+"""Toxicity: a linear-chain CRF tags toxic words; its marginals give document scores and offending offsets.
+
+Labels are per document, so the CRF learns from them as a whole: a document is clean if all its
+words are, and the forward algorithm gives the chance of that, P0. The likelihood of the labels is
+that of P0 for clean documents and of 1 - P0 for toxic ones; its gradient spreads over the words by
+the same marginals that tag them. Every word has features of its own and of both neighbours, so a
+word that clean texts hold too is told by its context, and words never seen by their parts.
+"""
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import plain_text, written
 
-#: Most labelled documents of each class that the tagger is fitted on.
-FIT_TOXIC, FIT_CLEAN = 4_000, 8_000
-#: Most candidate word features that are looked at, best supported first.
-FIT_FEATURES = 20_000
-#: Most distinct windows that the CRF is fitted on, the most frequent ones first.
-FIT_WINDOWS = 24_000
+#: Most labelled documents of each class that the tagger is fitted on, whole and with all their words.
+FIT_TOXIC, FIT_CLEAN = 3_000, 6_000
 FOLDS = 5
-PREFIXES = (3, 4, 5, 6, 7)
-WINDOW = 12
-#: Clean documents that may hold a candidate feature, for each toxic one.
-MOST_CLEAN = 0.1
-#: Toxic documents that a clean one offsets when features are chosen.
-CLEAN_COST = 10
-#: Chosen features that each toxic document should hold.
-COVERS = 4
 WORD = re.compile(r"\w+")
+#: Hashed features: this many of each kind. Kinds are the word, its first letters, its last letters, the word before, the word after.
+WIDTH = 1 << 16
+KINDS = 5
+HEAD, TAIL = 4, 3
+#: After the features: every word's constant, a text's first word, moves clean-toxic, toxic-clean and toxic-toxic.
+EXTRA = 5
+SIZE = KINDS * WIDTH + EXTRA
+#: Words of a chain when the weights are fitted; scores come from whole texts.
+WINDOW = 256
+#: Share of labels taken to be wrong, which bounds what one document can pull.
+NOISE = 0.05
+STEPS, RATE, RIDGE = 40, 0.3, 0.2
+#: Partitions of the bounded sample.
+PARTS = 8
 
 
 def held_out(id_column: Column) -> Column:
@@ -38,183 +47,149 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def word_features(word: str) -> list[str]:
-    """A word's own feature, then its proper prefixes, longest first."""
+def word_features(word: str) -> tuple[int, int, int]:
+    """Hashed features of a word in any case: itself, its first and its last letters."""
     low = word.lower()
-    return ["=" + low] + [low[:k] + "-" for k in reversed(PREFIXES) if len(low) > k]
+    return tuple(kind * WIDTH + xxhash.xxh32_intdigest(part.encode("utf-8", "surrogatepass"), kind) % WIDTH for kind, part in enumerate((low, low[:HEAD], low[-TAIL:])))
 
 
 @dataclass(frozen=True)
 class Tagger:
-    """Feature numbers from 1, CRF weights (states: 0 clean, 1 toxic) and the document-level logistic weights."""
+    """CRF weights (features, then EXTRA) and the document-level logistic weights; ``known`` is False without labels of both classes."""
 
-    features: dict[str, int]
-    start: np.ndarray
-    moves: np.ndarray
-    emit: np.ndarray
+    theta: np.ndarray
     logistic: np.ndarray
-
-    def numbers(self) -> _Numbers:
-        return _Numbers(self.features)
+    known: bool = True
 
 
-class _Numbers(dict):
-    """Word -> number of its first known feature, 0 for none; remembers words it has seen, up to a bound."""
+class _Words(dict):
+    """Word -> place in ``own``, ``before`` and ``after``: what a word gives itself and its neighbours."""
 
-    def __init__(self, features: dict[str, int], most: int = 500_000):
+    def __init__(self, theta: np.ndarray, most: int = 1 << 19):
         super().__init__()
-        self.features, self.most = features, most
+        self.theta = theta
+        self.own, self.before, self.after = (np.zeros(most) for _ in range(3))
 
     def __missing__(self, word: str) -> int:
-        number = next((self.features[f] for f in word_features(word) if f in self.features), 0)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = number
-        return number
-
-
-def crf_marginals(numbers: list[int], start: np.ndarray, moves: np.ndarray, emit: np.ndarray) -> list[tuple[int, float]]:
-    """``(position, P(toxic))`` of the words that have a feature, by the forward-backward algorithm.
-
-    Runs of words without features share one step matrix, whose powers stand for the run, so
-    the marginals are those of the whole text at a cost in the words that have features.
+        n = len(self)
+        if n >= len(self.own):
+            raise OverflowError("more words than places; clear before a text")
+        features = word_features(word)
+        self.own[n] = self.theta[list(features)].sum()
+        self.before[n] = self.theta[3 * WIDTH + features[0]]  # as the word before another
+        self.after[n] = self.theta[4 * WIDTH + features[0]]
+        self[word] = n
+        return n
+
+
+def chains(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(p, log_p0, at, forward)`` of chains laid end to end, none empty, by the forward-backward algorithm.
+
+    Scores are those of toxic over clean: ``emit`` of each word, ``moves`` of the first word,
+    clean-toxic, toxic-clean and toxic-toxic; clean words and moves between them have none. ``p``
+    are the marginals and ``log_p0`` the logarithms of each chain's chance that all its words are
+    clean. All chains take a step at once: places are sorted by word number, longest chains first.
     """
-    at = [i for i, k in enumerate(numbers) if k]
-    if not at:
-        return []
-    step = np.exp(moves) * np.exp(emit[0])[None, :]
-    values, vectors = np.linalg.eig(step)
-    values, vectors = values.real, vectors.real
-    inverse, top = np.linalg.inv(vectors), values.max()
-
-    def run(n: int) -> np.ndarray:
-        """n plain words in a row, up to a common factor."""
-        return vectors @ np.diag((values / top) ** n) @ inverse
-
-    forward, gaps = [], [at[0]] + [b - a - 1 for a, b in zip(at, at[1:], strict=False)] + [len(numbers) - at[-1] - 1]
-    for n, i in enumerate(at):
-        own = np.exp(emit[numbers[i]])
-        if n == 0 and gaps[0] == 0:
-            v = np.exp(start) * own
-        elif n == 0:
-            v = (np.exp(start + emit[0]) @ run(gaps[0] - 1)) @ np.exp(moves) * own
+    first, ct, tc, tt = np.exp(np.clip(moves, -30, 30))
+    total, order = int(lengths.sum()), np.argsort(-lengths, kind="stable")
+    rank = np.empty(len(lengths), dtype=np.int64)
+    rank[order] = np.arange(len(lengths))
+    longest = int(lengths.max())
+    alive = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(longest), side="right")
+    begins = np.concatenate(([0], np.cumsum(alive)))
+    starts = np.cumsum(lengths) - lengths
+    at = begins[np.arange(total) - np.repeat(starts, lengths)] + np.repeat(rank, lengths)
+    e = np.empty(total)
+    e[at] = np.exp(np.clip(emit, -30, 30))
+    forward, norms, back = np.empty(total), np.empty(total), np.empty(total)
+    a = None
+    for t in range(longest):
+        place = slice(begins[t], begins[t + 1])
+        if t == 0:
+            toxic, norm = first * e[place], 1.0
         else:
-            v = forward[-1] @ run(gaps[n]) @ np.exp(moves) * own
-        forward.append(v / v.sum())
-    b = run(gaps[-1]) @ np.ones(2)
-    out = []
-    for n in range(len(at) - 1, -1, -1):
-        p = forward[n] * b
-        out.append((at[n], float(p[1] / p.sum())))
-        b = run(gaps[n]) @ (np.exp(moves) @ (np.exp(emit[numbers[at[n]]]) * b))
-        b = b / b.sum()
-    return out[::-1]
-
-
-def document_features(marginals: list[tuple[int, float]]) -> list[float]:
+            a = a[: alive[t]]
+            norm = 1 - a + a * tc
+            toxic = ((1 - a) * ct + a * tt) * e[place]
+        norm = norm + toxic
+        a = toxic / norm
+        forward[place], norms[place] = a, norm
+    b = np.full(alive[0], 0.5)  # share of the toxic state in what follows
+    back[begins[longest - 1] :] = 0.5
+    for t in range(longest - 2, -1, -1):
+        n = alive[t + 1]
+        toxic = b[:n] * e[begins[t + 1] : begins[t + 2]]
+        clean = 1 - b[:n]
+        now, other = tc * clean + tt * toxic, clean + ct * toxic
+        b[:n] = now / (now + other)
+        back[begins[t] : begins[t + 1]] = b[: alive[t]]
+    p = forward * back / (forward * back + (1 - forward) * (1 - back))
+    return p[at], -np.add.reduceat(np.log(norms)[at], starts), at, np.stack((forward, back, e))
+
+
+def crf_marginals(emit: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """P(toxic) of each word of one text."""
+    return chains(np.asarray(emit, dtype=np.float64), np.array([len(emit)]), np.asarray(moves, dtype=np.float64))[0] if len(emit) else np.zeros(0)
+
+
+def _shifted(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each word has as its neighbour before and after; -1 at a text's ends."""
+    before, after = np.roll(values, 1), np.roll(values, -1)
+    ends = np.cumsum(lengths)
+    before[ends - lengths], after[ends - 1] = -1, -1
+    return before, after
+
+
+def label_gradient(word: np.ndarray, head: np.ndarray, tail: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log likelihood of the documents' labels and its gradient; no document is empty."""
+    before, after = _shifted(word, lengths)
+    has_before, has_after = before >= 0, after >= 0
+    before, after = before + 3 * WIDTH, after + 4 * WIDTH
+    extra = theta[KINDS * WIDTH :]
+    emit = theta[word] + theta[head] + theta[tail] + extra[0]
+    emit[has_before] += theta[before[has_before]]
+    emit[has_after] += theta[after[has_after]]
+    pieces = -(-lengths // WINDOW)
+    of = np.repeat(np.arange(len(lengths)), pieces)
+    cut = np.full(len(of), WINDOW, dtype=np.int64)
+    cut[np.cumsum(pieces) - 1] = lengths - (pieces - 1) * WINDOW
+    p, log_p0, at, (forward, back, e) = chains(emit, cut, extra[1:])
+    p0 = np.exp(np.bincount(of, weights=log_p0, minlength=len(lengths)))
+    right = np.where(toxic == 1, NOISE + (1 - 2 * NOISE) * (1 - p0), NOISE + (1 - 2 * NOISE) * p0)
+    pull = np.where(toxic == 1, 1.0, -1.0) * (1 - 2 * NOISE) * p0 / right
+    each = np.repeat(pull, lengths)
+    g = p * each
+    out = np.zeros(SIZE)
+    for f, w in ((word, g), (head, g), (tail, g), (before[has_before], g[has_before]), (after[has_after], g[has_after])):
+        out += np.bincount(f, weights=w, minlength=SIZE)
+    starts = np.cumsum(cut) - cut
+    inner = np.ones(len(g), dtype=bool)
+    inner[starts] = False
+    later = np.flatnonzero(inner)
+    a, toxic_next = forward[at[later - 1]], e[at[later]] * back[at[later]]
+    clean_next = 1 - back[at[later]]
+    _, ct, tc, tt = np.exp(np.clip(extra[1:], -30, 30))
+    parts = np.stack(((1 - a) * clean_next, (1 - a) * ct * toxic_next, a * tc * clean_next, a * tt * toxic_next))
+    out[KINDS * WIDTH :] = [g.sum(), g[starts].sum(), *((parts[1:] / parts.sum(axis=0)) @ each[later])]
+    return float(np.log(right).sum()), out
+
+
+def document_features(p: np.ndarray) -> list[float]:
     """Constant, largest marginal and the logarithm of one plus their sum."""
-    probabilities = [p for _, p in marginals]
-    return [1.0, max(probabilities, default=0.0), math.log1p(sum(probabilities))]
-
+    return [1.0, float(p.max(initial=0.0)), float(np.log1p(p.sum()))]
 
-def fit_crf(
-    windows: list[list[int]], tags: list[list[int]], n_features: int, weights: list[float] | None = None, rounds: int = 200, rate: float = 0.2, ridge: float = 1e-3
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, move and emission weights that maximise the windows' conditional likelihood (Adam on exact gradients).
 
-    ``weights`` say how often each window counts.
-    """
-    longest = max(map(len, windows))
-    x = np.zeros((len(windows), longest), dtype=np.int64)
-    y = np.zeros_like(x)
-    on = np.zeros((len(windows), longest), dtype=bool)
-    for i, (w, t) in enumerate(zip(windows, tags, strict=True)):
-        x[i, : len(w)], y[i, : len(w)], on[i, : len(w)] = w, t, True
-    often = np.ones(len(windows)) if weights is None else np.asarray(weights, dtype=np.float64)
-    cells = n_features + 1
-    size = 2 + 4 + 2 * cells
-    theta, first, second = np.zeros(size), np.zeros(size), np.zeros(size)
-
-    def parts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return v[:2], v[2:6].reshape(2, 2), v[6:].reshape(cells, 2)
-
-    every = np.broadcast_to(often[:, None], x.shape)
-    both = on[:, 1:]
-    seen = np.concatenate(
-        (
-            np.bincount(y[:, 0], weights=often, minlength=2),
-            np.bincount((2 * y[:, :-1] + y[:, 1:])[both], weights=every[:, 1:][both], minlength=4),
-            np.bincount((2 * x + y)[on], weights=every[on], minlength=2 * cells),
-        )
-    )
-    for r in range(1, rounds + 1):
-        s, m, e = parts(theta)
-        psi = np.exp(e)[x]
-        step = np.exp(m)
-        alpha = np.zeros((*x.shape, 2))
-        for t in range(longest):
-            a = np.exp(s)[None, :] * psi[:, 0] if t == 0 else (alpha[:, t - 1] @ step) * psi[:, t]
-            a = np.where(on[:, t, None], a, alpha[:, t - 1] if t else 1)
-            alpha[:, t] = a / a.sum(axis=1, keepdims=True)
-        beta = np.ones((*x.shape, 2))
-        moved = np.zeros((2, 2))
-        for t in range(longest - 1, 0, -1):
-            right = psi[:, t] * beta[:, t]
-            pair = alpha[:, t - 1][:, :, None] * step[None] * right[:, None, :]
-            pair = pair * (often * on[:, t] / pair.sum(axis=(1, 2)))[:, None, None]
-            moved += pair.sum(axis=0)
-            b = right @ step.T
-            beta[:, t - 1] = np.where(on[:, t, None], b / b.sum(axis=1, keepdims=True), beta[:, t])
-        p = alpha * beta
-        p = p / p.sum(axis=2, keepdims=True) * every[:, :, None]
-        emitted = [np.bincount(x[on], weights=p[:, :, tag][on], minlength=cells) for tag in (0, 1)]
-        expected = np.concatenate((p[:, 0].sum(axis=0), moved.ravel(), np.stack(emitted, axis=1).ravel()))
-        gradient = (seen - expected) / often.sum() - ridge * theta
-        first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
-        theta = theta + rate * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.999**r)) + 1e-8)
-    return parts(theta)
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, often: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
-    """Newton steps on the ridge logistic likelihood; ``often`` counts equal rows, and the classes weigh the same."""
-    total = often.sum()
-    weight = often * np.where(y == 1, 0.5 / max(1, often[y == 1].sum()), 0.5 / max(1, often[y == 0].sum())) * total
-    theta = np.zeros(x.shape[1])
+def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-1) -> np.ndarray:
+    """Newton steps on the ridge logistic likelihood; the constant isn't held."""
+    theta, held = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+    held[0, 0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (weight * (y - p)) - ridge * theta
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(theta))
-        theta = theta + np.linalg.solve(curve, gradient)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + held, x.T @ (y - p) - held @ theta)
+        theta = theta + step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
     return theta
 
 
-def choose_features(documents: list[tuple[int, list[str]]], clean: dict[str, int], least: int) -> list[str]:
-    """Greedy cover of the toxic documents by candidate features, each document COVERS times.
-
-    Those with most toxic documents come first, less CLEAN_COST for each clean one; of equal
-    ones whole words and long prefixes come before short ones. A feature is taken if ``least``
-    documents still want one and it isn't the same word's as one already taken.
-    """
-    holders: dict[str, set[int]] = {}
-    for i, fs in documents:
-        for f in fs:
-            holders.setdefault(f, set()).add(i)
-    covers: Counter = Counter()
-    chosen: list[str] = []
-    stems: dict[str, list[str]] = {}  # by first letters, to compare related features only
-    for f in sorted(holders, key=lambda f: (CLEAN_COST * clean[f] - len(holders[f]), f[0] != "=", -len(f), f)):
-        own, stem = holders[f], f.strip("=-")
-        if sum(covers[i] < COVERS for i in own) < least:
-            continue
-        near = stems.setdefault(stem[: min(PREFIXES)], [])
-        if any((o.startswith(stem) or stem.startswith(o)) and len(own - (holders.get("=" + o, set()) | holders.get(o + "-", set()))) < least for o in near):
-            continue
-        chosen.append(f)
-        near.append(stem)
-        covers.update(own)
-    return chosen
-
-
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, seed: int) -> DataFrame:
     """``_id, _text, _toxic``: at most FIT_TOXIC toxic and FIT_CLEAN clean labelled documents that aren't held out, distinct texts."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(F.col(id_col)))
@@ -225,100 +200,138 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return texts.groupBy("_text").agg(F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic"))
 
 
-def _feature_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashed features of every word of the sampled documents that have any."""
+    known: dict[str, tuple[int, int, int]] = {}
     for b in batches:
-        toxic, clean = Counter(), Counter()
-        for text, label in zip(b["_text"], b["_toxic"], strict=True):
-            (toxic if label else clean).update({f for w in set(WORD.findall(text)) for f in word_features(w)})
-        names = list(toxic.keys() | clean.keys())
-        yield pd.DataFrame({"feature": names, "pos": [toxic[f] for f in names], "neg": [clean[f] for f in names]})
+        toxic, columns = [], ([], [], [])
+        for text, label in zip(b.column("_text").to_pylist(), b.column("_toxic").to_pylist(), strict=True):
+            words = WORD.findall(text)
+            if len(known) > 500_000:
+                known.clear()
+            found = [known.get(w) or known.setdefault(w, word_features(w)) for w in words]
+            if found:
+                toxic.append(label)
+                for column, values in zip(columns, np.array(found, dtype=np.int32).T, strict=True):
+                    column.append(values)
+        yield pa.RecordBatch.from_arrays([pa.array(toxic, type=pa.int32()), *(pa.array(c, type=pa.list_(pa.int32())) for c in columns)], names=["toxic", "word", "head", "tail"])
+
+
+def fit_crf(featured: DataFrame, steps: int = STEPS, rate: float = RATE, ridge: float = RIDGE) -> np.ndarray:
+    """Weights that maximise the labels' likelihood less a ridge (Adam); each step is one job over the written features.
+
+    Executors add up their documents' gradients, so what reaches the driver is one vector a
+    partition, whatever the texts' lengths.
+    """
+    theta, first, second = np.zeros(SIZE), np.zeros(SIZE), np.zeros(SIZE)
+    theta[KINDS * WIDTH] = -6.0
+    held = np.full(SIZE, ridge)
+    held[KINDS * WIDTH :] = 0.0
+    for r in range(1, steps + 1):
+
+        def step(batches: Iterator[pa.RecordBatch], theta: np.ndarray = theta) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(SIZE)
+            for b in batches:
+                lists = [b.column(name) for name in ("word", "head", "tail")]
+                if b.num_rows:
+                    lengths = np.diff(lists[0].offsets.to_numpy())
+                    out += label_gradient(*(x.flatten().to_numpy().astype(np.int64) for x in lists), lengths.astype(np.int64), b.column("toxic").to_numpy(), theta)[1]
+            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()])], names=["gradient"])
+
+        parts = featured.mapInArrow(step, "gradient binary").collect()
+        gradient = np.sum([np.frombuffer(x["gradient"], dtype=np.float32) for x in parts], axis=0, dtype=np.float64) - held * theta
+        first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
+        theta = theta + rate * (1 - (r - 1) / steps) * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.999**r)) + 1e-6)
+    return theta
 
 
 def fit_tagger(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 42) -> Tagger:
     """Learns the tagger from labelled rows that aren't held out.
 
-    Labels are per document, so word labels come first: features (words and prefixes) whose
-    document counts mark toxic texts, reduced to a greedy cover, tag the words of toxic texts.
-    The CRF is fitted on windows around tagged words and on as many of clean texts; then the
-    logistic weights on the documents' marginals. Counting and scoring run on executors, the
-    fits on the driver over a sample bounded by FIT_TOXIC, FIT_CLEAN, FIT_FEATURES and FIT_WINDOWS. Without
-    labels of both classes the tagger knows no feature and scores every text alike.
+    The CRF is fitted on all words of at most FIT_TOXIC toxic and FIT_CLEAN clean documents, then
+    the logistic weights on their marginals. Texts, features and gradients stay on executors.
+    Without labels of both classes the tagger scores every text alike.
     """
-    sample = written(training_sample(docs, labels, id_col, text_col, label_col, seed), "sample")
+    sample = written(training_sample(docs, labels, id_col, text_col, label_col, seed).repartition(PARTS, F.xxhash64("_text")), "sample")
     totals = {r["_toxic"]: r["n"] for r in sample.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    unknown = Tagger({}, np.zeros(2), np.zeros((2, 2)), np.zeros((1, 2)), np.array([math.log((toxic + 0.5) / (clean + 0.5)) if toxic + clean else -1.0, 0.0, 0.0]))
     if not toxic or not clean:
-        return unknown
-    least = max(3, math.ceil(0.003 * toxic))
-    counts = sample.mapInPandas(_feature_counts, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    odds = F.log((F.col("pos") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(clean + 1.0))
-    marked = counts.where((F.col("pos") >= least) & (odds > 3) & (F.col("neg") <= MOST_CLEAN * F.col("pos")))
-    clean_counts = {r["feature"]: r["neg"] for r in marked.orderBy(F.desc("pos"), "feature").limit(FIT_FEATURES).collect()}
-    names = list(clean_counts)
-    candidates = {f: i for i, f in enumerate(names)}
-
-    def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "found": [sorted({candidates[f] for w in set(WORD.findall(t)) for f in word_features(w) if f in candidates}) for t in b["_text"]]})
-
-    kind = sample.schema["_id"].dataType.simpleString()
-    holding = sample.where("_toxic = 1").select("_id", "_text").mapInPandas(present, f"_id {kind}, found array<int>").select("found").collect()
-    holders = [(i, [names[n] for n in r["found"]]) for i, r in enumerate(holding)]
-    features = {f: i + 1 for i, f in enumerate(choose_features(holders, clean_counts, least))}
-    if not features:
-        return unknown
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Numbers(features)
-        for b in batches:
-            out = []
-            for text, label in zip(b["_text"], b["_toxic"], strict=True):
-                numbers = [known[w] for w in WORD.findall(text)]
-                hits = [i for i, k in enumerate(numbers) if k]
-                middles = [i for n, i in enumerate(hits) if n == 0 or i - hits[n - 1] > WINDOW] or [len(numbers) // 2]
-                for i in middles:
-                    part = numbers[max(0, i - WINDOW) : i + WINDOW + 1]
-                    if part:
-                        out.append((part, [int(bool(k) and bool(label)) for k in part]))
-            yield pd.DataFrame(out, columns=["x", "y"])
-
-    # Most windows of clean texts are alike, so distinct ones with their numbers are few.
-    pieces = sample.select("_text", "_toxic").mapInPandas(cut, "x array<int>, y array<int>").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    pieces = pieces.orderBy(F.desc("n"), "x", "y").limit(FIT_WINDOWS).collect()
-    start, moves, emit = fit_crf([list(r["x"]) for r in pieces], [list(r["y"]) for r in pieces], len(features), [r["n"] for r in pieces])
-    tagger = Tagger(features, start, moves, emit, np.zeros(3))
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = tagger.numbers()
-        for b in batches:
-            rows = [document_features(crf_marginals([known[w] for w in WORD.findall(t)], start, moves, emit)) for t in b["_text"]]
-            yield pd.DataFrame({"x": rows, "y": b["_toxic"]})
-
-    points = sample.select("_text", "_toxic").mapInPandas(measure, "x array<double>, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
-    order = sorted((tuple(r["x"]), r["y"], r["n"]) for r in points)
-    x, y, often = (np.array(c, dtype=np.float64) for c in zip(*order, strict=True))
-    return Tagger(features, start, moves, emit, fit_logistic(x, y, often))
+        return Tagger(np.zeros(SIZE), np.array([np.log((toxic + 0.5) / (clean + 0.5)) if toxic + clean else -1.0, 0.0, 0.0]), known=False)
+    featured = written(sample.select("_text", "_toxic").mapInArrow(_featured, "toxic int, word array<int>, head array<int>, tail array<int>"), "featured")
+    tagger = Tagger(fit_crf(featured), np.zeros(3))
+    measured = sample.select("_toxic", _measured(tagger, F.col("_text"))["features"].alias("x")).collect()  # FIT_TOXIC + FIT_CLEAN rows at most
+    order = sorted((tuple(r["x"]), r["_toxic"]) for r in measured)
+    x, y = (np.array(c, dtype=np.float64) for c in zip(*order, strict=True))
+    return Tagger(tagger.theta, fit_logistic(x, y))
+
+
+#: Words of texts that are tagged together.
+_TOGETHER = 1_000_000
+_SPANS = "array<struct<start:int,end:int,probability:double>>"
+
+
+def tagged(texts: list[str], tagger: Tagger, words: _Words) -> Iterator[tuple[list[float], list[tuple[int, int, float]]]]:
+    """Document features and the spans of words with a marginal of 0.5 or more, for each text."""
+    held: list[tuple[str, np.ndarray]] = []
+
+    def flush() -> Iterator[tuple[list[float], list[tuple[int, int, float]]]]:
+        full = [(t, n) for t, n in held if len(n)]
+        marginals: list[np.ndarray] = []
+        if full:
+            numbers, lengths = np.concatenate([n for _, n in full]), np.array([len(n) for _, n in full])
+            before, after = _shifted(numbers, lengths)
+            extra = tagger.theta[KINDS * WIDTH :]
+            emit = words.own[numbers] + np.where(before >= 0, words.before[before], 0.0) + np.where(after >= 0, words.after[after], 0.0) + extra[0]
+            marginals = np.split(chains(emit, lengths, extra[1:])[0], np.cumsum(lengths)[:-1])
+        each = iter(marginals)
+        for text, n in held:
+            p = next(each) if len(n) else np.zeros(0)
+            hits = set(np.flatnonzero(p >= 0.5).tolist())
+            yield document_features(p), [(m.start(), m.end(), float(p[i])) for i, m in enumerate(WORD.finditer(text)) if i in hits] if hits else []
+        held.clear()
+
+    size = 0
+    for text in texts:
+        found = WORD.findall(text)
+        if len(words) + len(found) > len(words.own):
+            yield from flush()
+            size = 0
+            words.clear()
+            if len(found) > len(words.own):
+                words.own, words.before, words.after = (np.zeros(len(found)) for _ in range(3))
+        held.append((text, np.fromiter(map(words.__getitem__, found), dtype=np.int64, count=len(found))))
+        size += len(found)
+        if size >= _TOGETHER:
+            yield from flush()
+            size = 0
+    yield from flush()
+
+
+def _measured(tagger: Tagger, text: Column) -> Column:
+    """``features, spans`` of each text as a struct column; only the text goes to Python."""
+
+    @F.pandas_udf(f"features array<double>, spans {_SPANS}")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words = _Words(tagger.theta)
+        for texts in batches:
+            yield pd.DataFrame(list(tagged(texts.tolist(), tagger, words)), columns=["features", "spans"])
+
+    return run(text)
 
 
 def toxicity_of(tagger: Tagger, text: Column) -> Column:
-    """``score, spans`` of each text as a struct column; only the text goes to Python."""
+    """``score, spans`` of each text as a struct column."""
+    weights = [float(w) for w in tagger.logistic]
+    if not tagger.known:
+        return F.struct(F.lit(float(1 / (1 + np.exp(-weights[0])))).alias("score"), F.array().cast(_SPANS).alias("spans"))
 
-    @F.pandas_udf("score double, spans array<struct<start:int,end:int,probability:double>>")
+    @F.pandas_udf(f"score double, spans {_SPANS}")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = tagger.numbers()
+        words = _Words(tagger.theta)
         for texts in batches:
-            scores, spans = [], []
-            for t in texts:
-                words = WORD.findall(t)
-                marginals = []
-                if any(map(known.__getitem__, words)):
-                    marginals = crf_marginals([known[w] for w in words], tagger.start, tagger.moves, tagger.emit)
-                z = float(np.dot(tagger.logistic, document_features(marginals)))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-                tagged = {i: p for i, p in marginals if p >= 0.5}
-                spans.append([(m.start(), m.end(), tagged[i]) for i, m in enumerate(WORD.finditer(t)) if i in tagged] if tagged else [])
-            yield pd.DataFrame({"score": scores, "spans": spans})
+            rows = list(tagged(texts.tolist(), tagger, words))
+            z = np.clip(np.array([r[0] for r in rows]).reshape(-1, 3) @ np.array(weights), -30, 30)
+            yield pd.DataFrame({"score": 1 / (1 + np.exp(-z)), "spans": [r[1] for r in rows]})
 
     return run(text)
 
@@ -328,7 +341,7 @@ def score_toxicity(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text
 
     ``score`` (0 to 1) comes from the marginals of the whole text and ``predicted`` is 1 from
     0.5 on; ``spans`` are ``start, end, probability`` in characters of the words whose marginal
-    is 0.5 or more. A null text is empty; empty texts and those without known features get the
+    is 0.5 or more. A null text is empty; empty texts get the
     score of no evidence. Repeated rows are scored each; an empty table gives no rows. Only
     text enters a score. Nothing is shuffled.
     """

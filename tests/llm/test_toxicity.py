@@ -10,44 +10,73 @@ import pytest
 from small import ODD, documents
 
 from tessera.llm import toxicity
-from tessera.llm.toxicity import Tagger, crf_marginals, drop_toxic, fit_crf, fit_tagger, score_toxicity
+from tessera.llm.toxicity import Tagger, chains, crf_marginals, drop_toxic, fit_tagger, label_gradient, score_toxicity, tagged, word_features
 
 
-def by_enumeration(numbers, start, moves, emit):
-    """Marginals from all tag sequences."""
-    total, toxic = 0.0, np.zeros(len(numbers))
-    for tags in itertools.product((0, 1), repeat=len(numbers)):
-        w = start[tags[0]] + sum(moves[a, b] for a, b in itertools.pairwise(tags)) + sum(emit[k, t] for k, t in zip(numbers, tags, strict=True))
-        total += math.exp(w)
-        toxic += np.array(tags) * math.exp(w)
-    return toxic / total
+def by_enumeration(emit, moves):
+    """Marginals and the chance that all are clean, from all tag sequences."""
+    first, ct, tc, tt = moves
+    score = {(0, 0): 0.0, (0, 1): ct, (1, 0): tc, (1, 1): tt}
+    total, toxic, clean = 0.0, np.zeros(len(emit)), 0.0
+    for tags in itertools.product((0, 1), repeat=len(emit)):
+        w = math.exp(first * tags[0] + sum(score[x] for x in itertools.pairwise(tags)) + float(np.dot(emit, tags)))
+        total += w
+        toxic += np.array(tags) * w
+        clean += w * (not any(tags))
+    return toxic / total, clean / total
 
 
-@pytest.mark.parametrize("numbers", [[1], [0, 1], [1, 0], [0, 0, 2, 0, 0, 0, 1, 1, 0], [2, 1, 0, 0, 2], [0, 0, 0]])
-def test_marginals_are_exact(numbers):
+def test_marginals_are_exact():
     rng = np.random.default_rng(3)
-    start, moves, emit = rng.normal(size=2), rng.normal(size=(2, 2)), rng.normal(size=(3, 2))
-    want = by_enumeration(numbers, start, moves, emit)
-    got = crf_marginals(numbers, start, moves, emit)
-    assert [i for i, _ in got] == [i for i, k in enumerate(numbers) if k]
-    for i, p in got:
-        assert p == pytest.approx(want[i])
+    texts = [rng.normal(size=n) for n in (3, 1, 9, 9, 2, 6)]
+    moves = rng.normal(size=4)
+    p, log_p0, *_ = chains(np.concatenate(texts), np.array([len(t) for t in texts]), moves)
+    want = [by_enumeration(t, moves) for t in texts]
+    assert p == pytest.approx(np.concatenate([w for w, _ in want]))
+    assert np.exp(log_p0) == pytest.approx([c for _, c in want])
+    assert crf_marginals(texts[2], moves) == pytest.approx(want[2][0]) and len(crf_marginals(np.zeros(0), moves)) == 0
 
 
 def test_long_texts_stay_finite():
-    rng = np.random.default_rng(1)
-    numbers = [0] * 50_000
-    numbers[10] = numbers[40_000] = 1
-    got = crf_marginals(numbers, np.zeros(2), np.array([[1.0, -1], [0, 0]]), np.array([[0.0, -2], [-2, 3]]))
-    assert len(got) == 2 and all(0 < p < 1 for _, p in got) and rng is not None
-
-
-def test_fit_learns_tags():
-    x = [[0, 1, 0], [0, 0, 0], [1, 1], [0, 2, 0]] * 20
-    y = [[0, 1, 0], [0, 0, 0], [1, 1], [0, 0, 0]] * 20
-    start, moves, emit = fit_crf(x, y, 2)
-    marginals = dict(crf_marginals([0, 1, 0, 2, 0], start, moves, emit))
-    assert marginals[1] > 0.8 and marginals[3] < 0.2
+    emit = np.full(50_000, -6.0)
+    emit[[10, 40_000]] = 700.0
+    p = crf_marginals(emit, np.array([0.5, -1, 0.3, 2]))
+    assert np.isfinite(p).all() and p[10] > 0.99 and p[40_000] > 0.99 and p[20_000] < 0.01
+
+
+def test_words_outside_training_are_scored_as_enumerated():
+    """Texts of words that no fit has seen: the tagger's emissions, taken word by word, give its marginals."""
+    rng = np.random.default_rng(5)
+    tagger = Tagger(rng.normal(scale=0.5, size=toxicity.SIZE), np.zeros(3))
+    extra = tagger.theta[toxicity.KINDS * toxicity.WIDTH :]
+    for text in ("one", "Never Heard of, this!", "a a a b ü"):
+        words = toxicity.WORD.findall(text)
+        own = [word_features(w) for w in words]
+        emit = [extra[0] + sum(tagger.theta[f] for f in own[i]) for i in range(len(words))]
+        for i in range(len(words)):
+            emit[i] += (tagger.theta[3 * toxicity.WIDTH + own[i - 1][0]] if i else 0) + (tagger.theta[4 * toxicity.WIDTH + own[i + 1][0]] if i + 1 < len(words) else 0)
+        want, _ = by_enumeration(np.array(emit), extra[1:])
+        ((features, spans),) = tagged([text], tagger, toxicity._Words(tagger.theta))
+        assert features == pytest.approx([1.0, want.max(), math.log1p(want.sum())])
+        assert [(text[a:b], p) for a, b, p in spans] == [(w, pytest.approx(x)) for w, x in zip(words, want, strict=True) if x >= 0.5]
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    texts = [["bad", "word", "here"], ["fine"], ["more", "bad", "bad", "text"], ["clean", "word"] * 150]
+    own = [np.array([word_features(w) for w in t]) for t in texts]
+    word, head, tail = np.concatenate(own).T
+    lengths, toxic = np.array([len(t) for t in texts]), np.array([1, 0, 1, 0])
+    theta = rng.normal(scale=0.3, size=toxicity.SIZE)
+    theta[toxicity.KINDS * toxicity.WIDTH] = -2.5
+    _, gradient = label_gradient(word, head, tail, lengths, toxic, theta)
+    at = [int(word[0]), int(head[1]), int(tail[0]), int(word[0]) + 3 * toxicity.WIDTH, int(word[5]) + 4 * toxicity.WIDTH, *range(toxicity.KINDS * toxicity.WIDTH, toxicity.SIZE)]
+    for k in at:
+        high, low = theta.copy(), theta.copy()
+        high[k] += 1e-5
+        low[k] -= 1e-5
+        slope = (label_gradient(word, head, tail, lengths, toxic, high)[0] - label_gradient(word, head, tail, lengths, toxic, low)[0]) / 2e-5
+        assert gradient[k] == pytest.approx(slope, rel=1e-4, abs=1e-7)
 
 
 BAD = ["slurry", "vexing", "grimble", "grimblong"]
@@ -67,9 +96,15 @@ def corpus(spark, n=600, seed=1):
     return documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), [x for *_, x in labels]
 
 
-def test_held_out_rows_are_told_apart(spark):
+@pytest.fixture(scope="module")
+def learned(spark):
     docs, labels, toxic = corpus(spark)
-    rows = score_toxicity(docs, fit_tagger(docs, labels)).collect()
+    return docs, labels, toxic, fit_tagger(docs, labels)
+
+
+def test_held_out_rows_are_told_apart(learned):
+    docs, _, toxic, tagger = learned
+    rows = score_toxicity(docs, tagger).collect()
     out = [r for r in rows if r.held_out]
     assert {r.doc_id for r in out} == {i for i in range(len(toxic)) if zlib.crc32(str(i).encode()) % 5 == 0}
     assert np.mean([r.predicted == toxic[r.doc_id] for r in out]) > 0.97
@@ -85,9 +120,29 @@ def test_held_out_labels_teach_nothing(spark):
     assert a == b
 
 
-def test_spans_point_at_words(spark):
-    docs, labels, toxic = corpus(spark)
-    tagger = fit_tagger(docs, labels)
+def test_context_tells_toxic_from_clean_uses(spark):
+    """"viper" occurs in as many clean texts; it is toxic only after "you"."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 7))) for _ in range(200)]
+    texts, labels = [], []
+    for i in range(600):
+        t, toxic = [rng.choice(words) for _ in range(60)], i % 2
+        for at in rng.sample(range(0, 58, 2), 2):
+            t[at : at + 2] = ["you" if toxic else rng.choice(["the", "green", "a"]), "viper"]
+        at = rng.randrange(0, 58)
+        t[at] = "you"  # "you" alone means nothing either
+        texts.append(" ".join(t))
+        labels.append((i, 1, toxic))
+    docs, marks = documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    tagger = fit_tagger(docs, marks)
+    rows = [r for r in score_toxicity(docs, tagger).collect() if r.held_out]
+    assert np.mean([r.predicted == r.doc_id % 2 for r in rows]) > 0.9
+    a, b = score_toxicity(documents(spark, ["moria you viper lane", "moria the viper lane"]), tagger).collect()
+    assert a.score > b.score and "moria you viper lane"[a.spans[0].start : a.spans[-1].end].startswith(("you", "viper")) and not b.spans
+
+
+def test_spans_point_at_words(spark, learned):
+    docs, labels, toxic, tagger = learned
     text = "İ fine, GRIMBLE here — vexing."
     row = score_toxicity(documents(spark, [text]), tagger).first()
     assert [text[s.start : s.end] for s in row.spans] == ["GRIMBLE", "vexing"]
@@ -96,13 +151,12 @@ def test_spans_point_at_words(spark):
     assert len(clean - kept) == 0 and len(kept - clean) <= 0.02 * len(toxic)
 
 
-def test_odd_texts_and_missing_labels(spark):
-    docs, labels, _ = corpus(spark, 300)
-    tagger = fit_tagger(docs, labels)
+def test_odd_texts_and_missing_labels(spark, learned):
+    docs, labels, _, tagger = learned
     rows = score_toxicity(documents(spark, ODD, ids=[None, *range(1, len(ODD))]), tagger).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score < 0.5 and r.predicted == 0 for r in rows)
     assert score_toxicity(docs.limit(0), tagger).count() == 0
     nothing = fit_tagger(docs, labels.limit(0))
-    assert isinstance(nothing, Tagger) and not nothing.features
+    assert isinstance(nothing, Tagger) and not nothing.known
     assert all(r.predicted == 0 for r in score_toxicity(docs, nothing).collect())
     assert drop_toxic(docs.withColumn("score", docs.doc_id), tagger).columns == [*docs.columns, "score"]
