@@ -26,13 +26,14 @@ from tessera.llm.common import plain_text, written
 FIT_TOXIC, FIT_CLEAN = 3_000, 6_000
 FOLDS = 5
 WORD = re.compile(r"\w+")
-#: Hashed features: this many of each kind. Kinds are the word, its first letters, its last letters, the word before, the word after.
-WIDTH = 1 << 16
-KINDS = 5
+#: Numbers of hashed features: the word, its first letters, its last letters, the word before, the word after. Weights are
+#: 32-bit floats, so that with the code they stay below the megabyte up to which a task carries them itself.
+WIDTHS = (1 << 16, 1 << 14, 1 << 14, 1 << 15, 1 << 15)
+AT = tuple(sum(WIDTHS[:k]) for k in range(len(WIDTHS) + 1))  # where each kind begins, and the end
 HEAD, TAIL = 4, 3
 #: After the features: every word's constant, a text's first word, moves clean-toxic, toxic-clean and toxic-toxic.
 EXTRA = 5
-SIZE = KINDS * WIDTH + EXTRA
+SIZE = AT[-1] + EXTRA
 #: Words of a chain when the weights are fitted; scores come from whole texts.
 WINDOW = 256
 #: Share of labels taken to be wrong, which bounds what one document can pull.
@@ -50,7 +51,7 @@ def held_out(id_column: Column) -> Column:
 def word_features(word: str) -> tuple[int, int, int]:
     """Hashed features of a word in any case: itself, its first and its last letters."""
     low = word.lower()
-    return tuple(kind * WIDTH + xxhash.xxh32_intdigest(part.encode("utf-8", "surrogatepass"), kind) % WIDTH for kind, part in enumerate((low, low[:HEAD], low[-TAIL:])))
+    return tuple(AT[k] + xxhash.xxh32_intdigest(part.encode("utf-8", "surrogatepass"), k) % WIDTHS[k] for k, part in enumerate((low, low[:HEAD], low[-TAIL:])))
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,7 @@ class _Words(dict):
 
     def __init__(self, theta: np.ndarray, most: int = 1 << 19):
         super().__init__()
-        self.theta = theta
+        self.theta = theta.astype(np.float64)
         self.own, self.before, self.after = (np.zeros(most) for _ in range(3))
 
     def __missing__(self, word: str) -> int:
@@ -76,8 +77,8 @@ class _Words(dict):
             raise OverflowError("more words than places; clear before a text")
         features = word_features(word)
         self.own[n] = self.theta[list(features)].sum()
-        self.before[n] = self.theta[3 * WIDTH + features[0]]  # as the word before another
-        self.after[n] = self.theta[4 * WIDTH + features[0]]
+        self.before[n] = self.theta[AT[3] + features[0] % WIDTHS[3]]  # as the word before another
+        self.after[n] = self.theta[AT[4] + features[0] % WIDTHS[4]]
         self[word] = n
         return n
 
@@ -144,8 +145,8 @@ def label_gradient(word: np.ndarray, head: np.ndarray, tail: np.ndarray, lengths
     """Log likelihood of the documents' labels and its gradient; no document is empty."""
     before, after = _shifted(word, lengths)
     has_before, has_after = before >= 0, after >= 0
-    before, after = before + 3 * WIDTH, after + 4 * WIDTH
-    extra = theta[KINDS * WIDTH :]
+    before, after = AT[3] + before % WIDTHS[3], AT[4] + after % WIDTHS[4]
+    extra = theta[AT[-1] :]
     emit = theta[word] + theta[head] + theta[tail] + extra[0]
     emit[has_before] += theta[before[has_before]]
     emit[has_after] += theta[after[has_after]]
@@ -170,7 +171,7 @@ def label_gradient(word: np.ndarray, head: np.ndarray, tail: np.ndarray, lengths
     clean_next = 1 - back[at[later]]
     _, ct, tc, tt = np.exp(np.clip(extra[1:], -30, 30))
     parts = np.stack(((1 - a) * clean_next, (1 - a) * ct * toxic_next, a * tc * clean_next, a * tt * toxic_next))
-    out[KINDS * WIDTH :] = [g.sum(), g[starts].sum(), *((parts[1:] / parts.sum(axis=0)) @ each[later])]
+    out[AT[-1] :] = [g.sum(), g[starts].sum(), *((parts[1:] / parts.sum(axis=0)) @ each[later])]
     return float(np.log(right).sum()), out
 
 
@@ -224,13 +225,13 @@ def fit_crf(featured: DataFrame, steps: int = STEPS, rate: float = RATE, ridge:
     partition, whatever the texts' lengths.
     """
     theta, first, second = np.zeros(SIZE), np.zeros(SIZE), np.zeros(SIZE)
-    theta[KINDS * WIDTH] = -6.0
+    theta[AT[-1]] = -6.0
     held = np.full(SIZE, ridge)
-    held[KINDS * WIDTH :] = 0.0
+    held[AT[-1] :] = 0.0
     for r in range(1, steps + 1):
 
-        def step(batches: Iterator[pa.RecordBatch], theta: np.ndarray = theta) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(SIZE)
+        def step(batches: Iterator[pa.RecordBatch], sent: np.ndarray = theta.astype(np.float32)) -> Iterator[pa.RecordBatch]:
+            out, theta = np.zeros(SIZE), sent.astype(np.float64)
             for b in batches:
                 lists = [b.column(name) for name in ("word", "head", "tail")]
                 if b.num_rows:
@@ -242,7 +243,7 @@ def fit_crf(featured: DataFrame, steps: int = STEPS, rate: float = RATE, ridge:
         gradient = np.sum([np.frombuffer(x["gradient"], dtype=np.float32) for x in parts], axis=0, dtype=np.float64) - held * theta
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         theta = theta + rate * (1 - (r - 1) / steps) * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.999**r)) + 1e-6)
-    return theta
+    return theta.astype(np.float32)
 
 
 def fit_tagger(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 42) -> Tagger:
@@ -256,7 +257,7 @@ def fit_tagger(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     totals = {r["_toxic"]: r["n"] for r in sample.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
-        return Tagger(np.zeros(SIZE), np.array([np.log((toxic + 0.5) / (clean + 0.5)) if toxic + clean else -1.0, 0.0, 0.0]), known=False)
+        return Tagger(np.zeros(SIZE, dtype=np.float32), np.array([np.log((toxic + 0.5) / (clean + 0.5)) if toxic + clean else -1.0, 0.0, 0.0]), known=False)
     featured = written(sample.select("_text", "_toxic").mapInArrow(_featured, "toxic int, word array<int>, head array<int>, tail array<int>"), "featured")
     tagger = Tagger(fit_crf(featured), np.zeros(3))
     measured = sample.select("_toxic", _measured(tagger, F.col("_text"))["features"].alias("x")).collect()  # FIT_TOXIC + FIT_CLEAN rows at most
@@ -280,7 +281,7 @@ def tagged(texts: list[str], tagger: Tagger, words: _Words) -> Iterator[tuple[li
         if full:
             numbers, lengths = np.concatenate([n for _, n in full]), np.array([len(n) for _, n in full])
             before, after = _shifted(numbers, lengths)
-            extra = tagger.theta[KINDS * WIDTH :]
+            extra = words.theta[AT[-1] :]
             emit = words.own[numbers] + np.where(before >= 0, words.before[before], 0.0) + np.where(after >= 0, words.after[after], 0.0) + extra[0]
             marginals = np.split(chains(emit, lengths, extra[1:])[0], np.cumsum(lengths)[:-1])
         each = iter(marginals)

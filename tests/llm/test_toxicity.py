@@ -48,13 +48,13 @@ def test_words_outside_training_are_scored_as_enumerated():
     """Texts of words that no fit has seen: the tagger's emissions, taken word by word, give its marginals."""
     rng = np.random.default_rng(5)
     tagger = Tagger(rng.normal(scale=0.5, size=toxicity.SIZE), np.zeros(3))
-    extra = tagger.theta[toxicity.KINDS * toxicity.WIDTH :]
+    extra = tagger.theta[toxicity.AT[-1] :]
     for text in ("one", "Never Heard of, this!", "a a a b ü"):
         words = toxicity.WORD.findall(text)
         own = [word_features(w) for w in words]
         emit = [extra[0] + sum(tagger.theta[f] for f in own[i]) for i in range(len(words))]
         for i in range(len(words)):
-            emit[i] += (tagger.theta[3 * toxicity.WIDTH + own[i - 1][0]] if i else 0) + (tagger.theta[4 * toxicity.WIDTH + own[i + 1][0]] if i + 1 < len(words) else 0)
+            emit[i] += (tagger.theta[toxicity.AT[3] + own[i - 1][0] % toxicity.WIDTHS[3]] if i else 0) + (tagger.theta[toxicity.AT[4] + own[i + 1][0] % toxicity.WIDTHS[4]] if i + 1 < len(words) else 0)
         want, _ = by_enumeration(np.array(emit), extra[1:])
         ((features, spans),) = tagged([text], tagger, toxicity._Words(tagger.theta))
         assert features == pytest.approx([1.0, want.max(), math.log1p(want.sum())])
@@ -68,9 +68,9 @@ def test_gradient_is_that_of_the_likelihood():
     word, head, tail = np.concatenate(own).T
     lengths, toxic = np.array([len(t) for t in texts]), np.array([1, 0, 1, 0])
     theta = rng.normal(scale=0.3, size=toxicity.SIZE)
-    theta[toxicity.KINDS * toxicity.WIDTH] = -2.5
+    theta[toxicity.AT[-1]] = -2.5
     _, gradient = label_gradient(word, head, tail, lengths, toxic, theta)
-    at = [int(word[0]), int(head[1]), int(tail[0]), int(word[0]) + 3 * toxicity.WIDTH, int(word[5]) + 4 * toxicity.WIDTH, *range(toxicity.KINDS * toxicity.WIDTH, toxicity.SIZE)]
+    at = [int(word[0]), int(head[1]), int(tail[0]), toxicity.AT[3] + int(word[0]) % toxicity.WIDTHS[3], toxicity.AT[4] + int(word[5]) % toxicity.WIDTHS[4], *range(toxicity.AT[-1], toxicity.SIZE)]
     for k in at:
         high, low = theta.copy(), theta.copy()
         high[k] += 1e-5
