@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.sequences import BASES, array_sum, floats, log10_bin, reverse_complement, reversed_di, reversed_mono, unpack, windows, word_code
+from tessera.functions.sequences import BASES, array_sum, flanked, floats, log10_bin, reverse_complement, reversed_di, reversed_mono, unpack, windows, word_code
 from tessera.operators.filters import region_quality
 from tessera.operators.joins import fill_ins
 
@@ -102,25 +102,50 @@ def scored_windows(probes: DataFrame, modes: Sequence[Mode], key: str = "seq", k
     return rows.select(key, *keep, "mode", F.floor(F.col("_i") / 2).cast("int").alias("pos"), F.when(F.col("_i") % 2 == 0, "+").otherwise("-").alias("strand"), "score")
 
 
-def shape_log_scores(probes: DataFrame, mode: Mode, shape: DataFrame, left: str, right: str, key: str = "seq") -> DataFrame:
-    """``key, pos, strand, log``: window log scores with shape weights; two bases of flank on each side complete the pentamers.
+def _shape_rows(shape: DataFrame, features: Sequence[str]) -> DataFrame:
+    """One row: per feature the values of all 1024 pentamers by code, and those of their reverse complements."""
+    listed = []
+    for word, name in ((F.col("pentamer"), "f"), (reverse_complement("pentamer"), "r")):
+        for i, feature in enumerate(features):
+            own = F.sort_array(F.collect_list(F.when(F.col("feature") == feature, F.struct(word_code(word, 5).alias("code"), F.col("value").alias("value")))))
+            listed.append(F.transform(own, lambda x: x["value"]).alias(f"_{name}{i}"))
+    return shape.groupBy().agg(*listed)
 
-    ``shape(pentamer, feature, value)`` has 1024 rows per feature, so it joins by a broadcast
-    whose size is bounded.
+
+def shape_window_logs(probes: DataFrame, mode: Mode, shape: DataFrame, left: str, right: str, key: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
+    """``key, *keep, logs``: per window the log scores ``forward, reverse`` with shape weights, made inside the row.
+
+    Two bases of flank on each side complete the pentamers; ``shape(pentamer, feature, value)``
+    has a value for each of the 1024 pentamers and features and is one row of arrays to each task.
     """
-    full = F.concat(F.lit(left[len(left) - 2 :]), F.col(key), F.lit(right[:2]))
+    rows = probes.select(key, *keep, flanked(key, left, right, 2).alias("_full")).crossJoin(F.broadcast(_shape_rows(shape, list(mode.shape))))
+    codes = F.transform(windows("_full", 5), lambda w: word_code(w, 5))
+    rows = rows.withColumn("_codes", codes)
+
+    def of(i: Column, reverse: bool) -> Column:
+        logs = _window_log(F.col(key), i + 1, mode.k, *((reversed_mono(mode.mono), reversed_di(mode.di) if mode.di else ()) if reverse else (mode.mono, mode.di)))
+        for f, weights in enumerate(mode.shape.values()):
+            values = F.col(f"_{'r' if reverse else 'f'}{f}")
+            for p, w in enumerate(weights):
+                logs = logs + F.lit(float(w)) * F.get(values, F.get("_codes", i + (mode.k - 1 - p if reverse else p)))
+        return logs
+
     n = F.length(key) - mode.k + 1
-    rows = probes.select(key).where(n >= 1).withColumn("pos", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
-    part = F.substr(full, F.col("pos") + 1, F.lit(mode.k + 4))
-    rows = rows.withColumn("_part", F.when(F.col("strand") == "+", part).otherwise(reverse_complement(part)))
-    rows = rows.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(mode.k - 1)))).withColumn("pentamer", F.substr(F.col("_part"), F.col("_p") + 1, F.lit(5)))
-    weights = None
-    for name, values in mode.shape.items():
-        weights = F.when(F.col("feature") == name, F.element_at(floats(values), F.col("_p") + 1)) if weights is None else weights.when(F.col("feature") == name, F.element_at(floats(values), F.col("_p") + 1))
-    joined = rows.join(F.broadcast(shape), "pentamer")
-    extra = joined.groupBy(key, "pos", "strand", "_part").agg(F.sum(weights * F.col("value")).alias("_shape"))
-    core = F.substr(F.col("_part"), F.lit(3), F.lit(mode.k))
-    return extra.select(key, "pos", "strand", (F.col("_shape") + _window_log(core, F.lit(1), mode.k, mode.mono, mode.di)).alias("log"))
+    starts = F.when(n >= 1, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return rows.select(key, *keep, F.transform(starts, lambda i: F.struct(of(i, False).alias("forward"), of(i, True).alias("reverse"))).alias("logs"))
+
+
+def shape_log_scores(probes: DataFrame, mode: Mode, shape: DataFrame, left: str, right: str, key: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
+    """``key, *keep, pos, strand, log``: the log scores of :func:`shape_window_logs`, a row for each window and strand."""
+    rows = shape_window_logs(probes, mode, shape, left, right, key, keep).select(key, *keep, F.posexplode("logs").alias("pos", "_l"))
+    both = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("_l.forward").alias("log")), F.struct(F.lit("-").alias("strand"), F.col("_l.reverse").alias("log"))))
+    return rows.select(key, *keep, "pos", both.alias("_b")).select(key, *keep, "pos", "_b.*")
+
+
+def shape_score(probes: DataFrame, mode: Mode, shape: DataFrame, left: str, right: str, key: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
+    """``key, *keep, score``: sum of both strands' window scores with shape weights; repeated probes come back each."""
+    total = F.aggregate("logs", F.lit(0.0), lambda t, x: t + F.exp(x["forward"]) + F.exp(x["reverse"]))
+    return shape_window_logs(probes, mode, shape, left, right, key, keep).select(key, *keep, total.alias("score"))
 
 
 def genome_scan(contigs: DataFrame, mode: Mode, chrom: str = "chrom", start: str = "pos_start", seq: str = "seq", only: Sequence[str] | None = None) -> DataFrame:
@@ -140,29 +165,27 @@ def genome_scan(contigs: DataFrame, mode: Mode, chrom: str = "chrom", start: str
 def long_probe_score(seq: str | Column, mode: Mode, nonspecific: float) -> Column:
     """ln of all window scores plus the non-specific score of each window."""
     s = F.col(seq) if isinstance(seq, str) else seq
-    scores = window_scores(s, mode)
-    return F.ln(array_sum(scores) + F.size(scores) / 2 * F.exp(F.lit(float(nonspecific))))
+    return F.ln(probe_score(s, [mode]) + F.greatest(F.length(s) - mode.k + 1, F.lit(0)) * F.exp(F.lit(float(nonspecific))))
 
 
-def feature_gradient(probes: DataFrame, mode: Mode, key: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
-    """``key, *keep, feature, g``: derivative of the probe's score by each position-base weight (number 4 * position + base)."""
-    s = F.col(key)
-    n = F.length(s) - mode.k + 1
-    starts = F.explode(F.sequence(F.lit(1), n)).alias("_i")
-    rows = probes.where(n >= 1).select(key, *keep, starts)
-    word = F.substr(s, F.col("_i"), F.lit(mode.k))
-    both = rows.select(key, *keep, F.explode(F.array(word, reverse_complement(word))).alias("_w"))
-    both = both.withColumn("_kappa", F.exp(_window_log(F.col("_w"), F.lit(1), mode.k, mode.mono, mode.di)))
-    features = F.explode(F.array(*[_base(F.col("_w"), F.lit(p + 1)) - 1 + 4 * p for p in range(mode.k)])).alias("feature")
-    return both.select(key, *keep, "_kappa", features).groupBy(key, *keep, "feature").agg(F.sum("_kappa").alias("g"))
+def score_gradient(seq: str | Column, mode: Mode) -> Column:
+    """Derivatives of a probe's score by each position-base weight, as an array (number 4 * position + base)."""
+    words = windows(seq, mode.k)
+    scored = F.transform(F.concat(words, F.transform(words, reverse_complement)), lambda w: F.struct(w.alias("w"), F.exp(_window_log(w, F.lit(1), mode.k, mode.mono, mode.di)).alias("s")))
+    zero = F.array_repeat(F.lit(0.0), 4 * mode.k)
+
+    def add(total: Column, x: Column) -> Column:
+        hits = F.array(*[_base(x["w"], F.lit(p + 1)) - 1 for p in range(mode.k)])
+        return F.transform(total, lambda t, i: t + F.when(F.get(hits, F.floor(i / 4).cast("int")) == i % 4, x["s"]).otherwise(0.0))
+
+    return F.aggregate(scored, zero, add)
 
 
 def library_scan(words: DataFrame, mode: Mode, left: str, right: str, errors: Sequence[float], key: str = "kmer") -> DataFrame:
     """``key, score, error``: each word between fixed flanks; the error is the root of the sum of (gradient * weight error) squared."""
-    framed = words.select(key, F.concat(F.lit(left), F.col(key), F.lit(right)).alias("_full"))
-    each = F.element_at(floats(errors), F.col("feature") + 1)
-    error = feature_gradient(framed, mode, "_full", [key]).groupBy(key).agg(F.sqrt(F.sum((F.col("g") * each) * (F.col("g") * each))).alias("error"))
-    return framed.select(key, probe_score("_full", [mode]).alias("score")).join(error, key)
+    full = F.concat(F.lit(left), F.col(key), F.lit(right))
+    terms = F.zip_with(score_gradient(full, mode), floats(errors), lambda g, e: (g * e) * (g * e))
+    return words.select(key, probe_score(full, [mode]).alias("score"), F.sqrt(F.aggregate(terms, F.lit(0.0), lambda t, x: t + x)).alias("error"))
 
 
 def universe(spark, length: int) -> DataFrame:
@@ -179,6 +202,23 @@ def background(seq: str | Column, weights: Sequence[float]) -> Column:
     return total
 
 
+def word_background(seq: str | Column, weights: Sequence[float], k: int, left: str = "", right: str = "") -> Column:
+    """Log weight of a word under weights of all words of length ``k``, by code, over flank, word and flank."""
+    s = F.col(seq) if isinstance(seq, str) else seq
+    return _table_sum(F.concat(F.lit(left), s, F.lit(right)), k, floats(weights))
+
+
+def background_gradient(probes: DataFrame, universe: DataFrame, weights: Sequence[float], k: int, left: str = "", right: str = "", seq: str = "seq", n: str = "n") -> DataFrame:
+    """``kmer, observed, gradient``: reads times the words' mean number under the background, less what the probes hold."""
+    full = F.concat(F.lit(left), F.col(seq), F.lit(right))
+    observed = probes.select(F.explode(windows(full, k)).alias("kmer"), n).groupBy("kmer").agg(F.sum(n).cast("bigint").alias("observed"))
+    weighed = universe.select(F.exp(word_background(seq, weights, k, left, right)).alias("_w"), full.alias("_full"))
+    expected = weighed.select("_w", F.explode(windows("_full", k)).alias("kmer")).groupBy("kmer").agg(F.sum("_w").alias("_e"))
+    z, reads = weighed.agg(F.sum("_w").alias("_z")), probes.agg(F.sum(n).alias("_n"))
+    both = expected.join(observed, "kmer", "left").crossJoin(F.broadcast(z)).crossJoin(F.broadcast(reads))  # one row each
+    return both.select("kmer", F.coalesce("observed", F.lit(0)).alias("observed"), (F.col("_n") * F.col("_e") / F.col("_z") - F.coalesce("observed", F.lit(0))).alias("gradient"))
+
+
 def partition_function(words: DataFrame, p0: Column, score: Column) -> DataFrame:
     """``z``: sum of background probability times score."""
     return words.agg(F.sum(p0 * score).alias("z"))
@@ -237,14 +277,14 @@ def simplex_bins(scores: DataFrame, a: str, b: str, c: str, steps: int) -> DataF
 
 
 def shape_profile(probes: DataFrame, mode: Mode, shape: DataFrame, left: str, right: str, low: float, width: float, last_bin: int, key: str = "seq") -> DataFrame:
-    """``bin, offset, feature, value``: mean shape along the best window, by bin of log10 score; bins past ``last_bin`` join it."""
+    """``bin, offset, feature, value``: mean shape along the best window (the first of those equal to nine places), by bin of log10 score; bins past ``last_bin`` join it."""
     full = F.concat(F.lit(left[len(left) - 2 :]), F.col(key), F.lit(right[:2]))
-    scores = probes.select(key, full.alias("_full"), window_scores(key, mode).alias("_s")).withColumn("_best", F.array_position("_s", F.array_max("_s")) - 1)
+    scores = probes.select(key, full.alias("_full"), F.transform(window_scores(key, mode), lambda x: F.round(x, 9)).alias("_s")).withColumn("_best", F.array_position("_s", F.array_max("_s")) - 1)
     pos, reverse = F.floor(F.col("_best") / 2).cast("int"), F.col("_best") % 2 == 1
     part = F.substr(F.col("_full"), pos + 1, F.lit(mode.k + 4))
     rows = scores.select(F.least(log10_bin(array_sum("_s"), low, width), F.lit(last_bin)).alias("bin"), F.when(reverse, reverse_complement(part)).otherwise(part).alias("_part"))
     rows = rows.select("bin", F.posexplode(windows("_part", 5)).alias("offset", "pentamer"))
-    return rows.join(F.broadcast(shape), "pentamer").groupBy("bin", "offset", "feature").agg(F.avg("value").alias("value"))
+    return rows.join(shape, "pentamer").groupBy("bin", "offset", "feature").agg(F.avg("value").alias("value"))
 
 
 def reads_by_density(probes: DataFrame, energy: Column, top: float, width: float, n: str = "n") -> DataFrame:

@@ -20,9 +20,11 @@ def count_kmers(df: DataFrame, k: int, seq: str = "seq", weight: str | None = No
     made = df.select(*by, F.explode(windows(seq, k)).alias("kmer"), *([weight] if weight else []))
     if filters:
         made = made.where(kmer_verdict("kmer", **filters))
-    if both_strands:
-        made = made.withColumn("kmer", F.explode(F.array("kmer", reverse_complement("kmer"))))
-    return made.groupBy(*by, "kmer").agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("bigint").alias("n"))
+    counted = made.groupBy(*by, "kmer").agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("bigint").alias("n"))
+    if not both_strands:
+        return counted
+    turned = counted.select(*by, F.explode(F.array("kmer", reverse_complement("kmer"))).alias("kmer"), "n")  # the distinct words only
+    return turned.groupBy(*by, "kmer").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def count_anchored(df: DataFrame, k: int, offset: int, seq: str = "seq", weight: str | None = None) -> DataFrame:

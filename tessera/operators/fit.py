@@ -219,7 +219,7 @@ class _Curvature:
         return two_loop(g, self.pairs)
 
 
-def slbfgs(problem: FiniteSum, start: np.ndarray, rate: float = 0.3, share: float = 0.2, hessian_share: float = 0.5, epochs: int = 3, per_epoch: int = 6, period: int = 2, memory: int = 5, epsilon: float = 1e-5) -> Fit:
+def stochastic_lbfgs(problem: FiniteSum, start: np.ndarray, rate: float = 0.3, share: float = 0.2, hessian_share: float = 0.5, epochs: int = 3, per_epoch: int = 6, period: int = 2, memory: int = 5, epsilon: float = 1e-5) -> Fit:
     """Stochastic L-BFGS: variance-reduced gradients times a curvature estimate from batches."""
     w, curvature = np.asarray(start, dtype=np.float64), _Curvature(problem, hessian_share, period, memory)
     step, passes, trace = 0, 0.0, []
@@ -238,7 +238,7 @@ def slbfgs(problem: FiniteSum, start: np.ndarray, rate: float = 0.3, share: floa
     return _finished(problem, w, step, passes + curvature.passes, trace)
 
 
-def slbfgs_ksvrg(problem: FiniteSum, start: np.ndarray, rate: float = 0.3, k: int = 3, sub_epochs: int = 3, per_epoch: int = 4, period: int = 2, hessian_share: float = 0.5, memory: int = 5) -> Fit:
+def stochastic_lbfgs_blocks(problem: FiniteSum, start: np.ndarray, rate: float = 0.3, k: int = 3, sub_epochs: int = 3, per_epoch: int = 4, period: int = 2, hessian_share: float = 0.5, memory: int = 5) -> Fit:
     """Stochastic L-BFGS steps on k2-SVRG gradients."""
     curvature = _Curvature(problem, hessian_share, period, memory)
     fit = ksvrg(problem, start, rate, 1 / (k * per_epoch), sub_epochs, per_epoch, k, curvature.direction)
@@ -246,15 +246,21 @@ def slbfgs_ksvrg(problem: FiniteSum, start: np.ndarray, rate: float = 0.3, k: in
     return fit
 
 
-def fit_background(universe: DataFrame, sums: Sequence[float], reads: float, start: np.ndarray | None = None, epsilon: float = 1e-5, steps: int = 20) -> Fit:
-    """Log-linear background over base counts: mean of ln Z - theta . X / N. ``sums`` X come from one pass over the probes."""
+def fit_background(
+    universe: DataFrame, sums: Sequence[float], reads: float, start: np.ndarray | None = None, epsilon: float = 1e-5, steps: int = 20, k: int = 1, left: str = "", right: str = ""
+) -> Fit:
+    """Log-linear background over words of length ``k`` and the flanks: mean of ln Z - theta . X / N.
+
+    ``sums`` X, in the order of the words' codes, come from one pass over the probes.
+    """
     x = np.asarray(sums, dtype=np.float64) / reads
+    model = LogLinear(k, left, right)
 
     def many(thetas):
-        z = evaluate(universe, LogLinear(), thetas)
+        z = evaluate(universe, model, thetas)
         return [(float(np.log(z[i].loss) - t @ x), z[i].grad / z[i].loss - x) for i, t in enumerate(thetas)]
 
-    return lbfgs(many, np.zeros(4) if start is None else start, epsilon=epsilon, steps=steps)
+    return lbfgs(many, np.zeros(4**k) if start is None else start, epsilon=epsilon, steps=steps)
 
 
 def fit_affinity(probes: DataFrame, universe: DataFrame, model: AffinityModel, start: np.ndarray, ridge: float = 1e-3, active: np.ndarray | None = None, steps: int = 8) -> Fit:
@@ -303,8 +309,3 @@ def progressive_modes(probes: DataFrame, universe: DataFrame, lengths: Sequence[
         done.append((f"modes 1 to {count}", fit := fit_affinity(probes, universe, model, start, ridge, None, steps)))
         own, rest = fit.theta[:-1], fit.theta[-1]
     return done
-
-
-def variance_with_finite_population(bundle: Bundle, rows: float) -> np.ndarray:
-    """Variance of a batch's mean gradient scaled by the part of the rows that it leaves out."""
-    return bundle.variances()[1] * (rows - bundle.n) / rows

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.sequences import windows
+from tessera.functions.sequences import pack, windows, word_code
 from tessera.operators.counts import count_kmers
 from tessera.operators.joins import with_prefix_counts
 
@@ -18,10 +18,12 @@ def kmax(df: DataFrame, threshold: int = 100, longest: int = 15, seq: str = "seq
     All lengths are counted in one pass. With none failing it is ``longest - 1``, as k = longest
     is only ever a failing length.
     """
-    ks = F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("k")
-    rows = df.select(seq, ks, *([weight] if weight else []))
-    word = F.explode(F.transform(F.sequence(F.lit(1), F.length(seq) - F.col("k") + 1), lambda i: F.substr(F.col(seq), i, F.col("k"))))
-    counted = rows.where(F.length(seq) >= F.col("k")).select("k", word.alias("kmer"), *([weight] if weight else [])).groupBy("k", "kmer").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
+
+    def of_length(k: int) -> Column:
+        return F.transform(windows(seq, k), lambda w: F.struct(F.lit(k).alias("k"), w.alias("kmer")))
+
+    every = F.flatten(F.array(*[of_length(k) for k in range(1, longest + 1)]))
+    counted = df.select(F.explode(every).alias("_w"), *([weight] if weight else [])).groupBy("_w.k", "_w.kmer").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     lowest = counted.groupBy("k").agg(F.min("n").alias("lowest"))
     return lowest.agg((F.coalesce(F.min(F.when(F.col("lowest") <= threshold, F.col("k"))), F.lit(longest)) - 1).cast("int").alias("kmax"))
 
@@ -45,22 +47,48 @@ def division_model(longer: DataFrame, shorter: DataFrame | None) -> DataFrame:
     return joined.select("kmer", "n", F.try_divide(F.col("n") / F.col("_total"), F.col("n_prefix") / F.col("_rest")).alias("p"))
 
 
+#: Models up to this length are one row of 4**m chances that every task holds (1 MB at most); longer ones are joined.
+TABLE_LENGTH = 8
+
+
+def _as_row(model: DataFrame, m: int) -> DataFrame:
+    """``_p, _share``: a model's chances as arrays by word code, 0 where it has none."""
+    filled = model.sparkSession.range(4**m).join(model.select(pack("kmer").alias("id"), "p", "share"), "id", "left")
+    zero = F.lit(0.0)
+    listed = filled.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("p", zero).alias("p"), F.coalesce("share", zero).alias("share")))).alias("_m"))  # 4**m rows
+    return listed.select(F.transform("_m", lambda x: x["p"]).alias("_p"), F.transform("_m", lambda x: x["share"]).alias("_share"))
+
+
 def model_probability(words: DataFrame, model: DataFrame, m: int, key: str = "seq", keep: Sequence[str] = (), left_flank: str | None = None) -> DataFrame:
-    """``key, *keep, p``: chance of each word under a model of words of length ``m``.
+    """``key, *keep, p``: chance of each word under a model of words of length ``m``; repeated words come back each.
 
     ``model(kmer, p, share)``: the share of the word's first m letters times the conditional
     chance of each further window. With ``left_flank`` its last m - 1 bases come before the word
     and every window is conditional. For m = 1 it is the product of the bases' shares. A window that the model has not
-    seen makes the chance 0. Models are small next to the words (4**m rows), so Spark broadcasts
-    them below its size threshold.
+    seen makes the chance 0; a word without a window has none (null). Models up to TABLE_LENGTH
+    are looked up inside the row, so nothing is shuffled.
     """
     text = F.col(key) if left_flank is None else F.concat(F.lit(left_flank[len(left_flank) - (m - 1) :] if m > 1 else ""), F.col(key))
-    rows = words.select(key, *keep, F.posexplode(windows(text, m)).alias("_at", "_window"))
-    whole = F.lit(m == 1) if left_flank is None else F.lit(False)
-    chance = F.when((F.col("_at") == 0) & F.lit(left_flank is None) | whole, F.col("share")).otherwise(F.col("p"))
+    if m > TABLE_LENGTH:
+        return _joined_probability(words, model, m, key, keep, text, left_flank is None)
+    codes = F.transform(windows(text, m), lambda w: word_code(w, m))
+    p, share = F.col("_p"), F.col("_share")
+    rows = words.select(key, *keep, text.alias("_text"), codes.alias("_codes")).crossJoin(F.broadcast(_as_row(model, m)))
+    later = F.col("_codes") if m == 1 or left_flank is not None else F.slice("_codes", 2, F.greatest(F.size("_codes") - 1, F.lit(0)))
+    own = share if m == 1 and left_flank is None else p
+    log = F.aggregate(later, F.lit(0.0), lambda t, c: t + F.ln(F.get(own, c)))
+    log = log if m == 1 or left_flank is not None else log + F.ln(F.get(share, F.get("_codes", F.lit(0))))
+    known = F.col("_text").rlike("^[ACGT]+$")
+    return rows.select(key, *keep, F.when(F.size("_codes") > 0, F.when(known, F.coalesce(F.exp(log), F.lit(0.0))).otherwise(0.0)).alias("p"))
+
+
+def _joined_probability(words: DataFrame, model: DataFrame, m: int, key: str, keep: Sequence[str], text: Column, first_is_share: bool) -> DataFrame:
+    """Long models: windows of the distinct words meet the model's rows, then words meet their chance."""
+    rows = words.select(key, text.alias("_text")).distinct().select(key, F.posexplode(windows("_text", m)).alias("_at", "_window"))
+    chance = F.coalesce(F.when((F.col("_at") == 0) & F.lit(first_is_share), F.col("share")).otherwise(F.col("p")), F.lit(0.0))
     joined = rows.join(model.select(F.col("kmer").alias("_window"), "p", "share"), "_window", "left")
-    log = F.sum(F.ln(chance))
-    return joined.groupBy(key, *keep).agg(F.when(F.count_if(F.coalesce(chance, F.lit(0.0)) <= 0) > 0, F.lit(0.0)).otherwise(F.exp(log)).alias("p"))
+    chances = joined.groupBy(F.col(key).alias("_own")).agg(F.when(F.count_if(chance <= 0) > 0, F.lit(0.0)).otherwise(F.exp(F.sum(F.ln(chance)))).alias("p"))
+    return words.join(chances, F.col(key) == F.col("_own"), "left").select(key, *keep, "p")
 
 
 def expected_counts(words: DataFrame, model: DataFrame, m: int, total: float | Column, key: str = "seq", keep: Sequence[str] = (), left_flank: str | None = None) -> DataFrame:
@@ -137,7 +165,3 @@ def table_likelihood(probes: DataFrame, universe: DataFrame, model: DataFrame, m
 def saturated_likelihood(probes: DataFrame, n: str = "n") -> DataFrame:
     """``n_reads, saturated``: likelihood of the table under its own shares."""
     return probes.agg(F.sum(n).alias("n_reads"), (F.sum(-F.col(n) * F.ln(n)) + F.sum(n) * F.ln(F.sum(n))).alias("saturated"))
-
-
-def adjusted_likelihood(nll: Column, saturated: Column, reads: Column) -> Column:
-    return (nll - saturated) / reads

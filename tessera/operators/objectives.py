@@ -99,26 +99,45 @@ def encoded(seqs: pd.Series) -> np.ndarray:
     return _CODES[raw].reshape(len(seqs), -1)
 
 
+def flanked_codes(codes: np.ndarray, left: str, right: str) -> np.ndarray:
+    """Words with the same bases before and after each."""
+    ends = [np.tile(_CODES[np.frombuffer(f.encode(), dtype=np.uint8)].astype(codes.dtype), (len(codes), 1)) for f in (left, right)]
+    return np.hstack([ends[0], codes, ends[1]])
+
+
 @dataclass(frozen=True)
 class AffinityModel:
-    """Lengths of the modes; parameters are 4 k weights per mode, then the non-specific one."""
+    """Lengths of the modes. Parameters are, per mode, 4 k weights and with ``di`` 16 (k - 1) of neighbouring pairs, then the non-specific one.
+
+    ``left`` and ``right`` are bases of the flanks that windows may reach into.
+    """
 
     lengths: tuple[int, ...]
+    di: bool = False
+    left: str = ""
+    right: str = ""
+
+    def _own(self, k: int) -> int:
+        return 4 * k + (16 * (k - 1) if self.di else 0)
 
     def size(self) -> int:
-        return 4 * sum(self.lengths) + 1
+        return sum(map(self._own, self.lengths)) + 1
 
     def scores(self, codes: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Probe scores, and per window and strand its features and scores."""
+        codes = flanked_codes(codes, self.left, self.right) if self.left or self.right else codes
         total, parts, start = np.full(len(codes), np.exp(theta[-1])), [], 0
         for k in self.lengths:
             for strand in (codes, 3 - codes[:, ::-1]):
                 for i in range(codes.shape[1] - k + 1):
-                    f = start + 4 * np.arange(k)[None, :] + strand[:, i : i + k]
+                    word = strand[:, i : i + k]
+                    f = start + 4 * np.arange(k)[None, :] + word
+                    if self.di and k > 1:
+                        f = np.hstack((f, start + 4 * k + 16 * np.arange(k - 1)[None, :] + 4 * word[:, :-1] + word[:, 1:]))
                     kappa = np.exp(theta[f].sum(axis=1))
                     total = total + kappa
                     parts.append((f, kappa))
-            start += 4 * k
+            start += self._own(k)
         return total, parts
 
     def gradient(self, parts: list, weight: np.ndarray, theta: np.ndarray) -> np.ndarray:
@@ -175,13 +194,23 @@ def affinity_likelihood(probes: DataFrame, universe: DataFrame, model: AffinityM
 
 @dataclass(frozen=True)
 class LogLinear(Objective):
-    """Sum over a universe of exp(theta . base counts), whose logarithm normalises a background model."""
+    """Sum over a universe of exp(theta . counts of words of length k), whose logarithm normalises a background model.
+
+    Words are counted over flank, sequence and flank, in the order of their codes.
+    """
 
+    k: int = 1
+    left: str = ""
+    right: str = ""
     columns = ("seq",)
 
     def partial(self, rows: pd.DataFrame, theta: np.ndarray) -> Sums:
-        codes = encoded(rows["seq"])
-        counts = np.stack([(codes == b).sum(axis=1) for b in range(4)], axis=1)
+        codes = encoded(rows["seq"]).astype(np.int64)
+        codes = flanked_codes(codes, self.left, self.right) if self.left or self.right else codes
+        windows = codes.shape[1] - self.k + 1
+        words = sum(codes[:, p : p + windows] << 2 * (self.k - 1 - p) for p in range(self.k))
+        places = (np.arange(len(words))[:, None] << 2 * self.k) + words
+        counts = np.bincount(places.ravel(), minlength=len(words) << 2 * self.k).reshape(len(words), -1)
         w = np.exp(counts @ theta)
         grad = counts.T @ w
         return float(len(w)), w.sum(), 0.0, grad, np.zeros_like(grad)

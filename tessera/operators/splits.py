@@ -22,19 +22,24 @@ def union_probes(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def ranked(df: DataFrame, id_col: str, step: int = 0, buckets: int = 64) -> DataFrame:
+#: Rows that one task sorts together.
+ROWS_PER_RANGE = 65_536
+
+
+def ranked(df: DataFrame, id_col: str, step: int = 0, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Adds ``rank`` (from 0) in keyed order and the table's ``rows``.
 
-    The order is cut into ``buckets`` ranges of the key; one aggregate gives each range's
-    offset and only rows of one range are sorted together.
+    The order is cut into ranges of the key, as many as the table's size asks for; one aggregate
+    gives each range's offset and only rows of one range are sorted together.
     """
+    buckets = min(1_000_003, 1 + df.count() // rows_per_range)
     key = keyed(id_col, step)
     rows = df.withColumn("_key", key).withColumn("_bucket", F.floor(F.col("_key") * buckets / 1_000_003).cast("int"))
     sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # at most ``buckets`` rows
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("rows"))
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", id_col)) - 1
-    return rows.join(F.broadcast(offsets), "_bucket").withColumn("rank", F.col("_before") + inside).drop("_key", "_bucket", "_before")
+    return rows.join(offsets, "_bucket").withColumn("rank", F.col("_before") + inside).drop("_key", "_bucket", "_before")
 
 
 def proportional_split(df: DataFrame, id_col: str, shares: Sequence[float], step: int = 0) -> DataFrame:
@@ -62,11 +67,14 @@ def unrolled(probes: DataFrame, n: str = "n") -> DataFrame:
 def thinned(probes: DataFrame, id_col: str, share: float, folds: int, n: str = "n") -> DataFrame:
     """``fold, id_col, test, n``: each read goes to the test side with chance ``share``, anew in each fold.
 
-    A probe can be on both sides. Reads of a probe are dealt inside its row.
+    A probe can be on both sides. Reads of a probe are dealt inside its row: a row comes back for
+    each fold and side that has any.
     """
-    reads = unrolled(probes.select(id_col, n), n).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    draw = keyed(F.col(id_col) * 1009 + F.col("copy") * 31 + F.col("fold") * 7)
-    return reads.withColumn("test", draw < share * 1_000_003).groupBy("fold", id_col, "test").agg(F.count(F.lit(1)).alias("n"))
+    rows = probes.where(F.col(n) > 0).select(id_col, n, F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    copies = F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))
+    test = F.aggregate(copies, F.lit(0).cast("long"), lambda t, i: t + F.when(keyed(F.col(id_col) * 1009 + i * 31 + F.col("fold") * 7) < share * 1_000_003, 1).otherwise(0))
+    sides = F.array(F.struct(F.lit(True).alias("test"), test.alias("n")), F.struct(F.lit(False).alias("test"), (F.col(n) - test).alias("n")))
+    return rows.select("fold", id_col, F.explode(sides).alias("_s")).select("fold", id_col, "_s.test", "_s.n").where("n > 0")
 
 
 def coin_split(df: DataFrame, id_col: str, step: int = 0) -> DataFrame:
@@ -91,15 +99,15 @@ def sub_epochs(df: DataFrame, id_col: str, k: int, batch: int, step: int = 0) ->
     return ranked(df, id_col, step).withColumn("block", F.floor(F.try_divide(F.col("rank"), block)).cast("int")).where(F.col("block") < k).drop("rank", "rows")
 
 
-def fixed_sample(df: DataFrame, size: int, seed: int) -> DataFrame:
-    """A uniform sample of fixed size: the first rows in a random order, found by a top-k in each task."""
-    return df.orderBy(F.rand(seed)).limit(size)
+def fixed_sample(df: DataFrame, id_col: str, size: int, seed: int) -> DataFrame:
+    """A sample of fixed size in which every row is as likely as any other: the first rows in a keyed order, found by a top-k in each task."""
+    return minibatch(df, id_col, size, seed)
 
 
 def stratified_universe(spark, length: int, samples: int, seed: int) -> DataFrame:
-    """``stratum, code``: one uniform draw from each of ``samples`` slices of [0, 4**length), the first ones longer by one."""
+    """``stratum, code``: one keyed draw from each of ``samples`` slices of [0, 4**length), the first ones longer by one."""
     space = 4**length
     width, over = divmod(space, samples)
     low = F.col("id") * width + F.least(F.col("id"), F.lit(over))
     size = width + F.when(F.col("id") < over, 1).otherwise(0)
-    return spark.range(samples).select(F.col("id").alias("stratum"), (low + F.floor(F.rand(seed) * size)).cast("long").alias("code"))
+    return spark.range(samples).select(F.col("id").alias("stratum"), (low + F.floor(keyed("id", seed) * size / 1_000_003)).cast("long").alias("code"))

@@ -20,20 +20,64 @@ def best_window(scores: DataFrame, probe: str = "seq", pos: str = "pos", score:
     return scores.groupBy(probe).agg(F.max_by(pos, F.struct(score, -F.col(pos))).alias(pos), F.max(score).alias(score))
 
 
-def moving_average(rows: DataFrame, series: list[str], at: str, value: str, points: int) -> DataFrame:
-    """Adds ``average`` over ``points`` rows centred on each; null where the frame is short.
+#: Rows that one task sorts together.
+ROWS_PER_RANGE = 65_536
+
+
+def _ranges(rows: DataFrame, at: str, per: int) -> DataFrame:
+    """Adds ``_range``: equal slices of the span of ``at``, as many as the table's size asks for."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.col(at).cast("double")).alias("low"), F.max(F.col(at).cast("double")).alias("high")).first()
+    parts = max(1, -(-found["n"] // per))
+    if found["low"] is None or found["low"] == found["high"]:
+        return rows.withColumn("_range", F.lit(0).cast("long"))
+    place = (F.col(at).cast("double") - found["low"]) / (found["high"] - found["low"]) * parts
+    return rows.withColumn("_range", F.coalesce(F.least(F.floor(place), F.lit(parts - 1)), F.lit(-1)).cast("long"))
 
-    Series are windows of their own, so name one: a single unnamed series is sorted in one task.
-    """
-    half = points // 2
-    frame = Window.partitionBy(*series).orderBy(at).rowsBetween(-half, half)
-    return rows.withColumn("average", F.when(F.count(F.lit(1)).over(frame) == 2 * half + 1, F.avg(value).over(frame)))
 
+def moving_average(rows: DataFrame, series: list[str], at: str, value: str, points: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Adds ``average`` over ``points`` rows centred on each, by a numeric ``at``; null where the frame is short.
 
-def back_fill(rows: DataFrame, series: list[str], at: str, value: str) -> DataFrame:
-    """Adds ``filled``: the next value that is not null, from the row itself on."""
-    frame = Window.partitionBy(*series).orderBy(at).rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("filled", F.first(value, ignorenulls=True).over(frame))
+    Rows are numbered within their series by ranges of ``at``, cut into blocks of exactly
+    ``rows_per_range`` numbers, and each block gets copies of the rows at its borders, so a long
+    series is many tasks. Null places come first.
+    """
+    half = points // 2
+    per = max(rows_per_range, half + 1)
+    ranged = _ranges(rows, at, per)
+    sizes = ranged.groupBy(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(series)], F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*[f"_s{i}" for i in range(len(series))]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    same = F.col("_range") == F.col("_r")
+    for i, s in enumerate(series):
+        same = same & F.col(s).eqNullSafe(F.col(f"_s{i}"))
+    inside = F.row_number().over(Window.partitionBy(*series, "_range").orderBy(at)) - 1
+    numbered = ranged.withColumn("_in", inside).join(offsets, same).withColumn("_nth", F.col("_before") + F.col("_in"))
+    block, place = F.floor(F.col("_nth") / per), F.col("_nth") % per
+    no = F.lit(None).cast("long")
+    to = F.array_compact(F.array(block, F.when(place < half, block - 1).otherwise(no), F.when(place >= per - half, block + 1).otherwise(no)))
+    copied = numbered.withColumn("_own", block).withColumn("_block", F.explode(to))
+    frame = Window.partitionBy(*series, "_block").orderBy("_nth").rowsBetween(-half, half)
+    made = copied.withColumn("average", F.when(F.count(F.lit(1)).over(frame) == 2 * half + 1, F.avg(value).over(frame)))
+    return made.where("_own = _block").select(*rows.columns, "average")
+
+
+def back_fill(rows: DataFrame, series: list[str], at: str, value: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Adds ``filled``: the next value that is not null, from the row itself on, by a numeric ``at``.
+
+    Series are cut into ranges of ``at``; a range that ends without a value takes the first one of
+    the ranges after it, from an aggregate of one row a range.
+    """
+    ranged = _ranges(rows, at, rows_per_range)
+    first = F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(F.col(at)))).alias("_first")
+    heads = ranged.groupBy(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(series)], F.col("_range").alias("_r")).agg(first)
+    later = Window.partitionBy(*[f"_s{i}" for i in range(len(series))]).orderBy("_r").rowsBetween(1, Window.unboundedFollowing)
+    heads = heads.withColumn("_later", F.first("_first", ignorenulls=True).over(later))
+    same = F.col("_range") == F.col("_r")
+    for i, s in enumerate(series):
+        same = same & F.col(s).eqNullSafe(F.col(f"_s{i}"))
+    frame = Window.partitionBy(*series, "_range").orderBy(at).rowsBetween(0, Window.unboundedFollowing)
+    own = ranged.withColumn("_here", F.first(value, ignorenulls=True).over(frame))
+    return own.join(heads, same).select(*rows.columns, F.coalesce("_here", "_later").alias("filled"))
 
 
 def top_words(counts: DataFrame, k: int, kmer: str = "kmer", n: str = "n") -> DataFrame:

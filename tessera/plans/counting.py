@@ -153,11 +153,42 @@ def d16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markov.best_order(markov.order_scores(train, test, (1, 2, 3, 4), 4)).select("m", F.round("r", 6).alias("r"))
 
 
-@query("d17_enrichment")
+def sql_enrichment(longest: int, lengths: int, low: int, high: int) -> str:
+    """kmax, best order and gains by SQL: all lengths and orders are worked out, then the chosen ones picked."""
+    tops, orders = range(1, longest), range(1, longest)
+    parts = [SPLIT, *(sql_counts(f"b{k}", "test", k, "n") for k in range(1, longest + 1)), *(sql_counts(f"t{m}", "train", m, "n") for m in orders)]
+    parts += [f"m{m} AS (SELECT kmer, n / sum(n) OVER (PARTITION BY substr(kmer, 1, {m - 1})) AS p, n / sum(n) OVER () AS share FROM t{m})" for m in orders]
+    parts.append("least AS (" + " UNION ALL ".join(f"SELECT {k} AS k, min(n) AS lowest FROM b{k}" for k in range(1, longest + 1)) + ")")
+    parts.append(f"top AS (SELECT coalesce(min(k) FILTER (lowest <= {low}), {longest}) - 1 AS top FROM least)")
+    for t in tops:
+        parts += [f"c{t}_{m} AS ({sql_chance(f'b{t}', 'kmer', f'm{m}', m, 'n')})" for m in orders if m <= t]
+    fits = [f"SELECT {t} AS t, {m} AS m, corr(floor(p * (SELECT sum(n) FROM b{t})), n::DOUBLE) AS r FROM c{t}_{m}" for t in tops for m in orders if m <= t]
+    parts.append("fits AS (" + " UNION ALL ".join(fits) + ")")
+    parts.append("best AS (SELECT m FROM fits, top WHERE t = top ORDER BY coalesce(r, -2) DESC, m LIMIT 1)")
+    longer = range(1, longest + lengths)
+    parts += [sql_counts(f"g{k}", "probes", k, "n") for k in longer if k <= X.PROBE_LENGTH]
+    gains = []
+    for k in longer:
+        for m in orders:
+            if m <= k <= X.PROBE_LENGTH:
+                parts.append(f"h{k}_{m} AS ({sql_chance(f'g{k}', 'kmer', f'm{m}', m, 'n')})")
+                gains.append(
+                    f"""SELECT {k} AS k, {m} AS m, coalesce(sum(q * log2(q / p)) FILTER (n >= {high} AND p > 0), 0) AS head, coalesce(least(sum(q) FILTER (n >= {high}), 1), 0) AS sq,
+                    coalesce(least(sum(p) FILTER (n >= {high}), 1), 0) AS sp, count(*) FILTER (n < {high}) AS small FROM (SELECT n, p, n / (SELECT sum(n) FROM h{k}_{m}) AS q FROM h{k}_{m})"""
+                )
+    parts.append("gains AS (" + " UNION ALL ".join(gains) + ")")
+    return (
+        ", ".join(parts)
+        + f""" SELECT CAST(k AS INTEGER) AS k, CAST(m AS INTEGER) AS m, round(head + CASE WHEN small > 0 AND sq < 1 AND sp < 1 THEN (1 - sq) * log2((1 - sq) / (1 - sp)) ELSE 0 END, 6) AS gain
+        FROM gains JOIN best USING (m), top WHERE k >= top AND k < top + {lengths}"""
+    )
+
+
+@query("d17_enrichment", with_tables("probes", sql_enrichment(6, 3, 20, 20)))
 def d17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kmax of the test half, the best model length, then gain over the following lengths."""
     train, test = halves(spark, sf_dir)
-    return markov.enrichment(train, test, X.probes(spark, sf_dir), 20, 6, 3, 20)
+    return markov.enrichment(train, test, X.probes(spark, sf_dir), 20, 6, 3, 20).withColumn("gain", F.round("gain", 6))
 
 
 @query("d18_feature_sums", with_tables("probes", f"f AS (SELECT 'GC' || seq || 'GA' AS seq, n FROM probes), {sql_counts('k', 'f', 3, 'n')} SELECT * FROM k"))
@@ -180,6 +211,30 @@ def d19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.crossJoin(F.broadcast(z)).select(F.round(F.col("n") * F.ln("z") - F.col("x"), 4).alias("nll"))
 
 
+PAIR_WEIGHTS = tuple((j * 7 % 5 - 2) / 10.0 for j in range(16))
+FRAMED = "'GC' || seq || 'GA'"
+
+
+def sql_pairs(seq: str) -> str:
+    code = "4 * (strpos('ACGT', substr({w}, 1, 1))::INT - 1) + strpos('ACGT', substr({w}, 2, 1))::INT".replace("{w}", "w")
+    return f"list_sum(list_transform({sql_windows(seq, 2)}, lambda w: list_extract({X.sql_list(PAIR_WEIGHTS)}, {code})))"
+
+
+@query(
+    "d19_word_gradient",
+    with_tables(
+        "probes universe",
+        f"""u AS (SELECT {FRAMED} AS s, exp({sql_pairs(FRAMED)}) AS w FROM universe), e AS (SELECT kmer, sum(w) AS e FROM (SELECT w, unnest({sql_windows('s', 2)}) AS kmer FROM u) GROUP BY kmer),
+        o AS (SELECT kmer, sum(n) AS observed FROM (SELECT n, unnest({sql_windows(FRAMED, 2)}) AS kmer FROM probes) GROUP BY kmer)
+        SELECT kmer, CAST(coalesce(observed, 0) AS BIGINT) AS observed, round((SELECT sum(n) FROM probes) * e / (SELECT sum(w) FROM u) - coalesce(observed, 0), 4) AS gradient FROM e LEFT JOIN o USING (kmer)""",
+    ),
+)
+def d19_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient of the background likelihood over pairs of neighbouring bases, flanks included."""
+    found = affinity.background_gradient(X.probes(spark, sf_dir), affinity.universe(spark, X.PROBE_LENGTH), PAIR_WEIGHTS, 2, "GC", "GA")
+    return found.select("kmer", "observed", F.round("gradient", 4).alias("gradient"))
+
+
 @query("d20_saturated_likelihood", with_tables("probes", "SELECT CAST(sum(n) AS BIGINT) AS n_reads, round(sum(-n * ln(n)) + sum(n) * ln(sum(n)), 4) AS saturated FROM probes"))
 def d20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markov.saturated_likelihood(X.probes(spark, sf_dir)).select("n_reads", F.round("saturated", 4).alias("saturated"))

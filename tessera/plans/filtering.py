@@ -23,7 +23,7 @@ def right() -> Column:
     return F.lit(X.RIGHT_BARCODE)
 
 
-@query("a1_fastq_source")
+@query("a1_fastq_source", with_tables("reads", "SELECT 'run1' AS run, seq, count(*) AS n FROM reads GROUP BY seq"))
 def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads written as four-line records and read back."""
     path = fresh_path(spark, "fastq")
@@ -36,15 +36,10 @@ def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a2_fasta_source", with_tables("contigs", "SELECT CAST(doc_id AS VARCHAR) AS chrom, CAST(length(seq) AS BIGINT) AS bases FROM contigs WHERE seq <> ''"))
 def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contigs written as FASTA with 50-letter lines, one file each in effect, and read back in chunks."""
+    """Contigs written as FASTA with 50-letter lines, many to a file, and read back in chunks."""
     path = fresh_path(spark, "fasta")
-    contigs = X.contigs(spark, sf_dir).where("seq <> ''").select(F.col("doc_id").alias("chrom"), "seq")
-    lines = F.regexp_replace("seq", "(.{50})(?!$)", "$1\n")
-    contigs.select(F.col("chrom").alias("file"), F.concat(F.lit(">"), F.col("chrom").cast("string"), F.lit(" test\n"), lines).alias("value")).write.parquet(path)
-    whole = spark.read.parquet(path)
-    header = F.element_at(F.split(F.regexp_replace(F.substring_index("value", "\n", 1), "^>", ""), r"\s+"), 1)
-    body = readers.skip_invalid(F.regexp_replace("value", r"^[^\n]*\n?", ""))
-    pieces = readers.chunked(whole.select(header.alias("chrom"), body.alias("seq")), "seq", 8, 500)
+    writers.write_fasta(X.contigs(spark, sf_dir).where("seq <> ''").select(F.concat(F.col("doc_id").cast("string"), F.lit(" test")).alias("chrom"), "seq"), path)
+    pieces = readers.read_fasta(spark, path, 8, 500)
     return pieces.groupBy("chrom").agg((F.max(F.col("pos_start") + F.length("seq"))).cast("bigint").alias("bases"))
 
 

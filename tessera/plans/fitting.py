@@ -117,14 +117,14 @@ def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(spark, "k2-svrg", fit.ksvrg(problem(spark, sf_dir), np.zeros(64), sub_epochs=3, per_epoch=2, k=3))
 
 
-@query("j10_slbfgs")
+@query("j10_stochastic_lbfgs")
 def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary(spark, "stochastic lbfgs", fit.slbfgs(problem(spark, sf_dir), np.zeros(64), share=0.34, epochs=2, per_epoch=4))
+    return _summary(spark, "stochastic lbfgs", fit.stochastic_lbfgs(problem(spark, sf_dir), np.zeros(64), share=0.34, epochs=2, per_epoch=4))
 
 
-@query("j11_slbfgs_k2svrg")
+@query("j11_stochastic_lbfgs_blocks")
 def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary(spark, "stochastic lbfgs on k2-svrg", fit.slbfgs_ksvrg(problem(spark, sf_dir), np.zeros(64), k=2, sub_epochs=2, per_epoch=3))
+    return _summary(spark, "stochastic lbfgs on k2-svrg", fit.stochastic_lbfgs_blocks(problem(spark, sf_dir), np.zeros(64), k=2, sub_epochs=2, per_epoch=3))
 
 
 def table_and_universe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -134,17 +134,25 @@ def table_and_universe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     return probes, written(affinity.universe(spark, X.PROBE_LENGTH).select("seq", p0), "universe")
 
 
-@query("j12_background_fit")
+#: Bases are independent and all words have one length, so the best weights are the logarithms of the bases' shares.
+BASE_SUMS = "x AS (SELECT {group} AS part, b, sum(n * (length(seq) - length(replace(seq, b, '')))) AS x FROM probes, (SELECT unnest(['A', 'C', 'G', 'T']) AS b) GROUP BY 1, 2), r AS (SELECT {group} AS part, sum(n) AS n FROM probes GROUP BY 1)"
+HALVES = BASE_SUMS.replace("{group}", "code % 2") + f""", s AS (SELECT part, b, x / n AS x, ln(x / n / {X.PROBE_LENGTH}) AS w FROM x JOIN r USING (part)),
+    t AS (SELECT b, sum(x) / (SELECT sum(n) FROM r) AS x FROM x GROUP BY b)
+    SELECT 'train' AS part, round(-sum(x * w), 6) AS loss FROM s WHERE part = 0 UNION ALL SELECT 'test', round(-sum(o.x * s.w), 6) FROM s JOIN s o ON s.b = o.b AND s.part = 0 AND o.part = 1
+    UNION ALL SELECT 'all', round(-sum(x * ln(x / {X.PROBE_LENGTH})), 6) FROM t"""
+
+
+@query("j12_background_fit", with_tables("probes", HALVES))
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on the even half, likelihood of the odd half, then a fit on all."""
     probes, every = table_and_universe(spark, sf_dir)
     counts = [F.sum(F.col("n") * (F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit(""))))).alias(b) for b in "ACGT"]
     halves = {r["half"]: r for r in probes.groupBy((F.col("code") % 2).alias("half")).agg(F.sum("n").alias("reads"), *counts).collect()}
     sums = {h: np.array([float(r[b]) for b in "ACGT"]) for h, r in halves.items()}
-    train = fit.fit_background(every, sums[0], halves[0]["reads"], steps=6)
+    train = fit.fit_background(every, sums[0], halves[0]["reads"], epsilon=1e-7, steps=25)
     log_z = np.log(evaluate(every, objectives.LogLinear(), [train.theta])[0].loss)
     test = float(log_z - train.theta @ sums[1] / halves[1]["reads"])
-    final = fit.fit_background(every, sums[0] + sums[1], halves[0]["reads"] + halves[1]["reads"], train.theta, steps=4)
+    final = fit.fit_background(every, sums[0] + sums[1], halves[0]["reads"] + halves[1]["reads"], train.theta, epsilon=1e-7, steps=25)
     return _rows(spark, [("train", round(train.loss, 6)), ("test", round(test, 6)), ("all", round(final.loss, 6))], "part string, loss double")
 
 
@@ -169,6 +177,18 @@ def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [(i, round(float(v), 6)) for i, v in enumerate([loss, *grad])], "entry int, value double")
 
 
+DI_NS, DI_LEFT, DI_RIGHT = -0.5, "GC", "GA"
+PAIRED_SCORE = sql_probe_score(f"'{DI_LEFT}' || seq || '{DI_RIGHT}'", X.PAIRED, nonspecific=DI_NS)
+
+
+@query("j13_dinucleotide", with_tables("probes universe", f"z AS (SELECT sum(exp({sql_background('seq')}) * {PAIRED_SCORE}) AS z FROM universe), o AS (SELECT sum(-n * ln(exp({sql_background('seq')}) * {PAIRED_SCORE})) / sum(n) AS l FROM probes) SELECT round(ln(z) + l, 6) AS loss FROM z, o"))
+def j13_di(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihood with weights of neighbouring pairs, windows reaching two bases into the flanks."""
+    probes, every = table_and_universe(spark, sf_dir)
+    loss, _ = objectives.affinity_likelihood(probes, every, AffinityModel((3,), True, DI_LEFT, DI_RIGHT), [np.array([*X.MONO, *X.DI, DI_NS])])[0]
+    return _rows(spark, [(round(float(loss), 6),)], "loss double")
+
+
 @query("j14_candidates", with_tables("examples", "c AS (SELECT unnest(range(0, 5)) AS c), s AS (SELECT c, greatest(0, 1 - y * list_sum(list_transform(range(1, 65), lambda j: features[j] * (CASE WHEN j % 2 = 1 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END) * c))) AS m FROM examples, c) SELECT CAST(c AS INTEGER) AS candidate, round(avg(m * m) / 2 + 0.001 * 64 * 0.01 * c * c / 2, 7) AS loss FROM s GROUP BY c"))
 def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five multiples of one vector in one pass."""
@@ -205,7 +225,13 @@ def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(spark, "mode weights", fit.fit_mode_weights(probes, np.array([float(v) for v in z]), steps=5))
 
 
-@query("j17_cross_validated")
+FOLDS = BASE_SUMS.replace("{group}", f"CAST(floor({sql_keyed('code')} * 3 / 1000003) AS INTEGER)") + f""", f AS (SELECT DISTINCT part AS fold FROM r),
+    s AS (SELECT fold, b, sum(x) AS x, (SELECT sum(n) FROM r WHERE part <> fold) AS n FROM f JOIN x ON part <> fold GROUP BY fold, b)
+    SELECT s.fold, round(-sum(s.x / s.n * ln(s.x / s.n / {X.PROBE_LENGTH})), 6) AS train, round(-sum(x.x / r.n * ln(s.x / s.n / {X.PROBE_LENGTH})), 6) AS test
+    FROM s JOIN x ON x.part = fold AND x.b = s.b JOIN r ON r.part = fold GROUP BY s.fold"""
+
+
+@query("j17_cross_validated", with_tables("probes", FOLDS))
 def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Background refits on the training part of three folds; the folds' sums come from one pass."""
     probes, every = table_and_universe(spark, sf_dir)
@@ -215,7 +241,7 @@ def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def fit_on(f: int) -> Fit:
         rest = [v for k, v in parts.items() if k != f]
-        return fit.fit_background(every, sum(x for _, x in rest), sum(n for n, _ in rest), steps=4)
+        return fit.fit_background(every, sum(x for _, x in rest), sum(n for n, _ in rest), epsilon=1e-7, steps=25)
 
     def test_on(f: int, theta: np.ndarray) -> float:
         return float(np.log(evaluate(every, objectives.LogLinear(), [theta])[0].loss) - theta @ parts[f][1] / parts[f][0])
@@ -226,19 +252,25 @@ def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j18_model_sweep")
 def j18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short fits of several lengths, each from shifted starts of which one pass tells the best; the lowest likelihood wins."""
+    """Short fits over length, pairs of neighbours, flank and shift; the lowest likelihood of the test half wins.
+
+    One pass over the training half tells the best of a model's shifted starts.
+    """
     probes, every = table_and_universe(spark, sf_dir)
+    train, test = (probes.where(F.col("code") % 2 == half) for half in (0, 1))
     rows = []
-    for k in (2, 3):
-        model = AffinityModel((k,))
-        starts = [np.append(np.roll(0.2 * np.cos(np.arange(4 * k)), 4 * s), NS) for s in range(k)]
-        losses = [v for v, _ in objectives.affinity_likelihood(probes, every, model, starts, 1e-3)]
+    for k, di, flank in ((2, False, 0), (3, False, 0), (3, True, 0), (3, False, 2)):
+        model = AffinityModel((k,), di, X.LEFT_FLANK[len(X.LEFT_FLANK) - flank :], X.RIGHT_FLANK[:flank])
+        pairs = np.zeros(model.size() - 4 * k - 1)
+        starts = [np.concatenate((np.roll(0.2 * np.cos(np.arange(4 * k)), 4 * s), pairs, [NS])) for s in range(k)]
+        losses = [v for v, _ in objectives.affinity_likelihood(train, every, model, starts, 1e-3)]
         best = int(np.argmin(losses))
-        found = fit.fit_affinity(probes, every, model, starts[best], steps=2)
-        rows.append((k, best, round(found.loss, 6)))
-    table = _rows(spark, rows, "k int, shift int, loss double")
-    least = table.agg(F.min_by("k", "loss").alias("_k"))
-    return table.crossJoin(least).select("k", "shift", "loss", (F.col("k") == F.col("_k")).alias("chosen"))
+        found = fit.fit_affinity(train, every, model, starts[best], steps=2)
+        held = objectives.affinity_likelihood(test, every, model, [found.theta])[0][0]
+        rows.append((k, di, flank, best, round(found.loss, 6), round(float(held), 6)))
+    table = _rows(spark, rows, "k int, di boolean, flank int, shift int, loss double, test double")
+    least = table.agg(F.min_by(F.struct("k", "di", "flank"), "test").alias("_best"))
+    return table.crossJoin(least).select("k", "di", "flank", "shift", "loss", "test", (F.struct("k", "di", "flank") == F.col("_best")).alias("chosen"))
 
 
 @query("j19_progressive_modes")

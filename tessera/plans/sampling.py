@@ -61,10 +61,10 @@ def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.sub_epochs(X.probes(spark, sf_dir), "code", 4, 20).select("code", "block")
 
 
-@query("g9_reservoir")
+@query("g9_reservoir", with_tables("probes", f"SELECT code, n FROM probes ORDER BY {sql_keyed('code', 7)}, code LIMIT 300"))
 def g9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A uniform sample of fixed size."""
-    return splits.fixed_sample(X.probes(spark, sf_dir), 300, 7).select("code", "n")
+    return splits.fixed_sample(X.probes(spark, sf_dir), "code", 300, 7).select("code", "n")
 
 
 @query("g10_unroll", with_tables("probes", "SELECT seq, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM probes"))
@@ -72,7 +72,13 @@ def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.unrolled(X.probes(spark, sf_dir)).select("seq", "copy")
 
 
-@query("g11_stratified_universe")
+@query(
+    "g11_stratified_universe",
+    with_tables(
+        "probes",
+        f"s AS (SELECT range AS stratum, 65 + (range < 536)::INT AS size, range * 65 + least(range, 536) AS low FROM range(1000)), d AS (SELECT stratum, CAST(low + floor(({sql_keyed('stratum', 5)}) * size / 1000003) AS BIGINT) AS code FROM s) SELECT stratum, code, coalesce(n, 0) AS n FROM d LEFT JOIN probes USING (code)",
+    ),
+)
 def g11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One word from each slice of the universe with the reads that the probes have of it."""
     strata = splits.stratified_universe(spark, X.PROBE_LENGTH, 1000, 5)

@@ -41,8 +41,8 @@ SHAPED = f"""s AS (SELECT pentamer, max(value) FILTER (feature = 'f0') AS f0, ma
 
 @query("i3_shape_score", with_tables("probes shape", SHAPED))
 def i3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = affinity.shape_log_scores(X.probes(spark, sf_dir), X.SHAPED, X.shape(spark, sf_dir), X.LEFT_FLANK, X.RIGHT_FLANK)
-    return logs.groupBy("seq").agg(F.round(F.sum(F.exp("log")), 6).alias("score"))
+    scored = affinity.shape_score(X.probes(spark, sf_dir), X.SHAPED, X.shape(spark, sf_dir), X.LEFT_FLANK, X.RIGHT_FLANK)
+    return scored.select("seq", F.round("score", 6).alias("score"))
 
 
 @query("i4_multi_mode", with_tables("probes", f"SELECT seq, round({sql_probe_score('seq', X.PAIRED, X.WIDE, nonspecific=-1.0)}, 6) AS score FROM probes"))
@@ -159,12 +159,13 @@ def i17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights(spark).crossJoin(reads).select(F.round(F.col("z") / F.col("z0"), 6).alias("z"), "n_reads")
 
 
-@query("i17_sampled_partition")
+@query("i17_sampled_partition", with_tables("probes", f"r AS (SELECT seq, unnest(range(0, n)) AS copy FROM probes), s AS (SELECT {NARROW} AS s FROM r) SELECT round(avg(s), 6) AS z, round(stddev_samp(s) / sqrt(count(*)), 6) AS error FROM s"))
 def i17_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance estimate of Z with the probes as the background's sample."""
     from tessera.operators.splits import unrolled
 
-    return affinity.sampled_partition(unrolled(X.probes(spark, sf_dir)), probe_score("seq", [X.NARROW]))
+    found = affinity.sampled_partition(unrolled(X.probes(spark, sf_dir)), probe_score("seq", [X.NARROW]))
+    return found.select(F.round("z", 6).alias("z"), F.round("error", 6).alias("error"))
 
 
 SIMPLEX = f"s AS (SELECT {NARROW} AS a, {sql_probe_score('seq', X.WIDE)} AS b, {sql_probe_score('seq', X.PAIRED)} AS c FROM probes)"
@@ -176,9 +177,16 @@ def i18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return affinity.simplex_bins(scores, "a", "b", "c", 20).withColumn("top", F.round("top", 6))
 
 
-@query("i19_shape_profile")
+PROFILE = f"""w AS (SELECT seq, i, st, round(exp({sql_window_log("CASE st WHEN 0 THEN substr(seq, i, 3) ELSE reverse(translate(substr(seq, i, 3), 'ACGT', 'TGCA')) END", X.NARROW)}), 9) AS s FROM (SELECT seq, unnest(range(1, 7)) AS i FROM probes), (SELECT unnest([0, 1]) AS st)),
+    b AS (SELECT seq, least({sql_bin("sum(s)", LOW, WIDTH)}, 10) AS bin, arg_max({{'i': i, 'st': st}}, {{'s': s, 'first': -2 * i - st}}) AS best FROM w GROUP BY seq),
+    f AS (SELECT bin, CASE best.st WHEN 0 THEN substr('GC' || seq || 'GA', best.i, 7) ELSE reverse(translate(substr('GC' || seq || 'GA', best.i, 7), 'ACGT', 'TGCA')) END AS part FROM b),
+    e AS (SELECT bin, part, unnest(range(0, 3)) AS o FROM f)
+    SELECT bin, CAST(o AS INTEGER) AS "offset", feature, round(avg(value), 6) AS value FROM e JOIN shape ON pentamer = substr(part, o + 1, 5) GROUP BY 1, 2, 3"""
+
+
+@query("i19_shape_profile", with_tables("probes shape", PROFILE))
 def i19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean shape along the best window by score bin; equal windows make an SQL twin depend on rounding, so a test checks it."""
+    """Mean shape along the best window by score bin."""
     found = affinity.shape_profile(X.probes(spark, sf_dir), X.NARROW, X.shape(spark, sf_dir), X.LEFT_FLANK, X.RIGHT_FLANK, LOW, WIDTH, 10)
     return found.select("bin", "offset", "feature", F.round("value", 6).alias("value"))
 

@@ -4,34 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def read_fastq(spark: SparkSession, path: str, run: str = "run", partitions: int | None = None) -> DataFrame:
-    """``run, read_id, seq``: the second line of each record of four lines, plain or gzip.
+    """``run, read_id, seq``: the second line of each record of four lines, plain or gzip; every file holds whole records.
 
-    Line numbers come from ``zipWithIndex``, as only they tell a sequence from a quality line.
-    Gzip files are one split each, so give ``partitions`` to spread what follows. Every file
-    holds whole records.
+    Only a line's number tells a sequence from a quality line. Lines are numbered where they are
+    scanned, and one small row for each split of a file says where its numbers start, so lines
+    themselves aren't shuffled. ``read_id`` counts records by file name, then place. Gzip files
+    are one split each, so give ``partitions`` to spread what follows.
     """
-    numbered = spark.sparkContext.textFile(path).zipWithIndex().filter(lambda x: x[1] % 4 == 1).map(lambda x: (x[1] // 4, x[0]))
-    reads = spark.createDataFrame(numbered, "read_id long, seq string").select(F.lit(run).alias("run"), "read_id", "seq")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    splits = lines.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    offsets = splits.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = lines.join(offsets, ["_file", "_start"]).withColumn("_line", F.col("_at") + F.col("_shift"))
+    reads = numbered.where("_line % 4 = 1").select(F.lit(run).alias("run"), F.floor(F.col("_line") / 4).alias("read_id"), F.col("value").alias("seq"))
     return reads.repartition(partitions) if partitions else reads
 
 
 def read_fasta(spark: SparkSession, path: str, k: int, chunk: int = 1_000_000, keep_case: bool = False) -> DataFrame:
-    """``chrom, pos_start, seq``: one contig per file, in chunks that overlap by ``k - 1`` bases.
+    """``chrom, pos_start, seq``: every contig of the files, in chunks that overlap by ``k - 1`` bases.
 
-    The first line is the header. Without ``keep_case`` letters other than ACGT are skipped
-    after upper-casing, as for counting; with it the sequence stays as it is, N and lower case
-    included, as for scanning.
+    A line that starts with ``>`` is a contig's header and its first word the name. Files are cut
+    at headers, so one with many contigs is many rows and splits. Without ``keep_case`` letters
+    other than ACGT are skipped after upper-casing, as for counting; with it the sequence stays as
+    it is, N and lower case included, as for scanning.
     """
-    whole = spark.read.text(path, wholetext=True)
-    header = F.regexp_replace(F.substring_index("value", "\n", 1), r"^>|\r$", "")
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
+    header = F.regexp_replace(F.substring_index("value", "\n", 1), r"\r$", "")
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", "")
-    contigs = whole.select(F.element_at(F.split(header, r"\s+"), 1).alias("chrom"), (body if keep_case else skip_invalid(body)).alias("seq"))
+    contigs = records.select(F.element_at(F.split(header, r"\s+"), 1).alias("chrom"), (body if keep_case else skip_invalid(body)).alias("seq"))
     return chunked(contigs, "seq", k, chunk)
 
 

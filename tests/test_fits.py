@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import fit, objectives
+from tessera.operators import affinity, counts, fit, objectives
 from tessera.operators.affinity import background, universe
 from tessera.operators.fit import FiniteSum
-from tessera.operators.objectives import AffinityModel, SquaredHinge, evaluate
+from tessera.operators.objectives import AffinityModel, LogLinear, ProbeLoss, SquaredHinge, UniverseSum, affinity_likelihood, evaluate
 from tessera.plans import fixtures as X
 
 
@@ -69,8 +70,8 @@ def test_stochastic_fits_approach_the_optimum(problem, optimum):
         fit.svrg(problem, np.zeros(64), rate=3.0, share=0.34, epochs=3, per_epoch=4),
         fit.ksvrg(problem, np.zeros(64), rate=3.0, share=0.34, sub_epochs=3, per_epoch=3),
         fit.ksvrg(problem, np.zeros(64), rate=3.0, sub_epochs=3, per_epoch=3, k=3),
-        fit.slbfgs(problem, np.zeros(64), share=0.5, epochs=3, per_epoch=4),
-        fit.slbfgs_ksvrg(problem, np.zeros(64), k=2, sub_epochs=3, per_epoch=3),
+        fit.stochastic_lbfgs(problem, np.zeros(64), share=0.5, epochs=3, per_epoch=4),
+        fit.stochastic_lbfgs_blocks(problem, np.zeros(64), k=2, sub_epochs=3, per_epoch=3),
     ):
         assert optimum.loss <= found.loss + 1e-9 < start
 
@@ -103,3 +104,55 @@ def test_curvature_is_the_mean_of_active_rows(problem):
 def test_two_loop_without_pairs_is_the_gradient():
     assert np.array_equal(fit.two_loop(np.arange(3.0), []), np.arange(3.0))
     assert np.linalg.norm(fit.clipped(np.full(4, 1e5))) <= 100
+
+
+def _slope(f, theta, j, step=1e-5):
+    up, down = (theta + s * step * (np.arange(len(theta)) == j) for s in (1, -1))
+    return (f(up) - f(down)) / (2 * step)
+
+
+@pytest.mark.parametrize("model", [AffinityModel((3,), True, "GC", "GA"), AffinityModel((2, 3), True), AffinityModel((2,), False, "C", "A")])
+def test_pair_and_flank_weights_have_true_gradients(model):
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"seq": ["ACGTAC", "TTGACA", "GGGCAT"], "n": [3, 1, 2], "p0": [0.1, 0.2, 0.3]})
+    theta = rng.normal(scale=0.3, size=model.size())
+    for objective in (ProbeLoss(model), UniverseSum(model)):
+        _, _, _, grad, _ = objective.partial(rows, theta)
+        for j in range(len(theta)):
+            assert grad[j] == pytest.approx(_slope(lambda t: objective.partial(rows, t)[1], theta, j), rel=1e-5, abs=1e-7)  # noqa: B023
+
+
+@pytest.mark.parametrize("model", [LogLinear(2, "C", "A"), LogLinear(3), LogLinear()])
+def test_word_background_has_a_true_gradient(model):
+    rows = pd.DataFrame({"seq": ["ACGTAC", "TTGACA", "GGGCAT"]})
+    theta = np.random.default_rng(4).normal(scale=0.3, size=4**model.k)
+    _, _, _, grad, _ = model.partial(rows, theta)
+    for j in range(len(theta)):
+        assert grad[j] == pytest.approx(_slope(lambda t: model.partial(rows, t)[1], theta, j), rel=1e-5, abs=1e-7)
+
+
+def test_word_background_fit_meets_the_observed_words(spark, sf_dir):
+    """At the optimum the background's mean word counts, flanks included, are those of the probes."""
+    probes = X.probes(spark, sf_dir)
+    sums = {r.kmer: r.n for r in counts.feature_sums(probes, 2, X.LEFT_FLANK, X.RIGHT_FLANK, 1).collect()}
+    words = [a + b for a in "ACGT" for b in "ACGT"]
+    reads = probes.agg(F.sum("n")).first()[0]
+    every = affinity.universe(spark, X.PROBE_LENGTH).select("seq").cache()
+    found = fit.fit_background(every, [sums.get(w, 0) for w in words], reads, steps=15, k=2, left=X.LEFT_FLANK[-1:], right=X.RIGHT_FLANK[:1])
+    rest = affinity.background_gradient(probes, every, found.theta, 2, X.LEFT_FLANK[-1:], X.RIGHT_FLANK[:1]).collect()
+    assert max(abs(r.gradient) for r in rest) < 2e-3 * reads
+
+
+def test_affinity_refits_by_fold(spark, sf_dir):
+    probes = X.probes(spark, sf_dir).limit(300).withColumn("p0", F.lit(1.0)).cache()
+    every = affinity.universe(spark, X.PROBE_LENGTH).where("code % 64 = 0").select("seq", F.lit(1.0).alias("p0")).cache()
+    model = AffinityModel((2,), True)
+
+    def fit_on(f):
+        return fit.fit_affinity(probes.where(F.col("code") % 2 != f), every, model, np.zeros(model.size()), steps=1)
+
+    def test_on(f, theta):
+        return affinity_likelihood(probes.where(F.col("code") % 2 == f), every, model, [theta])[0][0]
+
+    found = fit.cross_validated(2, fit_on, test_on)
+    assert [f for f, *_ in found] == [0, 1] and all(np.isfinite([a, b]).all() for _, a, b in found)

@@ -45,6 +45,72 @@ def test_unseen_windows_have_no_chance(spark):
     assert got == pytest.approx({"AAA": 0.75 * 0.75, "AAG": 0.0, "CAA": 0.0})
 
 
+def test_repeated_words_keep_their_chance_and_rows(spark):
+    model = markov.transition_model(spark.createDataFrame([("AC", 3), ("CG", 1), ("GT", 2), ("GA", 2)], "kmer string, n long"))
+    words = spark.createDataFrame([("ACGT",), ("ACGT",), ("ACGA",), ("A",), ("ACNT",)], "seq string")
+    made = markov.model_probability(words, model, 2)
+    assert "hashpartitioning(seq" not in made._jdf.queryExecution().explainString(made._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    want = 3 / 8 * 1.0 * 0.5
+    assert sorted((r.seq, -1 if r.p is None else round(r.p, 9)) for r in made.collect()) == [("A", -1), ("ACGA", want), ("ACGT", want), ("ACGT", want), ("ACNT", 0.0)]
+    joined = markov._joined_probability(words.where("seq LIKE 'ACG%'"), model, 2, "seq", (), F.col("seq"), True)
+    assert sorted(round(r.p, 9) for r in joined.collect()) == [want] * 3
+
+
+def test_shape_scores_of_repeated_probes(spark, sf_dir):
+    probes = spark.createDataFrame([("ACGTACGT",), ("ACGTACGT",), ("AC",)], "seq string")
+    rows = affinity.shape_score(probes, X.SHAPED, X.shape(spark, sf_dir), X.LEFT_FLANK, X.RIGHT_FLANK).collect()
+    logs = affinity.shape_log_scores(probes.limit(1), X.SHAPED, X.shape(spark, sf_dir), X.LEFT_FLANK, X.RIGHT_FLANK).collect()
+    one = sum(np.exp(r.log) for r in logs)
+    assert sorted(round(r.score, 9) for r in rows) == [0.0, round(one, 9), round(one, 9)] and len(logs) == 12
+
+
+def test_score_gradient_is_that_of_the_score(spark):
+    word, step = "ACGTTGCA", 1e-6
+    df = spark.createDataFrame([(word,), (word,)], "seq string")
+    for got in df.select(affinity.score_gradient("seq", X.NARROW).alias("g")).collect():
+        for j in range(12):
+            up, down = ([b + s * step * (i == j) for i, b in enumerate(X.MONO)] for s in (1, -1))
+            a, b = (df.limit(1).select(affinity.probe_score("seq", [affinity.Mode(3, tuple(w))])).first()[0] for w in (up, down)) if j < 2 else (None, None)
+            assert a is None or got.g[j] == pytest.approx((a - b) / (2 * step), rel=1e-5)
+
+
+def test_samples_depend_on_ids_alone(spark):
+    df = spark.range(500)
+    a, b = (sorted(r.id for r in splits.fixed_sample(df.repartition(n), "id", 50, 3).collect()) for n in (2, 7))
+    assert a == b
+    a, b = (sorted(splits.stratified_universe(spark, 4, 20, s).collect()) for s in (1, 1))
+    assert a == b and all(0 <= r.code - 12 * r.stratum - min(r.stratum, 16) < 12 + (r.stratum < 16) for r in a)  # 256 = 20 * 12 + 16
+
+
+def test_thinning_deals_every_read(spark):
+    df = spark.createDataFrame([(1, 40), (2, 1), (3, 0)], "id long, n long")
+    rows = splits.thinned(df, "id", 0.5, 3).collect()
+    totals: dict = {}
+    for r in rows:
+        totals[r.fold, r.id] = totals.get((r.fold, r.id), 0) + r.n
+    assert totals == {(f, i): n for f in range(3) for i, n in ((1, 40), (2, 1))} and {r.test for r in rows if r.id == 1} == {True, False}
+
+
+@pytest.mark.parametrize("per", [3, 7, 1000])
+def test_ranges_don_t_change_windows(spark, per):
+    import random
+
+    rng = random.Random(per)
+    rows = [(rng.choice("ab"), t, rng.random() if rng.random() < 0.3 else None) for t in rng.sample(range(900), 60)]
+    df = spark.createDataFrame(rows, "s string, t int, v double")
+    filled, average = {}, {}
+    for s in "ab":
+        own = sorted((t, v) for x, t, v in rows if x == s)
+        for i, (t, _) in enumerate(own):
+            filled[s, t] = next((v for _, v in own[i:] if v is not None), None)
+            frame = [v for _, v in own[i - 2 : i + 3] if v is not None] if 2 <= i < len(own) - 2 else []
+            average[s, t] = sum(frame) / len(frame) if frame else None
+    assert {(r.s, r.t): r.filled for r in windowed.back_fill(df, ["s"], "t", "v", per).collect()} == filled
+    got = {(r.s, r.t): r.average for r in windowed.moving_average(df, ["s"], "t", "v", 5, per).collect()}
+    assert got.keys() == average.keys() and all(got[k] == pytest.approx(average[k]) for k in got if average[k] is not None)
+    assert windowed.back_fill(df.limit(0), ["s"], "t", "v").count() == 0
+
+
 def test_zero_weights_give_closed_form_partition(spark):
     flat = affinity.Mode(3, (0.0,) * 12)
     z = affinity.partition_function(affinity.universe(spark, 5), F.lit(1.0), affinity.probe_score("seq", [flat])).first()[0]

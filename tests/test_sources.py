@@ -36,6 +36,33 @@ def test_fasta_chunks_give_every_window_once(spark, tmp_path):
     assert kept[0].seq == seq and kept[0].chrom == "chr1"
 
 
+def test_fasta_with_many_contigs(spark, tmp_path):
+    (tmp_path / "m.fa").write_text(">c1 first\nACGT\nAC\n>c2 GATTACA\nTTTT\n")
+    (tmp_path / "n.fa").write_text(">c3\r\nGG\r\nNC\r\n")
+    rows = {r.chrom: r.seq for r in readers.read_fasta(spark, str(tmp_path / "*.fa"), k=2).collect()}
+    assert rows == {"c1": "ACGTAC", "c2": "TTTT", "c3": "GGC"}
+
+
+def test_fastq_in_many_splits_and_files(spark, tmp_path):
+    import gzip
+
+    words = ["ACGT"[i % 4] * (1 + i % 7) for i in range(3000)]
+    for f in range(3):
+        text = "".join(f"@r{i}\n{w}\n+\n{'@' * len(w)}\n" for i, w in enumerate(words[f * 1000 : f * 1000 + 1000]))
+        path = tmp_path / f"p{f}.fastq"
+        if f == 2:
+            with gzip.open(f"{path}.gz", "wt") as out:
+                out.write(text)
+        else:
+            path.write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = readers.read_fastq(spark, str(tmp_path)).orderBy("read_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.seq for r in rows] == words and [r.read_id for r in rows] == list(range(3000))
+
+
 def test_written_fasta_has_lines_of_fifty(spark, tmp_path):
     df = spark.createDataFrame([("c", "A" * 100), ("d", "C" * 51)], "chrom string, seq string")
     writers.write_fasta(df.coalesce(1), str(tmp_path / "out"))
