@@ -58,12 +58,18 @@ def plain_text(column: str | Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-def repeated(df: DataFrame, times: str) -> DataFrame:
-    """Each row as often as its column ``times`` says, without that column; no array is longer than the root of the largest number."""
+def repeated(df: DataFrame, times: str, number: str | None = None) -> DataFrame:
+    """Each row as often as its column ``times`` says, without that column; ``number`` names a column that counts the copies from 0.
+
+    No array is longer than 65,536 or the ``times``-th part of that.
+    """
     most = 1 << 16
     pieces = df.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col(times) - 1, 16)))).where(F.col(times) > 0)
     left = F.least(F.col(times) - F.col("_piece") * most, F.lit(most))
-    return pieces.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), left))).drop("_piece", "_copy", times)
+    copies = pieces.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), left - 1)))
+    if number:
+        copies = copies.withColumn(number, F.col("_piece") * most + F.col("_copy"))
+    return copies.drop("_piece", "_copy", times)
 
 
 def orderable(row: str, docs: DataFrame, text_col: str) -> list[Column]:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, plain_text
+from tessera.llm.common import LOWER, UPPER, plain_text, repeated
 
 #: Fixed values of the contract: phrases of whole words, and their labels.
 BASE_PHRASES = (
@@ -99,16 +99,54 @@ CLUES = (
     ("proprietary", "proprietary", r"proprietary\s+and\s+confidential"),
 )
 
+#: Sentences of licences' own texts and notices: label, keyword, pattern.
+TEXTS = (
+    ("mit", "hereby", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge"),
+    ("mit", "substantial", r"(?:shall\s+be\s+included\s+in|included\s+in)\s+all\s+copies\s+or\s+substantial\s+portions\s+of\s+the\s+software"),
+    ("bsl-1.0", "organization", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+or\s+organization\s+obtaining\s+a\s+copy"),
+    ("bsd", "redistribution", r"redistributions?\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms"),
+    ("bsd", "reproduce", r"redistributions\s+in\s+binary\s+form\s+must\s+reproduce\s+the\s+above\s+copyright"),
+    ("bsd-3-clause", "endorse", r"may\s+be\s+used\s+to\s+endorse\s+or\s+promote\s+products\s+derived"),
+    ("bsd-4-clause", "advertising", r"all\s+advertising\s+materials\s+mentioning\s+features\s+or\s+use\s+of\s+this\s+software"),
+    ("bsd", "contributors", r"this\s+software\s+is\s+provided\s+by\s+the\s+(?:copyright\s+holders\s+and\s+contributors|regents\s+and\s+contributors)"),
+    ("isc", "distribute", r"permission\s+to\s+use,\s+copy,\s+modify,?\s+and(?:\s*/\s*or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose"),
+    ("postgresql", "documentation", r"permission\s+to\s+use,\s+copy,\s+modify,?\s+and\s+distribute\s+this\s+software\s+and\s+its\s+documentation\s+for\s+any\s+purpose"),
+    ("apache-2.0", "applicable", r"unless\s+required\s+by\s+applicable\s+law\s+or\s+agreed\s+to\s+in\s+writing,\s+software\s+distributed\s+under\s+the\s+license"),
+    ("apache-2.0", "compliance", r"you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+license"),
+    ("apache-1.1", "foundation", r"this\s+product\s+includes\s+software\s+developed\s+by\s+the\s+apache\s+software\s+foundation"),
+    ("gpl", "redistribute", r"this\s+program\s+is\s+free\s+software[;:]\s+you\s+can\s+redistribute\s+it\s+and/or\s+modify"),
+    ("lgpl", "redistribute", r"this\s+library\s+is\s+free\s+software[;:]\s+you\s+can\s+redistribute\s+it\s+and/or\s+modify"),
+    ("gpl-2.0", "either", r"either\s+version\s+2\s+of\s+the\s+license"),
+    ("gpl-3.0", "either", r"either\s+version\s+3\s+of\s+the\s+license"),
+    ("lgpl-2.1", "either", r"either\s+version\s+2\.1\s+of\s+the\s+license"),
+    ("gpl", "hope", r"distributed\s+in\s+the\s+hope\s+that\s+it\s+will\s+be\s+useful,?\s+but\s+without\s+any\s+warranty"),
+    ("agpl-3.0", "remotely", r"all\s+users\s+interacting\s+with\s+it\s+remotely\s+through\s+a\s+computer\s+network"),
+    ("gfdl", "invariant", r"with\s+no\s+invariant\s+sections"),
+    ("mpl-2.0", "mozilla", r"this\s+source\s+code\s+form\s+is\s+subject\s+to\s+the\s+terms\s+of\s+the\s+mozilla\s+public"),
+    ("mpl-1.1", "mozilla", r"the\s+contents\s+of\s+this\s+file\s+are\s+subject\s+to\s+the\s+mozilla\s+public"),
+    ("epl", "accompanying", r"this\s+program\s+and\s+the\s+accompanying\s+materials\s+are\s+made\s+available\s+under"),
+    ("cddl-1.0", "subject", r"the\s+contents\s+of\s+this\s+file\s+are\s+subject\s+to\s+the\s+terms\s+of\s+the\s+common\s+development"),
+    ("zlib", "plainly", r"altered\s+source\s+versions\s+must\s+be\s+plainly\s+marked\s+as\s+such"),
+    ("zlib", "origin", r"the\s+origin\s+of\s+this\s+software\s+must\s+not\s+be\s+misrepresented"),
+    ("unlicense", "unencumbered", r"this\s+is\s+free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain"),
+    ("wtfpl", "verbatim", r"everyone\s+is\s+permitted\s+to\s+copy\s+and\s+distribute\s+verbatim\s+or\s+modified\s+copies"),
+    ("cc0-1.0", "waived", r"waived\s+all\s+copyright\s+and\s+related\s+or\s+neighbou?ring\s+rights"),
+    ("openssl", "openssl", r"this\s+product\s+includes\s+software\s+developed\s+by\s+the\s+openssl\s+project"),
+    ("python-2.0", "licensee", r"psf\s+is\s+making\s+python(?:\s+[\w.]+)?\s+available\s+to\s+licensee"),
+    ("ofl-1.1", "font", r"the\s+font\s+software,?\s+including\s+any\s+derivative\s+works"),
+    ("artistic", "package", r"the\s+intent\s+of\s+this\s+document\s+is\s+to\s+state\s+the\s+conditions\s+under\s+which\s+a\s+package"),
+)
+
 #: Texts with none of these are not matched at all; each rule's matches hold one of them. Patterns take any white space
 #: between words, so gates and keywords are single words, or name each character that may stand between.
-GATES = ("licen", "spdx", "rights", "creative", "cc0", *(f"cc{c}by" for c in " \t\n\x0b\f\r-"), "domain", "proprietary", "opensource.org", "apache.org", "gnu.org", "mozilla.org", "eclipse.org", "joinup.ec", "boost.org", "libpng.org", "wtfpl", "postgresql.org", "mariadb.com", "mongodb.com", "scripts.sil.org", "spdx.org", "opendatacommons.org", "attribution")
+GATES = ("licen", "spdx", "rights", "creative", "cc0", *(f"cc{c}by" for c in " \t\n\x0b\f\r-"), "domain", "proprietary", "opensource.org", "apache.org", "gnu.org", "mozilla.org", "eclipse.org", "joinup.ec", "boost.org", "libpng.org", "wtfpl", "postgresql.org", "mariadb.com", "mongodb.com", "scripts.sil.org", "spdx.org", "opendatacommons.org", "attribution", "hereby", "substantial", "redistribut", "endorse", "advertising", "contributors", "distribute", "applicable", "compliance", "apache", "either", "hope", "remotely", "invariant", "mozilla", "accompanying", "subject", "plainly", "origin", "unencumbered", "verbatim", "waived", "openssl", "font", "package")
 
 #: Score of the best detection by its priority.
 SCORES = {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.8, 5: 0.4}
 
 
 def rules() -> list[Rule]:
-    """All signatures in order: five forms for each family, then the clues."""
+    """All signatures in order: five forms for each family, sentences of licences' texts, then the clues."""
     grant = r"(?:licen[sc]ed|released|distributed|available|provided|published)\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?"
     end = r"(?![\w.+-]*\w)"
     found = []
@@ -120,6 +158,7 @@ def rules() -> list[Rule]:
             Rule(label, 3, "licen", rf"\blicen[sc]e[\"']?\s*[:=]\s*[\"']?{spdx}{end}"),
             Rule(label, 4, literal, rf"\b{name}\b"),
         ]
+    found += [Rule(label, 3, keyword, rf"\b{pattern}\b") for label, keyword, pattern in TEXTS]
     return found + [Rule(label, 5, keyword, rf"\b{pattern}\b" if not pattern.startswith(r"\b") else pattern) for label, keyword, pattern in CLUES]
 
 
@@ -143,7 +182,7 @@ def detections(rows: DataFrame, low: str = "_low", table: list[Rule] | None = No
     table = rules() if table is None else table
     known = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for i, r in enumerate(table)])
     text = F.col(low)
-    gated = F.filter(known, lambda r: F.contains(text, r["keyword"]))
+    gated = F.filter(known, lambda r: F.contains(text, r["keyword"]) & F.rlike(text, r["pattern"]))  # texts that don't match are scanned once
     matched = F.transform(
         gated,
         lambda r: F.struct(
@@ -170,11 +209,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the remaining ``start, end, label, priority`` in characters, in order.
 
     A null or empty text has no words, empty labels, no spans and score 0. Repeated rows each
-    come back. An empty table gives no rows; further columns are ignored. Rows are numbered as
-    they are scanned, so give it a table read from files. Only one small row
-    per document and one per detection are shuffled.
+    come back. An empty table gives no rows; further columns are ignored. Detections meet again by
+    id and text hash, rows that repeat both being folded to a number, so a lost executor's rows
+    find their place again. Only one small row per document and one per detection are shuffled.
     """
-    raw = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), plain_text(text_col).alias("_text"))
+    raw = docs.select(F.struct(F.col(id_col).alias("id"), F.md5(plain_text(text_col)).alias("text")).alias("_row"), plain_text(text_col).alias("_text"))
     low = raw.withColumn("n_words", F.size(F.regexp_extract_all("_text", F.lit(WORD_ANY_CASE), F.lit(0))).cast("long")).withColumn("_low", F.translate("_text", UPPER, LOWER))
     gate = F.lit(False)
     for word in GATES:
@@ -183,13 +222,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no_base = F.array().cast("array<struct<label:string,n:bigint,first:bigint,last:bigint>>")
     scanned = low.select(
         "_row",
-        "_id",
         "n_words",
         F.when(F.contains(F.col("_low"), F.lit("license")), _base(F.col("_low"), F.col("n_words"))).otherwise(no_base).alias("_base"),
         F.when(gate, detections(low, "_low", table)).otherwise(nothing).alias("_found"),
     )
-    per_rule = scanned.select("*", F.explode_outer("_found").alias("_f")).select("_row", "_id", "n_words", "_base", "_f.rule", "_f.label", "_f.priority", F.posexplode_outer(F.arrays_zip(F.col("_f.gaps").alias("gap"), F.col("_f.lens").alias("len"))).alias("_i", "_m"))
-    per_rule = per_rule.select("*", "_m.gap", "_m.len").where("len IS NOT NULL OR rule IS NULL").repartition("_row")
+    per_rule = scanned.select("*", F.explode_outer("_found").alias("_f")).select("_row", "n_words", "_base", "_f.rule", "_f.label", "_f.priority", F.posexplode_outer(F.arrays_zip(F.col("_f.gaps").alias("gap"), F.col("_f.lens").alias("len"))).alias("_i", "_m"))
+    per_rule = per_rule.select("*", "_m.gap", "_m.len").where("len IS NOT NULL OR rule IS NULL")
+    same = ["n_words", "_base", "label", "priority", "gap", "len"]
+    per_rule = per_rule.repartition("_row").groupBy("_row", "rule", "_i").agg(*[F.first(c).alias(c) for c in same], F.count(F.lit(1)).alias("_times"))
     along = Window.partitionBy("_row", "rule").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     placed = per_rule.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(along)).withColumn("start", F.col("end") - F.col("len"))
     order = Window.partitionBy("_row").orderBy("start", F.desc("end"), "priority", "rule").rowsBetween(Window.unboundedPreceding, -1)
@@ -198,7 +238,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     judged = placed.withColumn("_out", F.coalesce(cover >= F.col("end"), F.lit(False)))
     kept = ~F.col("_out") & F.col("rule").isNotNull()
     grouped = judged.groupBy("_row").agg(
-        F.first("_id").alias(id_col),
+        F.max("_times").alias("_times"),
         F.first("n_words").alias("n_words"),
         F.first("_base").alias("_base"),
         F.collect_set(F.when(kept, F.col("label"))).alias("_labels"),
@@ -207,8 +247,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     base_labels = F.array_sort(F.array_distinct(F.transform("_base", lambda b: b["label"])))
     best = F.coalesce(*[F.when(F.col("_best") == p, F.lit(s)) for p, s in SCORES.items()], F.lit(0.0))
-    return grouped.select(
-        id_col,
+    found = grouped.select(
+        F.col("_row.id").alias(id_col),
         "n_words",
         F.aggregate("_base", F.lit(0).cast("long"), lambda a, b: a + b["n"]).alias("n_base"),
         F.array_min(F.transform("_base", lambda b: b["first"])).alias("first_word"),
@@ -217,4 +257,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_join(F.array_sort(F.array_distinct(F.concat(base_labels, F.col("_labels")))), ",").alias("labels"),
         F.greatest(best, F.when(F.size("_base") > 0, F.lit(SCORES[5])).otherwise(F.lit(0.0))).alias("score"),
         "spans",
+        "_times",
     )
+    return repeated(found, "_times")
