@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import n_spaced_words, plain_text
+from tessera.llm.common import n_spaced_words, plain_text, repeated
 
 #: Documents that one task packs together.
 ROWS_PER_BLOCK = 2_048
@@ -75,7 +75,7 @@ def pack_documents(
     source_col: str = "source",
     cluster_col: str | None = None,
     capacity: int = 2048,
-    per_source: int = 2,
+    per_source: int = 1,
     seed: int = 42,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
@@ -87,22 +87,20 @@ def pack_documents(
     ``first_word`` is where the piece starts in its document, ``offset`` where it lies in its
     bin. Clusters are ``cluster_col``'s values or, without one, equal texts.
 
-    Blocks of about ``rows_per_block`` documents, dealt by a hash of the id, are packed
+    Blocks of about ``rows_per_block`` documents, dealt by a hash of id, source, text and number of the copy, are packed
     independently, so the work spreads evenly whatever sources and clusters are; only the last
     bins of a block lose room by that. Null texts are empty; an empty document is one piece of
     size 0. Null sources are one source, null clusters one cluster. Rows that repeat id and text
-    are one cluster, so they lie in different bins. An empty table gives no rows.
+    are one cluster, so they lie in different bins; they are told apart by a number, so no id or
+    text fills a block. Further columns are ignored. An empty table gives no rows.
     """
     size = n_spaced_words(plain_text(text_col))
     cluster = F.xxhash64(plain_text(text_col)) if cluster_col is None else F.xxhash64(F.struct(cluster_col))
     blocks = max(1, math.ceil(docs.count() / rows_per_block))
-    rows = docs.select(
-        F.col(id_col).alias("_id"),
-        size.alias("_size"),
-        F.xxhash64(F.struct(source_col)).alias("_source"),
-        cluster.alias("_cluster"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("_key"),
-    ).withColumn("_rest", F.col("_size") % capacity)
+    rows = docs.select(F.col(id_col).alias("_id"), size.alias("_size"), F.xxhash64(F.struct(source_col)).alias("_source"), cluster.alias("_cluster"))
+    own = ["_id", "_size", "_source", "_cluster"]
+    rows = repeated(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_rows")), "_rows", "_nth")
+    rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), *own, "_nth")).withColumn("_rest", F.col("_size") % capacity)
     blocked = rows.withColumn("_block", F.pmod("_key", F.lit(blocks)).cast("int"))
     kind = docs.schema[id_col].dataType.simpleString()
     packed = blocked.groupBy("_block").applyInPandas(_pack_block(capacity, per_source), f"_id {kind}, piece int, first_word long, size long, bin long, offset long")

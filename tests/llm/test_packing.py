@@ -78,3 +78,38 @@ def test_repeated_rows_and_empty_table(spark):
     docs = documents(spark, ["a b"] * 5, ["s"] * 5, ids=[1, 1, None, None, 1])
     assert len({r.bin for r in pack_documents(docs).collect()}) == 5
     assert pack_documents(docs.limit(0)).count() == 0
+
+
+def plain_pack(rows, capacity, blocks, keys):
+    """All blocks packed by looking at all bins, from the same keys."""
+    out = []
+    for block in range(blocks):
+        own = sorted((r for r in rows if keys[r] % blocks == block), key=lambda r: (-(r.size % capacity), keys[r], r.cluster))
+        placed = plain_best_fit([(r.size % capacity, r.source, r.cluster) for r in own], capacity, 1)
+        out += [(block << 32) + b for r, (b, _) in zip(own, placed, strict=True) if r.size % capacity or not r.size]
+    return sorted(Counter(out).values())
+
+
+def test_query_packs_like_a_search_over_all_bins(spark):
+    """Numbers of rests in each bin, end to end, against blocks packed by brute force."""
+    from collections import namedtuple
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    texts = ["w " * rng.choice([1, 5, 20, 63, 64, 65, 150]) + str(rng.randrange(40)) for _ in range(300)]
+    docs = documents(spark, texts, [rng.choice("abcdefghijklm") for _ in texts])
+    got = pack_documents(docs, capacity=64, rows_per_block=100).collect()
+    own = docs.select("doc_id", F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("size"), F.xxhash64(F.struct("source")).alias("source"), F.xxhash64("text").alias("cluster"), F.lit(0).cast("long").alias("nth"))
+    Row = namedtuple("Row", "doc_id size source cluster nth")
+    keyed = {Row(*r[:5]): r.key for r in own.withColumn("key", F.xxhash64(F.lit(42), "doc_id", "size", "source", "cluster", "nth")).collect()}
+    rests = Counter(r.bin for r in got if not (r.size == 64 and r.offset == 0))
+    assert sorted(rests.values()) == plain_pack(list(keyed), 64, 3, keyed)
+
+
+def test_null_ids_spread_over_blocks(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(900).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 300, "same text").otherwise(F.concat(F.lit("t "), "id")).alias("text"), F.lit(None).cast("string").alias("source"), F.lit(1).alias("_size"))
+    rows = pack_documents(docs, rows_per_block=100).collect()
+    assert len(rows) == 900 and len({r.bin >> 32 for r in rows}) == 9 and len({r.bin for r in rows}) == 900
