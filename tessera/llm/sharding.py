@@ -5,14 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.common import ROWS_PER_CELL, cell_bits, plain_text, running_total, written
+from tessera.llm.common import ROWS_PER_CELL, cell_bits, plain_text, repeated, running_total, written
 
-#: Most numbers in the communication matrix, and so in what is broadcast: 32 MB as longs.
-MATRIX_CELLS = 4_000_000
+#: The driver draws the matrix for two to this power groups of buckets.
+TOP = 7
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -55,65 +55,83 @@ def communication_matrix(counts: list[int], capacities: list[int], seed: int) ->
     return out
 
 
-def shard_rows(df: DataFrame, id_col: str, n_shards: int, ties: list[str], seed: int = 42, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+def _subtrees(counts: DataFrame, top: int, capacities: list[int], seed: int) -> DataFrame:
+    """``_bucket, _until``: each bucket's running sum of rows it sends to the shards.
+
+    The matrix is drawn in two levels: the driver deals the shards' rows out to at most 2**TOP
+    groups of buckets, whose sums are all it sees, then each group's buckets draw theirs on an
+    executor. Both are hypergeometric, so the law is that of one permutation of all rows.
+    """
+    grouped = counts.withColumn("_top", F.shiftright("_bucket", top))
+    sums = sorted((r["_top"], r["n"]) for r in grouped.groupBy("_top").agg(F.sum("n").alias("n")).collect())
+    rooms = {t: row.tolist() for (t, _), row in zip(sums, communication_matrix([n for _, n in sums], capacities, seed), strict=True)}
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_bucket")
+        own = int(pdf["_top"].iloc[0])
+        matrix = communication_matrix(pdf["n"].tolist(), rooms[own], (seed << 32) + own)
+        return pd.DataFrame({"_bucket": pdf["_bucket"], "_until": list(np.cumsum(matrix, axis=1))})
+
+    return grouped.groupBy("_top").applyInPandas(draw, "_bucket int, _until array<long>")
+
+
+def shard_rows(df: DataFrame, key_cols: list[str], n_shards: int, seed: int = 42, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """Adds ``shard`` and ``slot``: a uniform permutation of the rows, cut into shards whose counts differ by one at most.
 
-    Rows lie in buckets by a hash of the id. The matrix fixes how many rows go from each bucket to each
+    Rows lie in buckets by a hash of ``key_cols``. The matrix fixes how many rows go from each bucket to each
     shard, a keyed order permutes each bucket and deals its rows out, and a second keyed order
-    permutes each shard; ``slot`` is the gapless position there, from 0. Only one number per
-    bucket reaches the driver. The result depends on ids, ``ties`` and seed, not on files or
-    partitions. ``df`` is read twice and its rows are written once to the shared folder.
+    permutes each shard; ``slot`` is the gapless position there, from 0. The result depends on
+    ``key_cols`` and seed, not on files or partitions. ``df`` is read twice and its rows are
+    written once to the shared folder.
     """
-    spark = df.sparkSession
     rows = df.count()
-    bits = min(cell_bits(rows, rows_per_cell), int(math.log2(max(1, MATRIX_CELLS // n_shards))))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << bits)).cast("int")
-    counts = {r["_bucket"]: r["n"] for r in df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = sorted(counts)
-    capacities = [rows // n_shards + (s < rows % n_shards) for s in range(n_shards)]
-    matrix = communication_matrix([counts[b] for b in order], capacities, seed)
-    schema = T.StructType([T.StructField("_bucket", T.IntegerType()), T.StructField("_until", T.ArrayType(T.LongType()))])
-    until = spark.createDataFrame([(b, row) for b, row in zip(order, np.cumsum(matrix, axis=1).tolist(), strict=True)], schema)
-
-    from pyspark.sql import Window
-
-    local = Window.partitionBy("_bucket").orderBy(F.xxhash64(F.lit(seed + 1), F.col(id_col)), id_col, *ties)
+    bits = min(30, cell_bits(rows, rows_per_cell))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *key_cols), F.lit(1 << bits)).cast("int")
+    counts = written(df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    until = _subtrees(counts, max(0, bits - TOP), [rows // n_shards + (s < rows % n_shards) for s in range(n_shards)], seed)
+    local = Window.partitionBy("_bucket").orderBy(F.xxhash64(F.lit(seed + 1), *key_cols), *key_cols)
     dealt = (
         df.withColumn("_bucket", bucket)
         .withColumn("_rank", F.row_number().over(local))
-        .join(F.broadcast(until), "_bucket")  # at most MATRIX_CELLS numbers
+        .join(until, "_bucket")
         .withColumn("shard", F.size(F.filter("_until", lambda c: c < F.col("_rank"))))
-        .withColumn("_key", F.xxhash64(F.lit(seed + 2), F.col(id_col)))
+        .withColumn("_key", F.xxhash64(F.lit(seed + 2), *key_cols))
         .drop("_bucket", "_rank", "_until")
     )
-    placed = running_total(written(dealt, "dealt"), ["shard"], "_key", [id_col, *ties], F.lit(1), "_place", cell_bits(rows // n_shards, rows_per_cell))
+    placed = running_total(written(dealt, "dealt"), ["shard"], "_key", key_cols, F.lit(1), "_place", cell_bits(rows // n_shards, rows_per_cell))
     return placed.withColumn("slot", (F.col("_place") - 1).cast("long")).drop("_key", "_place")
 
 
-def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 24, seed: int = 42, carry: list[str] | None = None) -> DataFrame:
-    """One row per document: ``id_col, size, text_crc32, law, shard, slot, grown_shard`` and the ``carry`` columns.
+def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 24, seed: int = 42) -> DataFrame:
+    """One row per document: ``id_col, size, text_crc32, law, shard, slot, grown_shard``.
 
     The law is ``rows``: shard counts differ by one at most, whatever the texts are; equal texts
     spread like any others. ``size`` is the text's UTF-8 bytes plus 8 and a null text has none.
-    ``grown_shard`` is null under this law. Null and repeated ids share a bucket and are ordered
-    by checksum and size; rows alike in these too are interchangeable. Fewer documents than
-    shards leave shards empty; no documents give no rows. Names in ``carry`` must differ from
-    the result's.
+    ``grown_shard`` is null under this law. Null and repeated ids are told apart by checksum and
+    size, and rows alike in these too, folded to a number first, by that number, so no value fills
+    a bucket. Fewer documents than shards leave shards empty; no documents give no rows. Further
+    columns are ignored and may have any name.
     """
     base = docs.select(
         F.col(id_col).alias("_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(plain_text(text_col).cast("binary")).alias("text_crc32"),
-        *(carry or []),
     )
-    out = shard_rows(base, "_id", n_shards, ["text_crc32", "size"], seed)
-    return out.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *(carry or []))
-
+    own = ["_id", "text_crc32", "size"]
+    base = repeated(base.groupBy(*own).agg(F.count(F.lit(1)).alias("_rows")), "_rows", "_nth")
+    out = shard_rows(base, [*own, "_nth"], n_shards, seed)
+    return out.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Writes whole documents by shard, each shard in slot order, as ``path/shard=.../``."""
-    own = [c for c in docs.columns if c not in (options.get("id_col", "doc_id"),)]
-    placed = shard_documents(docs, carry=own, **options)
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 24, seed: int = 42) -> None:
+    """Writes whole documents by shard, each shard in slot order, as ``path/shard=.../`` with a column ``row`` that holds the document.
 
+    Documents are nested, so their columns may have any name. Those that share id and text may trade places.
+    """
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.struct(F.col(id_col).alias("id")).alias("_id"),
+        F.xxhash64(plain_text(text_col)).alias("_text"),
+    )
+    placed = shard_rows(rows, ["_id", "_text"], n_shards, seed)
+    placed.select("shard", "slot", "row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

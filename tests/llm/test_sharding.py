@@ -60,4 +60,30 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
     docs = documents(spark, [f"t{i}" for i in range(60)])
     write_shards(docs, str(tmp_path / "out"), n_shards=3)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r.text for r in back.collect()) == sorted(f"t{i}" for i in range(60))
+    assert sorted(r.text for r in back.select("row.*").collect()) == sorted(f"t{i}" for i in range(60))
+
+
+def test_written_shards_take_any_column(spark, tmp_path):
+    docs = documents(spark, ["a", "b", None]).selectExpr("*", "1 AS size", "'x' AS law", "2 AS shard", "3 AS slot", "4 AS text_crc32", "5 AS _id", "6 AS row")
+    write_shards(docs, str(tmp_path / "out"), n_shards=2)
+    assert spark.read.parquet(str(tmp_path / "out")).select("row.*").columns == docs.columns
+    assert shard_documents(docs).count() == 3
+
+
+def test_executors_draw_the_matrix(spark, monkeypatch):
+    """Several groups of several buckets: even, gapless and uniform."""
+    from tessera.llm import sharding
+
+    monkeypatch.setattr(sharding, "TOP", 2)
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    base = docs.select(F.col("doc_id").alias("_id"), F.lit(0).alias("_nth"))
+    rows = sharding.shard_rows(base, ["_id", "_nth"], 5, rows_per_cell=100).collect()
+    assert Counter(r.shard for r in rows) == {s: 1200 for s in range(5)}
+    for s in range(5):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(1200))
+        assert sum(r._id for r in rows if r.shard == s) / 1200 == pytest.approx(3000, abs=5 * 6000 / np.sqrt(12 * 1200))
+
+
+def test_many_null_ids_spread(spark):
+    docs = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("t").alias("text"))
+    assert sorted(Counter(r.shard for r in shard_documents(docs).collect()).values()) == [375] * 24
