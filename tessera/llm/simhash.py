@@ -67,9 +67,21 @@ def linked_prints(prints: DataFrame, most_bits: int = 3) -> DataFrame:
     segments = (most_bits + 2) // 2  # floor(most_bits / segments) <= 1
     if BITS % segments or segments > 2:
         raise ValueError("two segments serve up to 3 differing bits")
-    keyed = prints.select("_print", F.explode(F.array(*one_wildcard_variants(F.col("_print"), 2))).alias("_key"))
-    left, right = keyed.withColumnRenamed("_print", "a"), keyed.withColumnRenamed("_print", "b")
-    return left.join(right, "_key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits)).select("a", "b").distinct()
+    keyed = prints.select("_print", F.posexplode(F.array(*one_wildcard_variants(F.col("_print"), 2))).alias("_nth", "_key"))
+    left, right = keyed.withColumnRenamed("_print", "a"), keyed.select(F.col("_print").alias("b"), "_key")
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    return left.join(right, "_key").where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most_bits) & (F.col("_nth") == _first_shared(apart))).select("a", "b")
+
+
+def _first_shared(apart: Column) -> Column:
+    """Number of the first variant that two values share, from the bits in which they differ, so that each pair is taken once."""
+    half = BITS // 2
+    low, high = apart.bitwiseAND(F.lit((1 << half) - 1)), F.shiftrightunsigned(apart, half)
+
+    def of(part: Column) -> Column:  # no bit: the first variant; one bit: the variant without it
+        return F.when(part == 0, F.lit(0)).otherwise(F.bit_count(part - 1))
+
+    return F.when(F.bit_count(low) <= 1, of(low)).otherwise(half + of(high))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, most_bits: int, shingle: int, seed: int) -> tuple[DataFrame, DataFrame]:
