@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, packing, sharding, simhash, toxicity, warc
-from tessera.llm.common import fresh_path
+from tessera.llm.common import fresh_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.Archive(fresh_path(spark, "payloads"), fresh_path(spark, "headers"))
     warc.write_archive(table(spark, sf_dir, "pages"), archive)
-    return warc.page_records(warc.read_archive(spark, archive))
+    members = written(warc.as_members(warc.archive_records(spark, archive)), "members")
+    return warc.page_records(warc.parse_records(members), archive)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,18 @@
-"""Content-addressed WARC archive: payload bytes once by verified digest, exact record headers beside them."""
+"""Content-addressed WARC archive: payload bytes once by verified digest, exact record headers beside them.
+
+Original records are rebuilt from both by a join, written as gzip members as they stand in WARC
+files, and read back by a parser that takes records of any origin.
+"""
 
 from __future__ import annotations
 
+import gzip
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +27,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 @dataclass(frozen=True)
 class Archive:
-    """Paths of an archive's two tables: ``payloads(address, payload, response_id, n_records)``, ``headers(address, header)``."""
+    """Paths of an archive's two tables: ``payloads(address, payload, response_id, n_records)``, ``headers(address, revisit, header)``."""
 
     payloads: str
     headers: str
@@ -60,13 +69,15 @@ def write_archive(pages: DataFrame, archive: Archive, id_col: str = "page_id", u
     records = pages.select(
         F.col(id_col).alias("_id"),
         F.col(url_col).cast("string").alias("_url"),
+        payload.alias("_payload"),
         F.sha2(payload, 256).alias("address"),
         F.sha1(payload.cast("binary")).alias("_sha1"),
         F.octet_length(payload).cast("long").alias("_bytes"),
-    )
+    ).withColumn("_http", F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}"), _field("Content-Type", F.lit("text/html; charset=UTF-8")), _field("Content-Length", F.col("_bytes")), F.lit(CRLF)))
+    records = records.withColumn("_block_sha1", F.sha1(F.concat(F.col("_http").cast("binary"), F.col("_payload").cast("binary")))).drop("_payload")
     joined = records.join(stored, "address")
     revisit = (F.col("_bytes") >= least_bytes) & ~F.col("_id").eqNullSafe(F.col("response_id"))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}"), _field("Content-Type", F.lit("text/html; charset=UTF-8")), _field("Content-Length", F.col("_bytes")), F.lit(CRLF))
+    http = F.col("_http")
     block = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("_bytes"))
     header = F.concat(
         F.lit(VERSION + CRLF),
@@ -75,6 +86,8 @@ def write_archive(pages: DataFrame, archive: Archive, id_col: str = "page_id", u
         _field("WARC-Date", F.lit(date)),
         _field("WARC-Target-URI", F.col("_url")),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("_sha1"))),
+        _field("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.when(revisit, F.sha1(http.cast("binary"))).otherwise(F.col("_block_sha1")))),
+        _field("WARC-Payload-Address", F.concat(F.lit("sha256:"), F.col("address"))),
         _field("WARC-Page-Id", F.col("_id")),
         F.when(revisit, F.concat(_field("WARC-Profile", F.lit(REVISIT_PROFILE)), _field("WARC-Refers-To", _urn(F.lit("record"), F.col("response_id").cast("string"), F.col("address"))), _field("WARC-Refers-To-Page-Id", F.col("response_id")))).otherwise(""),
         _field("Content-Type", F.lit("application/http; msgtype=response")),
@@ -82,7 +95,7 @@ def write_archive(pages: DataFrame, archive: Archive, id_col: str = "page_id", u
         F.lit(CRLF),
         http,
     )
-    joined.select("address", header.cast("binary").alias("header")).write.option("compression", "zstd").parquet(archive.headers)
+    joined.select("address", revisit.alias("revisit"), header.cast("binary").alias("header")).write.option("compression", "zstd").parquet(archive.headers)
 
 
 def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
@@ -91,36 +104,145 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     return spark.read.parquet(archive.headers).join(payloads, "address").select("address", "header", "payload")
 
 
-def record_bytes(header: Column, payload: Column) -> Column:
-    """A record as it stands in a WARC file: headers, payload (none in a revisit), two line breaks."""
-    body = F.when(header_field(header, "WARC-Type") == "revisit", F.lit("")).otherwise(payload)
-    return F.concat(header, body.cast("binary"), F.lit(CRLF + CRLF).cast("binary"))
+def archive_records(spark: SparkSession, archive: Archive) -> DataFrame:
+    """``record``: the original records' bytes, from headers and payloads; records that revisit meet no payload, so a hot one is moved once for each response."""
+    headers = spark.read.parquet(archive.headers)
+    payloads = spark.read.parquet(archive.payloads).select("address", F.col("payload").cast("binary").alias("payload"))
+    end = F.lit(CRLF + CRLF).cast("binary")
+    whole = headers.where("NOT revisit").join(payloads, "address").select(F.concat("header", "payload", end).alias("record"))
+    return whole.union(headers.where("revisit").select(F.concat("header", end).alias("record")))
 
 
-def header_field(header: Column, name: str) -> Column:
-    """The first value of a field in a record's header, null if it isn't there."""
-    found = F.regexp_extract(header.cast("string"), rf"(?:^|\r\n){name}: ([^\r\n]*)\r\n", 1)
-    return F.nullif(found, F.lit(""))
+def as_members(records: DataFrame) -> DataFrame:
+    """``member``: each record as a gzip member; members one after the other are a WARC file."""
+
+    @F.pandas_udf("binary")
+    def packed(record: pd.Series) -> pd.Series:
+        return record.map(lambda r: gzip.compress(r, compresslevel=1, mtime=0))
+
+    return records.select(packed("record").alias("member"))
+
+
+#: Bytes that are unpacked at once, so that a long run of members costs time linear in it.
+_CHUNK = 1 << 16
+
 
+def _plain(raw: bytes) -> Iterator[bytes]:
+    """What a run of gzip members holds, member by member, or the bytes themselves if they aren't compressed."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    at = 0
+    while at < len(raw):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(raw):
+                raise ValueError("a gzip member breaks off")
+            parts.append(member.decompress(raw[at : at + _CHUNK]))
+            at = min(at + _CHUNK, len(raw)) - len(member.unused_data)
+        yield b"".join(parts)
 
-def page_records(records: DataFrame, id_type: str = "long") -> DataFrame:
-    """Per record: ``page_id, payload_bytes, payload_digest, record_type, refers_to, verified``.
 
-    Size and digest are those of the payload that was read back; ``verified`` says whether it
-    hashes to its address and to the header's digest.
+def split_records(raw: bytes) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
+    """``(head, fields, block)`` of each record: its exact header bytes, the first value of each field by lower-case name, its block.
+
+    Fields may be folded over lines and lines end in CRLF or LF. A record that breaks off or has
+    no length is an error.
+    """
+    at = 0
+    while at < len(raw):
+        if raw[at : at + 1] in b"\r\n":
+            at += 1
+            continue
+        if raw[at : at + 5] != b"WARC/":
+            raise ValueError(f"no WARC record at byte {at}")
+        fields: dict[str, str] = {}
+        name, begin = "", at
+        at = raw.index(b"\n", at) + 1
+        while True:
+            stop = raw.index(b"\n", at) + 1
+            line = raw[at:stop].rstrip(b"\r\n")
+            at = stop
+            if not line:
+                break
+            if line[:1] in b" \t":
+                fields[name] += " " + line.strip().decode("utf-8", "replace")
+            else:
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                name = name.strip().lower()
+                fields.setdefault(name, value.strip())
+        length = int(fields["content-length"])
+        if at + length > len(raw):
+            raise ValueError("a WARC record breaks off")
+        yield raw[begin:at], fields, raw[at : at + length]
+        at += length
+
+
+def parse_records(members: DataFrame, column: str = "member") -> DataFrame:
+    """``head, fields, http, payload, block_ok``: the records of a column of gzip members, runs of members or plain records.
+
+    ``head`` and ``http`` are exact header bytes; a block that isn't HTTP is all payload. ``block_ok``
+    says whether the block hashes to its SHA-1 digest in hex, null without one. A null or empty value holds no record.
+    """
+    import hashlib
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads, fields, https, payloads, oks = [], [], [], [], []
+            for raw in b.column(0).to_pylist():
+                for part in _plain(raw or b""):
+                    for head, found, block in split_records(part):
+                        cut = 0
+                        if found.get("content-type", "").lower().startswith("application/http"):
+                            end = block.find(b"\r\n\r\n")
+                            cut = end + 4 if end >= 0 else len(block)
+                        said = found.get("warc-block-digest", "").lower()
+                        heads.append(head)
+                        fields.append(list(found.items()))
+                        https.append(block[:cut])
+                        payloads.append(block[cut:])
+                        oks.append(hashlib.sha1(block).hexdigest() == said[5:] if said.startswith("sha1:") and len(said) == 45 else None)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(heads, pa.binary()), pa.array(fields, pa.map_(pa.string(), pa.string())), pa.array(https, pa.binary()), pa.array(payloads, pa.binary()), pa.array(oks, pa.bool_())],
+                names=["head", "fields", "http", "payload", "block_ok"],
+            )
+
+    return members.select(column).mapInArrow(run, "head binary, fields map<string,string>, http binary, payload binary, block_ok boolean")
+
+
+def page_records(parsed: DataFrame, archive: Archive, id_type: str = "long") -> DataFrame:
+    """Per parsed record: ``page_id, payload_bytes, payload_digest, record_type, refers_to, verified``.
+
+    Size and digest are those of the payload that was read: the record's own, or for one that
+    revisits that of the archive's payload under its address, measured once per payload.
+    ``verified`` says whether it has the record's digest and address and, in a response, the block its digest.
     """
-    sha1, raw = F.sha1("_raw"), F.col("payload").cast("binary")
-    return records.withColumn("_raw", raw).select(
-        header_field(F.col("header"), "WARC-Page-Id").cast(id_type).alias("page_id"),
-        F.octet_length("_raw").cast("long").alias("payload_bytes"),
-        sha1.alias("payload_digest"),
-        header_field(F.col("header"), "WARC-Type").alias("record_type"),
-        header_field(F.col("header"), "WARC-Refers-To-Page-Id").cast(id_type).alias("refers_to"),
-        ((F.sha2("_raw", 256) == F.col("address")) & (F.concat(F.lit("sha1:"), sha1) == header_field(F.col("header"), "WARC-Payload-Digest"))).alias("verified"),
+
+    def facts(payload: Column) -> list[Column]:
+        return [F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"), F.sha2(payload, 256).alias("_sha")]
+
+    fields = ["page-id", "type", "refers-to-page-id", "payload-digest", "payload-address"]
+    named = [F.col("fields")[f"warc-{f}"].alias(f"_{f.replace('-', '_')}") for f in fields]
+    own = parsed.where(F.col("fields")["warc-type"] != "revisit").select(*named, "block_ok", *facts(F.col("payload")))
+    stored = parsed.sparkSession.read.parquet(archive.payloads).select(*facts(F.col("payload").cast("binary")), F.concat(F.lit("sha256:"), F.col("address")).alias("_payload_address"))
+    again = parsed.where(F.col("fields")["warc-type"] == "revisit").select(*named, "block_ok").join(stored, "_payload_address").select(*own.columns)
+    return own.union(again).select(
+        F.col("_page_id").cast(id_type).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("_type").alias("record_type"),
+        F.col("_refers_to_page_id").cast(id_type).alias("refers_to"),
+        ((F.concat(F.lit("sha256:"), F.col("_sha")) == F.col("_payload_address")) & (F.concat(F.lit("sha1:"), F.col("payload_digest")) == F.col("_payload_digest")) & F.coalesce("block_ok", F.lit(True))).alias("verified"),
     )
 
 
+def header_field(header: Column, name: str) -> Column:
+    """The first value of a field in a record's header, null if it isn't there."""
+    found = F.regexp_extract(header.cast("string"), rf"(?:^|\r\n){name}: ([^\r\n]*)\r\n", 1)
+    return F.nullif(found, F.lit(""))
+
+
 def export_warc(spark: SparkSession, archive: Archive, path: str) -> None:
     """WARC files (gzip) from the archive: two line breaks end each record, which is the text writer's line separator."""
-    text = F.concat(F.col("header").cast("string"), F.when(header_field(F.col("header"), "WARC-Type") == "revisit", F.lit("")).otherwise(F.col("payload")))
-    read_archive(spark, archive).select(text.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    record = F.expr("substring(record, 1, octet_length(record) - 4)").cast("string")
+    archive_records(spark, archive).select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
