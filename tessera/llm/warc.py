@@ -236,12 +236,6 @@ def page_records(parsed: DataFrame, archive: Archive, id_type: str = "long") ->
     )
 
 
-def header_field(header: Column, name: str) -> Column:
-    """The first value of a field in a record's header, null if it isn't there."""
-    found = F.regexp_extract(header.cast("string"), rf"(?:^|\r\n){name}: ([^\r\n]*)\r\n", 1)
-    return F.nullif(found, F.lit(""))
-
-
 def export_warc(spark: SparkSession, archive: Archive, path: str) -> None:
     """WARC files (gzip) from the archive: two line breaks end each record, which is the text writer's line separator."""
     record = F.expr("substring(record, 1, octet_length(record) - 4)").cast("string")
