@@ -45,6 +45,10 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit(CRLF)), F.lit(""))
 
 
+def _http(size: Column) -> Column:
+    return F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}"), _field("Content-Type", F.lit("text/html; charset=UTF-8")), _field("Content-Length", size), F.lit(CRLF))
+
+
 def write_archive(pages: DataFrame, archive: Archive, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z") -> None:
     """Writes one record per page into the archive's two tables.
 
@@ -65,19 +69,20 @@ def write_archive(pages: DataFrame, archive: Archive, id_col: str = "page_id", u
         .write.option("compression", "zstd")
         .parquet(archive.payloads)
     )
-    stored = pages.sparkSession.read.parquet(archive.payloads).select("address", "response_id").distinct()
+    # Digests travel as bytes, and the aggregate's partitions are the join's.
+    stored = pages.sparkSession.read.parquet(archive.payloads).groupBy(F.unhex("address").alias("_at")).agg(F.max("response_id").alias("response_id"))
     records = pages.select(
         F.col(id_col).alias("_id"),
         F.col(url_col).cast("string").alias("_url"),
         payload.alias("_payload"),
-        F.sha2(payload, 256).alias("address"),
-        F.sha1(payload.cast("binary")).alias("_sha1"),
+        F.unhex(F.sha2(payload, 256)).alias("_at"),
+        F.unhex(F.sha1(payload.cast("binary"))).alias("_sha1"),
         F.octet_length(payload).cast("long").alias("_bytes"),
-    ).withColumn("_http", F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}"), _field("Content-Type", F.lit("text/html; charset=UTF-8")), _field("Content-Length", F.col("_bytes")), F.lit(CRLF)))
-    records = records.withColumn("_block_sha1", F.sha1(F.concat(F.col("_http").cast("binary"), F.col("_payload").cast("binary")))).drop("_payload")
-    joined = records.join(stored, "address")
+    ).withColumn("_http", _http(F.col("_bytes")))
+    records = records.withColumn("_block_sha1", F.unhex(F.sha1(F.concat(F.col("_http").cast("binary"), F.col("_payload").cast("binary"))))).drop("_payload", "_http")
+    joined = records.join(stored, "_at").withColumn("address", F.lower(F.hex("_at")))
     revisit = (F.col("_bytes") >= least_bytes) & ~F.col("_id").eqNullSafe(F.col("response_id"))
-    http = F.col("_http")
+    http = _http(F.col("_bytes"))
     block = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("_bytes"))
     header = F.concat(
         F.lit(VERSION + CRLF),
@@ -85,8 +90,8 @@ def write_archive(pages: DataFrame, archive: Archive, id_col: str = "page_id", u
         _field("WARC-Record-ID", _urn(F.lit("record"), F.col("_id").cast("string"), F.col("address"))),
         _field("WARC-Date", F.lit(date)),
         _field("WARC-Target-URI", F.col("_url")),
-        _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("_sha1"))),
-        _field("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.when(revisit, F.sha1(http.cast("binary"))).otherwise(F.col("_block_sha1")))),
+        _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.lower(F.hex("_sha1")))),
+        _field("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.when(revisit, F.sha1(http.cast("binary"))).otherwise(F.lower(F.hex("_block_sha1"))))),
         _field("WARC-Payload-Address", F.concat(F.lit("sha256:"), F.col("address"))),
         _field("WARC-Page-Id", F.col("_id")),
         F.when(revisit, F.concat(_field("WARC-Profile", F.lit(REVISIT_PROFILE)), _field("WARC-Refers-To", _urn(F.lit("record"), F.col("response_id").cast("string"), F.col("address"))), _field("WARC-Refers-To-Page-Id", F.col("response_id")))).otherwise(""),
@@ -118,7 +123,7 @@ def as_members(records: DataFrame) -> DataFrame:
 
     @F.pandas_udf("binary")
     def packed(record: pd.Series) -> pd.Series:
-        return record.map(lambda r: gzip.compress(r, compresslevel=1, mtime=0))
+        return record.map(lambda r: gzip.compress(r, compresslevel=6, mtime=0))
 
     return records.select(packed("record").alias("member"))
 
