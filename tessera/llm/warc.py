@@ -27,7 +27,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 @dataclass(frozen=True)
 class Archive:
-    """Paths of an archive's two tables: ``payloads(address, payload, response_id, n_records)``, ``headers(address, revisit, header)``."""
+    """Paths of an archive's two tables: ``payloads(address, packed, response_id, n_records)``, ``headers(address, revisit, header)``."""
 
     payloads: str
     headers: str
@@ -45,6 +45,17 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit(CRLF)), F.lit(""))
 
 
+@F.pandas_udf("binary")
+def _packed(raw: pd.Series) -> pd.Series:
+    """Gzip of each value; equal bytes give equal bytes."""
+    return raw.map(lambda r: gzip.compress(r, compresslevel=6, mtime=0))
+
+
+@F.pandas_udf("binary")
+def _unpacked(raw: pd.Series) -> pd.Series:
+    return raw.map(gzip.decompress)
+
+
 def _http(size: Column) -> Column:
     return F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}"), _field("Content-Type", F.lit("text/html; charset=UTF-8")), _field("Content-Length", size), F.lit(CRLF))
 
@@ -52,8 +63,8 @@ def _http(size: Column) -> Column:
 def write_archive(pages: DataFrame, archive: Archive, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z") -> None:
     """Writes one record per page into the archive's two tables.
 
-    A payload's address is its SHA-256. Payloads are grouped by address *and* bytes, which
-    folds copies on the map side and verifies the digest: two payloads of one address would
+    A payload's address is its SHA-256. Payloads are packed by gzip where they are read, so that all
+    moves are of packed bytes, and grouped by address *and* bytes, which folds copies on the map side and verifies the digest: two payloads of one address would
     both be stored and reading would report them. Of records with equal payloads of at least
     ``least_bytes`` bytes, the one with the largest id is the response and the others revisit
     it; smaller ones are all responses. A null payload is empty; a null URL leaves the header's
@@ -62,9 +73,8 @@ def write_archive(pages: DataFrame, archive: Archive, id_col: str = "page_id", u
     """
     payload = plain_text(payload_col)
     (
-        pages.select(F.col(id_col).alias("_id"), payload.alias("payload"))
-        .withColumn("address", F.sha2("payload", 256))
-        .groupBy("address", "payload")
+        pages.select(F.col(id_col).alias("_id"), F.sha2(payload, 256).alias("address"), _packed(payload.cast("binary")).alias("packed"))
+        .groupBy("address", "packed")
         .agg(F.max("_id").alias("response_id"), F.count(F.lit(1)).alias("n_records"))
         .write.option("compression", "zstd")
         .parquet(archive.payloads)
@@ -105,27 +115,23 @@ def write_archive(pages: DataFrame, archive: Archive, id_col: str = "page_id", u
 
 def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     """Original records from the two tables: ``address, header, payload`` (full payload, also for revisits)."""
-    payloads = spark.read.parquet(archive.payloads).select("address", "payload")
-    return spark.read.parquet(archive.headers).join(payloads, "address").select("address", "header", "payload")
+    payloads = spark.read.parquet(archive.payloads).select("address", "packed")
+    return spark.read.parquet(archive.headers).join(payloads, "address").select("address", "header", _unpacked("packed").cast("string").alias("payload"))
 
 
 def archive_records(spark: SparkSession, archive: Archive) -> DataFrame:
     """``record``: the original records' bytes, from headers and payloads; records that revisit meet no payload, so a hot one is moved once for each response."""
     headers = spark.read.parquet(archive.headers)
-    payloads = spark.read.parquet(archive.payloads).select("address", F.col("payload").cast("binary").alias("payload"))
+    payloads = spark.read.parquet(archive.payloads).select("address", "packed")
     end = F.lit(CRLF + CRLF).cast("binary")
-    whole = headers.where("NOT revisit").join(payloads, "address").select(F.concat("header", "payload", end).alias("record"))
+    whole = headers.where("NOT revisit").join(payloads, "address").select(F.concat(F.col("header"), _unpacked("packed"), end).alias("record"))
     return whole.union(headers.where("revisit").select(F.concat("header", end).alias("record")))
 
 
 def as_members(records: DataFrame) -> DataFrame:
     """``member``: each record as a gzip member; members one after the other are a WARC file."""
 
-    @F.pandas_udf("binary")
-    def packed(record: pd.Series) -> pd.Series:
-        return record.map(lambda r: gzip.compress(r, compresslevel=6, mtime=0))
-
-    return records.select(packed("record").alias("member"))
+    return records.select(_packed("record").alias("member"))
 
 
 #: Bytes that are unpacked at once, so that a long run of members costs time linear in it.
@@ -229,7 +235,8 @@ def page_records(parsed: DataFrame, archive: Archive, id_type: str = "long") ->
     fields = ["page-id", "type", "refers-to-page-id", "payload-digest", "payload-address"]
     named = [F.col("fields")[f"warc-{f}"].alias(f"_{f.replace('-', '_')}") for f in fields]
     own = parsed.where(F.col("fields")["warc-type"] != "revisit").select(*named, "block_ok", *facts(F.col("payload")))
-    stored = parsed.sparkSession.read.parquet(archive.payloads).select(*facts(F.col("payload").cast("binary")), F.concat(F.lit("sha256:"), F.col("address")).alias("_payload_address"))
+    stored = parsed.sparkSession.read.parquet(archive.payloads).where("n_records > 1").select(_unpacked("packed").alias("_raw"), F.concat(F.lit("sha256:"), F.col("address")).alias("_payload_address"))
+    stored = stored.select(*facts(F.col("_raw")), "_payload_address")
     again = parsed.where(F.col("fields")["warc-type"] == "revisit").select(*named, "block_ok").join(stored, "_payload_address").select(*own.columns)
     return own.union(again).select(
         F.col("_page_id").cast(id_type).alias("page_id"),
