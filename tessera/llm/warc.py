@@ -45,15 +45,22 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit(CRLF)), F.lit(""))
 
 
-@F.pandas_udf("binary")
-def _packed(raw: pd.Series) -> pd.Series:
+def _packed(raw: Column) -> Column:
     """Gzip of each value; equal bytes give equal bytes."""
-    return raw.map(lambda r: gzip.compress(r, compresslevel=6, mtime=0))
 
+    @F.pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda r: gzip.compress(r, compresslevel=6, mtime=0))
 
-@F.pandas_udf("binary")
-def _unpacked(raw: pd.Series) -> pd.Series:
-    return raw.map(gzip.decompress)
+    return run(raw)
+
+
+def _unpacked(raw: Column) -> Column:
+    @F.pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(gzip.decompress)
+
+    return run(raw)
 
 
 def _http(size: Column) -> Column:
@@ -116,7 +123,7 @@ def write_archive(pages: DataFrame, archive: Archive, id_col: str = "page_id", u
 def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     """Original records from the two tables: ``address, header, payload`` (full payload, also for revisits)."""
     payloads = spark.read.parquet(archive.payloads).select("address", "packed")
-    return spark.read.parquet(archive.headers).join(payloads, "address").select("address", "header", _unpacked("packed").cast("string").alias("payload"))
+    return spark.read.parquet(archive.headers).join(payloads, "address").select("address", "header", _unpacked(F.col("packed")).cast("string").alias("payload"))
 
 
 def archive_records(spark: SparkSession, archive: Archive) -> DataFrame:
@@ -124,14 +131,14 @@ def archive_records(spark: SparkSession, archive: Archive) -> DataFrame:
     headers = spark.read.parquet(archive.headers)
     payloads = spark.read.parquet(archive.payloads).select("address", "packed")
     end = F.lit(CRLF + CRLF).cast("binary")
-    whole = headers.where("NOT revisit").join(payloads, "address").select(F.concat(F.col("header"), _unpacked("packed"), end).alias("record"))
+    whole = headers.where("NOT revisit").join(payloads, "address").select(F.concat(F.col("header"), _unpacked(F.col("packed")), end).alias("record"))
     return whole.union(headers.where("revisit").select(F.concat("header", end).alias("record")))
 
 
 def as_members(records: DataFrame) -> DataFrame:
     """``member``: each record as a gzip member; members one after the other are a WARC file."""
 
-    return records.select(_packed("record").alias("member"))
+    return records.select(_packed(F.col("record")).alias("member"))
 
 
 #: Bytes that are unpacked at once, so that a long run of members costs time linear in it.
@@ -235,7 +242,7 @@ def page_records(parsed: DataFrame, archive: Archive, id_type: str = "long") ->
     fields = ["page-id", "type", "refers-to-page-id", "payload-digest", "payload-address"]
     named = [F.col("fields")[f"warc-{f}"].alias(f"_{f.replace('-', '_')}") for f in fields]
     own = parsed.where(F.col("fields")["warc-type"] != "revisit").select(*named, "block_ok", *facts(F.col("payload")))
-    stored = parsed.sparkSession.read.parquet(archive.payloads).where("n_records > 1").select(_unpacked("packed").alias("_raw"), F.concat(F.lit("sha256:"), F.col("address")).alias("_payload_address"))
+    stored = parsed.sparkSession.read.parquet(archive.payloads).where("n_records > 1").select(_unpacked(F.col("packed")).alias("_raw"), F.concat(F.lit("sha256:"), F.col("address")).alias("_payload_address"))
     stored = stored.select(*facts(F.col("_raw")), "_payload_address")
     again = parsed.where(F.col("fields")["warc-type"] == "revisit").select(*named, "block_ok").join(stored, "_payload_address").select(*own.columns)
     return own.union(again).select(
