@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingle_dedup
-from tessera.llm.common import first_of_groups, plain_text, written
+from tessera.llm.common import ROWS_PER_CELL, first_of_groups, plain_text, written
 from tessera.llm.components import connected_components
 
 BITS = 64
+#: Fingerprints that hold more than this part of all rows are fewer than it, so they may be broadcast.
+MOST_HOT = 1024
 #: Bits of each byte value, lowest first, and the place of each byte of a hash in the counts.
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_PLACE = (np.arange(8, dtype=np.uint16) * 256)[None, :]
@@ -85,13 +87,28 @@ def _first_shared(apart: Column) -> Column:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, most_bits: int, shingle: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Documents' fingerprints, and per fingerprint ``component_id`` and ``_group``, a fingerprint that names its component."""
+    """Documents' fingerprints, and per fingerprint ``component_id``, ``_group``, a fingerprint that names its component, and ``_rows``."""
     prints = written(fingerprints(docs, id_col, text_col, shingle, seed), "prints")
-    classes = written(prints.groupBy("_print").agg(F.min("_id").alias("_first")), "classes")
+    classes = written(prints.groupBy("_print").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")), "classes")
     found = connected_components(linked_prints(classes, most_bits))
     linked = classes.join(found, F.col("_print") == F.col("node")).select("_print", "component", "_first")
     named = linked.join(linked.groupBy("component").agg(F.min("_first").alias("_least")), "component").select("_print", "component", "_least")
-    return prints, classes.join(named, "_print", "left").select("_print", F.coalesce("_least", "_first").alias("component_id"), F.coalesce("component", "_print").alias("_group"))
+    classed = classes.join(named, "_print", "left").select("_print", F.coalesce("_least", "_first").alias("component_id"), F.coalesce("component", "_print").alias("_group"), "_rows")
+    return prints, written(classed, "classed")
+
+
+def _with_classes(prints: DataFrame, classed: DataFrame) -> DataFrame:
+    """Every row of ``prints`` with the columns of its fingerprint's class.
+
+    A fingerprint of more than 1/MOST_HOT of all rows is looked up in a broadcast, of which there
+    are fewer than MOST_HOT; so the rows of one that a join brings to one task are a small share
+    of all, or few.
+    """
+    least = max(ROWS_PER_CELL, prints.count() // MOST_HOT)
+    hot = F.broadcast(classed.where(F.col("_rows") > least))
+    seen = prints.join(hot, "_print", "left")
+    rest = seen.where(F.col("_rows").isNull()).select(*prints.columns).join(classed.where(F.col("_rows") <= least), "_print")
+    return seen.where(F.col("_rows").isNotNull()).unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -104,7 +121,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids alone has a null id. Repeated rows are returned each; an empty table gives no rows.
     """
     prints, classed = _grouped(docs, id_col, text_col, most_bits, shingle, seed)
-    return prints.join(classed, "_print").select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_print")), 16, "0").alias("fingerprint"), "component_id")
+    return _with_classes(prints, classed).select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_print")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(
@@ -120,4 +137,4 @@ def drop_near_copies(
     if similarity is not None:
         return shingle_dedup.drop_similar(docs, id_col, text_col, similarity, shingle, seed)
     prints, classed = _grouped(docs, id_col, text_col, most_bits, shingle, seed)
-    return first_of_groups(docs, prints.join(classed, "_print"), id_col, text_col)
+    return first_of_groups(docs, _with_classes(prints, classed), id_col, text_col)

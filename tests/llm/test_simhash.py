@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 from small import ODD, documents
 
+from tessera.llm import simhash
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import drop_near_copies, fingerprint, linked_prints, near_duplicates
 
@@ -95,3 +96,14 @@ def test_components_of_long_chains(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in chain} | {1000: 1000, 1001: 1000, 1002: 1000}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_classes_take_the_other_way(spark, monkeypatch):
+    made = [*texts()[-8:], *["one text that many rows hold"] * 40, *[""] * 30]
+    docs = documents(spark, made)
+    plain = sorted(tuple(r) for r in near_duplicates(docs).collect())
+    monkeypatch.setattr(simhash, "ROWS_PER_CELL", 5)
+    split = near_duplicates(docs)
+    assert sorted(tuple(r) for r in split.collect()) == plain
+    assert "BroadcastHashJoin" in split._jdf.queryExecution().toString()
+    assert len(plain) == len(made) and len({c for *_, c in plain}) < len({p for _, p, _ in plain})
