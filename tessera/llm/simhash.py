@@ -72,7 +72,8 @@ def linked_prints(prints: DataFrame, most_bits: int = 3) -> DataFrame:
     keyed = prints.select("_print", F.posexplode(F.array(*one_wildcard_variants(F.col("_print"), 2))).alias("_nth", "_key"))
     left, right = keyed.withColumnRenamed("_print", "a"), keyed.select(F.col("_print").alias("b"), "_key")
     apart = F.col("a").bitwiseXOR(F.col("b"))
-    return left.join(right, "_key").where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most_bits) & (F.col("_nth") == _first_shared(apart))).select("a", "b")
+    # 64 times the rows of ``prints``, which the planner's estimate leaves out: never a broadcast
+    return left.join(right.hint("merge"), "_key").where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most_bits) & (F.col("_nth") == _first_shared(apart))).select("a", "b")
 
 
 def _first_shared(apart: Column) -> Column:

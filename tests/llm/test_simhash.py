@@ -107,3 +107,10 @@ def test_large_classes_take_the_other_way(spark, monkeypatch):
     assert sorted(tuple(r) for r in split.collect()) == plain
     assert "BroadcastHashJoin" in split._jdf.queryExecution().toString()
     assert len(plain) == len(made) and len({c for *_, c in plain}) < len({p for _, p, _ in plain})
+
+
+def test_variants_are_never_broadcast(spark):
+    """Their number is unknown to the planner, which takes 64 variants for one row."""
+    prints = spark.range(100).select(F.xxhash64("id").alias("_print"))
+    plan = linked_prints(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
