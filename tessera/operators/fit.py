@@ -6,19 +6,18 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.objectives import AffinityModel, Bundle, LogLinear, ModeWeights, Objective, affinity_likelihood, evaluate
 from tessera.operators.splits import keyed
-from tessera.sources.shared import written
 
 Many = Callable[[Sequence[np.ndarray]], list[tuple[float, np.ndarray]]]
 
 
 @dataclass
 class Fit:
-    """Outcome of a fit: final vector, loss, gradient norm, steps, jobs and data passes."""
+    """Outcome of a fit: final vector, loss, gradient norm, steps and data passes."""
 
     theta: np.ndarray
     loss: float = float("nan")
@@ -147,16 +146,15 @@ def svrg(problem: FiniteSum, start: np.ndarray, rate: float = 0.5, share: float
     return _finished(problem, w, step, passes, trace)
 
 
-def _bound_gradients(rows: DataFrame, problem: FiniteSum, x: np.ndarray, snapshots: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean gradient of the rows at ``x`` and at each row's own snapshot, in one pass."""
-    names = sorted(snapshots)
-    b = evaluate(rows, problem.objective, [x, *[snapshots[s] for s in names]], by="snap")
-    n = sum(v.n for (g, c), v in b.items() if c == 0)
+def _bound_gradients(rows: DataFrame, problem: FiniteSum, snap: Column, snapshots: dict[int, np.ndarray], x: np.ndarray | None = None) -> list[np.ndarray] | None:
+    """Mean gradient of the rows, each at its own snapshot, and with ``x`` also at that, in one pass; none without rows."""
+    tried = {s: [v] if x is None else [v, x] for s, v in snapshots.items()}
+    b = evaluate(rows, problem.objective, tried, by=snap)
+    n = sum(v.n for (_, c), v in b.items() if c == 0)
+    count = 1 if x is None else 2
     if not n:
-        return problem.ridge * x, problem.ridge * x
-    at_x = sum(v.grad for (g, c), v in b.items() if c == 0) / n + problem.ridge * x
-    own = sum(b[g, 1 + names.index(g)].grad + b[g, 1 + names.index(g)].n * problem.ridge * snapshots[g] for g in names if (g, 0) in b) / n
-    return at_x, own
+        return None
+    return [sum(b[g, c].grad + b[g, c].n * problem.ridge * tried[g][c] for g, at in b if at == c) / n for c in range(count)]
 
 
 def ksvrg(
@@ -164,15 +162,18 @@ def ksvrg(
 ) -> Fit:
     """k-SVRG: every row is bound to a snapshot; a sub-epoch's rows are bound to its last vector.
 
-    The binding is a column; it is written to the shared folder after each sub-epoch, and
-    snapshots that no row uses are dropped. With ``k`` the rows of sub-epoch t are block t of a
-    keyed permutation in ``k`` blocks, which is k2-SVRG. ``direction`` may turn the gradient
-    estimate into another step.
+    Which rows a step takes follows from their ids, so a row's snapshot is an expression of its
+    id: that of the latest sub-epoch that took it. Nothing is written, and a row is evaluated at
+    its own snapshot alone. Snapshots that no row uses are dropped, and the expression with them,
+    so it holds about the logarithm of the number of rows. With ``k`` the rows of sub-epoch t are
+    block t of a keyed permutation in ``k`` blocks, which is k2-SVRG. ``direction`` may turn the
+    gradient estimate into another step.
     """
     x = np.asarray(start, dtype=np.float64)
-    rows, snapshots, step, passes, trace = problem.rows.withColumn("snap", F.lit(0).cast("long")), {0: x.copy()}, 0, 0.0, []
+    snapshots, taken, step, passes, trace = {0: x.copy()}, {}, 0, 0.0, []
     for epoch in range(sub_epochs):
-        _, anchor = _bound_gradients(rows, problem, x, snapshots)
+        snap = _latest(taken, min(snapshots))
+        anchor = (_bound_gradients(problem.rows, problem, snap, snapshots) or [problem.ridge * x])[0]
         passes += 1
         touched = F.lit(False)
         for i in range(per_epoch):
@@ -181,19 +182,27 @@ def ksvrg(
             else:
                 block = F.floor(keyed(problem.id_col, 0) * (k * per_epoch) / 1_000_003)
                 mine = block == (epoch % k) * per_epoch + i
-            gx, own = _bound_gradients(rows.where(mine), problem, x, snapshots)
-            g = gx - own + anchor
+            found = _bound_gradients(problem.rows.where(mine), problem, snap, snapshots, x)
+            g = anchor if found is None else found[1] - found[0] + anchor
             x = x - rate * (g if direction is None else direction(g, x, step))
             touched, step, passes = touched | mine, step + 1, passes + share
-        fresh = max(snapshots) + 1
-        snapshots[fresh] = x.copy()
-        rows = written(rows.withColumn("snap", F.when(touched, F.lit(fresh).cast("long")).otherwise(F.col("snap"))), "bound")
-        used = {r["snap"] for r in rows.select("snap").distinct().collect()}
+        fresh = epoch + 1
+        snapshots[fresh], taken[fresh] = x.copy(), touched
+        used = {r["snap"] for r in problem.rows.select(_latest(taken, min(snapshots)).alias("snap")).distinct().collect()}
         snapshots = {s: v for s, v in snapshots.items() if s in used}
+        taken = {s: c for s, c in taken.items() if s > min(snapshots)}
         trace.append(float(len(snapshots)))
     return _finished(problem, x, step, passes, trace)
 
 
+def _latest(taken: dict[int, Column], first: int) -> Column:
+    """The last snapshot, of those numbered, whose sub-epoch took the row; ``first`` if none did."""
+    out = F.lit(first).cast("long")
+    for s in sorted(taken):
+        out = F.when(taken[s], F.lit(s).cast("long")).otherwise(out)
+    return out
+
+
 class _Curvature:
     """Steps of the mean vector and central differences of batch gradients as L-BFGS pairs, every ``period`` steps."""
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Sums = tuple[float, float, float, np.ndarray, np.ndarray]
@@ -45,29 +45,31 @@ class Bundle:
         return (self.loss_sq / n - (self.loss / n) ** 2) / (n - 1), (self.grad_sq / n - (self.grad / n) ** 2) / (n - 1)
 
 
-def evaluate(df: DataFrame, objective: Objective, thetas: Sequence[np.ndarray], by: str | None = None) -> dict:
+def evaluate(df: DataFrame, objective: Objective, thetas: Sequence[np.ndarray] | Mapping[int, Sequence[np.ndarray]], by: str | Column | None = None) -> dict:
     """``{candidate: Bundle}``, or ``{(group, candidate): Bundle}`` with a grouping column.
 
+    ``thetas`` may give each group candidates of its own, by the group's number.
     Each task adds up its rows and hands on one row of sums per candidate and group; these are
     summed on executors, so the driver gets 3 + 2 d numbers per candidate, whatever the data.
     """
-    vectors = [np.asarray(t, dtype=np.float64) for t in thetas]
+    each, grouped = isinstance(thetas, Mapping), by is not None
+    vectors = {g: [np.asarray(t, dtype=np.float64) for t in own] for g, own in (thetas if each else {0: thetas}).items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for b in batches:
-            for g, rows in b.groupby("_by") if by else [(0, b)]:
-                for c, theta in enumerate(vectors):
+            for g, rows in b.groupby("_by") if grouped else [(0, b)]:
+                for c, theta in enumerate(vectors[int(g) if each else 0]):
                     n, loss, squares, grad, grad_sq = objective.partial(rows, theta)
                     row = np.concatenate(([n, loss, squares], grad, grad_sq))
                     sums[g, c] = sums[g, c] + row if (g, c) in sums else row
         yield pd.DataFrame([(int(g), c, v.tolist()) for (g, c), v in sums.items()], columns=["g", "c", "v"])
 
-    rows = df.select(*objective.columns, *([F.col(by).cast("long").alias("_by")] if by else []))
+    rows = df.select(*objective.columns, *([(F.col(by) if isinstance(by, str) else by).cast("long").alias("_by")] if grouped else []))
     parts = rows.mapInPandas(run, "g long, c int, v array<double>").select("g", "c", F.posexplode("v").alias("i", "x"))
     out: dict = {}
     for r in parts.groupBy("g", "c", "i").agg(F.sum("x").alias("x")).collect():
-        out.setdefault((r["g"], r["c"]) if by else r["c"], {})[r["i"]] = r["x"]
+        out.setdefault((r["g"], r["c"]) if grouped else r["c"], {})[r["i"]] = r["x"]
     made = {}
     for key, values in out.items():
         v = np.array([values[i] for i in range(len(values))])

@@ -76,6 +76,54 @@ def test_stochastic_fits_approach_the_optimum(problem, optimum):
         assert optimum.loss <= found.loss + 1e-9 < start
 
 
+def _plain_ksvrg(x, y, ids, ridge, rate, share, sub_epochs, per_epoch, k):
+    """k-SVRG over arrays, with a snapshot kept for every row."""
+
+    def key(step):
+        return ((ids % 1_000_003 + 1 + step * 7919) * 48271 + (ids % 65_537) * 16_807) % 1_000_003
+
+    def gradient(rows, at):
+        slack = np.maximum(0, 1 - y[rows] * (x[rows] * at).sum(axis=1))
+        return (-(slack * y[rows])[:, None] * x[rows] + ridge * at).mean(axis=0)
+
+    w, own, every, step = np.zeros(x.shape[1]), np.zeros_like(x), np.full(len(ids), True), 0
+    for epoch in range(sub_epochs):
+        anchor, touched = gradient(every, own), np.full(len(ids), False)
+        for i in range(per_epoch):
+            block = key(0) * (k or 1) * per_epoch // 1_000_003
+            mine = key(step + 1) < share * 1_000_003 if k is None else block == (epoch % k) * per_epoch + i
+            w = w - rate * (gradient(mine, np.tile(w, (mine.sum(), 1))) - gradient(mine, own[mine]) + anchor)
+            touched, step = touched | mine, step + 1
+        own[touched] = w
+    return w
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_snapshots_follow_from_ids(problem, k):
+    rows = problem.rows.collect()
+    x, y, ids = np.stack([r.features for r in rows]), np.array([r.y for r in rows]), np.array([r.id for r in rows])
+    found = fit.ksvrg(problem, np.zeros(64), rate=1.0, share=0.4, sub_epochs=4, per_epoch=2, k=k)
+    assert np.allclose(found.theta, _plain_ksvrg(x, y, ids, problem.ridge, 1.0, 0.4, 4, 2, k), atol=1e-9)
+
+
+def test_batches_without_rows_follow_the_anchor(problem):
+    found = fit.ksvrg(problem, np.zeros(64), rate=1.0, share=0.0, sub_epochs=1, per_epoch=2)
+    _, g = problem.full([np.zeros(64)])[0]
+    assert np.allclose(found.theta, -2 * g)
+
+
+def test_information_of_a_quadratic():
+    h = np.array([[2.0, 0.5], [0.5, 1.0]])
+    assert np.allclose(objectives.information_by_differences(lambda ts: [h @ t for t in ts], np.array([0.3, -0.2])), h)
+
+
+def test_added_modes_lower_the_loss(tables):
+    found = fit.progressive_modes(*tables, (2, 2), steps=2)
+    assert [name for name, _ in found] == ["modes 1 to 1", "mode 2 alone", "modes 1 to 2"]
+    first, alone, both = (f for _, f in found)
+    assert np.array_equal(alone.theta[:8], first.theta[:8]) and both.loss <= alone.loss
+
+
 def test_frozen_weights_stay(tables):
     active = np.concatenate((np.zeros(8), np.ones(13)))
     start = np.sin(np.arange(21)) / 5
