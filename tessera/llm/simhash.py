@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def one_wildcard_variants(value: Column, segments: int = 2) -> list[Column]:
-    """Keys of a 64-bit value: each segment with each of its bits blanked in turn, tagged by both."""
+    """Keys of a 64-bit value: each segment with each of its bits blanked in turn, below the variant's number."""
     width = BITS // segments
     keys = []
     for s in range(segments):
@@ -69,11 +69,11 @@ def linked_prints(prints: DataFrame, most_bits: int = 3) -> DataFrame:
     segments = (most_bits + 2) // 2  # floor(most_bits / segments) <= 1
     if BITS % segments or segments > 2:
         raise ValueError("two segments serve up to 3 differing bits")
-    keyed = prints.select("_print", F.posexplode(F.array(*one_wildcard_variants(F.col("_print"), 2))).alias("_nth", "_key"))
-    left, right = keyed.withColumnRenamed("_print", "a"), keyed.select(F.col("_print").alias("b"), "_key")
+    keyed = prints.select("_print", F.explode(F.array(*one_wildcard_variants(F.col("_print"), 2))).alias("_key"))
+    left, right = keyed.withColumnRenamed("_print", "a"), keyed.withColumnRenamed("_print", "b")  # one exchange serves both
     apart = F.col("a").bitwiseXOR(F.col("b"))
     # 64 times the rows of ``prints``, which the planner's estimate leaves out: never a broadcast
-    return left.join(right.hint("merge"), "_key").where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most_bits) & (F.col("_nth") == _first_shared(apart))).select("a", "b")
+    return left.join(right.hint("merge"), "_key").where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most_bits) & (F.shiftrightunsigned("_key", BITS // 2) == _first_shared(apart))).select("a", "b")
 
 
 def _first_shared(apart: Column) -> Column:
