@@ -169,6 +169,7 @@ def ksvrg(
     block t of a keyed permutation in ``k`` blocks, which is k2-SVRG. ``direction`` may turn the
     gradient estimate into another step.
     """
+    share = share if k is None else 1 / (k * per_epoch)
     x = np.asarray(start, dtype=np.float64)
     snapshots, taken, step, passes, trace = {0: x.copy()}, {}, 0, 0.0, []
     for epoch in range(sub_epochs):

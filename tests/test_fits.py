@@ -103,6 +103,7 @@ def test_snapshots_follow_from_ids(problem, k):
     rows = problem.rows.collect()
     x, y, ids = np.stack([r.features for r in rows]), np.array([r.y for r in rows]), np.array([r.id for r in rows])
     found = fit.ksvrg(problem, np.zeros(64), rate=1.0, share=0.4, sub_epochs=4, per_epoch=2, k=k)
+    assert found.passes == pytest.approx(4 + 8 * (0.4 if k is None else 1 / 6) + 1)
     assert np.allclose(found.theta, _plain_ksvrg(x, y, ids, problem.ridge, 1.0, 0.4, 4, 2, k), atol=1e-9)
 
 
