@@ -1,4 +1,4 @@
-"""The ten operators applied to their whole tables, with their SQL where SQL can express them."""
+"""The operators applied to their whole tables, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, packing, sharding, simhash, toxicity, warc
+from tessera.llm import embedding_dedup, exact_dedup, filter_audit, license_scan, line_dedup, mixing, packing, sharding, simhash, toxicity, warc
 from tessera.llm.common import fresh_path, written
 
 
@@ -64,7 +64,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_warc, op4_simhash, op5_mixing, op6_embedding_dedup, op7_toxicity, op8_packing, op9_exact_dedup, op10_sharding)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_warc, op4_simhash, op5_mixing, op6_embedding_dedup, op7_toxicity, op8_packing, op9_exact_dedup, op10_sharding, op13_filter_audit)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
@@ -97,6 +101,24 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN large AND page_id <> r THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN large AND page_id <> r THEN r END AS refers_to, true AS verified
         FROM q""",
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+             w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, doc_id > min(doc_id) OVER (PARTITION BY t) AS again FROM d),
+             f AS (SELECT doc_id, part, {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+                          'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(again, false)} AS x FROM w),
+             l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+             m AS (SELECT part, x, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, x.A::INT + x.B::INT + x.C::INT + x.D::INT + x.E::INT AS fails FROM f LEFT JOIN l USING (doc_id)),
+             letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+             o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+             s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS filter, substr(filter_order, 1, step - 1) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+             c AS (SELECT part, x, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+             e AS (SELECT part, filter_order, step, filter, n, good, toxic, fails = 1 AS alone,
+                          CASE filter WHEN 'A' THEN x.A WHEN 'B' THEN x.B WHEN 'C' THEN x.C WHEN 'D' THEN x.D ELSE x.E END AS own,
+                          (x.A AND contains(before, 'A')) OR (x.B AND contains(before, 'B')) OR (x.C AND contains(before, 'C')) OR (x.D AND contains(before, 'D')) OR (x.E AND contains(before, 'E')) AS gone FROM c, s),
+             r AS (SELECT part, filter_order, step, filter, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT own), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT gone AND own), 0) AS BIGINT) AS removed,
+                          CAST(coalesce(sum(n) FILTER (gone AND own), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (own AND alone), 0) AS BIGINT) AS unique_fails,
+                          CAST(coalesce(sum(good) FILTER (NOT gone AND own), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (NOT gone AND own), 0) AS BIGINT) AS toxic_lost FROM e GROUP BY ALL)
+        SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r""",
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
