@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Generator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.objectives import AffinityModel, Bundle, LogLinear, ModeWeights, Objective, affinity_likelihood, evaluate
-from tessera.operators.splits import keyed
+from tessera.functions.draws import below, keyed, slot
+from tessera.operators.objectives import AffinityModel, Bundle, LogLinear, ModeWeights, Objective, affinity_likelihood, evaluate, likelihood_rows, likelihoods
+from tessera.operators.splits import thinned
 
 Many = Callable[[Sequence[np.ndarray]], list[tuple[float, np.ndarray]]]
 
@@ -46,17 +47,23 @@ def two_loop(g: np.ndarray, pairs: Sequence[tuple[np.ndarray, np.ndarray]]) -> n
     return q
 
 
-def lbfgs(many: Many, start: np.ndarray, memory: int = 8, epsilon: float = 1e-5, steps: int = 50, tries: Sequence[float] = (1.0, 0.3, 0.1, 0.01)) -> Fit:
-    """Full-batch L-BFGS. Each step evaluates a few step lengths in one pass and takes the lowest loss."""
+Asks = Generator[list[np.ndarray], list[tuple[float, np.ndarray]], Fit]
+
+
+def lbfgs_asks(start: np.ndarray, memory: int = 8, epsilon: float = 1e-5, steps: int = 50, tries: Sequence[float] = (1.0, 0.3, 0.1, 0.01)) -> Asks:
+    """Full-batch L-BFGS as a generator that asks for losses and gradients of vectors and returns its fit.
+
+    Each step asks for a few step lengths at once and takes the lowest loss.
+    """
     x = np.asarray(start, dtype=np.float64)
-    (loss, g), pairs, passes = many([x])[0], [], 1
+    (loss, g), pairs, passes = (yield [x])[0], [], 1
     for step in range(steps):
         if relative_norm(g, x) <= epsilon:
             return Fit(x, loss, float(np.linalg.norm(g)), step, passes)
         d = -two_loop(g, pairs)
         scale = 1.0 if pairs else 1.0 / max(1.0, float(np.linalg.norm(g)))
         tried = [x + t * scale * d for t in tries]
-        found = many(tried)
+        found = yield tried
         passes += 1
         best = min(range(len(tried)), key=lambda i: (not np.isfinite(found[i][0]), found[i][0]))
         if not found[best][0] < loss:
@@ -68,6 +75,31 @@ def lbfgs(many: Many, start: np.ndarray, memory: int = 8, epsilon: float = 1e-5,
     return Fit(x, loss, float(np.linalg.norm(g)), steps, passes)
 
 
+def in_lockstep(fits: Mapping[object, Asks], many: Callable[[dict[object, list[np.ndarray]]], Mapping[object, list[tuple[float, np.ndarray]]]]) -> dict:
+    """``{name: Fit}`` of fits that take their steps together.
+
+    Each keeps its own vector and curvature; ``many`` gets what all unfinished ones ask for and
+    answers in one pass, so the number of passes is that of the slowest fit, not their sum.
+    """
+    done: dict = {}
+    asked: dict = {}
+    for name, fit in fits.items():
+        asked[name] = next(fit)
+    while asked:
+        answers, asked = many(asked), {}
+        for name in answers:
+            try:
+                asked[name] = fits[name].send(answers[name])
+            except StopIteration as end:
+                done[name] = end.value
+    return {name: done[name] for name in fits}
+
+
+def lbfgs(many: Many, start: np.ndarray, memory: int = 8, epsilon: float = 1e-5, steps: int = 50, tries: Sequence[float] = (1.0, 0.3, 0.1, 0.01)) -> Fit:
+    """One L-BFGS fit; see :func:`lbfgs_asks`."""
+    return in_lockstep({0: lbfgs_asks(start, memory, epsilon, steps, tries)}, lambda asked: {0: many(asked[0])})[0]
+
+
 @dataclass
 class FiniteSum:
     """Rows with an objective: full and minibatch means of any number of vectors in one job each."""
@@ -83,7 +115,7 @@ class FiniteSum:
 
     def batch_rows(self, step: int, share: float) -> DataFrame:
         """Rows drawn without replacement at a rate, by id and step, so a retried task draws the same."""
-        return self.rows.where(keyed(self.id_col, step + 1) < share * 1_000_003)
+        return self.rows.where(keyed(self.id_col, step + 1) < below(share))
 
     def batch(self, step: int, share: float, thetas: Sequence[np.ndarray]) -> list[tuple[float, np.ndarray]]:
         b = evaluate(self.batch_rows(step, share), self.objective, thetas)
@@ -179,9 +211,9 @@ def ksvrg(
         touched = F.lit(False)
         for i in range(per_epoch):
             if k is None:
-                mine = keyed(problem.id_col, step + 1) < share * 1_000_003
+                mine = keyed(problem.id_col, step + 1) < below(share)
             else:
-                block = F.floor(keyed(problem.id_col, 0) * (k * per_epoch) / 1_000_003)
+                block = slot(keyed(problem.id_col, 0), k * per_epoch)
                 mine = block == (epoch % k) * per_epoch + i
             found = _bound_gradients(problem.rows.where(mine), problem, snap, snapshots, x)
             g = anchor if found is None else found[1] - found[0] + anchor
@@ -294,8 +326,58 @@ def fit_mode_weights(probes: DataFrame, z: np.ndarray, steps: int = 12) -> Fit:
     return lbfgs(many, np.zeros(len(z)), steps=steps)
 
 
+@dataclass(frozen=True, eq=False)
+class Trial:
+    """A model of a sweep by name, and one of the places where it may start."""
+
+    name: object
+    model: AffinityModel
+    start: np.ndarray
+    variant: object = None
+
+
+def fit_trials(rows: DataFrame, trials: Sequence[Trial], train: frozenset[int], test: frozenset[int], ridge: float = 1e-3, steps: int = 20, epsilon: float = 1e-5) -> dict:
+    """``{name: (Fit, test loss)}`` of models fitted on the same parts of :func:`likelihood_rows`, in lockstep; the test loss has no ridge."""
+    models = {t.name: t.model for t in trials}
+    found = in_lockstep({t.name: lbfgs_asks(t.start, steps=steps, epsilon=epsilon) for t in trials}, lambda asked: likelihoods(rows, {n: (models[n], v, train) for n, v in asked.items()}, ridge))
+    held = likelihoods(rows, {n: (models[n], [f.theta], test) for n, f in found.items()})
+    return {n: (f, held[n][0][0]) for n, f in found.items()}
+
+
+def best_starts(rows: DataFrame, trials: Sequence[Trial], train: frozenset[int], ridge: float = 1e-3) -> list[Trial]:
+    """Of trials of one name, which differ in where they start, the one with the lowest loss; one job for all."""
+    asked = {i: (t.model, [t.start], train) for i, t in enumerate(trials)}
+    losses = {i: v[0][0] for i, v in likelihoods(rows, asked, ridge).items()}
+    best: dict = {}
+    for i, t in enumerate(trials):
+        if t.name not in best or losses[i] < losses[best[t.name]]:
+            best[t.name] = i
+    return [trials[i] for i in best.values()]
+
+
+def fold_rows(probes: DataFrame, universe: DataFrame, share: float, folds: int, id_col: str = "code") -> DataFrame:
+    """:func:`likelihood_rows` with every read dealt to the train or test side of each fold: part 2 f is fold f's training side, 2 f + 1 its test side."""
+    sides = thinned(probes, id_col, share, folds)
+    own = sides.join(probes.select(id_col, "seq", "p0"), id_col)
+    return likelihood_rows(own, universe, 2 * F.col("fold") + F.col("test").cast("int"))
+
+
+def cross_validated_affinity(rows: DataFrame, model: AffinityModel, start: np.ndarray, folds: int, ridge: float = 1e-3, steps: int = 20, epsilon: float = 1e-5) -> list[tuple[int, Fit, float]]:
+    """``(fold, Fit, test loss)`` of refits on each fold's training side of :func:`fold_rows`, all from one start, in lockstep.
+
+    Losses are per read; the test loss has no ridge.
+    """
+
+    def many(asked: dict) -> dict:
+        return likelihoods(rows, {f: (model, v, frozenset((2 * f,))) for f, v in asked.items()}, ridge)
+
+    found = in_lockstep({f: lbfgs_asks(start, steps=steps, epsilon=epsilon) for f in range(folds)}, many)
+    held = likelihoods(rows, {f: (model, [fit.theta], frozenset((2 * f + 1,))) for f, fit in found.items()})
+    return [(f, found[f], held[f][0][0]) for f in range(folds)]
+
+
 def cross_validated(folds: int, fit_on: Callable[[int], Fit], test_on: Callable[[int, np.ndarray], float]) -> list[tuple[int, float, float]]:
-    """``(fold, train loss, test loss)`` of refits on each fold's training part."""
+    """``(fold, train loss, test loss)`` of refits on each fold's training part, one after the other."""
     out = []
     for fold in range(folds):
         fit = fit_on(fold)

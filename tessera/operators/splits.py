@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def keyed(id_col: str | Column, step: int = 0, modulus: int = 1_000_003) -> Column:
-    """A reproducible number in [0, modulus) for an integer id and a step; the same arithmetic in any SQL."""
-    c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.pmod((F.pmod(c, F.lit(modulus)) + 1 + step * 7919) * F.lit(48271) + F.pmod(c, F.lit(65_537)) * F.lit(16_807), F.lit(modulus))
+from tessera.functions.draws import HALF, KEYS, binomial, keyed
 
 
 def union_probes(*tables: DataFrame) -> DataFrame:
@@ -32,10 +29,9 @@ def ranked(df: DataFrame, id_col: str, step: int = 0, rows_per_range: int = ROWS
     The order is cut into ranges of the key, as many as the table's size asks for; one aggregate
     gives each range's offset and only rows of one range are sorted together.
     """
-    buckets = min(1_000_003, 1 + df.count() // rows_per_range)
-    key = keyed(id_col, step)
-    rows = df.withColumn("_key", key).withColumn("_bucket", F.floor(F.col("_key") * buckets / 1_000_003).cast("int"))
-    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # at most ``buckets`` rows
+    bits = math.ceil(math.log2(1 + df.count() // rows_per_range))
+    rows = df.withColumn("_key", keyed(id_col, step)).withColumn("_bucket", F.shiftright("_key", 2 * HALF - bits))
+    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # 2**bits rows
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("rows"))
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", id_col)) - 1
@@ -60,20 +56,22 @@ def equal_split(df: DataFrame, id_col: str, parts: int, step: int = 0) -> DataFr
 
 
 def unrolled(probes: DataFrame, n: str = "n") -> DataFrame:
-    """One row per read, with its number ``copy`` from 1."""
-    return probes.where(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
+    """One row per read, with its number ``copy`` from 1; made in pieces, so no array is longer than 65,536 or a 65,536th of ``n``."""
+    zero, most = F.lit(0).cast("long"), 1 << 16
+    pieces = probes.where(F.col(n) > 0).withColumn("_piece", F.explode(F.sequence(zero, F.shiftright(F.col(n).cast("long") - 1, 16))))
+    first = F.col("_piece") * most
+    return pieces.withColumn("copy", F.explode(F.sequence(first + 1, F.least(first + most, F.col(n).cast("long"))))).drop("_piece")
 
 
 def thinned(probes: DataFrame, id_col: str, share: float, folds: int, n: str = "n") -> DataFrame:
     """``fold, id_col, test, n``: each read goes to the test side with chance ``share``, anew in each fold.
 
-    A probe can be on both sides. Reads of a probe are dealt inside its row: a row comes back for
-    each fold and side that has any.
+    A probe can be on both sides. How many of its reads go is one binomial draw from its id and
+    the fold, whatever its count: a row comes back for each fold and side that has any.
     """
-    rows = probes.where(F.col(n) > 0).select(id_col, n, F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
-    copies = F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))
-    test = F.aggregate(copies, F.lit(0).cast("long"), lambda t, i: t + F.when(keyed(F.col(id_col) * 1009 + i * 31 + F.col("fold") * 7) < share * 1_000_003, 1).otherwise(0))
-    sides = F.array(F.struct(F.lit(True).alias("test"), test.alias("n")), F.struct(F.lit(False).alias("test"), (F.col(n) - test).alias("n")))
+    rows = probes.where(F.col(n) > 0).select(id_col, F.col(n).cast("long").alias("_n"), F.posexplode(F.array(*[keyed(id_col, f) for f in range(folds)])).alias("fold", "_key"))
+    rows = rows.withColumn("_test", binomial(F.col("_n"), share, F.col("_key")))
+    sides = F.array(F.struct(F.lit(True).alias("test"), F.col("_test").alias("n")), F.struct(F.lit(False).alias("test"), (F.col("_n") - F.col("_test")).alias("n")))
     return rows.select("fold", id_col, F.explode(sides).alias("_s")).select("fold", id_col, "_s.test", "_s.n").where("n > 0")
 
 
@@ -82,9 +80,39 @@ def coin_split(df: DataFrame, id_col: str, step: int = 0) -> DataFrame:
     return df.withColumn("test", keyed(id_col, step) % 2 == 1)
 
 
+#: Bits of a key that one count of keys tells apart.
+_BITS = 12
+
+
+def least_keys(df: DataFrame, id_col: str, size: int, step: int = 0) -> DataFrame:
+    """The ``size`` rows with the smallest keys, found without a sort.
+
+    Keys are counted by their top bits, then those of the slice where the size is reached by
+    their next bits, until a slice goes in whole; counts are at most 4,096 numbers. What
+    remains is a filter, so a sample of any size stays where its rows are. ``df`` is scanned
+    a few times for its ids and should be a written table. Rows of one id have one key; if not
+    all of them fit, some do.
+    """
+    key = keyed(id_col, step)
+    low, width, left = 0, 2 * HALF, size  # keys from ``low`` on, ``left`` of which are still wanted
+    while left > 0 and width > 0:
+        narrow = max(0, width - _BITS)
+        inside = df if width == 2 * HALF else df.where((key >= low) & (key < low + (1 << width)))
+        found = {r["s"]: r["n"] for r in inside.select(F.shiftright(key - low, narrow).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect() if r["s"] is not None}
+        at = 0
+        for at in sorted(found):
+            if found[at] > left:
+                break
+            left -= found[at]
+        else:
+            return df.where(key < low + (1 << width))
+        low, width = low + (at << narrow), narrow
+    return df.where(key < low) if left <= 0 else df.where(key < low).unionByName(df.where(key == low).limit(left))
+
+
 def minibatch(df: DataFrame, id_col: str, size: int, step: int = 0) -> DataFrame:
-    """``size`` distinct rows, drawn without replacement by keyed order."""
-    return df.orderBy(keyed(id_col, step), id_col).limit(size)
+    """``size`` distinct rows, drawn without replacement; batches of different steps are independent."""
+    return least_keys(df, id_col, size, step)
 
 
 def nested_minibatch(df: DataFrame, id_col: str, pool: int, size: int, pool_step: int, step: int) -> DataFrame:
@@ -100,14 +128,21 @@ def sub_epochs(df: DataFrame, id_col: str, k: int, batch: int, step: int = 0) ->
 
 
 def fixed_sample(df: DataFrame, id_col: str, size: int, seed: int) -> DataFrame:
-    """A sample of fixed size in which every row is as likely as any other: the first rows in a keyed order, found by a top-k in each task."""
-    return minibatch(df, id_col, size, seed)
+    """A sample of fixed size in which every row is as likely as any other, whatever the table's size."""
+    return least_keys(df, id_col, size, seed)
 
 
 def stratified_universe(spark, length: int, samples: int, seed: int) -> DataFrame:
-    """``stratum, code``: one keyed draw from each of ``samples`` slices of [0, 4**length), the first ones longer by one."""
-    space = 4**length
-    width, over = divmod(space, samples)
-    low = F.col("id") * width + F.least(F.col("id"), F.lit(over))
-    size = width + F.when(F.col("id") < over, 1).otherwise(0)
-    return spark.range(samples).select(F.col("id").alias("stratum"), (low + F.floor(keyed("id", seed) * size / 1_000_003)).cast("long").alias("code"))
+    """``stratum, code``: one keyed draw from each of ``samples`` slices of [0, 4**length), the first ones longer by one.
+
+    Codes are 64-bit numbers, so words have at most 31 bases; places inside a slice come from
+    products of up to 38 digits.
+    """
+    if length > 31:
+        raise ValueError("codes of words longer than 31 bases pass 64 bits")
+    width, over = divmod(4**length, samples)
+    low = F.col("id") * F.lit(width) + F.least(F.col("id"), F.lit(over))
+    size = F.lit(width) + F.when(F.col("id") < over, 1).otherwise(0)
+    wide = lambda c: c.cast("decimal(19,0)")
+    inside = F.floor(wide(keyed("id", seed)) * wide(size) / F.lit(KEYS).cast("decimal(19,0)"))
+    return spark.range(samples).select(F.col("id").alias("stratum"), (low + inside.cast("long")).alias("code"))

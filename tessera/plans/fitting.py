@@ -6,15 +6,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.sequences import array_sum
+from tessera.functions.draws import KEYS, below, binomial_sql, keyed, slot, slot_sql
+from tessera.functions.draws import keyed_sql as sql_keyed
+from tessera.functions.sequences import array_sum, pack
 from tessera.operators import affinity, fit, objectives
 from tessera.operators.affinity import background, window_scores
 from tessera.operators.fit import FiniteSum, Fit
 from tessera.operators.objectives import AffinityModel, Objective, SquaredHinge, evaluate
-from tessera.operators.splits import keyed
+from tessera.operators.sampled import PLACES, BackgroundDraws, SampledLikelihood
 from tessera.plans import fixtures as X
 from tessera.plans.counting import sql_background
-from tessera.plans.fixtures import sql_keyed, sql_list, sql_probe_score, sql_window_log, sql_windows, with_tables
+from tessera.plans.fixtures import sql_list, sql_probe_score, sql_window_log, sql_windows, with_tables
 from tessera.plans.fixtures import sql_reverse_complement as rc
 from tessera.plans.registry import query
 from tessera.sources.shared import written
@@ -60,7 +62,7 @@ def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loss_and_gradient(spark, X.examples(spark, sf_dir))
 
 
-BATCH = f"WHERE {sql_keyed('id', 1)} < 500001.5"
+BATCH = f"WHERE {sql_keyed('id', 1)} < {below(0.5)}"
 
 
 @query(
@@ -73,7 +75,7 @@ BATCH = f"WHERE {sql_keyed('id', 1)} < 500001.5"
     ),
 )
 def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.examples(spark, sf_dir).where(keyed("id", 1) < 0.5 * 1_000_003)
+    rows = X.examples(spark, sf_dir).where(keyed("id", 1) < below(0.5))
     found = evaluate(rows, SquaredHinge(), [THETA])[0]
     loss, grads = found.variances()
     return _rows(spark, [(int(found.n), round(found.loss / found.n, 7), round(float(loss), 9), round(float(grads.sum()), 9))], "rows long, loss double, loss_variance double, gradient_variance double")
@@ -177,6 +179,70 @@ def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [(i, round(float(v), 6)) for i, v in enumerate([loss, *grad])], "entry int, value double")
 
 
+#: Loss, then the gradient's entries, of the shaped model; windows' scores follow from seven bases.
+SHAPE_THETA = np.array([*X.MONO, *X.SHAPE_WEIGHTS["f0"], *X.SHAPE_WEIGHTS["f1"], NS])
+SHAPE_SQL = f"""f AS (SELECT pentamer, max(value) FILTER (feature = 'f0') AS f0, max(value) FILTER (feature = 'f1') AS f1 FROM shape GROUP BY pentamer),
+    r AS (SELECT code AS id, 'own' AS part, seq, n, exp({sql_background("seq")}) AS p0 FROM probes UNION ALL SELECT code, 'every', seq, 0, exp({sql_background("seq")}) FROM universe),
+    w AS (SELECT id, part, n, p0, unnest(list_concat({sql_windows("'GC' || seq || 'GA'", 7)}, list_transform({sql_windows("'GC' || seq || 'GA'", 7)}, lambda x: {rc("x")}))) AS x FROM r),
+    v AS (SELECT DISTINCT x FROM w),
+    e AS (SELECT x, p, f0, f1 FROM (SELECT x, unnest(range(1, 4)) AS p FROM v) JOIN f ON pentamer = substr(x, p, 5)),
+    k AS (SELECT x, exp({sql_window_log("substr(x, 3, 3)", X.NARROW)} + sum(list_extract({sql_list(X.SHAPE_WEIGHTS["f0"])}, p) * f0 + list_extract({sql_list(X.SHAPE_WEIGHTS["f1"])}, p) * f1)) AS k FROM e GROUP BY x),
+    s AS (SELECT id, part, any_value(n) AS n, any_value(p0) AS p0, sum(k) + exp({NS}::DOUBLE) AS s FROM w JOIN k USING (x) GROUP BY id, part),
+    a AS (SELECT *, CASE part WHEN 'own' THEN -n / s ELSE p0 END AS weight FROM s),
+    t AS (SELECT part, CASE part WHEN 'own' THEN sum(n) ELSE sum(p0 * s) END AS total, sum(weight) AS weight FROM a GROUP BY part),
+    c AS (SELECT part, x, sum(weight) * any_value(k) AS c FROM w JOIN a USING (id, part) JOIN k USING (x) GROUP BY part, x),
+    g AS (SELECT part, p * 4 + strpos('ACGT', substr(x, p + 3, 1)) AS entry, sum(c) AS g FROM c, (SELECT unnest(range(0, 3)) AS p) GROUP BY 1, 2
+          UNION ALL SELECT part, 12 + p, sum(c * f0) FROM c JOIN e USING (x) GROUP BY 1, 2 UNION ALL SELECT part, 15 + p, sum(c * f1) FROM c JOIN e USING (x) GROUP BY 1, 2
+          UNION ALL SELECT part, 19, weight * exp({NS}::DOUBLE) FROM t)
+    SELECT 0 AS entry, round((SELECT ln(total) FROM t WHERE part = 'every') + (SELECT sum(-n * ln(p0 * s)) / sum(n) FROM s WHERE part = 'own'), 6) AS value
+    UNION ALL SELECT CAST(entry AS INTEGER), round(sum(g / total), 6) FROM g JOIN t USING (part) GROUP BY 1"""
+
+
+def shape_values(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """Values of both features for the 1,024 pentamers, by code."""
+    rows = X.shape(spark, sf_dir).withColumn("code", pack("pentamer")).collect()
+    out = np.zeros((2, 1024))
+    for r in rows:
+        out[("f0", "f1").index(r["feature"]), r["code"]] = r["value"]
+    return out
+
+
+def shaped_model(spark: SparkSession, sf_dir: str, lengths: tuple[int, ...] = (3,)) -> AffinityModel:
+    return AffinityModel(lengths, shape=shape_values(spark, sf_dir), ends=(X.LEFT_FLANK[-2:], X.RIGHT_FLANK[:2]))
+
+
+@query("j13_shape", with_tables("probes universe shape", SHAPE_SQL))
+def j13_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and gradient with shape weights: real features of the pentamer around each base of a window."""
+    probes, every = table_and_universe(spark, sf_dir)
+    loss, grad = objectives.affinity_likelihood(probes, every, shaped_model(spark, sf_dir), [SHAPE_THETA])[0]
+    return _rows(spark, [(i, round(float(v), 6)) for i, v in enumerate([loss, *grad])], "entry int, value double")
+
+
+#: A minibatch step: the reads that it takes and its draws, whose number per word of the universe is that of a sample.
+STEP, SHARE, DRAWS = 2, 0.25, 20_000
+DRAWN = BackgroundDraws(X.PROBE_LENGTH, X.BACKGROUND)
+_U = f"(CAST({sql_keyed(f'(range * {PLACES} + t)', STEP + 1)} AS DOUBLE) + 0.5) / {KEYS}"
+BATCH_TABLES = f"""score AS (SELECT seq, n, exp({sql_background("seq")}) AS p0, {sql_probe_score("seq", X.NARROW, nonspecific=NS)} AS s FROM (SELECT seq, {binomial_sql("n", SHARE, sql_keyed("code", STEP + 1))} AS n FROM probes) WHERE n > 0),
+    words AS (SELECT range AS id, array_to_string(list_transform(range(0, {X.PROBE_LENGTH}), lambda t: substr('ACGT', 1 + list_sum(list_transform({sql_list(DRAWN.cut[0][0])}, lambda c: ({_U} > c)::INT))::INT, 1)), '') AS seq FROM range({DRAWS})),
+    every AS (SELECT seq, {float(np.exp(DRAWN.log_z) / DRAWS)!r}::DOUBLE AS p0, {sql_probe_score("seq", X.NARROW, nonspecific=NS)} AS s FROM words)"""
+
+
+def batch_sql() -> str:
+    """The loss and gradient of :data:`AFFINITY` over a batch's reads and draws."""
+    rest = AFFINITY[AFFINITY.index("z AS (") :].replace("FROM probes", "FROM score").replace("words", "windows")
+    return f"{BATCH_TABLES}, {rest}"
+
+
+@query("j13_minibatch", with_tables("probes", batch_sql()))
+def j13_minibatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss per read and gradient of one stochastic step: a quarter of the reads, and Z from words drawn from the background, in one job."""
+    p0 = F.exp(background("seq", X.BACKGROUND)).alias("p0")
+    problem = SampledLikelihood(written(X.probes(spark, sf_dir).select("code", "seq", "n", p0), "probes"), DRAWN, AffinityModel((3,)), 0.0, batch_draws=DRAWS, id_col="code")
+    loss, grad = problem.batch(STEP, SHARE, [np.array([*X.MONO, NS])])[0]
+    return _rows(spark, [(i, round(float(v), 6)) for i, v in enumerate([loss, *grad])], "entry int, value double")
+
+
 DI_NS, DI_LEFT, DI_RIGHT = -0.5, "GC", "GA"
 PAIRED_SCORE = sql_probe_score(f"'{DI_LEFT}' || seq || '{DI_RIGHT}'", X.PAIRED, nonspecific=DI_NS)
 
@@ -197,20 +263,38 @@ def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [(c, round(found[c].mean(t, RIDGE)[0], 7)) for c, t in enumerate(tried)], "candidate int, loss double")
 
 
+#: Second derivatives at fixed weights: of Z's logarithm, less those of the probes' mean log score.
+INFORMATION = AFFINITY[: AFFINITY.index("g AS (")].replace("score AS (SELECT seq,", "score AS (SELECT seq, code,").replace("every AS (SELECT seq,", "every AS (SELECT seq, code,").replace(
+    "rows AS (SELECT seq, -n / s AS w, 'own' AS part FROM score UNION ALL SELECT seq, p0, 'every' FROM every)", "rows AS (SELECT seq, code, s, n, n / s AS w, 'own' AS part FROM score UNION ALL SELECT seq, code, s, 0, p0, 'every' FROM every)"
+) + f"""h AS (SELECT part, p * 4 + strpos('ACGT', substr(x, p + 1, 1)) AS i, q * 4 + strpos('ACGT', substr(x, q + 1, 1)) AS j, sum(w * k) AS h FROM kappa, (SELECT unnest(range(0, 3)) AS p), (SELECT unnest(range(0, 3)) AS q) GROUP BY 1, 2, 3
+          UNION ALL SELECT part, 13, 13, sum(w) * exp({NS}::DOUBLE) FROM rows GROUP BY part),
+    o AS (SELECT part, code, p * 4 + strpos('ACGT', substr(x, p + 1, 1)) AS i, sum(exp({sql_window_log("x", X.NARROW)})) AS d
+          FROM (SELECT part, code, unnest(list_concat({sql_windows("seq", 3)}, list_transform({sql_windows("seq", 3)}, lambda x: {rc("x")}))) AS x FROM rows), (SELECT unnest(range(0, 3)) AS p) GROUP BY 1, 2, 3
+          UNION ALL SELECT part, code, 13, exp({NS}::DOUBLE) FROM rows),
+    d AS (SELECT i, sum(w * d) / any_value(z) AS d FROM o JOIN rows USING (part, code), z WHERE part = 'every' GROUP BY i),
+    m AS (SELECT a.i AS i, b.i AS j, sum(n / (s * s) * a.d * b.d) AS m FROM o a JOIN o b USING (part, code) JOIN rows USING (part, code) WHERE part = 'own' GROUP BY 1, 2),
+    every_pair AS (SELECT a.i AS i, b.i AS j, a.d * b.d AS d FROM d a, d b)
+    SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(coalesce(e.h, 0) / z - d - coalesce(w.h, 0) / t.n + m / t.n + CASE WHEN i = j THEN {2 * RIDGE} ELSE 0 END, 6) AS value
+    FROM every_pair JOIN m USING (i, j) LEFT JOIN (SELECT * FROM h WHERE part = 'every') e USING (i, j) LEFT JOIN (SELECT * FROM h WHERE part = 'own') w USING (i, j), z, t"""
+
+
+@query("j15_information", with_tables("probes universe", INFORMATION))
+def j15_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All second derivatives of the affinity loss, summed as outer products in one job."""
+    probes, every = table_and_universe(spark, sf_dir)
+    found = objectives.affinity_information(probes, every, AffinityModel((3,)), np.array([*X.MONO, NS]), RIDGE)
+    return _rows(spark, [(i + 1, j + 1, round(float(v), 6) + 0.0) for i, row in enumerate(found) for j, v in enumerate(row)], "i int, j int, value double")
+
+
 @query("j15_error_bars")
 def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second derivatives two ways: sums of outer products for the hinge, differences of gradients for the affinity model."""
+    """Error bars from the second derivatives of the hinge and of the affinity model, each one job of outer products."""
     rows = written(X.examples(spark, sf_dir), "examples")
     n = rows.count()
     hinge = objectives.error_bars(objectives.hinge_curvature(rows, THETA, RIDGE), n)
     probes, every = table_and_universe(spark, sf_dir)
-    theta = np.array([*X.MONO, NS])
-
-    def gradients(thetas):
-        return [g for _, g in objectives.affinity_likelihood(probes, every, AffinityModel((3,)), thetas, 1e-3)]
-
     reads = probes.agg(F.sum("n")).first()[0]
-    bars = objectives.error_bars(objectives.information_by_differences(gradients, theta), reads)
+    bars = objectives.error_bars(objectives.affinity_information(probes, every, AffinityModel((3,)), np.array([*X.MONO, NS]), 1e-3), reads)
     return _rows(spark, [(name, i, round(float(v), 5)) for name, b in (("hinge", hinge), ("affinity", bars)) for i, v in enumerate(b)], "model string, parameter int, error double")
 
 
@@ -225,7 +309,7 @@ def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(spark, "mode weights", fit.fit_mode_weights(probes, np.array([float(v) for v in z]), steps=5))
 
 
-FOLDS = BASE_SUMS.replace("{group}", f"CAST(floor({sql_keyed('code')} * 3 / 1000003) AS INTEGER)") + f""", f AS (SELECT DISTINCT part AS fold FROM r),
+FOLDS = BASE_SUMS.replace("{group}", f"CAST({slot_sql(sql_keyed('code'), 3)} AS INTEGER)") + f""", f AS (SELECT DISTINCT part AS fold FROM r),
     s AS (SELECT fold, b, sum(x) AS x, (SELECT sum(n) FROM r WHERE part <> fold) AS n FROM f JOIN x ON part <> fold GROUP BY fold, b)
     SELECT s.fold, round(-sum(s.x / s.n * ln(s.x / s.n / {X.PROBE_LENGTH})), 6) AS train, round(-sum(x.x / r.n * ln(s.x / s.n / {X.PROBE_LENGTH})), 6) AS test
     FROM s JOIN x ON x.part = fold AND x.b = s.b JOIN r ON r.part = fold GROUP BY s.fold"""
@@ -235,7 +319,7 @@ FOLDS = BASE_SUMS.replace("{group}", f"CAST(floor({sql_keyed('code')} * 3 / 1000
 def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Background refits on the training part of three folds; the folds' sums come from one pass."""
     probes, every = table_and_universe(spark, sf_dir)
-    fold = (F.floor(keyed("code") * 3 / 1_000_003)).cast("int")
+    fold = slot(keyed("code"), 3).cast("int")
     counts = [F.sum(F.col("n") * (F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit(""))))).alias(b) for b in "ACGT"]
     parts = {r["fold"]: (float(r["reads"]), np.array([float(r[b]) for b in "ACGT"])) for r in probes.groupBy(fold.alias("fold")).agg(F.sum("n").alias("reads"), *counts).collect()}
 
@@ -250,27 +334,54 @@ def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [(f, round(a, 6), round(b, 6)) for f, a, b in found], "fold int, train double, test double")
 
 
+CV_FOLDS, CV_SHARE = 3, 0.3
+
+
+@query("j17_affinity_folds")
+def j17_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affinity model fitted on all reads, then refitted from there on the training reads of each fold, all folds in one job a step.
+
+    ``adjusted`` is the test loss less that of a model that gives each word its own chance.
+    """
+    probes, every = table_and_universe(spark, sf_dir)
+    model, ridge = AffinityModel((3,)), RIDGE
+    start = np.array([*(0.1 * np.cos(np.arange(12))), NS])
+    whole = fit.fit_affinity(probes, every, model, start, ridge, steps=20)
+    rows = written(fit.fold_rows(probes, every, CV_SHARE, CV_FOLDS), "folds")
+    found = fit.cross_validated_affinity(rows, model, whole.theta, CV_FOLDS, ridge)
+    own = rows.where(F.col("part") != objectives.UNIVERSE).groupBy("part").agg(F.sum("n").alias("n"), F.sum(-F.col("n") * F.ln("n")).alias("s")).collect()
+    least = {r["part"]: r["s"] / r["n"] + float(np.log(r["n"])) for r in own}
+    out = [("fold", f, round(x.loss, 4), round(test, 4), round(test - least[2 * f + 1], 4)) for f, x, test in found]
+    mean = [round(float(np.mean([r[i] for r in out])), 4) for i in (2, 3, 4)]
+    return _rows(spark, [("all", -1, round(whole.loss, 4), None, None), *out, ("mean", -1, *mean)], "stage string, fold int, train double, test double, adjusted double")
+
+
+#: The sweep's models: lengths, neighbouring pairs, flank, shape.
+SWEEP = tuple((k, di, flank, shaped) for k in (2, 3, 4) for di in (False, True) for flank in (0, 2) for shaped in (False, True))
+
+
 @query("j18_model_sweep")
 def j18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short fits over length, pairs of neighbours, flank and shift; the lowest likelihood of the test half wins.
+    """Fits over length, pairs of neighbours, flank, shape and shift; the lowest likelihood of the test half wins.
 
-    One pass over the training half tells the best of a model's shifted starts.
+    One job tells the best of each model's shifted starts, then all models take their steps in
+    lockstep: as many jobs as the slowest fit has steps, however many models there are.
     """
     probes, every = table_and_universe(spark, sf_dir)
-    train, test = (probes.where(F.col("code") % 2 == half) for half in (0, 1))
-    rows = []
-    for k, di, flank in ((2, False, 0), (3, False, 0), (3, True, 0), (3, False, 2)):
-        model = AffinityModel((k,), di, X.LEFT_FLANK[len(X.LEFT_FLANK) - flank :], X.RIGHT_FLANK[:flank])
-        pairs = np.zeros(model.size() - 4 * k - 1)
-        starts = [np.concatenate((np.roll(0.2 * np.cos(np.arange(4 * k)), 4 * s), pairs, [NS])) for s in range(k)]
-        losses = [v for v, _ in objectives.affinity_likelihood(train, every, model, starts, 1e-3)]
-        best = int(np.argmin(losses))
-        found = fit.fit_affinity(train, every, model, starts[best], steps=2)
-        held = objectives.affinity_likelihood(test, every, model, [found.theta])[0][0]
-        rows.append((k, di, flank, best, round(found.loss, 6), round(float(held), 6)))
-    table = _rows(spark, rows, "k int, di boolean, flank int, shift int, loss double, test double")
-    least = table.agg(F.min_by(F.struct("k", "di", "flank"), "test").alias("_best"))
-    return table.crossJoin(least).select("k", "di", "flank", "shift", "loss", "test", (F.struct("k", "di", "flank") == F.col("_best")).alias("chosen"))
+    rows = written(objectives.likelihood_rows(probes, every, F.col("code") % 2), "halves")
+    values, trials = shape_values(spark, sf_dir), []
+    for k, di, flank, shaped in SWEEP:
+        left, right = X.LEFT_FLANK[: len(X.LEFT_FLANK) - flank], X.RIGHT_FLANK[flank:]
+        model = AffinityModel((k,), di, X.LEFT_FLANK[len(left) :], X.RIGHT_FLANK[:flank], values if shaped else None, (left[-2:], right[:2]) if shaped else ("", ""))
+        rest = np.zeros(model.size() - 4 * k - 1)
+        trials += [fit.Trial((k, di, flank, shaped), model, np.concatenate((np.roll(0.2 * np.cos(np.arange(4 * k)), 4 * s), rest, [NS])), s) for s in range(k)]
+    train, test = frozenset((0,)), frozenset((1,))
+    best = fit.best_starts(rows, trials, train, RIDGE)
+    found = fit.fit_trials(rows, best, train, test, RIDGE, steps=6)
+    chosen = min(found, key=lambda name: (found[name][1], name))
+    shifts = {t.name: t.variant for t in best}
+    out = [(*name, shifts[name], round(f.loss, 4), round(float(held), 4), f.steps, name == chosen) for name, (f, held) in found.items()]
+    return _rows(spark, out, "k int, di boolean, flank int, shape boolean, shift int, loss double, test double, steps int, chosen boolean")
 
 
 @query("j19_progressive_modes")

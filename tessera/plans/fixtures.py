@@ -164,8 +164,3 @@ def sql_window_score(word: str, mode: Mode) -> str:
 def sql_probe_score(seq: str, *modes: Mode, nonspecific: float | None = None) -> str:
     parts = [f"list_sum(list_transform({sql_windows(seq, m.k)}, lambda w: {sql_window_score('w', m)}))" for m in modes]
     return "(" + " + ".join(parts + ([f"exp({nonspecific!r}::DOUBLE)"] if nonspecific is not None else [])) + ")"
-
-
-def sql_keyed(value: str, step: int = 0) -> str:
-    """The keyed number of the splits."""
-    return f"((({value}) % 1000003 + 1 + {step * 7919}) * 48271 + (({value}) % 65537) * 16807) % 1000003"

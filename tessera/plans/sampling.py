@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.draws import KEYS, binomial_sql
+from tessera.functions.draws import keyed_sql as sql_keyed
 from tessera.operators import splits
 from tessera.plans import fixtures as X
-from tessera.plans.fixtures import sql_keyed, with_tables
+from tessera.plans.fixtures import with_tables
 from tessera.plans.registry import query
+from tessera.sources.shared import written
 
 RANKED = f"r AS (SELECT *, row_number() OVER (ORDER BY {sql_keyed('code')}, code) - 1 AS rank, count(*) OVER () AS total FROM probes)"
 
@@ -29,7 +32,9 @@ def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     "g3_thinning",
     with_tables(
         "probes",
-        f"c AS (SELECT code, f AS fold, unnest(range(1, n + 1)) AS copy FROM probes, (SELECT unnest(range(0, 3)) AS f)), d AS (SELECT fold, code, {sql_keyed('code * 1009 + copy * 31 + fold * 7')} < 300000.9 AS test FROM c) SELECT CAST(fold AS INTEGER) AS fold, code, test, count(*) AS n FROM d GROUP BY fold, code, test",
+        f"""c AS (SELECT code, n, unnest([{", ".join(f"{{'fold': {f}, 'key': {sql_keyed('code', f)}}}" for f in range(3))}]) AS f FROM probes),
+        d AS (SELECT f.fold AS fold, code, n, {binomial_sql("n", 0.3, "f.key")} AS t FROM c), e AS (SELECT fold, code, true AS test, t AS n FROM d UNION ALL SELECT fold, code, false, n - t FROM d)
+        SELECT CAST(fold AS INTEGER) AS fold, code, test, CAST(n AS BIGINT) AS n FROM e WHERE n > 0""",
     ),
 )
 def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,14 +51,19 @@ def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.equal_split(X.probes(spark, sf_dir), "code", 7).select("code", "part")
 
 
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probes written once, as a sample scans their codes a few times."""
+    return written(X.probes(spark, sf_dir), "probes")
+
+
 @query("g6_minibatch", with_tables("probes", f"SELECT code, n FROM probes ORDER BY {sql_keyed('code', 3)}, code LIMIT 500"))
 def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.minibatch(X.probes(spark, sf_dir), "code", 500, 3).select("code", "n")
+    return splits.minibatch(_probes(spark, sf_dir), "code", 500, 3).select("code", "n")
 
 
 @query("g7_nested_minibatch", with_tables("probes", f"pool AS (SELECT * FROM probes ORDER BY {sql_keyed('code', 1)}, code LIMIT 2000) SELECT code, n FROM pool ORDER BY {sql_keyed('code', 9)}, code LIMIT 100"))
 def g7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.nested_minibatch(X.probes(spark, sf_dir), "code", 2000, 100, 1, 9).select("code", "n")
+    return splits.nested_minibatch(_probes(spark, sf_dir), "code", 2000, 100, 1, 9).select("code", "n")
 
 
 @query("g8_sub_epochs", with_tables("probes", f"{RANKED} SELECT code, CAST(floor(rank / (floor(total / 80) * 20)) AS INTEGER) AS block FROM r WHERE floor(rank / (floor(total / 80) * 20)) < 4"))
@@ -64,10 +74,10 @@ def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g9_reservoir", with_tables("probes", f"SELECT code, n FROM probes ORDER BY {sql_keyed('code', 7)}, code LIMIT 300"))
 def g9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A uniform sample of fixed size."""
-    return splits.fixed_sample(X.probes(spark, sf_dir), "code", 300, 7).select("code", "n")
+    return splits.fixed_sample(_probes(spark, sf_dir), "code", 300, 7).select("code", "n")
 
 
-@query("g10_unroll", with_tables("probes", "SELECT seq, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM probes"))
+@query("g10_unroll", with_tables("probes", "SELECT seq, unnest(range(1, n + 1)) AS copy FROM probes"))
 def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.unrolled(X.probes(spark, sf_dir)).select("seq", "copy")
 
@@ -76,7 +86,7 @@ def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     "g11_stratified_universe",
     with_tables(
         "probes",
-        f"s AS (SELECT range AS stratum, 65 + (range < 536)::INT AS size, range * 65 + least(range, 536) AS low FROM range(1000)), d AS (SELECT stratum, CAST(low + floor(({sql_keyed('stratum', 5)}) * size / 1000003) AS BIGINT) AS code FROM s) SELECT stratum, code, coalesce(n, 0) AS n FROM d LEFT JOIN probes USING (code)",
+        f"s AS (SELECT range AS stratum, 65 + (range < 536)::INT AS size, range * 65 + least(range, 536) AS low FROM range(1000)), d AS (SELECT stratum, CAST(low + CAST({sql_keyed('stratum', 5)} AS HUGEINT) * size // {KEYS} AS BIGINT) AS code FROM s) SELECT stratum, code, coalesce(n, 0) AS n FROM d LEFT JOIN probes USING (code)",
     ),
 )
 def g11(spark: SparkSession, sf_dir: str) -> DataFrame:

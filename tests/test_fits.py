@@ -5,10 +5,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.draws import HALF, below, keyed_numbers
 from tessera.operators import affinity, counts, fit, objectives
 from tessera.operators.affinity import background, universe
 from tessera.operators.fit import FiniteSum
 from tessera.operators.objectives import AffinityModel, LogLinear, ProbeLoss, SquaredHinge, UniverseSum, affinity_likelihood, evaluate
+from tessera.operators.sampled import BackgroundDraws, SampledLikelihood, sampled_z
 from tessera.plans import fixtures as X
 
 
@@ -80,7 +82,7 @@ def _plain_ksvrg(x, y, ids, ridge, rate, share, sub_epochs, per_epoch, k):
     """k-SVRG over arrays, with a snapshot kept for every row."""
 
     def key(step):
-        return ((ids % 1_000_003 + 1 + step * 7919) * 48271 + (ids % 65_537) * 16_807) % 1_000_003
+        return keyed_numbers(ids, step)
 
     def gradient(rows, at):
         slack = np.maximum(0, 1 - y[rows] * (x[rows] * at).sum(axis=1))
@@ -90,8 +92,8 @@ def _plain_ksvrg(x, y, ids, ridge, rate, share, sub_epochs, per_epoch, k):
     for epoch in range(sub_epochs):
         anchor, touched = gradient(every, own), np.full(len(ids), False)
         for i in range(per_epoch):
-            block = key(0) * (k or 1) * per_epoch // 1_000_003
-            mine = key(step + 1) < share * 1_000_003 if k is None else block == (epoch % k) * per_epoch + i
+            block = (key(0) >> HALF) * ((k or 1) * per_epoch) >> HALF
+            mine = key(step + 1) < below(share) if k is None else block == (epoch % k) * per_epoch + i
             w = w - rate * (gradient(mine, np.tile(w, (mine.sum(), 1))) - gradient(mine, own[mine]) + anchor)
             touched, step = touched | mine, step + 1
         own[touched] = w
@@ -192,6 +194,146 @@ def test_word_background_fit_meets_the_observed_words(spark, sf_dir):
     assert max(abs(r.gradient) for r in rest) < 2e-3 * reads
 
 
+SHAPES = np.random.default_rng(9).normal(size=(2, 1024))
+SHAPED = (AffinityModel((3,), shape=SHAPES, ends=("GC", "GA")), AffinityModel((2, 3), True, "C", "A", SHAPES, ("GG", "AT")))
+
+
+@pytest.mark.parametrize("model", SHAPED)
+def test_shape_weights_have_true_gradients(model):
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"seq": ["ACGTAC", "TTGACA", "GGGCAT"], "n": [3, 1, 2], "p0": [0.1, 0.2, 0.3]})
+    theta = rng.normal(scale=0.2, size=model.size())
+    for objective in (ProbeLoss(model), UniverseSum(model)):
+        _, _, _, grad, _ = objective.partial(rows, theta)
+        for j in range(len(theta)):
+            assert grad[j] == pytest.approx(_slope(lambda t: objective.partial(rows, t)[1], theta, j), rel=1e-5, abs=1e-7)  # noqa: B023
+
+
+def test_shape_scores_of_a_strand_are_those_of_the_turned_probe():
+    """A probe and its reverse complement, with flanks turned alike, have one score."""
+    theta = np.random.default_rng(4).normal(scale=0.2, size=SHAPED[0].size())
+    turned = AffinityModel((3,), shape=SHAPES, ends=("TC", "GC"))
+    a, b = (m.scores(objectives.encoded(pd.Series([s])), theta)[0] for m, s in ((SHAPED[0], "ACGTACCA"), (turned, "TGGTACGT")))
+    assert a == pytest.approx(b)
+
+
+@pytest.mark.parametrize("model", [AffinityModel((2, 3), True, "GC", "GA"), *SHAPED])
+def test_information_matches_differences(tables, model):
+    theta = np.random.default_rng(6).normal(scale=0.2, size=model.size())
+
+    def gradients(thetas):
+        return [g for _, g in affinity_likelihood(*tables, model, thetas, 0.01)]
+
+    found = objectives.affinity_information(*tables, model, theta, 0.01)
+    assert np.allclose(found, found.T) and np.allclose(found, objectives.information_by_differences(gradients, theta), atol=1e-5)
+
+
+def test_information_has_a_limit(tables):
+    with pytest.raises(ValueError):
+        objectives.affinity_information(*tables, AffinityModel((3,)), np.zeros(13), most=12)
+
+
+def _chances(k, weights, left, right, length):
+    """Log weight of every word of a length under a background, counted window by window."""
+    words = ["".join("ACGT"[c >> 2 * (length - 1 - p) & 3] for p in range(length)) for c in range(4**length)]
+    code = {w: i for i, w in enumerate("".join("ACGT"[c >> 2 * (k - 1 - p) & 3] for p in range(k)) for c in range(4**k))}
+    return np.array([sum(weights[code[(left + w + right)[i : i + k]]] for i in range(len(left + w + right) - k + 1)) for w in words])
+
+
+@pytest.mark.parametrize(("k", "left", "right"), [(1, "", ""), (2, "GC", "A"), (3, "A", "TG"), (3, "", "")])
+def test_draws_follow_the_background(k, left, right):
+    weights = np.random.default_rng(k).normal(scale=0.6, size=4**k)
+    logs = _chances(k, weights, left, right, 4)
+    source = BackgroundDraws(4, weights, k, left, right)
+    assert source.log_z == pytest.approx(np.log(np.exp(logs).sum()))
+    drawn = source.words(np.arange(60_000), 3) @ 4 ** np.arange(3, -1, -1)
+    e = 60_000 * np.exp(logs - source.log_z)
+    assert ((np.bincount(drawn, minlength=256) - e) ** 2 / e).sum() < 255 + 5 * np.sqrt(510)
+    assert np.array_equal(source.words(np.array([7]), 3)[0], source.words(np.arange(60_000), 3)[7])
+
+
+def test_sampled_z_and_gradient_lie_near_the_exact_ones(spark):
+    """At length 8: within 3.5 standard errors for 20 numbers, and the errors are of the right size."""
+    model = AffinityModel((3,), False, "GC", "GA")
+    theta = np.array([*X.MONO, -1.0])
+    exact = evaluate(universe(spark, 8).select("seq", F.exp(background("seq", X.BACKGROUND)).alias("p0")), UniverseSum(model), [theta])[0]
+    source, z = BackgroundDraws(8, X.BACKGROUND), []
+    for step in range(6):
+        value, error, grad, errors = sampled_z(source.drawn(spark, 8000, step), model, theta, 8000)
+        assert abs(value - exact.loss) < 4 * error and (np.abs(grad - exact.grad) < 4 * errors).all() and error < 0.05 * value
+        z.append((value - exact.loss) / error)
+    assert 0.2 < np.std(z) < 2.5
+
+
+@pytest.fixture(scope="module")
+def long_probes(spark):
+    """Probes of 16 bases drawn from a background and then by their affinity under known weights."""
+    rng = np.random.default_rng(8)
+    true = np.array([*(1.5 * rng.normal(size=12)), 2.0])
+    model, source = AffinityModel((3,)), BackgroundDraws(16, X.BACKGROUND)
+    codes = source.words(np.arange(60_000), 77)
+    score, _ = model.scores(codes, true)
+    kept = codes[rng.choice(len(score), 6000, p=score / score.sum())]
+    rows = pd.DataFrame({"seq": ["".join("ACGT"[b] for b in row) for row in kept]})
+    rows = rows.groupby("seq", as_index=False).size().rename(columns={"size": "n"})
+    rows["id"] = np.arange(len(rows))
+    rows["p0"] = [float(np.exp(sum(X.BACKGROUND["ACGT".index(b)] for b in s))) for s in rows["seq"]]
+    return SampledLikelihood(spark.createDataFrame(rows).cache(), source, model, 1e-5, 16_384, 4_096), true
+
+
+def test_stochastic_fits_of_sixteen_bases(long_probes):
+    """SGD, SVRG and stochastic L-BFGS go from the start to the loss of the true weights but for a small part of the way."""
+    problem, true = long_probes
+    start = np.array([*(0.2 * true[:12]), 2.0])
+    (first, _), (least, _) = problem.full([start, true])
+    assert first > least
+    for found, share in (
+        (fit.sgd(problem, start, rate=15.0, share=0.34, epochs=2), 0.5),
+        (fit.svrg(problem, start, rate=15.0, share=0.34, epochs=2, per_epoch=3), 0.4),
+        (fit.stochastic_lbfgs(problem, start, rate=0.6, share=0.34, epochs=1, per_epoch=6), 0.4),
+    ):
+        assert found.loss - least < share * (first - least), (found.loss, least, first)
+    empty = problem.batch(1, 0.0, [start])[0]
+    assert np.isfinite(empty[0]) and np.isfinite(empty[1]).all()
+
+
+def test_lockstep_fits_are_those_made_alone(tables):
+    probes, every = tables
+    rows = objectives.likelihood_rows(probes, every, F.when(F.col("seq") < "G", 0).otherwise(1)).cache()
+    models = {"a": AffinityModel((2,)), "b": AffinityModel((3,), True), "c": SHAPED[0]}
+    trials = [fit.Trial(n, m, 0.1 * np.cos(np.arange(m.size()) + s), s) for n, m in models.items() for s in range(2)]
+    asked = []
+    real = objectives.evaluate_jobs
+    try:
+        objectives.evaluate_jobs = lambda *a: asked.append(1) or real(*a)
+        best = fit.best_starts(rows, trials, frozenset((0,)), 0.01)
+        found = fit.fit_trials(rows, best, frozenset((0,)), frozenset((1,)), 0.01, steps=4)
+    finally:
+        objectives.evaluate_jobs = real
+    assert len(asked) == 1 + 1 + 4 + 1  # starts, first gradients, steps, test losses: whatever the number of models
+    train, test = (probes.where(f"seq {op} 'G'") for op in ("<", ">="))
+    for t in best:
+        losses = [affinity_likelihood(train, every, t.model, [x.start], 0.01)[0][0] for x in trials if x.name == t.name]
+        assert int(np.argmin(losses)) == t.variant
+        alone = fit.fit_affinity(train, every, t.model, t.start, 0.01, steps=4)
+        assert np.allclose(alone.theta, found[t.name][0].theta, atol=1e-6) and alone.steps == found[t.name][0].steps
+        assert found[t.name][1] == pytest.approx(affinity_likelihood(test, every, t.model, [alone.theta])[0][0], abs=1e-7)
+
+
+def test_affinity_folds_in_lockstep(spark, tables):
+    probes, every = tables
+    probes = probes.withColumn("code", F.xxhash64("seq").bitwiseAND((1 << 40) - 1)).cache()
+    model = AffinityModel((2,))
+    start = 0.1 * np.cos(np.arange(9.0))
+    rows = fit.fold_rows(probes, every, 0.4, 2).cache()
+    sides = {r.part: r.n for r in rows.where("part >= 0").groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    assert sides[0] + sides[1] == sides[2] + sides[3] == probes.agg(F.sum("n")).first()[0]
+    for fold, found, held in fit.cross_validated_affinity(rows, model, start, 2, 0.01, 5):
+        train, test = (rows.where(F.col("part") == 2 * fold + side) for side in (0, 1))
+        alone = fit.fit_affinity(train, every, model, start, 0.01, steps=5)
+        assert np.allclose(alone.theta, found.theta, atol=1e-6) and held == pytest.approx(affinity_likelihood(test, every, model, [alone.theta])[0][0], abs=1e-7)
+
+
 def test_affinity_refits_by_fold(spark, sf_dir):
     probes = X.probes(spark, sf_dir).limit(300).withColumn("p0", F.lit(1.0)).cache()
     every = affinity.universe(spark, X.PROBE_LENGTH).where("code % 64 = 0").select("seq", F.lit(1.0).alias("p0")).cache()
