@@ -346,9 +346,9 @@ def j17_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes, every = table_and_universe(spark, sf_dir)
     model, ridge = AffinityModel((3,)), RIDGE
     start = np.array([*(0.1 * np.cos(np.arange(12))), NS])
-    whole = fit.fit_affinity(probes, every, model, start, ridge, steps=20)
+    whole = fit.fit_affinity(probes, every, model, start, ridge, steps=10)
     rows = written(fit.fold_rows(probes, every, CV_SHARE, CV_FOLDS), "folds")
-    found = fit.cross_validated_affinity(rows, model, whole.theta, CV_FOLDS, ridge)
+    found = fit.cross_validated_affinity(rows, model, whole.theta, CV_FOLDS, ridge, steps=10)
     own = rows.where(F.col("part") != objectives.UNIVERSE).groupBy("part").agg(F.sum("n").alias("n"), F.sum(-F.col("n") * F.ln("n")).alias("s")).collect()
     least = {r["part"]: r["s"] / r["n"] + float(np.log(r["n"])) for r in own}
     out = [("fold", f, round(x.loss, 4), round(test, 4), round(test - least[2 * f + 1], 4)) for f, x, test in found]
@@ -368,7 +368,7 @@ def j18(spark: SparkSession, sf_dir: str) -> DataFrame:
     lockstep: as many jobs as the slowest fit has steps, however many models there are.
     """
     probes, every = table_and_universe(spark, sf_dir)
-    rows = written(objectives.likelihood_rows(probes, every, F.col("code") % 2), "halves")
+    rows = written(objectives.likelihood_rows(probes, every, slot(keyed("code"), 2)), "halves")
     values, trials = shape_values(spark, sf_dir), []
     for k, di, flank, shaped in SWEEP:
         left, right = X.LEFT_FLANK[: len(X.LEFT_FLANK) - flank], X.RIGHT_FLANK[flank:]
@@ -377,7 +377,7 @@ def j18(spark: SparkSession, sf_dir: str) -> DataFrame:
         trials += [fit.Trial((k, di, flank, shaped), model, np.concatenate((np.roll(0.2 * np.cos(np.arange(4 * k)), 4 * s), rest, [NS])), s) for s in range(k)]
     train, test = frozenset((0,)), frozenset((1,))
     best = fit.best_starts(rows, trials, train, RIDGE)
-    found = fit.fit_trials(rows, best, train, test, RIDGE, steps=6)
+    found = fit.fit_trials(rows, best, train, test, RIDGE, steps=4)
     chosen = min(found, key=lambda name: (found[name][1], name))
     shifts = {t.name: t.variant for t in best}
     out = [(*name, shifts[name], round(f.loss, 4), round(float(held), 4), f.steps, name == chosen) for name, (f, held) in found.items()]
