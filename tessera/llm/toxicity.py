@@ -34,11 +34,15 @@ HEAD, TAIL = 4, 3
 #: After the features: every word's constant, a text's first word, moves clean-toxic, toxic-clean and toxic-toxic.
 EXTRA = 5
 SIZE = AT[-1] + EXTRA
-#: Words of a chain when the weights are fitted; scores come from whole texts.
-WINDOW = 256
+#: Words of a piece of a chain; the pieces' products make the result that of the whole text.
+PIECE = 256
 #: Share of labels taken to be wrong, which bounds what one document can pull.
 NOISE = 0.05
 STEPS, RATE, RIDGE = 40, 0.3, 0.2
+#: Times the ridge for features of neighbours, so that a word is told by itself where that will do.
+NEIGHBOURS = 8
+#: Toxic documents that a feature must be found in to speak for toxicity, and those for the letters that words share.
+SUPPORT, LETTERS = 3, 8
 #: Partitions of the bounded sample.
 PARTS = 8
 
@@ -83,41 +87,79 @@ class _Words(dict):
         return n
 
 
+def _placed(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(order, alive, begins, at)`` of pieces laid end to end, so that all take a step at once: places are sorted by word number, longest pieces first."""
+    total, order = int(lengths.sum()), np.argsort(-lengths, kind="stable")
+    rank = np.empty(len(lengths), dtype=np.int64)
+    rank[order] = np.arange(len(lengths))
+    alive = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(int(lengths.max())), side="right")
+    begins = np.concatenate(([0], np.cumsum(alive)))
+    starts = np.cumsum(lengths) - lengths
+    return order, alive, begins, begins[np.arange(total) - np.repeat(starts, lengths)] + np.repeat(rank, lengths)
+
+
+def _between(e: np.ndarray, opens: np.ndarray, alive: np.ndarray, begins: np.ndarray, weights: tuple) -> np.ndarray:
+    """What each piece makes of a clean or toxic word before it (rows; columns: its own last word), up to a factor, by piece in the places' order.
+
+    A chain's first piece, in ``opens``, has its own start in both rows.
+    """
+    first, ct, tc, tt = weights
+    rows = np.zeros((2, 2, alive[0]))
+    rows[0, 0], rows[1, 1] = 1.0, 1.0
+    for t in range(len(alive)):
+        n, own = alive[t], e[begins[t] : begins[t + 1]]
+        clean, toxic = rows[:, 0, :n], rows[:, 1, :n]
+        made = np.stack((clean + toxic * tc, (clean * ct + toxic * tt) * own), axis=1)
+        if t == 0:
+            made = np.where(opens[None, None, :n], np.stack((np.ones_like(own), first * own))[None], made)
+        rows[:, :, :n] = made / made.sum(axis=(0, 1))
+    return rows
+
+
 def chains(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(p, log_p0, at, forward)`` of chains laid end to end, none empty, by the forward-backward algorithm.
 
     Scores are those of toxic over clean: ``emit`` of each word, ``moves`` of the first word,
     clean-toxic, toxic-clean and toxic-toxic; clean words and moves between them have none. ``p``
     are the marginals and ``log_p0`` the logarithms of each chain's chance that all its words are
-    clean. All chains take a step at once: places are sorted by word number, longest chains first.
+    clean. Long chains are cut in pieces of PIECE words that take their steps at once; what
+    crosses a cut comes from the pieces' products, so the result is that of the whole chain.
     """
-    first, ct, tc, tt = np.exp(np.clip(moves, -30, 30))
-    total, order = int(lengths.sum()), np.argsort(-lengths, kind="stable")
-    rank = np.empty(len(lengths), dtype=np.int64)
-    rank[order] = np.arange(len(lengths))
-    longest = int(lengths.max())
-    alive = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(longest), side="right")
-    begins = np.concatenate(([0], np.cumsum(alive)))
-    starts = np.cumsum(lengths) - lengths
-    at = begins[np.arange(total) - np.repeat(starts, lengths)] + np.repeat(rank, lengths)
-    e = np.empty(total)
+    weights = first, ct, tc, tt = np.exp(np.clip(moves, -30, 30))
+    counts = -(-lengths // PIECE)
+    cut = np.full(int(counts.sum()), PIECE, dtype=np.int64)
+    lasts = np.cumsum(counts) - 1
+    cut[lasts] = lengths - (counts - 1) * PIECE
+    number = np.arange(len(cut)) - np.repeat(lasts + 1 - counts, counts)  # of a piece in its chain
+    order, alive, begins, at = _placed(cut)
+    rank = np.argsort(order)
+    e = np.empty(len(at))
     e[at] = np.exp(np.clip(emit, -30, 30))
-    forward, norms, back = np.empty(total), np.empty(total), np.empty(total)
-    a = None
-    for t in range(longest):
+    enter, leave = np.full((len(cut), 2), 0.5), np.full((len(cut), 2), 0.5)  # shares of clean and toxic before a piece, after it
+    if counts.max() > 1:
+        across = _between(e, number[order] == 0, alive, begins, weights)[:, :, rank].transpose(2, 0, 1)
+        for j in range(1, int(counts.max())):
+            here = np.flatnonzero(number == j)
+            v = np.einsum("ps,psn->pn", enter[here - 1], across[here - 1])
+            enter[here] = v / v.sum(axis=1, keepdims=True)
+        for j in range(int(counts.max()) - 1, 0, -1):
+            here = np.flatnonzero(number == j)
+            u = np.einsum("psn,pn->ps", across[here], leave[here])
+            leave[here - 1] = u / u.sum(axis=1, keepdims=True)
+    opens, a, b = number[order] == 0, enter[order, 1], leave[order, 1].copy()
+    forward, norms, back = np.empty(len(at)), np.empty(len(at)), np.empty(len(at))
+    for t in range(len(alive)):
         place = slice(begins[t], begins[t + 1])
+        a = a[: alive[t]]
+        norm = 1 - a + a * tc
+        toxic = ((1 - a) * ct + a * tt) * e[place]
         if t == 0:
-            toxic, norm = first * e[place], 1.0
-        else:
-            a = a[: alive[t]]
-            norm = 1 - a + a * tc
-            toxic = ((1 - a) * ct + a * tt) * e[place]
+            norm, toxic = np.where(opens, 1.0, norm), np.where(opens, first * e[place], toxic)
         norm = norm + toxic
         a = toxic / norm
         forward[place], norms[place] = a, norm
-    b = np.full(alive[0], 0.5)  # share of the toxic state in what follows
-    back[begins[longest - 1] :] = 0.5
-    for t in range(longest - 2, -1, -1):
+    back[begins[-2] :] = b[: alive[-1]]  # share of the toxic state in what follows
+    for t in range(len(alive) - 2, -1, -1):
         n = alive[t + 1]
         toxic = b[:n] * e[begins[t + 1] : begins[t + 2]]
         clean = 1 - b[:n]
@@ -125,7 +167,7 @@ def chains(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np
         b[:n] = now / (now + other)
         back[begins[t] : begins[t + 1]] = b[: alive[t]]
     p = forward * back / (forward * back + (1 - forward) * (1 - back))
-    return p[at], -np.add.reduceat(np.log(norms)[at], starts), at, np.stack((forward, back, e))
+    return p[at], -np.add.reduceat(np.log(norms)[at], np.cumsum(lengths) - lengths), at, np.stack((forward, back, e))
 
 
 def crf_marginals(emit: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -150,12 +192,8 @@ def label_gradient(word: np.ndarray, head: np.ndarray, tail: np.ndarray, lengths
     emit = theta[word] + theta[head] + theta[tail] + extra[0]
     emit[has_before] += theta[before[has_before]]
     emit[has_after] += theta[after[has_after]]
-    pieces = -(-lengths // WINDOW)
-    of = np.repeat(np.arange(len(lengths)), pieces)
-    cut = np.full(len(of), WINDOW, dtype=np.int64)
-    cut[np.cumsum(pieces) - 1] = lengths - (pieces - 1) * WINDOW
-    p, log_p0, at, (forward, back, e) = chains(emit, cut, extra[1:])
-    p0 = np.exp(np.bincount(of, weights=log_p0, minlength=len(lengths)))
+    p, log_p0, at, (forward, back, e) = chains(emit, lengths, extra[1:])
+    p0 = np.exp(log_p0)
     right = np.where(toxic == 1, NOISE + (1 - 2 * NOISE) * (1 - p0), NOISE + (1 - 2 * NOISE) * p0)
     pull = np.where(toxic == 1, 1.0, -1.0) * (1 - 2 * NOISE) * p0 / right
     each = np.repeat(pull, lengths)
@@ -163,7 +201,7 @@ def label_gradient(word: np.ndarray, head: np.ndarray, tail: np.ndarray, lengths
     out = np.zeros(SIZE)
     for f, w in ((word, g), (head, g), (tail, g), (before[has_before], g[has_before]), (after[has_after], g[has_after])):
         out += np.bincount(f, weights=w, minlength=SIZE)
-    starts = np.cumsum(cut) - cut
+    starts = np.cumsum(lengths) - lengths
     inner = np.ones(len(g), dtype=bool)
     inner[starts] = False
     later = np.flatnonzero(inner)
@@ -218,31 +256,59 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(toxic, type=pa.int32()), *(pa.array(c, type=pa.list_(pa.int32())) for c in columns)], names=["toxic", "word", "head", "tail"])
 
 
+def _lists(b: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """A batch's words, first and last letters laid end to end, the documents' lengths and labels."""
+    lists = [b.column(name) for name in ("word", "head", "tail")]
+    return [x.flatten().to_numpy().astype(np.int64) for x in lists], np.diff(lists[0].offsets.to_numpy()).astype(np.int64), b.column("toxic").to_numpy()
+
+
+def toxic_support(featured: DataFrame) -> np.ndarray:
+    """How many toxic documents each feature is found in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(SIZE, dtype=np.float32)
+        for b in batches:
+            if b.num_rows:
+                (word, head, tail), lengths, toxic = _lists(b)
+                of, (before, after) = np.repeat(np.arange(len(lengths)), lengths), _shifted(word, lengths)
+                bad = toxic[of] == 1
+                for f, on in ((word, bad), (head, bad), (tail, bad), (AT[3] + before % WIDTHS[3], bad & (before >= 0)), (AT[4] + after % WIDTHS[4], bad & (after >= 0))):
+                    out += np.bincount(np.unique(of[on] * SIZE + f[on]) % SIZE, minlength=SIZE).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["support"])
+
+    return np.sum([np.frombuffer(x["support"], dtype=np.float32) for x in featured.mapInArrow(run, "support binary").collect()], axis=0)
+
+
 def fit_crf(featured: DataFrame, steps: int = STEPS, rate: float = RATE, ridge: float = RIDGE) -> np.ndarray:
     """Weights that maximise the labels' likelihood less a ridge (Adam); each step is one job over the written features.
 
     Executors add up their documents' gradients, so what reaches the driver is one vector a
-    partition, whatever the texts' lengths.
+    partition, whatever the texts' lengths. A feature of few toxic documents may speak against
+    toxicity but not for it, so words that one document alone holds are not learned by heart.
     """
     theta, first, second = np.zeros(SIZE), np.zeros(SIZE), np.zeros(SIZE)
     theta[AT[-1]] = -6.0
     held = np.full(SIZE, ridge)
+    held[AT[3] : AT[-1]] *= NEIGHBOURS
     held[AT[-1] :] = 0.0
+    asked = np.full(SIZE, SUPPORT)
+    asked[AT[1] : AT[3]] = LETTERS
+    most = np.where(toxic_support(featured) >= asked, np.inf, 0.0)
+    most[AT[-1] :] = np.inf
     for r in range(1, steps + 1):
 
         def step(batches: Iterator[pa.RecordBatch], sent: np.ndarray = theta.astype(np.float32)) -> Iterator[pa.RecordBatch]:
             out, theta = np.zeros(SIZE), sent.astype(np.float64)
             for b in batches:
-                lists = [b.column(name) for name in ("word", "head", "tail")]
                 if b.num_rows:
-                    lengths = np.diff(lists[0].offsets.to_numpy())
-                    out += label_gradient(*(x.flatten().to_numpy().astype(np.int64) for x in lists), lengths.astype(np.int64), b.column("toxic").to_numpy(), theta)[1]
+                    features, lengths, toxic = _lists(b)
+                    out += label_gradient(*features, lengths, toxic, theta)[1]
             yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()])], names=["gradient"])
 
         parts = featured.mapInArrow(step, "gradient binary").collect()
         gradient = np.sum([np.frombuffer(x["gradient"], dtype=np.float32) for x in parts], axis=0, dtype=np.float64) - held * theta
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
-        theta = theta + rate * (1 - (r - 1) / steps) * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.999**r)) + 1e-6)
+        theta = np.minimum(theta + rate * (1 - (r - 1) / steps) * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.999**r)) + 1e-6), most)
     return theta.astype(np.float32)
 
 

@@ -37,6 +37,36 @@ def test_marginals_are_exact():
     assert crf_marginals(texts[2], moves) == pytest.approx(want[2][0]) and len(crf_marginals(np.zeros(0), moves)) == 0
 
 
+@pytest.mark.parametrize("piece", [1, 2, 5])
+def test_pieces_of_long_chains_give_the_whole_chains_result(monkeypatch, piece):
+    rng = np.random.default_rng(7)
+    texts = [2 * rng.normal(size=n) for n in (3, 1, 10, 9, 2, 6)]
+    moves, lengths = rng.normal(size=4), np.array([3, 1, 10, 9, 2, 6])
+    want = [by_enumeration(t, moves) for t in texts]
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    p, log_p0, *_ = chains(np.concatenate(texts), lengths, moves)
+    assert p == pytest.approx(np.concatenate([w for w, _ in want])) and np.exp(log_p0) == pytest.approx([c for _, c in want])
+
+
+def test_words_of_one_document_are_not_learned_by_heart(spark):
+    """Every toxic document holds a known insult and a word of its own, three times; only the insult is tagged, in whichever document."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    texts, labels = [], []
+    for i in range(400):
+        t = [rng.choice(words) for _ in range(40)]
+        if i % 4 == 0:
+            own = "".join(rng.choice("bcdfgh") for _ in range(9))
+            for at, w in zip(rng.sample(range(40), 5), [own, own, own, "grimble", rng.choice(["vexing", "grimble"])], strict=True):
+                t[at] = w
+        texts.append(" ".join(t))
+        labels.append((i, 1, int(i % 4 == 0)))
+    docs = documents(spark, texts)
+    tagger = fit_tagger(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    tagged_words = {texts[r.doc_id][s.start : s.end] for r in score_toxicity(docs, tagger).collect() for s in r.spans}
+    assert tagged_words and tagged_words <= {"grimble", "vexing"}
+
+
 def test_long_texts_stay_finite():
     emit = np.full(50_000, -6.0)
     emit[[10, 40_000]] = 700.0
