@@ -197,7 +197,7 @@ def _batches(blocks: DataFrame, search, asked: DataFrame | None = None) -> DataF
     """Anchors with their goals in batches of up to BATCH_ROWS, probed in their home blocks. ``asked`` has each block's ``anchors`` and the positives' scores of each."""
     names = [f.split()[0] for f in search.goals.split(", ")]
     listed = asked is not None
-    source = blocks.join(asked, "block") if listed else blocks
+    source = blocks.join(asked.hint("merge"), "block") if listed else blocks
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, n, held = TaskContext.get().partitionId() << 32, 0, []
@@ -266,9 +266,9 @@ def best_rows(blocks: DataFrame, batches: DataFrame, search) -> DataFrame:
     needed = written(needed_blocks(blocks, batches, search, n_blocks, n_batches), "needed")
     tile = F.pmod(F.xxhash64("block"), F.lit(max(1, math.ceil(n_blocks / TILE)))).cast("int").alias("tile")
     names = [f.split()[0] for f in search.goals.split(", ")]
-    asked = needed.groupBy(tile, "slice", "batch").agg(F.collect_list(F.struct("block", "who")).alias("needs")).join(batches, "batch")
+    asked = needed.groupBy(tile, "slice", "batch").agg(F.collect_list(F.struct("block", "who")).alias("needs")).join(batches.hint("merge"), "batch")  # no broadcast: its size is not that of the packed rows
     given = needed.select(F.col("block").alias("_own"), F.col("slice").alias("part"), tile.alias("place")).distinct()
-    read = given.join(blocks.drop("lo", "hi", "anchors"), F.col("_own") == F.col("block")).drop("_own")
+    read = given.join(blocks.drop("lo", "hi", "anchors").hint("merge"), F.col("_own") == F.col("block")).drop("_own")
 
     def run(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         out, known = [], {row.block: row for row in given.itertuples()}
