@@ -21,6 +21,8 @@ from tessera.llm.common import SPACED_WORD, plain_text
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS = 200, 50, 2, "[#$%&*|]"
 
+#: Places that the rows of one text are dealt to when they look up its smallest id.
+SALTS = 16
 SETS = 1 << len(FILTERS)
 ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
 
@@ -48,7 +50,10 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     facts = facts.groupBy("_sha", "_own", "part", "id").agg(F.count(F.lit(1)).alias("n"))
     least = facts.groupBy("_sha").agg(F.min("id").alias("_least"), F.max("id").alias("_most")).where("_least < _most").select("_sha", "_least")
     repeated = F.when(F.coalesce(F.col("id") > F.col("_least"), F.lit(False)), 1 << FILTERS.index("E")).otherwise(0)
-    masked = facts.join(least, "_sha", "left").select("part", "id", (F.col("_own") + repeated).alias("mask"), "n")
+    salt = F.lit(SALTS)  # rows of one text go to SALTS places, its least id to each
+    facts = facts.withColumn("_salt", F.pmod(F.xxhash64("id", "part"), salt))
+    least = least.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salt.cast("long") - 1)))
+    masked = facts.join(least, ["_sha", "_salt"], "left").select("part", "id", (F.col("_own") + repeated).alias("mask"), "n")
     return masked.groupBy("part", "id", "mask").agg(F.sum("n").alias("n"))
 
 
