@@ -7,14 +7,15 @@ windows, both strands and modes, plus exp of the non-specific weight.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.sequences import BASES, array_sum, flanked, floats, log10_bin, reverse_complement, reversed_di, reversed_mono, unpack, windows, word_code
-from tessera.operators.filters import region_quality
 from tessera.operators.joins import fill_ins
 
 
@@ -149,17 +150,57 @@ def shape_score(probes: DataFrame, mode: Mode, shape: DataFrame, left: str, righ
 
 
 def genome_scan(contigs: DataFrame, mode: Mode, chrom: str = "chrom", start: str = "pos_start", seq: str = "seq", only: Sequence[str] | None = None) -> DataFrame:
-    """``chrom, pos, forward, reverse, flag`` for every window start of chunked contigs; scores are 0 where the window holds N."""
+    """``chrom, pos, forward, reverse, flag`` for every window start of chunked contigs; scores are 0 where the window holds a letter other than ACGT.
+
+    A chunk's bases become numbers once; its windows' scores are sums of shifted look-ups.
+    """
     rows = contigs if only is None else contigs.where(F.col(chrom).isin(list(only)))
-    words = rows.select(chrom, start, F.posexplode(windows(seq, mode.k)).alias("_i", "_w"))
-    upper = F.upper("_w")
-    flag = region_quality("_w")
-    clean = words.select(F.col(chrom).alias("chrom"), (F.col(start) + F.col("_i")).alias("pos"), upper.alias("_u"), flag.alias("flag"))
-    if mode.k <= TABLE_LENGTH:
-        forward, reverse = (F.get(floats(t), word_code(F.col("_u"), mode.k)) for t in word_tables(mode))
-    else:
-        forward, reverse = (F.exp(x) for x in strand_logs(F.col("_u"), F.lit(1), mode))
-    return clean.select("chrom", "pos", *[F.when(F.col("flag") == -1, 0.0).otherwise(x).alias(n) for x, n in ((forward, "forward"), (reverse, "reverse"))], "flag")
+    strands = [(np.array(m, dtype=np.float64), np.array(d, dtype=np.float64) if d else None) for m, d in ((mode.mono, mode.di), (reversed_mono(mode.mono), reversed_di(mode.di) if mode.di else ()))]
+    k, numbers = mode.k, np.full(256, -1, dtype=np.int64)
+    numbers[np.frombuffer(b"ACGTacgt", dtype=np.uint8)] = np.tile(np.arange(4), 2)
+
+    def held(mask: np.ndarray, n: int) -> np.ndarray:
+        """Whether any of a window's letters is of a kind."""
+        before = np.concatenate(([0], np.cumsum(mask)))
+        return before[k : k + n] > before[:n]
+
+    def scored(name, first: int, text: str) -> pd.DataFrame | None:
+        raw = np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)
+        n = len(raw) - k + 1
+        if n <= 0:
+            return None
+        codes = numbers[raw]
+        bad, base = held(codes < 0, n), np.maximum(codes, 0)
+        made = {chrom: [name] * n, "pos": first + np.arange(n)}
+        for label, (mono, di) in zip(("forward", "reverse"), strands, strict=True):
+            logs = sum(mono[4 * p + base[p : p + n]] for p in range(k))
+            if di is not None:
+                logs = logs + sum(di[16 * p + 4 * base[p : p + n] + base[p + 1 : p + 1 + n]] for p in range(k - 1))
+            made[label] = np.where(bad, 0.0, np.exp(logs))
+        lower, unknown = held((raw >= 97) & (raw <= 122), n), held((raw == 78) | (raw == 110), n)
+        return pd.DataFrame(made | {"flag": np.where(unknown, -1, np.where(lower, 1, 0)).astype(np.int32)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out, size = [], 0
+            for name, first, text in zip(frame.iloc[:, 0], frame.iloc[:, 1], frame.iloc[:, 2], strict=True):
+                for at in range(0, max(1, len(text) - k + 1), SCAN_WINDOWS):  # a long chunk is scored in parts
+                    if (part := scored(name, first + at, text[at : at + SCAN_WINDOWS + k - 1])) is not None:
+                        out.append(part)
+                        size += len(part)
+                    if size >= SCAN_WINDOWS:
+                        yield pd.concat(out)
+                        out, size = [], 0
+            if out:
+                yield pd.concat(out)
+
+    own = rows.where(F.col(seq).isNotNull()).select(chrom, start, seq)
+    kinds = [f.dataType.simpleString() for f in own.schema]
+    return own.mapInPandas(run, f"`{chrom}` {kinds[0]}, pos {kinds[1]}, forward double, reverse double, flag int").withColumnRenamed(chrom, "chrom")
+
+
+#: Windows that a scan scores and hands on together.
+SCAN_WINDOWS = 200_000
 
 
 def long_probe_score(seq: str | Column, mode: Mode, nonspecific: float) -> Column:

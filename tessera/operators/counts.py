@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.sequences import flanked, pack, reverse_complement, unpack, windows
 from tessera.operators.filters import barcode_match, kmer_verdict, valid_bases, variable_region
+from tessera.operators.packed import packed_counts
 from tessera.sources.readers import skip_invalid
 
 
@@ -14,13 +15,18 @@ def count_kmers(df: DataFrame, k: int, seq: str = "seq", weight: str | None = No
     """``*by, kmer, n``: how often each word of length ``k`` occurs in all windows; unseen words are absent.
 
     ``weight`` counts each window so many times, ``both_strands`` adds every window's reverse
-    complement, and ``filters`` are those of :func:`kmer_verdict`. Windows are made inside the
-    row and counted on the map side before they are shuffled.
+    complement, and ``filters`` are those of :func:`kmer_verdict`. Words of up to 31 bases roll
+    as packed codes and are added up in each task before distinct ones are shuffled; filters and
+    the other strand see distinct words only.
     """
-    made = df.select(*by, F.explode(windows(seq, k)).alias("kmer"), *([weight] if weight else []))
+    if k <= 31:
+        found = packed_counts(df, k, seq, weight, by)
+        counted = found.select(*by, F.coalesce("word", unpack("code", k)).alias("kmer"), "n")
+    else:
+        made = df.select(*by, F.explode(windows(seq, k)).alias("kmer"), *([weight] if weight else []))
+        counted = made.groupBy(*by, "kmer").agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("bigint").alias("n"))
     if filters:
-        made = made.where(kmer_verdict("kmer", **filters))
-    counted = made.groupBy(*by, "kmer").agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("bigint").alias("n"))
+        counted = counted.where(kmer_verdict("kmer", **filters))
     if not both_strands:
         return counted
     turned = counted.select(*by, F.explode(F.array("kmer", reverse_complement("kmer"))).alias("kmer"), "n")  # the distinct words only

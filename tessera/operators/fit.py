@@ -310,7 +310,7 @@ def fit_affinity(probes: DataFrame, universe: DataFrame, model: AffinityModel, s
     return lbfgs(lambda thetas: affinity_likelihood(probes, universe, model, thetas, ridge, active), start, steps=steps)
 
 
-def fit_mode_weights(probes: DataFrame, z: np.ndarray, steps: int = 12) -> Fit:
+def fit_mode_weights(probes: DataFrame, z: np.ndarray, steps: int = 12, epsilon: float = 1e-5) -> Fit:
     """One scale per mode with the weights fixed; ``probes(kappas, n)`` and ``z``, the modes' sums over the universe. The first scale is held at 0."""
 
     def many(thetas):
@@ -323,7 +323,7 @@ def fit_mode_weights(probes: DataFrame, z: np.ndarray, steps: int = 12) -> Fit:
             out.append((float(np.log(parts.sum()) + own[i].loss / own[i].n), g))
         return out
 
-    return lbfgs(many, np.zeros(len(z)), steps=steps)
+    return lbfgs(many, np.zeros(len(z)), epsilon=epsilon, steps=steps)
 
 
 @dataclass(frozen=True, eq=False)

@@ -15,15 +15,17 @@ from tessera.operators.joins import with_prefix_counts
 def kmax(df: DataFrame, threshold: int = 100, longest: int = 15, seq: str = "seq", weight: str | None = None) -> DataFrame:
     """``kmax``: the largest k below the first whose lowest observed count is not above ``threshold``.
 
-    All lengths are counted in one pass. With none failing it is ``longest - 1``, as k = longest
-    is only ever a failing length.
+    Each text is its words of length ``longest`` and the shorter ones that its end cuts off; only
+    these are counted, and every shorter length's counts are those of their beginnings. With none
+    failing it is ``longest - 1``, as k = longest is only ever a failing length.
     """
-
-    def of_length(k: int) -> Column:
-        return F.transform(windows(seq, k), lambda w: F.struct(F.lit(k).alias("k"), w.alias("kmer")))
-
-    every = F.flatten(F.array(*[of_length(k) for k in range(1, longest + 1)]))
-    counted = df.select(F.explode(every).alias("_w"), *([weight] if weight else [])).groupBy("_w.k", "_w.kmer").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
+    n = F.col(weight) if weight else F.lit(1)
+    whole = count_kmers(df, longest, seq, weight)
+    ends = F.transform(F.sequence(F.lit(1), F.lit(max(1, longest - 1))), lambda i: F.when(i <= F.length(seq), F.substr(F.col(seq), F.length(seq) - i + 1)))
+    tails = df.where(F.length(seq) >= 1).select(F.explode(F.array_compact(ends)).alias("kmer"), n.alias("n")).groupBy("kmer").agg(F.sum("n").cast("bigint").alias("n"))
+    listed = whole.unionByName(tails) if longest > 1 else whole
+    beginnings = listed.select(F.explode(F.sequence(F.lit(1), F.length("kmer"))).alias("k"), "kmer", "n")
+    counted = beginnings.groupBy("k", F.substr("kmer", F.lit(1), F.col("k")).alias("kmer")).agg(F.sum("n").alias("n"))
     lowest = counted.groupBy("k").agg(F.min("n").alias("lowest"))
     return lowest.agg((F.coalesce(F.min(F.when(F.col("lowest") <= threshold, F.col("k"))), F.lit(longest)) - 1).cast("int").alias("kmax"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +27,19 @@ ROWS_PER_RANGE = 65_536
 
 
 def _ranges(rows: DataFrame, at: str, per: int) -> DataFrame:
-    """Adds ``_range``: equal slices of the span of ``at``, as many as the table's size asks for."""
-    found = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.col(at).cast("double")).alias("low"), F.max(F.col(at).cast("double")).alias("high")).first()
-    parts = max(1, -(-found["n"] // per))
-    if found["low"] is None or found["low"] == found["high"]:
+    """Adds ``_range``: slices of about ``per`` rows in the order of ``at``, cut at its quantiles, so outliers and gaps don't matter; null places are -1."""
+    place = F.col(at).cast("double")
+    parts = -(-rows.count() // per)
+    bounds = None if parts < 2 else rows.agg(F.percentile_approx(place, [i / parts for i in range(1, parts)], max(10_000, 10 * parts)).alias("b")).first()["b"]
+    if not bounds:
         return rows.withColumn("_range", F.lit(0).cast("long"))
-    place = (F.col(at).cast("double") - found["low"]) / (found["high"] - found["low"]) * parts
-    return rows.withColumn("_range", F.coalesce(F.least(F.floor(place), F.lit(parts - 1)), F.lit(-1)).cast("long"))
+    cuts = np.unique(np.array(bounds, dtype=np.float64))
+
+    @F.pandas_udf("long")
+    def of(places: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, places.to_numpy(dtype=np.float64), side="right"))
+
+    return rows.withColumn("_range", F.when(place.isNull(), F.lit(-1).cast("long")).otherwise(of(place)))
 
 
 def moving_average(rows: DataFrame, series: list[str], at: str, value: str, points: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:

@@ -34,13 +34,23 @@ def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("run", "seq").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a2_fasta_source", with_tables("contigs", "SELECT CAST(doc_id AS VARCHAR) AS chrom, CAST(length(seq) AS BIGINT) AS bases FROM contigs WHERE seq <> ''"))
+#: Letters with their places: a contig's windows of eight bases, each times its place.
+LETTERS_SQL = """w AS (SELECT doc_id, i, substr(seq, i, 8) AS w FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 6)) AS i FROM contigs WHERE length(seq) >= 8)),
+    c AS (SELECT doc_id, count(*) AS windows, CAST(sum(i * list_sum(list_transform(range(1, 9), lambda p: (strpos('ACGT', substr(w, p, 1)) - 1) * CAST(4 ** (8 - p) AS BIGINT)))) AS BIGINT) AS letters FROM w GROUP BY doc_id)
+    SELECT CAST(doc_id AS VARCHAR) AS chrom, CAST(length(seq) AS BIGINT) AS bases, coalesce(windows, 0) AS windows, coalesce(letters, 0) AS letters FROM contigs LEFT JOIN c USING (doc_id) WHERE seq <> ''"""
+
+
+@query("a2_fasta_source", with_tables("contigs", LETTERS_SQL))
 def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contigs written as FASTA with 50-letter lines, many to a file, and read back in chunks."""
     path = fresh_path(spark, "fasta")
     writers.write_fasta(X.contigs(spark, sf_dir).where("seq <> ''").select(F.concat(F.col("doc_id").cast("string"), F.lit(" test")).alias("chrom"), "seq"), path)
     pieces = readers.read_fasta(spark, path, 8, 500)
-    return pieces.groupBy("chrom").agg((F.max(F.col("pos_start") + F.length("seq"))).cast("bigint").alias("bases"))
+    words = F.transform(S.windows("seq", 8), lambda w: S.word_code(w, 8).cast("bigint"))
+    places = F.aggregate(F.transform(words, lambda c, i: c * (F.col("pos_start") + i + 1)), F.lit(0).cast("bigint"), lambda t, x: t + x)
+    return pieces.groupBy("chrom").agg(
+        (F.max(F.col("pos_start") + F.length("seq"))).cast("bigint").alias("bases"), F.sum(F.greatest(F.length("seq") - 7, F.lit(0))).cast("bigint").alias("windows"), F.sum(places).alias("letters")
+    )
 
 
 ROUND_SQL = with_tables("rounds", "SELECT seq, c1 AS n FROM rounds WHERE c1 > 0")

@@ -11,6 +11,7 @@ from tessera.functions.draws import keyed_sql as sql_keyed
 from tessera.functions.sequences import array_sum, pack
 from tessera.operators import affinity, fit, objectives
 from tessera.operators.affinity import background, window_scores
+from tessera.operators.counts import feature_sums
 from tessera.operators.fit import FiniteSum, Fit
 from tessera.operators.objectives import AffinityModel, Objective, SquaredHinge, evaluate
 from tessera.operators.sampled import PLACES, BackgroundDraws, SampledLikelihood
@@ -94,6 +95,24 @@ def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(spark, "lbfgs", fit.lbfgs(problem(spark, sf_dir).full, np.zeros(64), steps=12))
 
 
+#: Accelerated descent from zero, far past what the rounding shows; a step of 10 is below 2 over the largest curvature of unit vectors in 64 dimensions.
+DESCENT = f"""e AS (SELECT features, y AS label FROM examples), c AS (SELECT count(*) AS n FROM e),
+    it(i, theta, ahead) AS (SELECT 0, list_transform(range(64), lambda x: 0.0::DOUBLE), list_transform(range(64), lambda x: 0.0::DOUBLE) UNION ALL
+        SELECT i + 1, list(new ORDER BY j), list(new + {(1 - 0.1) / (1 + 0.1)!r}::DOUBLE * (new - old) ORDER BY j) FROM (
+            SELECT i, j, any_value(theta[j]) AS old, any_value(ahead[j]) - 10 * (sum(-slack * features[j]) / any_value(n) + {RIDGE}::DOUBLE * any_value(ahead[j])) AS new
+            FROM (SELECT i, theta, ahead, features, n, greatest(0, 1 - label * list_dot_product(features, ahead)) * label AS slack FROM it, e, c WHERE i < 300), (SELECT unnest(range(1, 65)) AS j) GROUP BY i, j) GROUP BY i),
+    best AS (SELECT theta FROM it WHERE i = 300)
+    SELECT CAST(j AS INTEGER) AS entry, round(theta[j], 4) AS value FROM best, (SELECT unnest(range(1, 65)) AS j)
+    UNION ALL SELECT 0, round(avg(pow(greatest(0, 1 - label * list_dot_product(features, theta)), 2)) / 2 + {RIDGE}::DOUBLE * any_value(list_dot_product(theta, theta)) / 2, 7) FROM e, best"""
+
+
+@query("j4_optimum", with_tables("examples", DESCENT).replace("WITH ", "WITH RECURSIVE ", 1))
+def j4_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least loss (entry 0) and the vector that has it, by L-BFGS until no step lowers the loss."""
+    found = fit.lbfgs(problem(spark, sf_dir).full, np.zeros(64), epsilon=1e-9, steps=80)
+    return _rows(spark, [(i, round(float(v), 4 if i else 7)) for i, v in enumerate([found.loss, *found.theta])], "entry int, value double")
+
+
 @query("j5_sgd")
 def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(spark, "sgd", fit.sgd(problem(spark, sf_dir), np.zeros(64), share=0.34, epochs=3))
@@ -158,6 +177,24 @@ def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [("train", round(train.loss, 6)), ("test", round(test, 6)), ("all", round(final.loss, 6))], "part string, loss double")
 
 
+#: At the best weights the background's mean number of each pair of bases, flanks included, is that of the reads.
+PAIRS = f"""w AS (SELECT n, unnest({sql_windows("'GC' || seq || 'GA'", 2)}) AS kmer FROM probes), t AS (SELECT sum(n) AS n FROM probes)
+    SELECT kmer, round(sum(w.n) / any_value(t.n), 4) AS observed, round(sum(w.n) / any_value(t.n), 4) AS fitted FROM w, t GROUP BY kmer"""
+
+
+@query("j12_pair_background", with_tables("probes", PAIRS))
+def j12_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A background over pairs of neighbouring bases with flanks, fitted on all reads, and the mean number of each pair under it."""
+    probes, every = table_and_universe(spark, sf_dir)
+    words = [a + b for a in "ACGT" for b in "ACGT"]
+    reads = probes.agg(F.sum("n")).first()[0]
+    found = {r["kmer"]: float(r["n"]) for r in feature_sums(probes, 2, "GC", "GA", 2).collect()}
+    sums = [found.get(w, 0.0) for w in words]
+    best = fit.fit_background(every, sums, reads, epsilon=1e-9, steps=60, k=2, left="GC", right="GA")
+    z = evaluate(every, objectives.LogLinear(2, "GC", "GA"), [best.theta])[0]
+    return _rows(spark, [(w, round(x / reads, 4), round(float(m), 4)) for w, x, m in zip(words, sums, z.grad / z.loss, strict=True) if x], "kmer string, observed double, fitted double")
+
+
 NS = -1.0
 AFFINITY = f"""score AS (SELECT seq, n, exp({sql_background("seq")}) AS p0, {sql_probe_score("seq", X.NARROW, nonspecific=NS)} AS s FROM probes),
     every AS (SELECT seq, exp({sql_background("seq")}) AS p0, {sql_probe_score("seq", X.NARROW, nonspecific=NS)} AS s FROM universe),
@@ -301,12 +338,37 @@ def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j16_mode_weights")
 def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scale per mode with each mode's probe sums made once."""
+    return _summary(spark, "mode weights", fit.fit_mode_weights(*_mode_sums(spark, sf_dir), steps=5))
+
+
+def _mode_sums(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, np.ndarray]:
+    """Each mode's score of every probe, and their sums over the universe."""
     modes = [X.NARROW, X.WIDE]
     kappas = F.array(*[array_sum(window_scores("seq", m)) for m in modes])
     probes = written(X.probes(spark, sf_dir).select("n", kappas.alias("kappas")), "kappas")
     every = affinity.universe(spark, X.PROBE_LENGTH).select(kappas.alias("k"))
     z = every.agg(*[F.sum(F.col("k")[i]).alias(f"z{i}") for i in range(len(modes))]).first()
-    return _summary(spark, "mode weights", fit.fit_mode_weights(probes, np.array([float(v) for v in z]), steps=5))
+    return probes, np.array([float(v) for v in z])
+
+
+#: The second mode's scale by halving an interval: the loss is convex in it.
+SCALES = f"""p AS (SELECT n, {sql_probe_score("seq", X.NARROW)} AS a, {sql_probe_score("seq", X.WIDE)} AS b FROM probes),
+    z AS (SELECT sum({sql_probe_score("seq", X.NARROW)}) AS a, sum({sql_probe_score("seq", X.WIDE)}) AS b FROM universe),
+    c AS (SELECT a, b, sum(n) AS n FROM p GROUP BY a, b), t AS (SELECT sum(n) AS n FROM p),
+    s(i, low, high) AS (SELECT 0, -20.0::DOUBLE, 20.0::DOUBLE UNION ALL
+        SELECT any_value(s.i) + 1, CASE WHEN any_value(z.b * exp((low + high) / 2) / (z.a + z.b * exp((low + high) / 2))) < sum(c.n * c.b * exp((low + high) / 2) / (c.a + c.b * exp((low + high) / 2))) / any_value(t.n) THEN any_value((low + high) / 2) ELSE any_value(low) END,
+               CASE WHEN any_value(z.b * exp((low + high) / 2) / (z.a + z.b * exp((low + high) / 2))) < sum(c.n * c.b * exp((low + high) / 2) / (c.a + c.b * exp((low + high) / 2))) / any_value(t.n) THEN any_value(high) ELSE any_value((low + high) / 2) END
+        FROM s, c, z, t WHERE s.i < 60 GROUP BY s.i),
+    f AS (SELECT low AS x FROM s WHERE i = 60)
+    SELECT round(x, 3) AS scale, round((SELECT ln(a + b * exp(x)) FROM z) - (SELECT sum(n * ln(a + b * exp(x))) FROM c) / (SELECT n FROM t), 6) AS loss FROM f"""
+
+
+@query("j16_mode_scales", with_tables("probes universe", SCALES).replace("WITH ", "WITH RECURSIVE ", 1))
+def j16_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second mode's scale beside the first at the least loss, from each mode's probe sums."""
+    probes, z = _mode_sums(spark, sf_dir)
+    found = fit.fit_mode_weights(probes, z, steps=60, epsilon=1e-9)
+    return _rows(spark, [(round(float(found.theta[1]), 3), round(found.loss, 6))], "scale double, loss double")
 
 
 FOLDS = BASE_SUMS.replace("{group}", f"CAST({slot_sql(sql_keyed('code'), 3)} AS INTEGER)") + f""", f AS (SELECT DISTINCT part AS fold FROM r),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,18 +28,108 @@ def read_fastq(spark: SparkSession, path: str, run: str = "run", partitions: int
 
 
 def read_fasta(spark: SparkSession, path: str, k: int, chunk: int = 1_000_000, keep_case: bool = False) -> DataFrame:
-    """``chrom, pos_start, seq``: every contig of the files, in chunks that overlap by ``k - 1`` bases.
-
-    A line that starts with ``>`` is a contig's header and its first word the name. Files are cut
-    at headers, so one with many contigs is many rows and splits. Without ``keep_case`` letters
-    other than ACGT are skipped after upper-casing, as for counting; with it the sequence stays as
-    it is, N and lower case included, as for scanning.
+    """``chrom, pos_start, seq``: every contig of the files, in pieces whose windows of ``k`` bases are each window of it once.
+
+    A line that starts with ``>`` is a contig's header and its first word the name; lines before
+    the first header belong to none. Files are scanned line by line and cut wherever their splits
+    end, so one chromosome is many tasks: a piece holds the window starts of up to ``chunk``
+    bases, ends where its split does, and takes its last ``k - 1`` bases from the splits behind
+    it. One small row a split says which contig it begins in, at which base, and what follows.
+    Without ``keep_case`` letters other than ACGT are skipped after upper-casing, as for
+    counting; with it the sequence stays as it is, N and lower case included, as for scanning.
     """
-    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
-    header = F.regexp_replace(F.substring_index("value", "\n", 1), r"\r$", "")
-    body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", "")
-    contigs = records.select(F.element_at(F.split(header, r"\s+"), 1).alias("chrom"), (body if keep_case else skip_invalid(body)).alias("seq"))
-    return chunked(contigs, "seq", k, chunk)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    found = lines.mapInPandas(_scanner(k, chunk, keep_case), "_file string, _start long, segment int, name string, at long, seq string, open boolean, summary boolean")
+    pieces, splits = found.where("not summary").drop("summary"), found.where("summary")
+    begins = splits.groupBy("_file").applyInPandas(_resolver(k), "_file string, _start long, before string, offset long, halo string, follows boolean")  # one row a split
+    joined = pieces.join(begins, ["_file", "_start"])
+    first = F.col("segment") == 0
+    seq = F.concat("seq", F.when(F.col("open"), F.col("halo")).otherwise(""))
+    made = joined.select(
+        F.when(first, F.col("before")).otherwise(F.col("name")).alias("chrom"), (F.col("at") + F.when(first, F.col("offset")).otherwise(0)).alias("pos_start"), seq.alias("seq"),
+        ((F.col("seq") == "") & (first | F.col("open") & F.col("follows"))).alias("_elsewhere"),  # an empty end whose contig has its row in another split
+    )
+    whole = (F.length("seq") >= k) | (F.col("pos_start") == 0)  # a contig shorter than a window is one piece
+    return made.where(F.col("chrom").isNotNull() & ~F.col("_elsewhere") & whole).drop("_elsewhere")
+
+
+def _scanner(k: int, chunk: int, keep_case: bool):
+    """Pieces of the lines of each split, in file order, and a last row for the split: its segments (those before its first header are number 0), the
+    name of the last one, its bases, and the first ``k - 1`` bases of segment 0 with the number of all of them."""
+    other = {i: None for i in range(128) if chr(i) not in "ACGT"}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split, rows = None, []
+
+        def opened(file: str, start: int) -> dict:
+            return {"file": file, "start": start, "segment": 0, "name": None, "at": 0, "held": [], "size": 0, "lead": "", "first": 0}
+
+        def piece(s: dict, is_open: bool) -> None:
+            text = "".join(s["held"])
+            while len(text) >= chunk + k - 1 and len(text) > chunk:
+                rows.append((s["file"], s["start"], s["segment"], s["name"], s["at"], text[: chunk + k - 1], False, False))
+                text, s["at"] = text[chunk:], s["at"] + chunk
+            s["held"], s["size"] = [text], len(text)
+            if is_open is not None:
+                if s["segment"] == 0:
+                    s["first"] = s["at"] + len(text)
+                rows.append((s["file"], s["start"], s["segment"], s["name"], s["at"], text, is_open, False))
+
+        def closed(s: dict) -> None:
+            piece(s, True)
+            bases = s["at"] + s["size"]
+            rows.append((s["file"], s["start"], s["segment"], s["name"], bases, f"{s['first']}:{s['lead']}", False, True))
+
+        def taken() -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["_file", "_start", "segment", "name", "at", "seq", "open", "summary"])
+            rows.clear()
+            return out
+
+        for frame in frames:
+            for value, file, start in zip(frame["value"], frame["_file"], frame["_start"], strict=True):
+                if split is None or (split["file"], split["start"]) != (file, start):
+                    if split is not None:
+                        closed(split)
+                    split = opened(file, start)
+                if value.startswith(">"):
+                    piece(split, False)
+                    split |= {"segment": split["segment"] + 1, "name": (value[1:].split() or [""])[0], "at": 0, "held": [], "size": 0}
+                    continue
+                bases = "".join(value.split()) if keep_case else value.upper().translate(other)
+                if not keep_case and not bases.isascii():
+                    bases = "".join(b for b in bases if b in "ACGT")
+                if split["segment"] == 0 and len(split["lead"]) < k - 1:
+                    split["lead"] = (split["lead"] + bases)[: k - 1]
+                split["held"].append(bases)
+                split["size"] += len(bases)
+                if split["size"] >= 2 * chunk + k:
+                    piece(split, None)
+            yield taken()
+        if split is not None:
+            closed(split)
+            yield taken()
+
+    return run
+
+
+def _resolver(k: int):
+    """What each split of a file begins in: the contig's name, the bases of it before the split, the ``k - 1`` bases behind the split, whether any follow."""
+
+    def run(splits: pd.DataFrame) -> pd.DataFrame:
+        rows = splits.sort_values("_start").to_dict("records")
+        name, offset = None, 0
+        for r in rows:
+            first, lead = r["seq"].split(":", 1)
+            r |= {"before": name, "offset": offset, "first": int(first), "lead": lead}
+            name, offset = (r["name"], r["at"]) if r["segment"] else (name, offset + r["first"])
+        halo, follows = "", False
+        for r in reversed(rows):
+            r["halo"], r["follows"] = halo, follows
+            own = r["first"] > 0
+            halo, follows = (r["lead"], own) if r["segment"] else ((r["lead"] + halo)[: k - 1], own or follows)
+        return pd.DataFrame(rows)[["_file", "_start", "before", "offset", "halo", "follows"]]
+
+    return run
 
 
 def skip_invalid(seq):

@@ -78,6 +78,60 @@ def test_stochastic_fits_approach_the_optimum(problem, optimum):
         assert optimum.loss <= found.loss + 1e-9 < start
 
 
+class Local(FiniteSum):
+    """The problem over arrays, with the batches that ids and steps give on Spark."""
+
+    def __init__(self, problem):
+        rows = problem.rows.collect()
+        self.x, self.y, self.ids, self.ridge = np.stack([r.features for r in rows]), np.array([r.y for r in rows]), np.array([r.id for r in rows]), problem.ridge
+
+    def _at(self, on, thetas):
+        out = []
+        for t in thetas:
+            slack = np.maximum(0, 1 - self.y[on] * (self.x[on] @ t))
+            out.append((float((slack**2).mean() / 2 + self.ridge * t @ t / 2), -(slack * self.y[on]) @ self.x[on] / on.sum() + self.ridge * t) if on.any() else (0.0, self.ridge * t))
+        return out
+
+    def full(self, thetas):
+        return self._at(np.full(len(self.y), True), thetas)
+
+    def batch(self, step, share, thetas):
+        return self._at(keyed_numbers(self.ids, step + 1) < below(share), thetas)
+
+
+@pytest.fixture(scope="module")
+def local(problem):
+    return Local(problem)
+
+
+def test_batches_over_arrays_are_those_on_spark(problem, local):
+    x = np.sin(np.arange(64)) / 5
+    for step in (0, 7):
+        (a, ga), (b, gb) = problem.batch(step, 0.3, [x])[0], local.batch(step, 0.3, [x])[0]
+        assert a == pytest.approx(b) and np.allclose(ga, gb)
+
+
+def test_stochastic_fits_reach_the_optimum(local, optimum):
+    """Within a hundredth of L-BFGS's loss; the variance-reduced ones down to its gradient norm, with the passes that 20 and 200 rows a batch take."""
+    start = np.zeros(64)
+    for found in (fit.sgd(local, start, rate=20.0, share=0.2, epochs=60), fit.sgd(local, start, rate=0.2, share=0.2, epochs=40, adam=True)):
+        assert found.loss < 1.01 * optimum.loss
+    for found, passes in (
+        (fit.svrg(local, start, rate=5.0, share=0.04, epochs=60, per_epoch=50), 60),
+        (fit.svrg(local, start, rate=10.0, share=0.4, epochs=60, per_epoch=20), 80),
+        (fit.stochastic_lbfgs(local, start, rate=0.1, share=0.04, hessian_share=0.4, epochs=200, per_epoch=50, period=10, memory=10), 80),
+        (fit.stochastic_lbfgs(local, start, rate=0.5, share=0.4, hessian_share=0.4, epochs=100, per_epoch=10, period=5, memory=10), 80),
+    ):
+        assert fit.relative_norm(local.full([found.theta])[0][1], found.theta) <= 1.0001e-5 and found.loss < 1.0001 * optimum.loss and found.passes < passes
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_bound_snapshots_reach_the_optimum(local, optimum, k):
+    """The loop over arrays that the Spark fits are compared with, run to the end."""
+    w = _plain_ksvrg(local.x, local.y, local.ids, local.ridge, 5.0, 0.2, 60, 2 if k else 5, k)
+    assert local.full([w])[0][0] < 1.01 * optimum.loss
+
+
 def _plain_ksvrg(x, y, ids, ridge, rate, share, sub_epochs, per_epoch, k):
     """k-SVRG over arrays, with a snapshot kept for every row."""
 

@@ -111,6 +111,18 @@ def test_ranges_don_t_change_windows(spark, per):
     assert windowed.back_fill(df.limit(0), ["s"], "t", "v").count() == 0
 
 
+def test_ranges_hold_a_share_of_the_rows_whatever_the_outliers(spark):
+    """One far outlier, a dense cluster, many nulls: no range but that of nulls holds more than about its share."""
+    places = F.when(F.col("id") == 0, -1e12).when(F.col("id") < 5000, F.col("id") / 1e6).when(F.col("id") < 5100, None).otherwise(F.col("id").cast("double"))
+    rows = spark.range(20_000).withColumn("at", places)
+    sizes = {r["_range"]: r["count"] for r in windowed._ranges(rows, "at", 500).groupBy("_range").count().collect()}
+    assert sizes.pop(-1) == 100 and len(sizes) > 30 and max(sizes.values()) < 1000
+    spread = windowed._ranges(rows, "at", 500).where("_range >= 0").groupBy("_range").agg(F.min("at").alias("low"), F.max("at").alias("high")).orderBy("_range").collect()
+    assert all(a.high <= b.low for a, b in zip(spread, spread[1:], strict=False))
+    found = windowed.moving_average(rows.withColumn("s", F.lit("x")).withColumn("v", F.col("id").cast("double")), ["s"], "at", "v", 3, 500).where("id = 10000").first()
+    assert found.average == 10_000
+
+
 def test_zero_weights_give_closed_form_partition(spark):
     flat = affinity.Mode(3, (0.0,) * 12)
     z = affinity.partition_function(affinity.universe(spark, 5), F.lit(1.0), affinity.probe_score("seq", [flat])).first()[0]

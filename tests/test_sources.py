@@ -43,6 +43,52 @@ def test_fasta_with_many_contigs(spark, tmp_path):
     assert rows == {"c1": "ACGTAC", "c2": "TTTT", "c3": "GGC"}
 
 
+def plain_windows(text: str, k: int, keep_case: bool) -> dict:
+    """Every contig's windows by name and place."""
+    out, name, seqs = {}, None, {}
+    for line in text.splitlines():
+        if line.startswith(">"):
+            name = line[1:].split()[0]
+            seqs[name] = ""
+        elif name is not None:
+            seqs[name] += "".join(line.split()) if keep_case else "".join(b for b in line.upper() if b in "ACGT")
+    for name, seq in seqs.items():
+        out |= {(name, i): seq[i : i + k] for i in range(len(seq) - k + 1)}
+    return out
+
+
+@pytest.mark.parametrize("keep_case", [False, True])
+@pytest.mark.parametrize(("k", "chunk", "width"), [(6, 100, 50), (1, 64, 50), (25, 7, 11), (40, 1000, 9)])
+def test_one_contig_in_many_splits(spark, tmp_path, k, chunk, width, keep_case):
+    """Splits of a few lines: contigs that span many, end at a split's end, are empty or shorter than a window."""
+    import random
+
+    rng = random.Random(k)
+
+    def lines(n):
+        seq = "".join(rng.choice("ACGTacgtNn") for _ in range(n))
+        return "".join(seq[i : i + width] + "\n" for i in range(0, n, width))
+
+    text = "ACGTACGT\n" + "".join(f">c{i} more words\n{lines(n)}" for i, n in enumerate((9000, 0, 3, 700, 1, 0, 2500, 12, 30)))
+    (tmp_path / "one.fa").write_text(text)
+    (tmp_path / "two.fa").write_text(">only\n" + lines(1500))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    spark.conf.set("spark.sql.files.openCostInBytes", "256")
+    try:
+        pieces = readers.read_fasta(spark, str(tmp_path), k, chunk, keep_case)
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        rows = pieces.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = plain_windows(text, k, keep_case) | plain_windows((tmp_path / "two.fa").read_text(), k, keep_case)
+    found = [((r.chrom, r.pos_start + i), r.seq[i : i + k]) for r in rows for i in range(len(r.seq) - k + 1)]
+    assert len(found) == len(want) and dict(found) == want
+    assert max(len(r.seq) for r in rows) <= chunk + k - 1 + max(chunk, width + k)
+    assert {r.chrom for r in rows} == {"only", *(f"c{i}" for i in range(9))}
+    assert all(len([r for r in rows if r.chrom == c]) == 1 for c in ("c1", "c5"))
+
+
 def test_fastq_in_many_splits_and_files(spark, tmp_path):
     import gzip
 
