@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import orderable, plain_text
+from tessera.llm.common import orderable, plain_text, repeated
 
 
 def text_classes(docs: DataFrame, id_col: str, text_col: str, content_hash: Callable[[Column], Column] = F.md5) -> tuple[DataFrame, DataFrame]:
@@ -41,10 +41,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the bytes in the grouping and by SHA-256 where rows look up their class.
     """
     rows, classes = text_classes(docs, id_col, text_col, content_hash)
-    found = rows.join(classes, ["_hash", "_sha"])
-    return found.select(
-        F.col("_id").alias(id_col), "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))).alias("_copy"), "_sha"
-    ).select(id_col, "keep_id", "group_size", (F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), F.col("_sha").alias("text_sha256"))
+    found = repeated(rows.join(classes, ["_hash", "_sha"]), "_rows", "_nth")
+    return found.select(F.col("_id").alias(id_col), "keep_id", "group_size", (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_nth") == 0)).alias("kept"), F.col("_sha").alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

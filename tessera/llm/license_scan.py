@@ -99,7 +99,12 @@ CLUES = (
     ("proprietary", "proprietary", r"proprietary\s+and\s+confidential"),
 )
 
-#: Sentences of licences' own texts and notices: label, keyword, pattern.
+#: What stands in a notice between a licence's name and its version.
+PUBLISHED = r"\s+as\s+published\s+by\s+the\s+free\s+software\s+foundation[,;:]?\s+either\s+version\s+"
+NAMED = rf"(?:gnu|the)\s+general\s+public\s+licen[sc]e{PUBLISHED}"
+BEGUN = r"this\s+program\s+is\s+free\s+software[;:]\s+you\s+can\s+redistribute(?:(?!lesser|library|affero)[^\x00]){0,300}?either\s+version\s+"
+
+#: Sentences of licences' own texts and notices: label, keyword, pattern. A version in a notice counts with the licence's name before it only.
 TEXTS = (
     ("mit", "hereby", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge"),
     ("mit", "substantial", r"(?:shall\s+be\s+included\s+in|included\s+in)\s+all\s+copies\s+or\s+substantial\s+portions\s+of\s+the\s+software"),
@@ -116,9 +121,12 @@ TEXTS = (
     ("apache-1.1", "foundation", r"this\s+product\s+includes\s+software\s+developed\s+by\s+the\s+apache\s+software\s+foundation"),
     ("gpl", "redistribute", r"this\s+program\s+is\s+free\s+software[;:]\s+you\s+can\s+redistribute\s+it\s+and/or\s+modify"),
     ("lgpl", "redistribute", r"this\s+library\s+is\s+free\s+software[;:]\s+you\s+can\s+redistribute\s+it\s+and/or\s+modify"),
-    ("gpl-2.0", "either", r"either\s+version\s+2\s+of\s+the\s+license"),
-    ("gpl-3.0", "either", r"either\s+version\s+3\s+of\s+the\s+license"),
-    ("lgpl-2.1", "either", r"either\s+version\s+2\.1\s+of\s+the\s+license"),
+    ("gpl-2.0", "either", rf"{NAMED}2\s+of\s+the\s+licen[sc]e"),
+    ("gpl-3.0", "either", rf"{NAMED}3\s+of\s+the\s+licen[sc]e"),
+    ("lgpl-2.0", "published", rf"library\s+general\s+public\s+licen[sc]e{PUBLISHED}2\s+of\s+the\s+licen[sc]e"),
+    ("lgpl-2.1", "published", rf"lesser\s+general\s+public\s+licen[sc]e{PUBLISHED}2\.1\s+of\s+the\s+licen[sc]e"),
+    ("lgpl-3.0", "published", rf"lesser\s+general\s+public\s+licen[sc]e{PUBLISHED}3\s+of\s+the\s+licen[sc]e"),
+    ("agpl-3.0", "published", rf"affero\s+general\s+public\s+licen[sc]e{PUBLISHED}3\s+of\s+the\s+licen[sc]e"),
     ("gpl", "hope", r"distributed\s+in\s+the\s+hope\s+that\s+it\s+will\s+be\s+useful,?\s+but\s+without\s+any\s+warranty"),
     ("agpl-3.0", "remotely", r"all\s+users\s+interacting\s+with\s+it\s+remotely\s+through\s+a\s+computer\s+network"),
     ("gfdl", "invariant", r"with\s+no\s+invariant\s+sections"),
@@ -137,9 +145,15 @@ TEXTS = (
     ("artistic", "package", r"the\s+intent\s+of\s+this\s+document\s+is\s+to\s+state\s+the\s+conditions\s+under\s+which\s+a\s+package"),
 )
 
+#: Notices that tell a version by how they begin: label, keyword, pattern. They are weaker than sentences, which stay beside them.
+NOTICES = (
+    ("gpl-2.0", "either", rf"{BEGUN}2\s+of\s+the\s+licen[sc]e"),
+    ("gpl-3.0", "either", rf"{BEGUN}3\s+of\s+the\s+licen[sc]e"),
+)
+
 #: Texts with none of these are not matched at all; each rule's matches hold one of them. Patterns take any white space
 #: between words, so gates and keywords are single words, or name each character that may stand between.
-GATES = ("licen", "spdx", "rights", "creative", "cc0", *(f"cc{c}by" for c in " \t\n\x0b\f\r-"), "domain", "proprietary", "opensource.org", "apache.org", "gnu.org", "mozilla.org", "eclipse.org", "joinup.ec", "boost.org", "libpng.org", "wtfpl", "postgresql.org", "mariadb.com", "mongodb.com", "scripts.sil.org", "spdx.org", "opendatacommons.org", "attribution", "hereby", "substantial", "redistribut", "endorse", "advertising", "contributors", "distribute", "applicable", "compliance", "apache", "either", "hope", "remotely", "invariant", "mozilla", "accompanying", "subject", "plainly", "origin", "unencumbered", "verbatim", "waived", "openssl", "font", "package")
+GATES = ("licen", "spdx", "rights", "creative", "cc0", *(f"cc{c}by" for c in " \t\n\x0b\f\r-"), "domain", "proprietary", "opensource.org", "apache.org", "gnu.org", "mozilla.org", "eclipse.org", "joinup.ec", "boost.org", "libpng.org", "wtfpl", "postgresql.org", "mariadb.com", "mongodb.com", "scripts.sil.org", "spdx.org", "opendatacommons.org", "attribution", "hereby", "substantial", "redistribut", "endorse", "advertising", "contributors", "distribute", "applicable", "compliance", "apache", "hope", "remotely", "invariant", "mozilla", "accompanying", "subject", "plainly", "origin", "unencumbered", "verbatim", "waived", "openssl", "font", "package")
 
 #: Score of the best detection by its priority.
 SCORES = {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.8, 5: 0.4}
@@ -159,6 +173,7 @@ def rules() -> list[Rule]:
             Rule(label, 4, literal, rf"\b{name}\b"),
         ]
     found += [Rule(label, 3, keyword, rf"\b{pattern}\b") for label, keyword, pattern in TEXTS]
+    found += [Rule(label, 4, keyword, rf"\b{pattern}\b") for label, keyword, pattern in NOTICES]
     return found + [Rule(label, 5, keyword, rf"\b{pattern}\b" if not pattern.startswith(r"\b") else pattern) for label, keyword, pattern in CLUES]
 
 

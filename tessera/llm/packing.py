@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,11 +50,24 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, per_source: int)
     return placed
 
 
-def _pack_block(capacity: int, per_source: int):
+def best_fit_as_spread_as_full(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int]]:
+    """:func:`best_fit` with the smallest limit per source, of the even share of its largest source and its doubles, that needs at most a tenth more bins than the words do, or as few as no limit."""
+    needed = max(1, math.ceil(sum(i[0] for i in items) / capacity))
+    most = max(Counter(i[1] for i in items).values(), default=1)
+    limit = max(1, math.ceil(max(Counter(i[1] for i in items if i[0]).values(), default=1) / needed))
+    while True:
+        placed = best_fit(items, capacity, min(limit, most))
+        if limit >= most or 1 + max((b for b, _ in placed), default=0) <= 1.1 * needed:
+            return placed
+        limit *= 2
+
+
+def _pack_block(capacity: int, per_source: int | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_rest", "_key", "_cluster"], ascending=[False, True, True], kind="stable")
         rest = pdf["_rest"].tolist()
-        placed = best_fit(list(zip(rest, pdf["_source"].tolist(), pdf["_cluster"].tolist(), strict=True)), capacity, per_source)
+        items = list(zip(rest, pdf["_source"].tolist(), pdf["_cluster"].tolist(), strict=True))
+        placed = best_fit_as_spread_as_full(items, capacity) if per_source is None else best_fit(items, capacity, per_source)
         block, used = int(pdf["_block"].iloc[0]) << 32, 1 + max((b for b, _ in placed), default=-1)
         out = []
         for own, size, r, (b, offset) in zip(pdf["_id"], pdf["_size"].tolist(), rest, placed, strict=True):
@@ -75,7 +89,7 @@ def pack_documents(
     source_col: str = "source",
     cluster_col: str | None = None,
     capacity: int = 2048,
-    per_source: int = 1,
+    per_source: int | None = 1,
     seed: int = 42,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
@@ -83,7 +97,10 @@ def pack_documents(
 
     Documents are counted in words ``[^\\x20\\x09-\\x0D]+`` and cut into pieces of ``capacity``
     words, each a bin of its own, and a rest. Rests are packed best-fit in decreasing size: a
-    bin holds each duplicate cluster once and each source ``per_source`` times at most.
+    bin holds each duplicate cluster once and each source ``per_source`` times at most; with None,
+    by the smallest limit that lets a block do with a tenth more bins than its words need, so a
+    table of one source fills its bins too. A search that finds its
+    source in every bin walks all of a block's open bins, at most ``rows_per_block`` of them.
     ``first_word`` is where the piece starts in its document, ``offset`` where it lies in its
     bin. Clusters are ``cluster_col``'s values or, without one, equal texts.
 

@@ -73,3 +73,25 @@ def test_repeated_rows_and_empty_table(spark):
     docs = documents(spark, ["MIT License"] * 3, ids=[1, 1, None])
     assert [(r.labels, r.n_base) for r in license_scan(docs).collect()] == [("mit", 1)] * 3
     assert license_scan(docs.limit(0)).count() == 0
+
+
+NOTICE = "This {what} is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the\nFree Software Foundation{mark} either version {version} of the License, or (at your option) any later version."
+
+
+NAMES = (
+    ("gpl-2.0", "GNU General Public License", "2"),
+    ("gpl-3.0", "GNU General  Public License", "3"),
+    ("lgpl-2.0", "GNU Library General Public License", "2"),
+    ("lgpl-2.1", "GNU Lesser General Public License", "2.1"),
+    ("lgpl-3.0", "GNU Lesser\n General Public License", "3"),
+    ("agpl-3.0", "GNU Affero General Public License", "3"),
+)
+
+
+def test_a_notice_has_the_version_of_the_licence_it_names(spark):
+    asked = [(label, NOTICE.format(what="program", name=name, mark=mark, version=version)) for label, name, version in NAMES for mark in (",", ";")]
+    plate = "Renew either version 2 of the license plate, or either version 3 of the License."  # says nothing
+    rows = {r.doc_id: r for r in license_scan(documents(spark, [t for _, t in asked] + [plate])).collect()}
+    for i, (label, _) in enumerate(asked):
+        assert {x for x in rows[i].labels.split(",") if "-" in x} == {label} and rows[i].score >= 0.9
+    assert not {x for x in rows[len(asked)].labels.split(",") if "gpl" in x}

@@ -66,6 +66,30 @@ def test_bins_keep_their_limits(spark):
     assert {r.doc_id for r in rows} == set(range(len(texts)))
 
 
+def test_one_source_fills_its_bins(spark):
+    """Of 3,000 documents of one source: all words in at most a tenth more bins than they need, each text once a bin."""
+    rng = random.Random(9)
+    texts = ["w " * rng.randint(20, 200) + str(i) for i in range(3000)]
+    for source in ("s", None):
+        rows = pack_documents(documents(spark, texts, [source] * 3000), per_source=None).collect()
+        bins = defaultdict(int)
+        for r in rows:
+            bins[r.bin] += r.size
+        assert max(bins.values()) <= 2048 and sum(bins.values()) == sum(len(t.split()) for t in texts)
+        assert sum(bins.values()) > 0.9 * 2048 * len(bins)
+
+
+def test_many_sources_stay_apart_without_a_limit_of_ones_own(spark):
+    """Where no source has more rests than all words need bins, a bin holds each source once."""
+    texts = ["w " * 30 + str(i) for i in range(400)]
+    sources = [f"s{i % 40}" for i in range(400)]
+    rows = pack_documents(documents(spark, texts, sources), per_source=None, capacity=128, rows_per_block=400).collect()
+    held = defaultdict(list)
+    for r in rows:
+        held[r.bin].append(sources[r.doc_id])
+    assert all(len(set(s)) == len(s) for s in held.values()) and len(held) < 150
+
+
 def test_packed_texts_hold_all_words(spark):
     texts = ["a b c d e", "f g", "h", "", "i j k"]
     docs = documents(spark, texts, list("vwxyz"))
