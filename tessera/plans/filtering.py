@@ -80,13 +80,14 @@ def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, schema="seq string, n bigint")
 
 
-@query("a6_labelled_csv", with_tables("examples", "SELECT count(*) AS rows, sum(y) AS labels, CAST(round(sum(features[1]), 4) AS DOUBLE) AS first_feature FROM examples"))
+@query("a6_labelled_csv", with_tables("examples", "SELECT count(*) AS rows, sum(y) AS labels, CAST(round(sum(features[1]), 4) AS DOUBLE) AS first_feature, round(sum(list_sum(list_transform(range(1, 65), lambda j: j * features[j]))), 4) AS every_feature FROM examples"))
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "examples")
     examples = X.examples(spark, sf_dir)
     examples.select(*[F.col("features")[i].alias(f"f{i}") for i in range(64)], "y").write.csv(path, header=True)
     back = readers.read_labelled_csv(spark, path)
-    return back.agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("labels"), F.round(F.sum(F.col("features")[0]), 4).alias("first_feature"))
+    placed = F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda t, x: t + x)
+    return back.agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("labels"), F.round(F.sum(F.col("features")[0]), 4).alias("first_feature"), F.round(F.sum(placed), 4).alias("every_feature"))
 
 
 @query("a7_word_list", with_tables("reads", "SELECT seq, count(*) AS n FROM reads WHERE regexp_full_match(seq, '[ACGT]+') GROUP BY seq"))

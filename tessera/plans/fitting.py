@@ -102,7 +102,7 @@ DESCENT = f"""e AS (SELECT features, y AS label FROM examples), c AS (SELECT cou
             SELECT i, j, any_value(theta[j]) AS old, any_value(ahead[j]) - 10 * (sum(-slack * features[j]) / any_value(n) + {RIDGE}::DOUBLE * any_value(ahead[j])) AS new
             FROM (SELECT i, theta, ahead, features, n, greatest(0, 1 - label * list_dot_product(features, ahead)) * label AS slack FROM it, e, c WHERE i < 300), (SELECT unnest(range(1, 65)) AS j) GROUP BY i, j) GROUP BY i),
     best AS (SELECT theta FROM it WHERE i = 300)
-    SELECT CAST(j AS INTEGER) AS entry, round(theta[j], 4) AS value FROM best, (SELECT unnest(range(1, 65)) AS j)
+    SELECT CAST(j AS INTEGER) AS entry, round(theta[j], 3) AS value FROM best, (SELECT unnest(range(1, 65)) AS j)
     UNION ALL SELECT 0, round(avg(pow(greatest(0, 1 - label * list_dot_product(features, theta)), 2)) / 2 + {RIDGE}::DOUBLE * any_value(list_dot_product(theta, theta)) / 2, 7) FROM e, best"""
 
 
@@ -110,7 +110,7 @@ DESCENT = f"""e AS (SELECT features, y AS label FROM examples), c AS (SELECT cou
 def j4_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least loss (entry 0) and the vector that has it, by L-BFGS until no step lowers the loss."""
     found = fit.lbfgs(problem(spark, sf_dir).full, np.zeros(64), epsilon=1e-9, steps=80)
-    return _rows(spark, [(i, round(float(v), 4 if i else 7)) for i, v in enumerate([found.loss, *found.theta])], "entry int, value double")
+    return _rows(spark, [(i, round(float(v), 3 if i else 7)) for i, v in enumerate([found.loss, *found.theta])], "entry int, value double")
 
 
 @query("j5_sgd")
@@ -177,9 +177,11 @@ def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [("train", round(train.loss, 6)), ("test", round(test, 6)), ("all", round(final.loss, 6))], "part string, loss double")
 
 
+#: Added before rounding, as means over round numbers of reads lie on the borders of their digits.
+OFF = 1.23e-6
 #: At the best weights the background's mean number of each pair of bases, flanks included, is that of the reads.
 PAIRS = f"""w AS (SELECT n, unnest({sql_windows("'GC' || seq || 'GA'", 2)}) AS kmer FROM probes), t AS (SELECT sum(n) AS n FROM probes)
-    SELECT kmer, round(sum(w.n) / any_value(t.n), 4) AS observed, round(sum(w.n) / any_value(t.n), 4) AS fitted FROM w, t GROUP BY kmer"""
+    SELECT kmer, round(sum(w.n) / any_value(t.n) + {OFF}::DOUBLE, 4) AS observed, round(sum(w.n) / any_value(t.n) + {OFF}::DOUBLE, 4) AS fitted FROM w, t GROUP BY kmer"""
 
 
 @query("j12_pair_background", with_tables("probes", PAIRS))
@@ -192,7 +194,7 @@ def j12_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = [found.get(w, 0.0) for w in words]
     best = fit.fit_background(every, sums, reads, epsilon=1e-9, steps=60, k=2, left="GC", right="GA")
     z = evaluate(every, objectives.LogLinear(2, "GC", "GA"), [best.theta])[0]
-    return _rows(spark, [(w, round(x / reads, 4), round(float(m), 4)) for w, x, m in zip(words, sums, z.grad / z.loss, strict=True) if x], "kmer string, observed double, fitted double")
+    return _rows(spark, [(w, round(x / reads + OFF, 4), round(float(m) + OFF, 4)) for w, x, m in zip(words, sums, z.grad / z.loss, strict=True) if x], "kmer string, observed double, fitted double")
 
 
 NS = -1.0
@@ -292,6 +294,27 @@ def j13_di(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [(round(float(loss), 6),)], "loss double")
 
 
+#: The same likelihood with its gradient: bases of windows, then pairs of neighbours, then the non-specific weight.
+PAIR_AFFINITY = f"""score AS (SELECT seq, n, exp({sql_background("seq")}) AS p0, {PAIRED_SCORE} AS s FROM probes), every AS (SELECT seq, exp({sql_background("seq")}) AS p0, {PAIRED_SCORE} AS s FROM universe),
+    z AS (SELECT sum(p0 * s) AS z FROM every), t AS (SELECT sum(n) AS n FROM probes),
+    rows AS (SELECT '{DI_LEFT}' || seq || '{DI_RIGHT}' AS seq, -n / s AS w, 'own' AS part FROM score UNION ALL SELECT '{DI_LEFT}' || seq || '{DI_RIGHT}', p0, 'every' FROM every),
+    words AS (SELECT w, part, unnest(list_concat({sql_windows("seq", 3)}, list_transform({sql_windows("seq", 3)}, lambda x: {rc("x")}))) AS x FROM rows),
+    kappa AS (SELECT part, x, sum(w) AS w, exp({sql_window_log("x", X.PAIRED)}) AS k FROM words GROUP BY part, x),
+    g AS (SELECT part, p * 4 + strpos('ACGT', substr(x, p + 1, 1)) AS entry, sum(w * k) AS g FROM kappa, (SELECT unnest(range(0, 3)) AS p) GROUP BY 1, 2
+          UNION ALL SELECT part, 12 + p * 16 + 4 * (strpos('ACGT', substr(x, p + 1, 1)) - 1) + strpos('ACGT', substr(x, p + 2, 1)), sum(w * k) FROM kappa, (SELECT unnest(range(0, 2)) AS p) GROUP BY 1, 2
+          UNION ALL SELECT part, 45, sum(w) * exp({DI_NS}::DOUBLE) FROM rows GROUP BY part)
+    SELECT 0 AS entry, round(ln(z) + (SELECT sum(-n * ln(p0 * s)) FROM score) / t.n, 6) AS value FROM z, t
+    UNION ALL SELECT CAST(entry AS INTEGER), round(sum(CASE part WHEN 'own' THEN g / t.n ELSE g / z END), 6) FROM g, z, t GROUP BY 1"""
+
+
+@query("j13_pair_gradient", with_tables("probes universe", PAIR_AFFINITY))
+def j13_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and all gradient entries with weights of neighbouring pairs, windows reaching two bases into the flanks."""
+    probes, every = table_and_universe(spark, sf_dir)
+    loss, grad = objectives.affinity_likelihood(probes, every, AffinityModel((3,), True, DI_LEFT, DI_RIGHT), [np.array([*X.MONO, *X.DI, DI_NS])])[0]
+    return _rows(spark, [(i, round(float(v), 6)) for i, v in enumerate([loss, *grad])], "entry int, value double")
+
+
 @query("j14_candidates", with_tables("examples", "c AS (SELECT unnest(range(0, 5)) AS c), s AS (SELECT c, greatest(0, 1 - y * list_sum(list_transform(range(1, 65), lambda j: features[j] * (CASE WHEN j % 2 = 1 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END) * c))) AS m FROM examples, c) SELECT CAST(c AS INTEGER) AS candidate, round(avg(m * m) / 2 + 0.001 * 64 * 0.01 * c * c / 2, 7) AS loss FROM s GROUP BY c"))
 def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five multiples of one vector in one pass."""
