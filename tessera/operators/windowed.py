@@ -73,7 +73,8 @@ def back_fill(rows: DataFrame, series: list[str], at: str, value: str, rows_per_
     """Adds ``filled``: the next value that is not null, from the row itself on, by a numeric ``at``.
 
     Series are cut into ranges of ``at``; a range that ends without a value takes the first one of
-    the ranges after it, from an aggregate of one row a range.
+    the ranges after it, from an aggregate of one row a range. Ranges are read backwards, as a
+    frame that ends at the current row is carried on, where one that starts there is made anew a row.
     """
     ranged = _ranges(rows, at, rows_per_range)
     first = F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(F.col(at)))).alias("_first")
@@ -83,8 +84,8 @@ def back_fill(rows: DataFrame, series: list[str], at: str, value: str, rows_per_
     same = F.col("_range") == F.col("_r")
     for i, s in enumerate(series):
         same = same & F.col(s).eqNullSafe(F.col(f"_s{i}"))
-    frame = Window.partitionBy(*series, "_range").orderBy(at).rowsBetween(0, Window.unboundedFollowing)
-    own = ranged.withColumn("_here", F.first(value, ignorenulls=True).over(frame))
+    frame = Window.partitionBy(*series, "_range").orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged.withColumn("_here", F.last(value, ignorenulls=True).over(frame))
     return own.join(heads, same).select(*rows.columns, F.coalesce("_here", "_later").alias("filled"))
 
 
