@@ -13,10 +13,11 @@ def demultiplex(reads: DataFrame, samples: DataFrame) -> DataFrame:
 
     ``samples(run, sample, var_len, left_barcode, right_barcode, ...)`` is configuration, a few
     rows, so one pass over the reads serves all samples: a hash join on run with the barcodes
-    as residual condition. Spark broadcasts the samples below its size threshold.
+    as residual condition. The samples are broadcast whatever the planner takes their size for,
+    as a run's reads would meet in one task otherwise.
     """
     s = samples.select("run", "sample", "var_len", "left_barcode", "right_barcode")
-    joined = reads.join(s, "run").where(barcode_match("seq", F.col("left_barcode"), F.col("right_barcode"), F.col("var_len")))
+    joined = reads.join(F.broadcast(s), "run").where(barcode_match("seq", F.col("left_barcode"), F.col("right_barcode"), F.col("var_len")))
     return joined.select("sample", "read_id", variable_region("seq", F.col("left_barcode"), F.col("var_len")).alias("region"))
 
 

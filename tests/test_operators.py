@@ -216,3 +216,19 @@ def test_back_fill_reads_each_value_once(spark):
     start = time.time()
     found = windowed.back_fill(df, ["s"], "t", "v").agg(F.count("filled").alias("n"), F.max("filled").alias("v"), F.count(F.lit(1)).alias("rows")).first()
     assert (found.n, found.v, found.rows) == (59_999, 1.5, 60_000) and time.time() - start < 20
+
+
+def test_reads_of_a_run_are_not_brought_to_one_task(spark):
+    """However large the planner takes the samples for, they come to the reads."""
+    from tessera.operators import joins
+
+    reads = spark.createDataFrame([(i, "run1", "TGGACGTACGTCCAGCTG") for i in range(4)], "read_id long, run string, seq string")
+    samples = spark.createDataFrame([("run1", "s", 8, "TGG", "CCAGCTG")], "run string, sample string, var_len int, left_barcode string, right_barcode string").distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = joins.demultiplex(reads, samples)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(tuple(r) for r in found.collect()) == [("s", i, "ACGTACGT") for i in range(4)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
