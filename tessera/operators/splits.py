@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.draws import HALF, KEYS, binomial, keyed
+from tessera.sources.shared import written
 
 
 def union_probes(*tables: DataFrame) -> DataFrame:
@@ -27,10 +28,12 @@ def ranked(df: DataFrame, id_col: str, step: int = 0, rows_per_range: int = ROWS
     """Adds ``rank`` (from 0) in keyed order and the table's ``rows``.
 
     The order is cut into ranges of the key, as many as the table's size asks for; one aggregate
-    gives each range's offset and only rows of one range are sorted together.
+    gives each range's offset and only rows of one range are sorted together. Rows are written
+    with their keys once, so what makes them runs once.
     """
-    bits = math.ceil(math.log2(1 + df.count() // rows_per_range))
-    rows = df.withColumn("_key", keyed(id_col, step)).withColumn("_bucket", F.shiftright("_key", 2 * HALF - bits))
+    made = written(df.withColumn("_key", keyed(id_col, step)), "keyed")
+    bits = math.ceil(math.log2(1 + made.count() // rows_per_range))
+    rows = made.withColumn("_bucket", F.shiftright("_key", 2 * HALF - bits))
     sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # 2**bits rows
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("rows"))

@@ -232,3 +232,16 @@ def test_reads_of_a_run_are_not_brought_to_one_task(spark):
         assert sorted(tuple(r) for r in found.collect()) == [("s", i, "ACGTACGT") for i in range(4)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ranks_make_their_rows_once(spark):
+    """What makes the table runs once, whatever it costs."""
+    ran = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(i):
+        ran.add(1)
+        return i
+
+    df = spark.range(0, 500, 1, 2).select(seen.asNondeterministic()("id").alias("id"))
+    assert sorted(r["rank"] for r in splits.ranked(df, "id", rows_per_range=100).collect()) == list(range(500)) and ran.value == 500
