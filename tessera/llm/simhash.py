@@ -10,7 +10,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import shingle_dedup
 from tessera.llm.common import ROWS_PER_CELL, first_of_groups, plain_text, written
 from tessera.llm.components import connected_components
 
@@ -32,7 +31,11 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     if not words:
         return 0
     parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.array([xxhash.xxh64_intdigest(p, seed) for p in parts], dtype=np.uint64)
+    return majority(np.array([xxhash.xxh64_intdigest(p, seed) for p in parts], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of unsigned hashes: a bit is set if it is in over half of them."""
     seen = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _BYTE_PLACE).ravel(), minlength=2048).reshape(8, 256)
     over_half = (seen @ _BYTE_BITS).ravel() * 2 > len(hashes)
     return int(np.packbits(over_half, bitorder="little").view(np.int64)[0])
@@ -130,12 +133,14 @@ def drop_near_copies(
 ) -> DataFrame:
     """The rows of ``docs``, all their columns, that stand for their component: one each, that of the smallest id.
 
-    With a ``similarity``, texts link if the Jaccard similarity of their shingles reaches it, over
-    the signature of :mod:`tessera.llm.shingle_dedup`; else at ``most_bits`` bits of their
-    fingerprints. Null ids come after all others; of rows that share the smallest id, or repeat,
+    With a ``similarity``, texts link if the Jaccard similarity of their shingles reaches it:
+    fingerprints at three bits name candidates, the minima of :mod:`tessera.llm.shingle_dedup`
+    those that bits leave out; else at ``most_bits`` bits of their fingerprints. Null ids come after all others; of rows that share the smallest id, or repeat,
     the first by a hash of the text and then by their other columns stays.
     """
     if similarity is not None:
+        from tessera.llm import shingle_dedup  # it builds on this module
+
         return shingle_dedup.drop_similar(docs, id_col, text_col, similarity, shingle, seed)
     prints, classed = _grouped(docs, id_col, text_col, most_bits, shingle, seed)
     return first_of_groups(docs, _with_classes(prints, classed), id_col, text_col)

@@ -103,3 +103,20 @@ def test_a_dense_group_below_the_similarity_makes_no_quadratic_rows(spark):
     shared = [f"s{i}" for i in range(150)]
     texts = [" ".join(shared + [f"d{n}x{i}" for i in range(50)]) for n in range(60)]
     assert sorted(r.doc_id for r in drop_similar(documents(spark, texts)).collect()) == survivors(texts) == list(range(60))
+
+
+def test_fingerprints_name_near_copies_and_texts_decide(spark):
+    """SimHash's own pairs: equal fingerprints and those of three bits at most, a pair or two a text of a dense group; each is compared."""
+    from tessera.llm import shingle_dedup, simhash
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(500)}" for _ in range(2000)]
+    texts = [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(0, 2000, 50)] + [" ".join(f"v{rng.randrange(500)}" for _ in range(2000)) for _ in range(5)]
+    prints = [shingle_dedup.sketched(words_of(t), 5, 42)[3] for t in texts]
+    near = {(i, j) for j in range(45) for i in range(45) if i != j and bin((prints[i] ^ prints[j]) & (1 << 64) - 1).count("1") <= 3}
+    rows = spark.createDataFrame(list(enumerate(prints)), "_node long, _print long")
+    found = [(r.a, r.b) for r in shingle_dedup._nearest_prints(rows).collect()]
+    linked = {i for i, _ in near}
+    assert len(linked) > 20 and not linked & set(range(40, 45))
+    assert set(found) <= near and {i for pair in found for i in pair} == linked and len(found) <= 2 * len(linked)
+    assert simhash.majority is shingle_dedup.majority
