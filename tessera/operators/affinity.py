@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,54 +149,120 @@ def shape_score(probes: DataFrame, mode: Mode, shape: DataFrame, left: str, righ
     return shape_window_logs(probes, mode, shape, left, right, key, keep).select(key, *keep, total.alias("score"))
 
 
+#: Kinds of letters beside the base in the two low bits: not a base, lower case, N.
+OTHER, LOWER, UNKNOWN = 4, 8, 16
+
+
+def _letter_kinds() -> np.ndarray:
+    kinds = np.full(256, OTHER, dtype=np.uint8)
+    kinds[np.frombuffer(b"ACGTacgt", dtype=np.uint8)] = np.tile(np.arange(4), 2)
+    kinds[ord("a") : ord("z") + 1] |= LOWER
+    kinds[[ord("N"), ord("n")]] |= UNKNOWN
+    return kinds
+
+
+def _scorer(mode: Mode):
+    """A function from texts, each with room for a window, to ``(windows of each, forward, reverse, kinds held)`` of all their windows in turn.
+
+    Letters become numbers once for all the texts together; scores are looked up by a window's code, or are sums of shifted look-ups where words are too many for a table.
+    """
+    k, kinds = mode.k, _letter_kinds()
+    strands = [(np.array(m, dtype=np.float64), np.array(d, dtype=np.float64) if d else None) for m, d in ((mode.mono, mode.di), (reversed_mono(mode.mono), reversed_di(mode.di) if mode.di else ()))]
+
+    def scores(digits: list[np.ndarray]) -> list[np.ndarray]:
+        made = []
+        for mono, di in strands:
+            logs = sum(mono[4 * p + digits[p]] for p in range(k))
+            if di is not None:
+                logs = logs + sum(di[16 * p + 4 * digits[p] + digits[p + 1]] for p in range(k - 1))
+            made.append(np.exp(logs))
+        return made
+
+    every = np.arange(4**k if k <= TABLE_LENGTH else 0)
+    tables = [np.append(s, 0.0) for s in scores([every >> 2 * (k - 1 - p) & 3 for p in range(k)])]
+
+    def scored(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        found = kinds[np.frombuffer("".join(texts).encode("latin-1", "replace"), dtype=np.uint8)]
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        counts = sizes - k + 1
+        n, own = len(found) - k + 1, np.repeat((k - 1) * np.arange(len(texts)), counts)
+        own += np.arange(len(own))  # where each text's own windows start; others cross to the next text
+        held, width = found, 1
+        while 2 * width <= k:
+            held, width = held[:-width] | held[width:], 2 * width
+        held = (held[:n] | held[k - width : k - width + n])[own]
+        base, bad = found & 3, held & OTHER > 0
+        if len(every):
+            codes = np.zeros(n, dtype=np.uint16)
+            for p in range(k):
+                codes = codes << 2 | base[p : p + n]
+            codes = codes[own]
+            codes[bad] = len(every)
+            return counts, tables[0][codes], tables[1][codes], held
+        forward, reverse = (np.where(bad, 0.0, s[own]) for s in scores([base[p : p + n].astype(np.int64) for p in range(k)]))
+        return counts, forward, reverse, held
+
+    return scored
+
+
+def _groups(batches: Iterator[pa.RecordBatch], k: int, width: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[int], list[str]]]:
+    """``(batch, row of each, first window of each, texts)`` of a batch's last column in groups of about SCAN_WINDOWS windows; a long text is cut in parts."""
+    for batch in batches:
+        rows, starts, texts, size = [], [], [], 0
+        for i, text in enumerate(batch.column(width - 1).to_pylist()):
+            for at in range(0, len(text) - k + 1, SCAN_WINDOWS):
+                part = text[at : at + SCAN_WINDOWS + k - 1]
+                rows.append(i)
+                starts.append(at)
+                texts.append(part)
+                size += len(part) - k + 1
+                if size >= SCAN_WINDOWS:
+                    yield batch, rows, starts, texts
+                    rows, starts, texts, size = [], [], [], 0
+        if rows:
+            yield batch, rows, starts, texts
+
+
 def genome_scan(contigs: DataFrame, mode: Mode, chrom: str = "chrom", start: str = "pos_start", seq: str = "seq", only: Sequence[str] | None = None) -> DataFrame:
     """``chrom, pos, forward, reverse, flag`` for every window start of chunked contigs; scores are 0 where the window holds a letter other than ACGT.
 
-    A chunk's bases become numbers once; its windows' scores are sums of shifted look-ups.
+    Chunks are scored many at a time, and their windows come out in the order of the chunks.
     """
     rows = contigs if only is None else contigs.where(F.col(chrom).isin(list(only)))
-    strands = [(np.array(m, dtype=np.float64), np.array(d, dtype=np.float64) if d else None) for m, d in ((mode.mono, mode.di), (reversed_mono(mode.mono), reversed_di(mode.di) if mode.di else ()))]
-    k, numbers = mode.k, np.full(256, -1, dtype=np.int64)
-    numbers[np.frombuffer(b"ACGTacgt", dtype=np.uint8)] = np.tile(np.arange(4), 2)
-
-    def held(mask: np.ndarray, n: int) -> np.ndarray:
-        """Whether any of a window's letters is of a kind."""
-        before = np.concatenate(([0], np.cumsum(mask)))
-        return before[k : k + n] > before[:n]
-
-    def scored(name, first: int, text: str) -> pd.DataFrame | None:
-        raw = np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)
-        n = len(raw) - k + 1
-        if n <= 0:
-            return None
-        codes = numbers[raw]
-        bad, base = held(codes < 0, n), np.maximum(codes, 0)
-        made = {chrom: [name] * n, "pos": first + np.arange(n)}
-        for label, (mono, di) in zip(("forward", "reverse"), strands, strict=True):
-            logs = sum(mono[4 * p + base[p : p + n]] for p in range(k))
-            if di is not None:
-                logs = logs + sum(di[16 * p + 4 * base[p : p + n] + base[p + 1 : p + 1 + n]] for p in range(k - 1))
-            made[label] = np.where(bad, 0.0, np.exp(logs))
-        lower, unknown = held((raw >= 97) & (raw <= 122), n), held((raw == 78) | (raw == 110), n)
-        return pd.DataFrame(made | {"flag": np.where(unknown, -1, np.where(lower, 1, 0)).astype(np.int32)})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out, size = [], 0
-            for name, first, text in zip(frame.iloc[:, 0], frame.iloc[:, 1], frame.iloc[:, 2], strict=True):
-                for at in range(0, max(1, len(text) - k + 1), SCAN_WINDOWS):  # a long chunk is scored in parts
-                    if (part := scored(name, first + at, text[at : at + SCAN_WINDOWS + k - 1])) is not None:
-                        out.append(part)
-                        size += len(part)
-                    if size >= SCAN_WINDOWS:
-                        yield pd.concat(out)
-                        out, size = [], 0
-            if out:
-                yield pd.concat(out)
+    scored, k = _scorer(mode), mode.k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, of, starts, texts in _groups(batches, k, 3):
+            counts, forward, reverse, held = scored(texts)
+            firsts = batch.column(1).take(pa.array(of)).to_numpy(zero_copy_only=False) + np.array(starts)
+            pos = np.repeat(firsts - np.cumsum(counts) + counts, counts) + np.arange(len(held))
+            flag = np.where(held & UNKNOWN > 0, -1, held & LOWER > 0).astype(np.int32)
+            name = batch.column(0).take(pa.array(np.repeat(of, counts)))
+            yield pa.RecordBatch.from_arrays([name, pa.array(pos, batch.schema.field(1).type), pa.array(forward), pa.array(reverse), pa.array(flag)], names=[chrom, "pos", "forward", "reverse", "flag"])
 
     own = rows.where(F.col(seq).isNotNull()).select(chrom, start, seq)
     kinds = [f.dataType.simpleString() for f in own.schema]
-    return own.mapInPandas(run, f"`{chrom}` {kinds[0]}, pos {kinds[1]}, forward double, reverse double, flag int").withColumnRenamed(chrom, "chrom")
+    return own.mapInArrow(run, f"`{chrom}` {kinds[0]}, pos {kinds[1]}, forward double, reverse double, flag int").withColumnRenamed(chrom, "chrom")
+
+
+def scan_peaks(contigs: DataFrame, mode: Mode, chrom: str = "chrom", seq: str = "seq") -> DataFrame:
+    """``chrom, windows, forward, reverse, unknown``: a contig's number of windows, its largest scores by strand, and its windows with N.
+
+    The same as sums over :func:`genome_scan`, but a chunk is one row from its windows' scores on. Contigs without a window have no row.
+    """
+    scored, k = _scorer(mode), mode.k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, of, _, texts in _groups(batches, k, 2):
+            counts, forward, reverse, held = scored(texts)
+            first = np.cumsum(counts) - counts
+            tops = [np.maximum.reduceat(s, first) for s in (forward, reverse)]
+            unknown = np.add.reduceat((held & UNKNOWN > 0).astype(np.int64), first)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(counts), *map(pa.array, tops), pa.array(unknown)], names=["chrom", "windows", "forward", "reverse", "unknown"])
+
+    own = contigs.where(F.col(seq).isNotNull()).select(F.col(chrom).alias("chrom"), seq)
+    parts = own.mapInArrow(run, f"chrom {own.schema[0].dataType.simpleString()}, windows long, forward double, reverse double, unknown long")
+    return parts.groupBy("chrom").agg(F.sum("windows").alias("windows"), F.max("forward").alias("forward"), F.max("reverse").alias("reverse"), F.sum("unknown").alias("unknown"))
 
 
 #: Windows that a scan scores and hands on together.

@@ -43,7 +43,7 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``chrom, seq`` with N and lower case kept."""
-    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chrom"), F.regexp_replace("text", "[^ACGTNacgtn]", "").alias("seq")))
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chrom"), F.regexp_replace("text", "[^ACGTNacgtn]+", "").alias("seq")))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

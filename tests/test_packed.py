@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import affinity, counts, markov, packed
 from tessera.operators.affinity import Mode
+from tessera.plans import catalog
 
 
 def words(text: str, k: int) -> list[str]:
@@ -93,3 +94,40 @@ def test_scans_in_parts_match_each_window(spark, monkeypatch):
     assert [(r.chrom, r.pos, r.flag) for r in rows] == [(a, b, e) for a, b, *_, e in want]
     assert np.allclose([(r.forward, r.reverse) for r in rows], [w[2:4] for w in want])
     assert affinity.genome_scan(df, Mode(k, mono, di), only=["d"]).agg(F.count("*")).first()[0] == 0
+
+
+def python_rows(df) -> int:
+    """Rows that a collected frame's Python nodes handed to Spark."""
+
+    def of(node) -> int:
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return of(node.executedPlan())
+        if "QueryStage" in name:
+            return of(node.plan())
+        own = node.metrics().get("pythonNumRowsReceived")
+        children = node.children()
+        return (own.get().value() if own.isDefined() else 0) + sum(of(children.apply(i)) for i in range(children.size()))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize(("k", "paired"), [(1, False), (3, True), (5, False), (7, True)])
+def test_peaks_are_those_of_the_scan(spark, k, paired, monkeypatch):
+    """Chunks shorter than a window, of one window, long ones cut in parts, N and other letters at the borders of texts, null names."""
+    monkeypatch.setattr(affinity, "SCAN_WINDOWS", 11)
+    rng = random.Random(k)
+    texts = ["", "A", "N" * k, "n" + "ACGT" * 3, "acg-TNA", None, *("".join(rng.choice("ACGTACGTACGTacgtN-é") for _ in range(rng.choice([1, 2, 3, 4, 8, 60]))) for _ in range(80))]
+    df = spark.createDataFrame([(None if i % 9 == 0 else f"c{i % 9}", i, t) for i, t in enumerate(texts)], "chrom string, pos_start int, seq string").coalesce(2)
+    mode = Mode(k, tuple(rng.uniform(-1, 1) for _ in range(4 * k)), tuple(rng.uniform(-1, 1) for _ in range(16 * (k - 1))) if paired else ())
+    scan = affinity.genome_scan(df, mode)
+    want = {r.chrom: r for r in scan.groupBy("chrom").agg(F.count("*").alias("windows"), F.max("forward").alias("forward"), F.max("reverse").alias("reverse"), F.count_if(F.col("flag") == -1).alias("unknown")).collect()}
+    assert {r.chrom: r for r in affinity.scan_peaks(df, mode).collect()} == want and want
+    assert scan.count() == sum(max(0, len(t) - k + 1) for t in texts if t is not None)
+
+
+def test_genome_query_makes_no_row_a_window(spark, sf_dir):
+    found = catalog.QUERIES["i6_genome_scan"](spark, sf_dir)
+    rows = found.collect()
+    windows = sum(r.windows for r in rows)
+    assert windows > 100_000 and python_rows(found) < windows / 100
