@@ -122,8 +122,9 @@ TRACK_SQL = with_tables(
 def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A genome's score track written by chromosome, read back and summed by flag."""
     path = fresh_path(spark, "track")
-    scores = genome_scan(readers.chunked(X.genome(spark, sf_dir).withColumn("chrom", F.col("chrom") % 8), "seq", 3, 2000), X.NARROW)
-    writers.write_track(scores, path)
+    contigs = X.genome(spark, sf_dir).select((F.col("chrom") % 8).alias("chrom"), F.col("chrom").alias("contig"), "seq")
+    pieces = writers.dealt_by_place(readers.chunked(contigs, "seq", 3, 256), "contig")
+    writers.write_track(genome_scan(pieces, X.NARROW), path, dealt=True)
     return spark.read.parquet(path).groupBy("flag").agg(F.count(F.lit(1)).alias("windows"), F.round(F.sum("forward"), 3).alias("forward"), F.round(F.sum("reverse"), 3).alias("reverse"))
 
 

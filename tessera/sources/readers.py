@@ -137,10 +137,19 @@ def skip_invalid(seq):
     return F.regexp_replace(F.upper(seq), "[^ACGT]", "")
 
 
+#: Pieces that are cut from one part of a contig: places in a text are found from its start, so long contigs are cut in parts first.
+PIECES = 128
+
+
 def chunked(contigs: DataFrame, seq: str, k: int, chunk: int) -> DataFrame:
     """Rows of ``contigs`` with ``seq`` cut into pieces of ``chunk`` window starts and their ``pos_start``."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(seq) - k, F.lit(0)), F.lit(chunk))
-    return contigs.withColumn("pos_start", F.explode(starts)).withColumn(seq, F.substr(seq, F.col("pos_start") + 1, F.lit(chunk + k - 1)))
+
+    def cut(rows: DataFrame, size: int, start: str) -> DataFrame:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(seq) - k, F.lit(0)), F.lit(size))
+        return rows.withColumn(start, F.explode(starts)).withColumn(seq, F.substr(seq, F.col(start) + 1, F.lit(size + k - 1)))
+
+    pieces = cut(cut(contigs, chunk * PIECES, "_part"), chunk, "pos_start")
+    return pieces.withColumn("pos_start", F.col("_part") + F.col("pos_start")).drop("_part")
 
 
 def read_round_counts(spark: SparkSession, path: str, rounds: int, first_count: int = 1) -> DataFrame:

@@ -16,9 +16,19 @@ def write_delimited(rows: DataFrame, path: str) -> None:
     rows.write.csv(path, sep="\t", header=True)
 
 
-def write_track(scores: DataFrame, path: str) -> None:
-    """Scores per position, partitioned by chromosome and sorted by position."""
-    scores.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").write.partitionBy("chrom").parquet(path)
+def dealt_by_place(pieces: DataFrame, *ties: str, chrom: str = "chrom", start: str = "pos_start") -> DataFrame:
+    """Pieces of contigs in ranges of chromosome and start, so that the scores made from them lie in ranges already and aren't shuffled.
+
+    Pieces of one place are told apart by ``ties``: they may be more than one task should have.
+    There are as many ranges as shuffles have partitions, as a piece's size says little of its scores'.
+    """
+    return pieces.repartitionByRange(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), chrom, start, *ties)
+
+
+def write_track(scores: DataFrame, path: str, dealt: bool = False) -> None:
+    """Scores per position, partitioned by chromosome and sorted by position; ``dealt`` if they come from pieces that are dealt by place."""
+    rows = scores if dealt else scores.repartitionByRange("chrom", "pos")
+    rows.sortWithinPartitions("chrom", "pos").write.partitionBy("chrom").parquet(path)
 
 
 def write_fasta(contigs: DataFrame, path: str, name: str = "chrom", seq: str = "seq", width: int = 50) -> None:

@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators.affinity import genome_scan
 from tessera.operators.counts import count_kmers
+from tessera.plans import catalog
+from tessera.plans import fixtures as X
 from tessera.sources import readers, writers
 
 READS = ["TGGACGTACGTCCAGCTG", "tggacgtacgtCCAGCTG", "TGGACGNACGTCCAGCTG", "TG", "TGGACGTACGTAAAAAAA"] * 4
@@ -126,3 +130,40 @@ def test_round_counts_layouts_differ_by_parameter(spark, tmp_path):
     (tmp_path / "r.tsv").write_text("ACGT\t5\t0\nGGGG\t0\t7\n")
     rows = readers.observed_in(readers.read_round_counts(spark, str(tmp_path / "r.tsv"), 2), 1).collect()
     assert [(r.seq, r.n) for r in rows] == [("GGGG", 7)]
+
+
+@pytest.mark.parametrize("pieces", [1, 2, 128])
+def test_chunks_of_long_contigs_are_cut_in_parts_first(spark, monkeypatch, pieces):
+    monkeypatch.setattr(readers, "PIECES", pieces)
+    texts = ["", "AC", "ACG", "ACGTNé" * 9, "acgtn" * 4]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chrom int, seq string")
+    found = sorted((r.chrom, r.pos_start, r.seq) for r in readers.chunked(df, "seq", 3, 5).collect())
+    assert found == [(i, at, t[at : at + 7]) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - 2), 5)]
+
+
+def test_dealt_tracks_are_sorted_whole_and_split_one_place(spark, tmp_path):
+    """400 contigs of one place are more than a task's share, so several files hold them; each is sorted, and no score is lost."""
+    df = spark.createDataFrame([(i % 2, i, "ACGTNacgt" * (1 + i % 3)) for i in range(400)], "chrom long, contig long, seq string")
+    cut = readers.chunked(df, "seq", 3, 256)
+    writers.write_track(genome_scan(writers.dealt_by_place(cut, "contig"), X.NARROW), f"{tmp_path}/track", dealt=True)
+    rows = spark.read.parquet(f"{tmp_path}/track").select("chrom", "pos", "forward", "reverse", "flag", F.input_file_name().alias("file")).collect()
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(tuple(r) for r in genome_scan(cut, X.NARROW).collect())
+    assert len({r.file for r in rows if r.chrom == 0 and r.pos == 0}) > 1
+    for file in {r.file for r in rows}:
+        own = [r.pos for r in spark.read.parquet(file).collect()]
+        assert own == sorted(own)
+
+
+def shuffled_rows(spark, after: int = -1) -> tuple[int, int]:
+    """Rows that stages after a number wrote for shuffles, and the last stage's number."""
+    context, none = spark.sparkContext, spark._jvm.java.util.ArrayList()
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = context._jsc.sc().statusStore().stageList(none, False, False, context._gateway.new_array(spark._jvm.double, 0), none)
+    stages = [found.apply(i) for i in range(found.size())]
+    return sum(s.shuffleWriteRecords() for s in stages if s.stageId() > after), max((s.stageId() for s in stages), default=-1)
+
+
+def test_track_query_shuffles_no_row_a_window(spark, sf_dir):
+    _, last = shuffled_rows(spark)
+    windows = sum(r.windows for r in catalog.QUERIES["a9_score_track"](spark, sf_dir).collect())
+    assert windows > 100_000 and 0 < shuffled_rows(spark, last)[0] < windows / 10
